@@ -67,7 +67,7 @@ def html_blocks(html: Column) -> Column:
             F.regexp_extract(s, heading, 1).try_cast("int").alias("level"),
             F.trim(F.regexp_extract(s, heading, 2)).alias("title"),
             F.array_remove(
-                F.transform(F.split(F.regexp_replace(s, heading, ""), _BREAK), F.trim), ""
+                F.transform(F.split(F.regexp_replace(s, heading, ""), _BREAK), lambda b: F.trim(b)), ""
             ).alias("texts"),
         ),
     )

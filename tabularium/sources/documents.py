@@ -48,14 +48,23 @@ def parse_documents(files: DataFrame, parser: Parser | None = None) -> DataFrame
         F.array().cast(ERROR_TYPE).alias("errors"),
     )
     other = files.filter(~extension.isin(*HTML, *PLAIN))
+    if parser is None:
+        missing = F.array(
+            F.struct(
+                F.lit("document_backend").alias("component_type"),
+                F.lit("parse_documents").alias("module_name"),
+                F.concat(F.lit("no parser for "), extension).alias("error_message"),
+            )
+        )
+        return native.unionByName(
+            other.select("path", "file_hash", "file_size", F.array().cast(BLOCK_TYPE).alias("blocks"), missing.alias("errors"))
+        )
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             blocks, errors = [], []
             for content, path in zip(batch["content"], batch["path"], strict=True):
                 try:
-                    if parser is None:
-                        raise ValueError("no parser for this format")
                     blocks.append([{"headings": h, "text": t, "page": p} for h, t, p in parser(content, path)])
                     errors.append([])
                 except Exception as error:  # noqa: BLE001 - any parser failure is a record, not a job failure
