@@ -25,7 +25,7 @@ BOOLEAN_WORDS = ("true", "false", "yes", "no", "ja", "nein")
 # Opt-in magnitude suffixes.
 MAGNITUDES = {"K": 1e3, "M": 1e6, "B": 1e9}
 
-DECIMAL_NUMBER = r"^[+-]?(?=\.?\d)\d*\.?\d*([eE][+-]?\d+)?\z"
+DECIMAL_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"
 WHOLE_NUMBER = r"^[+-]?\d+\z"
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}\z"
 

@@ -1 +1,90 @@
-"""Contract queries."""
+"""Contract queries of the streaming jobs, run over the tables as bounded streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabularium.operators.chunking import TOKEN_BUDGET
+from tabularium.plans.contract import contract, read
+from tabularium.plans.ingest import _TEXT_BLOCKS, _chunked
+from tabularium.session import shared_path
+from tabularium.sources.collection import collection
+from tabularium.streaming.activity import event_time, streaming_rollup, streaming_sessions
+from tabularium.streaming.ingest import IngestTarget, ingest_batch, ingest_stream, stream_files
+
+
+@contract(
+    "stream_ingest",
+    f"""WITH RECURSIVE {_TEXT_BLOCKS}, {_chunked(TOKEN_BUDGET)}
+    SELECT d.source || '/' || d.doc_id AS source, md5(d.text) AS file_hash, count(*) AS chunks,
+           sum(length(c.text))::BIGINT AS characters
+    FROM chunks c JOIN documents d ON d.doc_id = c.id GROUP BY ALL""",
+)
+def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents arrive as files, changed ones a second time; the collection in the end."""
+    folder = shared_path(spark, "files")
+    files = read(spark, sf, "documents").select(F.concat("source", F.lit("/"), "doc_id").alias("path"), "text", "lang")
+    target = IngestTarget(shared_path(spark, "collection"), shared_path(spark, "manifest"))
+    # First state: English texts in an older form, the rest as it is.
+    older = F.when(F.col("lang") == "en", F.concat("text", F.lit("\nold line\n"), "text")).otherwise(F.col("text"))
+    files.select("path", older.alias("text")).write.parquet(f"{folder}/in")
+    query = ingest_stream(stream_files(spark, f"{folder}/in"), target, f"{folder}/checkpoint")
+    query.awaitTermination()
+    # Second state: all files are listed again, only the English ones differ.
+    files.select("path", "text").write.mode("append").parquet(f"{folder}/in")
+    query = ingest_stream(stream_files(spark, f"{folder}/in"), target, f"{folder}/checkpoint")
+    query.awaitTermination()
+    points = collection(spark, target.collection).read()
+    return points.groupBy("source", F.col("fileHash").alias("file_hash")).agg(
+        F.count("*").alias("chunks"), F.sum(F.length("text").cast("long")).alias("characters")
+    )
+
+
+def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    schema = read(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return stream.withColumn("ts", event_time(F.col("ts")))
+
+
+def _run(frame: DataFrame, name: str) -> DataFrame:
+    folder = shared_path(frame.sparkSession, name)
+    query = (
+        frame.writeStream.format("parquet")
+        .option("path", f"{folder}/out")
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return frame.sparkSession.read.parquet(f"{folder}/out")
+
+
+@contract(
+    "stream_rollup",
+    """WITH hours AS (SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS events, round(sum(value), 6) AS total
+                      FROM events GROUP BY ALL)
+    SELECT hour, event_type, events, total FROM hours
+    WHERE hour + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR""",
+)
+def stream_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly counts of a stream: every hour the watermark has closed."""
+    rolled = streaming_rollup(_event_stream(spark, sf), "ts", "event_type", "value")
+    return _run(rolled, "rollup").withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+@contract(
+    "stream_sessions",
+    """WITH marked AS (
+      SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 600 SECONDS THEN 0 ELSE 1 END AS opened
+      FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    numbered AS (SELECT user_id, ts, sum(opened) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM marked),
+    whole AS (SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS events FROM numbered GROUP BY user_id, s)
+    SELECT * FROM whole
+    WHERE session_end + INTERVAL 600 SECONDS <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR""",
+)
+def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions of a stream: every session the watermark has closed."""
+    closed = _run(streaming_sessions(_event_stream(spark, sf), "user_id", "ts"), "sessions")
+    return closed.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
