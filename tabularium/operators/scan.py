@@ -26,7 +26,7 @@ from tabularium.session import shared_root
 
 SCORE_DIGITS = 6
 _SHRINK_AT = 400_000
-_TILE_CELLS = 4_000_000
+TILE_CELLS = 4_000_000
 
 
 class RunningBest:
@@ -91,7 +91,7 @@ def offer_matrix(best: RunningBest, scores: np.ndarray, ids: pa.Array, first_row
 
 
 def tile_rows(n_queries: int) -> int:
-    return max(1, _TILE_CELLS // max(1, n_queries))
+    return max(1, TILE_CELLS // max(1, n_queries))
 
 
 def blocks(queries: DataFrame, weight, limit: int) -> list[DataFrame]:

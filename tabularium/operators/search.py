@@ -68,7 +68,8 @@ def retrieve(
 ) -> DataFrame:
     """Fused hits ``query_id, id, score, rank`` before any reranking.
 
-    A corpus that already carries a ``dense`` column is not embedded again.
+    A corpus that already carries a ``dense`` column, or stored sparse vectors,
+    is neither embedded nor tokenised again.
     """
     embedder = embedder or hashing_embedder(options.dimension)
     points = corpus if "dense" in corpus.columns else embed(corpus.select("id", "text"), embedder)

@@ -20,6 +20,7 @@ from tabularium.functions.arrays import explode_once
 from tabularium.functions.text import tokens
 from tabularium.operators.scan import (
     SCORE_DIGITS,
+    TILE_CELLS,
     RunningBest,
     blocks,
     hits_type,
@@ -82,6 +83,23 @@ def corpus_stats(corpus: DataFrame, text_col: str = "text") -> CorpusStats:
     return CorpusStats(row["n"], row["total"] / max(row["n"], 1), document_frequency(corpus, text_col))
 
 
+STORED = ("terms", "tfs", "length")
+
+
+def is_stored(corpus: DataFrame) -> bool:
+    """Whether a corpus carries sparse vectors, as points of a collection do."""
+    return set(STORED) <= set(corpus.columns)
+
+
+def stored_stats(points: DataFrame) -> CorpusStats:
+    """Statistics from stored sparse vectors: no text is read."""
+    row = points.agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(F.col("length").cast("long")), F.lit(0)).alias("total")
+    ).first()
+    terms = explode_once(points.select("terms"), F.col("terms"), "term").groupBy("term").agg(F.count("*").alias("df"))
+    return CorpusStats(row["n"], row["total"] / max(row["n"], 1), terms)
+
+
 def sparse_vectors(corpus: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Stored form of the sparse leg: ``id, terms, tfs, length`` per row.
 
@@ -124,14 +142,17 @@ def sparse_top_k(
 ) -> DataFrame:
     """Exact BM25 top-k for every row of ``queries(query_id, query)``.
 
-    ``stats`` of a stored collection saves the two statistics passes.
+    A corpus with stored sparse vectors is scored from them; otherwise its text
+    is tokenised. ``stats`` of a stored collection saves the statistics passes.
     ``query_weight='tf'`` counts repeated query terms, ``'distinct'`` does not.
     """
-    stats = stats or corpus_stats(corpus, text_col)
+    stored = is_stored(corpus)
+    stats = stats or (stored_stats(corpus) if stored else corpus_stats(corpus, text_col))
     bags = queries.select("query_id", tokens(F.col("query")).alias("_tokens")).filter(F.size("_tokens") > 0)
-    documents = corpus.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("tokens")).filter(
-        F.size("tokens") > 0
-    )
+    if stored:
+        documents = corpus.select(F.col(id_col).alias("id"), *STORED)
+    else:
+        documents = corpus.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("tokens"))
 
     def score_one(block: DataFrame) -> DataFrame:
         return _score_block(documents, block, stats, k, params, query_weight)
@@ -195,27 +216,25 @@ def _score_block(
         best = RunningBest(n_queries, k)
         step = tile_rows(n_queries)
         for batch in batches:
-            ids, bags = batch.column(0), batch.column(1)
-            for first in range(0, len(ids), step):
-                part = bags.slice(first, step)
-                lengths = pc.list_value_length(part).to_numpy(zero_copy_only=False).astype(np.int64)
-                codes = pc.index_in(pc.list_flatten(part).cast(pa.string()), value_set=side["vocabulary"])
-                known = pc.is_valid(codes).to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(len(part)), lengths)[known]
-                code = pc.drop_null(codes).to_numpy(zero_copy_only=False).astype(np.int64)
-                pairs, tf = np.unique(row * n_terms + code, return_counts=True)
-                if not len(pairs):
+            for first in range(0, batch.num_rows, step):
+                part = batch.slice(first, step)
+                row, code, tf, lengths = _term_counts(part, side["vocabulary"])
+                if not len(row):
                     continue
-                row, code = pairs // n_terms, pairs % n_terms
                 norm = k1 * (1.0 - b + b * lengths[row] / mean_length)
                 gain = tf * (k1 + 1.0) / (tf + norm)
+                scores = np.zeros(part.num_rows * n_queries)
+                # A term may occur in many queries: expand a bounded part at a time.
                 copies = fan_out[code]
-                slot = np.repeat(side["start"][code] - np.cumsum(copies) + copies, copies) + np.arange(copies.sum())
-                cell = np.repeat(row, copies) * n_queries + side["query"][slot]
-                value = np.repeat(gain, copies) * side["weight"][slot]
-                scores = np.bincount(cell, value, len(part) * n_queries).reshape(len(part), n_queries)
-                scores = np.round(scores, SCORE_DIGITS)
-                offer_matrix(best, scores, ids, first, scores > 0)
+                cuts = np.searchsorted(np.cumsum(copies), np.arange(TILE_CELLS, copies.sum(), TILE_CELLS))
+                for piece in np.split(np.arange(len(code)), cuts):
+                    times = copies[piece]
+                    offset = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    slot = np.repeat(side["start"][code[piece]], times) + offset
+                    cell = np.repeat(row[piece], times) * n_queries + side["query"][slot]
+                    scores += np.bincount(cell, np.repeat(gain[piece], times) * side["weight"][slot], len(scores))
+                scores = np.round(scores.reshape(-1, n_queries), SCORE_DIGITS)
+                offer_matrix(best, scores, part.column(0), 0, scores > 0)
         result = best.result(side["query_ids"])
         if result is not None:
             yield result
@@ -223,6 +242,25 @@ def _score_block(
     return documents.mapInArrow(kernel, schema)
 
 
+def _term_counts(
+    part: pa.RecordBatch, vocabulary: pa.Array
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term code and count of the vocabulary's terms, and all row lengths.
+
+    The batch is ``id, tokens`` or ``id, terms, tfs, length``.
+    """
+    sizes = pc.list_value_length(part.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    codes = pc.index_in(pc.list_flatten(part.column(1)).cast(pa.string()), value_set=vocabulary)
+    known = pc.is_valid(codes).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(part.num_rows), sizes)[known]
+    code = pc.drop_null(codes).to_numpy(zero_copy_only=False).astype(np.int64)
+    if part.num_columns == 4:
+        tf = pc.list_flatten(part.column(2)).to_numpy(zero_copy_only=False)[known]
+        return row, code, tf, part.column(3).fill_null(0).to_numpy(zero_copy_only=False)
+    pairs, tf = np.unique(row * len(vocabulary) + code, return_counts=True)
+    return pairs // len(vocabulary), pairs % len(vocabulary), tf, sizes
+
+
 def term_weights(corpus: DataFrame, id_col: str = "id", text_col: str = "text", params: Bm25 = Bm25()) -> DataFrame:
     """Length-normalised term weights ``(id, term, weight)`` without the idf,
     which is applied when a query is scored."""

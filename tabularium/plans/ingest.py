@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabularium.functions.arrays import explode_once
 from tabularium.functions.markup import html_blocks, text_blocks
 from tabularium.functions.payload import matches, payload
 from tabularium.operators.chunking import TOKEN_BUDGET, chunk, export_documents
@@ -185,7 +186,7 @@ def chunk_html(spark: SparkSession, sf: str) -> DataFrame:
 def page_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Ordered blocks of every web page with their heading path."""
     pages = html_documents(spark, sf)
-    return pages.select("page_id", F.posexplode("blocks").alias("block", "b")).select(
+    return explode_once(pages, F.col("blocks"), "b", "block").select(
         F.col("page_id").alias("id"), "block", F.array_join("b.headings", "\n").alias("headings"), "b.text"
     )
 

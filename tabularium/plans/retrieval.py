@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabularium.functions.arrays import explode_once
 from tabularium.functions.text import words
+from tabularium.operators.cells import assign_cells, cell_top_k, measure_cells, train_centres, write_cells
 from tabularium.operators.context import assemble, document_citation
 from tabularium.operators.dense import dense_top_k, hashing_embedder
 from tabularium.operators.fusion import fuse, union_legs
@@ -16,6 +17,8 @@ from tabularium.operators.routing import FALLBACK_ROUTE, ROUTES, route
 from tabularium.operators.search import SearchOptions, hybrid_search, retrieve, sparse_input, with_texts
 from tabularium.operators.sparse import document_frequency, idf, sparse_top_k, sparse_vectors, term_weights
 from tabularium.plans.contract import contract, read
+from tabularium.session import shared_path
+from tabularium.sources.collection import build_points, checked, collection
 
 DIMENSION = 64
 # Words of at least this many letters serve as keywords of a question.
@@ -226,6 +229,17 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     return dense_top_k(vectors, label_centres(spark, sf), 10, DIMENSION)
 
 
+@contract("dense_topk_cells", f"WITH {_CENTRES} SELECT query_id, id, score, rank::INT AS rank FROM best")
+def dense_topk_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The same nearest vectors from points stored in cells, with cells pruned."""
+    vectors = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("dense"))
+    centres = train_centres(vectors, 16, DIMENSION)
+    path = shared_path(spark, "cells")
+    write_cells(assign_cells(vectors, centres), path)
+    placed = spark.read.parquet(path)
+    return cell_top_k(placed, measure_cells(placed, centres), label_centres(spark, sf), 10)
+
+
 @contract(
     "hash_embed",
     f"""WITH {_embedded("de", "documents", "doc_id", "text")}
@@ -252,6 +266,27 @@ def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
     return fused.withColumn("score", F.round("score", 9))
 
 
+@contract(
+    "collection_search",
+    f"""WITH {_INDEX}, {_bm25(_ASKED, 10)}, {_EMBEDDINGS}, {_dense(10)}, {_fused(5)}
+    SELECT query_id, id::VARCHAR AS id, round(score, 9) AS score, rank::INT AS rank, source FROM fused
+    JOIN documents ON doc_id = id""".replace("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)",
+                                             "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id::VARCHAR)"),
+)
+def collection_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Hybrid search over a stored collection: vectors are read, not computed."""
+    documents = read(spark, sf, "documents")
+    items = documents.select(
+        F.col("doc_id").cast("string").alias("id"), "text", F.create_map(F.lit("source"), F.col("source")).alias("metadata")
+    )
+    stored = collection(spark, shared_path(spark, "collection"))
+    stored.upsert(checked(build_points(items, hashing_embedder(DIMENSION)), DIMENSION))
+    points = stored.read()
+    corpus_points = points.withColumn("metadata", F.from_json("payload", "map<string,string>"))
+    found = hybrid_search(corpus_points, questions(spark, sf), SearchOptions(limit=5))
+    return found.select("query_id", "id", F.round("score", 9).alias("score"), "rank", found["metadata"]["source"].alias("source"))
+
+
 @contract(
     "rrf_threshold",
     f"""WITH {_INDEX}, {_bm25(_ASKED, 20)}, dense AS (SELECT * FROM sparse WHERE rank <= 10),

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabularium.functions.arrays import explode_once
 from tabularium.functions.coercion import coerce, stored_type
 from tabularium.functions.text import identifier
 from tabularium.operators.ranking import top_k
@@ -665,7 +666,7 @@ def sql_audit(spark: SparkSession, sf: str) -> DataFrame:
 )
 def sql_refs(spark: SparkSession, sf: str) -> DataFrame:
     """How many statements name each table."""
-    named = _statements(spark, sf).select(F.explode(table_references(F.col("sql"))).alias("name"))
+    named = explode_once(_statements(spark, sf), table_references(F.col("sql")), "name")
     return named.groupBy("name").agg(F.count("*").alias("statements"))
 
 

@@ -34,7 +34,7 @@ def sql_filter_project(spark: SparkSession, sf: str) -> DataFrame:
 
 @contract(
     "sql_join_star",
-    """SELECT r_name, n_name, p_type, count(*) AS items, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+    """SELECT r_name, n_name, p_type, count(*) AS items, sum((l_extendedprice * (1 - l_discount))::DECIMAL(18, 4))::DOUBLE AS revenue
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
     JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey
     GROUP BY r_name, n_name, p_type""",
@@ -49,9 +49,9 @@ def sql_join_star(spark: SparkSession, sf: str) -> DataFrame:
         .join(read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .join(read(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     )
-    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    net = (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")
     return joined.groupBy("r_name", "n_name", "p_type").agg(
-        F.count("*").alias("items"), F.round(F.sum(net), 2).alias("revenue")
+        F.count("*").alias("items"), F.sum(net).cast("double").alias("revenue")
     )
 
 

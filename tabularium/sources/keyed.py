@@ -118,8 +118,7 @@ class KeyedTable:
             f"{after}/rows/batch-{number}"
         )
         # Keys come from the written rows: the batch is computed once.
-        written = self.spark.read.schema(self.schema).parquet(f"{after}/rows/batch-{number}")
-        gone = written.select(F.col(key).cast("string").alias("value"))
+        gone = self.batch(number).select(F.col(key).cast("string").alias("value"))
         if replaced is not None:
             gone = gone.unionByName(replaced.select(F.col(replaced.columns[0]).cast("string").alias("value")))
         gone.distinct().select(F.lit(key).alias("key"), "value", F.lit(number).alias(_BATCH)).write.mode(
@@ -127,6 +126,12 @@ class KeyedTable:
         ).parquet(f"{after}/replaced/batch-{number}")
         return number
 
+    def batch(self, number: int) -> DataFrame:
+        """The rows one batch brought, without looking at the rest of the table."""
+        return self.spark.read.schema(self.schema).parquet(
+            f"{self.root}/after-{self._bases()[-1]}/rows/batch-{number}"
+        )
+
     def delete(self, key: str, values: DataFrame) -> int:
         """Drop the rows whose ``key`` is among ``values`` (one column)."""
         return self.upsert(self.spark.createDataFrame([], self.schema), key=key, replaced=values)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,19 +84,18 @@ def ingest_batch(files: DataFrame, target: IngestTarget, embedder: Embedder | No
     points = collection(spark, target.collection)
     manifest = manifest_table(spark, target.manifest)
     hashed = latest(files.withColumn("file_hash", F.md5("text")), ["path"], [F.asc("file_hash")])
+    # Every step below uses the batch, so it is kept; it is as small as what arrived.
+    hashed = hashed.persist(StorageLevel.MEMORY_AND_DISK)
     listing = hashed.select(F.col("path").alias("file_path"), "file_hash")
-    changes = detect_changes(listing, manifest.read()).filter(F.col("status") != "deleted")
+    # Only the manifest rows of this batch take part, so the manifest is not shuffled.
+    known = manifest.read().join(listing.select("file_path"), "file_path", "left_semi")
+    changes = detect_changes(listing, known)
     todo = changes.filter(F.col("status") != "unchanged").select(F.col("file_path").alias("path"))
     changed = hashed.join(todo, "path", "left_semi")
     fresh = chunk_points(changed, embedder, target.token_budget)
-    points.upsert(fresh, key="source", replaced=todo)
-    # Counts come from what was written: chunks are not computed a second time.
-    counts = (
-        points.read()
-        .join(todo.withColumnRenamed("path", "source"), "source", "left_semi")
-        .groupBy(F.col("source").alias("file_path"))
-        .agg(F.count("*").alias("chunk_count"))
-    )
+    number = points.upsert(fresh, key="source", replaced=todo)
+    # Counts come from the written batch: chunks are not computed a second time.
+    counts = points.batch(number).groupBy(F.col("source").alias("file_path")).agg(F.count("*").alias("chunk_count"))
     entries = (
         changed.select(F.col("path").alias("file_path"), "file_hash", F.length("text").cast("string").alias("file_size"))
         .join(counts, "file_path", "left")
@@ -110,6 +110,7 @@ def ingest_batch(files: DataFrame, target: IngestTarget, embedder: Embedder | No
         )
     )
     manifest.upsert(entries)
+    hashed.unpersist()
     return changes
 
 
