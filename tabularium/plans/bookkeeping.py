@@ -20,6 +20,8 @@ from tabularium.operators.lifecycle import (
 from tabularium.operators.routing import hourly_rollup, sessions
 from tabularium.operators.upsert import without_value
 from tabularium.plans.contract import contract, read
+from tabularium.session import shared_path
+from tabularium.sources.logs import append_log, read_log
 
 _NOW = "2024-02-01 00:00:00"
 _OLD = "2023-12-01 00:00:00"
@@ -260,3 +262,14 @@ def activity_sessions(spark: SparkSession, sf: str) -> DataFrame:
 def log_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """Events per hour and type."""
     return hourly_rollup(read(spark, sf, "events"), "ts", "event_type", "value")
+
+
+@contract(
+    "log_append",
+    """SELECT ts::DATE AS day, event_type, count(*) AS events FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY ALL""",
+)
+def log_append(spark: SparkSession, sf: str) -> DataFrame:
+    """Events appended to a log by day, and read back from a day on."""
+    root = shared_path(spark, "log")
+    append_log(read(spark, sf, "events"), root, "ts")
+    return read_log(spark, root, "2024-01-10").groupBy("day", "event_type").agg(F.count("*").alias("events"))

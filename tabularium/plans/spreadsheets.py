@@ -43,6 +43,7 @@ from tabularium.plans.contract import contract, read
 from tabularium.plans.retrieval import _ASKED, _EMBEDDINGS, _INDEX, _bm25, _dense, _fused, _reranked, questions
 from tabularium.session import shared_path
 from tabularium.sources.delimited import dispatch, read_delimited, unsupported
+from tabularium.sources.tablestore import TableStore
 from tabularium.sources.workbook import sheet_headers, workbook_rows
 
 _SPACE = r"[ \x09-\x0D\x1C-\x1F\x85\p{Z}]+"
@@ -712,3 +713,28 @@ def sql_ask(spark: SparkSession, sf: str) -> DataFrame:
         "status", F.array_join("rows", "\n").alias("rows"), "row_count",
         F.array_join("columns", ",").alias("columns"), F.array_join("citations", " ").alias("citations"),
     )
+
+
+@contract(
+    "table_ingest",
+    """SELECT 'customer' AS table_name, (SELECT count(*) FROM customer) AS row_count, 6 AS column_count, c_mktsegment, count(*) AS customers,
+    sum(c_acctbal::DECIMAL(18, 2))::DOUBLE AS balance, min(c_custkey) AS first_key FROM customer GROUP BY c_mktsegment""",
+)
+def table_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """A CSV file stored, registered and queried by its id through the guard."""
+    path = shared_path(spark, "csv")
+    customers = read(spark, sf, "customer").withColumn("since", F.lit("2024-02-29"))
+    customers.write.option("header", "true").csv(path)
+    store = TableStore(spark, shared_path(spark, "tables"))
+    reply = store.ingest(path, "tpch/customer.csv", "h1").first()
+    schemas = store.schemas([reply["table_id"], "nobody"])
+    rows = run_guarded(
+        spark,
+        """SELECT c_mktsegment, count(*) AS customers, CAST(sum(CAST(c_acctbal AS DECIMAL(18, 2))) AS DOUBLE) AS balance,
+        min(c_custkey) AS first_key FROM customer WHERE since = DATE '2024-02-29' GROUP BY c_mktsegment""",
+        store.paths(schemas),
+    )
+    return rows.select(
+        F.lit(reply["table_name"]).alias("table_name"), F.lit(reply["row_count"]).alias("row_count"),
+        F.lit(reply["column_count"]).alias("column_count"), "*",
+    )
