@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,53 +45,59 @@ def _number(cell: Column, magnitude_suffix: bool) -> Column:
     return F.coalesce(plain, F.when(head.rlike(DECIMAL_NUMBER), head.try_cast("double") * factor))
 
 
+def clean_cell(cell: Column) -> Column:
+    """The stripped cell, null when it reads as missing."""
+    return F.when(~is_null_token(cell), strip(cell))
+
+
 def coerce(cell: Column, label: str, magnitude_suffix: bool = False) -> Column:
-    """The cell as a value of the label's type; null when it does not fit.
+    """The cell as a value of the label's type; null when it does not fit."""
+    return coerce_clean(clean_cell(cell), cell, label, magnitude_suffix)
+
+
+def coerce_clean(clean: Column, cell: Column, label: str, magnitude_suffix: bool = False) -> Column:
+    """The same for a cell already cleaned; text keeps its outer white space.
 
     Whole numbers keep all their digits, other numbers truncate toward zero.
     """
-    clean = strip(cell)
     kind = TYPE_LABELS.get(label.strip().upper(), "string")
     if kind == "bigint":
-        value = F.coalesce(
+        return F.coalesce(
             F.when(clean.rlike(WHOLE_NUMBER), clean.try_cast("bigint")),
             _number(clean, magnitude_suffix).try_cast("bigint"),
         )
-    elif kind == "double":
-        value = _number(clean, magnitude_suffix)
-    elif kind == "boolean":
-        value = F.lower(clean).isin(*TRUE_WORDS)
-    elif kind == "date":
-        value = F.when(clean.rlike(ISO_DATE), F.try_to_date(clean, "yyyy-MM-dd"))
-    else:
-        value = cell
-    return F.when(~is_null_token(cell), value)
-
-
-def rescued(cells: dict[str, tuple[Column, Column]]) -> Column:
+    if kind == "double":
+        return _number(clean, magnitude_suffix)
+    if kind == "boolean":
+        return F.lower(clean).isin(*TRUE_WORDS)
+    if kind == "date":
+        return F.when(clean.rlike(ISO_DATE), F.try_to_date(clean, "yyyy-MM-dd"))
+    return F.when(clean.isNotNull(), cell)
+
+
+def rescued(cells: dict[str, tuple[Column, Column, Column]]) -> Column:
     """``column -> original text`` for cells that hold something their type
-    cannot: a map, null when every cell fits. Row counts never change."""
+    cannot: a map, null when every cell fits. Row counts never change.
+
+    ``cells`` maps a column to its original, cleaned and typed form.
+    """
     entries = [
-        F.when(~is_null_token(raw) & typed.isNull(), F.struct(F.lit(name).alias("key"), raw.alias("value")))
-        for name, (raw, typed) in cells.items()
+        F.when(clean.isNotNull() & typed.isNull(), F.struct(F.lit(name).alias("key"), raw.alias("value")))
+        for name, (raw, clean, typed) in cells.items()
     ]
     kept = F.map_from_entries(F.filter(F.array(*entries), F.isnotnull))
     return F.when(F.size(kept) > 0, kept)
 
 
-def type_evidence(cell: Column) -> Sequence[Column]:
-    """Counts over a column: filled cells and how many fit each type."""
-    filled = ~is_null_token(cell)
-    clean = strip(cell)
-    return (
-        F.count_if(filled).alias("filled"),
-        F.count_if(filled & F.lower(clean).isin(*BOOLEAN_WORDS)).alias("booleans"),
-        F.count_if(filled & clean.rlike(WHOLE_NUMBER) & clean.try_cast("bigint").isNotNull()).alias("integers"),
-        F.count_if(filled & _number(clean, False).isNotNull()).alias("reals"),
-        F.count_if(
-            filled & clean.rlike(ISO_DATE) & F.try_to_date(clean, "yyyy-MM-dd").isNotNull()
-        ).alias("dates"),
-    )
+def type_evidence(clean: Column) -> list[Column]:
+    """Counts over a cleaned column: filled cells and how many fit each type."""
+    return [
+        F.count(clean).alias("filled"),
+        F.count_if(F.lower(clean).isin(*BOOLEAN_WORDS)).alias("booleans"),
+        F.count_if(clean.rlike(WHOLE_NUMBER) & clean.try_cast("bigint").isNotNull()).alias("integers"),
+        F.count_if(_number(clean, False).isNotNull()).alias("reals"),
+        F.count_if(clean.rlike(ISO_DATE) & F.try_to_date(clean, "yyyy-MM-dd").isNotNull()).alias("dates"),
+    ]
 
 
 def type_from_evidence(evidence: Column) -> Column:

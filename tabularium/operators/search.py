@@ -11,7 +11,7 @@ from tabularium.functions.payload import without_text
 from tabularium.operators.dense import Embedder, dense_top_k, embed, hashing_embedder
 from tabularium.operators.fusion import RRF_K, fuse, union_legs
 from tabularium.operators.rerank import Scorer, overlap_scorer, rerank
-from tabularium.operators.sparse import Bm25, CorpusStats, sparse_top_k
+from tabularium.operators.sparse import Bm25, sparse_top_k
 
 # Candidates fetched per wanted hit when a reranker follows.
 OVERFETCH = 5
@@ -64,7 +64,7 @@ def retrieve(
     queries: DataFrame,
     options: SearchOptions = SearchOptions(),
     embedder: Embedder | None = None,
-    stats: CorpusStats | None = None,
+    stats: DataFrame | None = None,
 ) -> DataFrame:
     """Fused hits ``query_id, id, score, rank`` before any reranking.
 
@@ -96,7 +96,7 @@ def hybrid_search(
     options: SearchOptions = SearchOptions(),
     embedder: Embedder | None = None,
     scorer: Scorer = overlap_scorer,
-    stats: CorpusStats | None = None,
+    stats: DataFrame | None = None,
 ) -> DataFrame:
     """Answer ``queries(query_id, query[, keywords])`` from ``corpus(id, text[, metadata, dense])``.
 

@@ -39,13 +39,8 @@ class Bm25:
     b: float = 0.75
 
 
-@dataclass(frozen=True)
-class CorpusStats:
-    """Statistics of a tokenised corpus; ``terms`` is ``(term, df)``."""
-
-    documents: int
-    mean_length: float
-    terms: DataFrame
+# Row of a statistics table that stands for the whole corpus.
+TOTALS = ""
 
 
 def postings(corpus: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -74,13 +69,29 @@ def idf(df: Column, documents: Column) -> Column:
     return F.log(F.lit(1.0) + (documents - df + 0.5) / (df + 0.5))
 
 
-def corpus_stats(corpus: DataFrame, text_col: str = "text") -> CorpusStats:
-    """One aggregation for the totals; ``terms`` stays lazy."""
-    row = corpus.agg(
-        F.count("*").alias("n"),
-        F.coalesce(F.sum(F.size(tokens(F.col(text_col))).cast("long")), F.lit(0)).alias("total"),
-    ).first()
-    return CorpusStats(row["n"], row["total"] / max(row["n"], 1), document_frequency(corpus, text_col))
+def corpus_stats(corpus: DataFrame, text_col: str = "text") -> DataFrame:
+    """Statistics table ``(term, df, length)`` of a corpus, in one pass.
+
+    The row of the empty term holds the number of documents and their summed
+    length. Every document contributes its distinct terms and that one, so one
+    aggregation with map-side partials yields both.
+    """
+    return _count_terms(corpus.select(tokens(F.col(text_col)).alias("_bag")), F.size("_bag"))
+
+
+def stored_stats(points: DataFrame) -> DataFrame:
+    """The same from stored sparse vectors: no text is read."""
+    return _count_terms(points.select(F.col("terms").alias("_bag"), "length"), F.col("length"))
+
+
+def _count_terms(bags: DataFrame, length: Column) -> DataFrame:
+    sized = bags.select("_bag", F.coalesce(length.cast("long"), F.lit(0)).alias("_length"))
+    terms = F.concat(F.array(F.lit(TOTALS)), F.array_distinct(F.coalesce("_bag", F.array().cast("array<string>"))))
+    return (
+        explode_once(sized, terms, "term")
+        .groupBy("term")
+        .agg(F.count("*").alias("df"), F.sum("_length").alias("length"))
+    )
 
 
 STORED = ("terms", "tfs", "length")
@@ -91,15 +102,6 @@ def is_stored(corpus: DataFrame) -> bool:
     return set(STORED) <= set(corpus.columns)
 
 
-def stored_stats(points: DataFrame) -> CorpusStats:
-    """Statistics from stored sparse vectors: no text is read."""
-    row = points.agg(
-        F.count("*").alias("n"), F.coalesce(F.sum(F.col("length").cast("long")), F.lit(0)).alias("total")
-    ).first()
-    terms = explode_once(points.select("terms"), F.col("terms"), "term").groupBy("term").agg(F.count("*").alias("df"))
-    return CorpusStats(row["n"], row["total"] / max(row["n"], 1), terms)
-
-
 def sparse_vectors(corpus: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Stored form of the sparse leg: ``id, terms, tfs, length`` per row.
 
@@ -136,18 +138,19 @@ def sparse_top_k(
     id_col: str = "id",
     text_col: str = "text",
     params: Bm25 = Bm25(),
-    stats: CorpusStats | None = None,
+    stats: DataFrame | None = None,
     query_weight: str = "distinct",
     terms_per_block: int = TERMS_PER_BLOCK,
 ) -> DataFrame:
     """Exact BM25 top-k for every row of ``queries(query_id, query)``.
 
     A corpus with stored sparse vectors is scored from them; otherwise its text
-    is tokenised. ``stats`` of a stored collection saves the statistics passes.
+    is tokenised. A written statistics table saves the first of two passes.
     ``query_weight='tf'`` counts repeated query terms, ``'distinct'`` does not.
     """
     stored = is_stored(corpus)
-    stats = stats or (stored_stats(corpus) if stored else corpus_stats(corpus, text_col))
+    if stats is None:
+        stats = stored_stats(corpus) if stored else corpus_stats(corpus, text_col)
     bags = queries.select("query_id", tokens(F.col("query")).alias("_tokens")).filter(F.size("_tokens") > 0)
     if stored:
         documents = corpus.select(F.col(id_col).alias("id"), *STORED)
@@ -160,40 +163,42 @@ def sparse_top_k(
     return score_blocks(blocks(bags, F.size("_tokens").cast("long"), terms_per_block), score_one, k)
 
 
-def _query_block(block: DataFrame, stats: CorpusStats, query_weight: str) -> pa.Table:
-    """Weighted terms of one block, ``query_id, term, weight``, on the driver.
+def _query_block(block: DataFrame, stats: DataFrame) -> tuple[pa.Table, int, float]:
+    """Terms of one block, ``query_id, term, qtf, df``, on the driver, with the
+    number of documents and their mean length.
 
-    Its size is bounded by ``blocks``; the broadcast of the block's terms keeps
-    the statistics table from being shuffled to find their frequencies.
+    The size is bounded by ``blocks``, so its terms may be broadcast: the
+    statistics are filtered as they are counted, before anything is shuffled.
     """
-    terms = (
-        explode_once(block, F.col("_tokens"), "term")
-        .groupBy("query_id", "term")
-        .agg(F.count("*").alias("qtf"))
-    )
-    wanted = F.broadcast(terms.select("term").distinct())
-    frequency = stats.terms.join(wanted, "term", "left_semi")
-    weight = idf(F.col("df"), F.lit(stats.documents))
-    if query_weight == "tf":
-        weight = weight * F.col("qtf")
-    return terms.join(frequency, "term").select("query_id", "term", weight.alias("weight")).toArrow()
+    terms = explode_once(block, F.col("_tokens"), "term").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    wanted = terms.select("term").unionByName(block.sparkSession.range(1).select(F.lit(TOTALS).alias("term"))).distinct()
+    frequency = stats.join(F.broadcast(wanted), "term", "left_semi")
+    table = frequency.join(F.broadcast(terms), "term", "left").select("query_id", "term", "qtf", "df", "length").toArrow()
+    total = table.filter(pc.equal(table["term"], TOTALS)).to_pylist()
+    documents, length = (total[0]["df"], total[0]["length"]) if total else (0, 0)
+    return table.filter(pc.not_equal(table["term"], TOTALS)), documents, length / max(documents, 1)
 
 
 def _score_block(
     documents: DataFrame,
     block: DataFrame,
-    stats: CorpusStats,
+    stats: DataFrame,
     k: int,
     params: Bm25,
     query_weight: str,
 ) -> DataFrame:
     spark = documents.sparkSession
-    table = _query_block(block, stats, query_weight).combine_chunks()
+    table, n_documents, mean_length = _query_block(block, stats)
+    table = table.combine_chunks()
     schema = hits_type(block.schema["query_id"].dataType, documents.schema["id"].dataType)
     if table.num_rows == 0:
         return spark.createDataFrame([], schema)
     query_codes = table["query_id"].combine_chunks().dictionary_encode()
     term_codes = table["term"].combine_chunks().dictionary_encode()
+    df = table["df"].to_numpy().astype(float)
+    weight = np.log1p((n_documents - df + 0.5) / (df + 0.5))
+    if query_weight == "tf":
+        weight = weight * table["qtf"].to_numpy()
     order = np.argsort(term_codes.indices.to_numpy(), kind="stable")
     shared = spark.sparkContext.broadcast(
         {
@@ -204,10 +209,10 @@ def _score_block(
                 term_codes.indices.to_numpy()[order], np.arange(len(term_codes.dictionary) + 1)
             ),
             "query": query_codes.indices.to_numpy()[order],
-            "weight": table["weight"].to_numpy()[order],
+            "weight": weight[order],
         }
     )
-    k1, b, mean_length = params.k1, params.b, max(stats.mean_length, 1e-12)
+    k1, b, mean_length = params.k1, params.b, max(mean_length, 1e-12)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = shared.value

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.functions.coercion import coerce, rescued, type_evidence, type_from_evidence
+from tabularium.functions.coercion import clean_cell, coerce_clean, rescued, type_evidence, type_from_evidence
 from tabularium.functions.text import file_name, file_stem, identifier
 from tabularium.operators.upsert import keyed_upsert
 
@@ -22,7 +22,9 @@ def infer_types(cells: DataFrame, columns: Sequence[str] | None = None) -> DataF
     One pass and one row of counts, however many columns there are.
     """
     columns = list(columns or cells.columns)
-    counted = cells.agg(*[F.struct(*type_evidence_in_struct(F.col(f"`{c}`"))).alias(f"c{i}") for i, c in enumerate(columns)])
+    # Cells are cleaned in a step of their own, so that five counts share one cleaning.
+    cleaned = cells.select(*[clean_cell(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(columns)])
+    counted = cleaned.agg(*[F.struct(*type_evidence(F.col(f"c{i}"))).alias(f"c{i}") for i in range(len(columns))])
     rows = F.array(
         *[
             F.struct(
@@ -37,10 +39,6 @@ def infer_types(cells: DataFrame, columns: Sequence[str] | None = None) -> DataF
     return counted.select(F.inline(rows))
 
 
-def type_evidence_in_struct(cell: Column) -> list[Column]:
-    return list(type_evidence(cell))
-
-
 def label_map(inferred: DataFrame) -> dict[str, str]:
     """Column labels on the driver: one entry per column of one table."""
     return {row["column"]: row["type"] for row in inferred.select("column", "type").toLocalIterator()}
@@ -48,12 +46,24 @@ def label_map(inferred: DataFrame) -> dict[str, str]:
 
 def typed_table(cells: DataFrame, labels: Mapping[str, str], magnitude_suffix: bool = False) -> DataFrame:
     """Text columns as typed columns plus ``_rescued``; unlabelled ones stay text."""
-    typed = {name: coerce(F.col(f"`{name}`"), labels.get(name, "TEXT"), magnitude_suffix) for name in cells.columns}
-    checked = {
-        name: (F.col(f"`{name}`"), value) for name, value in typed.items() if labels.get(name, "TEXT") != "TEXT"
-    }
-    spare = rescued(checked) if checked else F.lit(None).cast("map<string,string>")
-    return cells.select(*[value.alias(name) for name, value in typed.items()], spare.alias(RESCUED))
+    names = cells.columns
+    checked = [name for name in names if labels.get(name, "TEXT") != "TEXT"]
+    # Cleaning, typing and rescuing are steps of their own: each result is used
+    # more than once, and Catalyst keeps such steps apart.
+    cleaned = cells.select(
+        *[F.col(f"`{n}`").alias(f"r{i}") for i, n in enumerate(names)],
+        *[clean_cell(F.col(f"`{n}`")).alias(f"c{i}") for i, n in enumerate(names)],
+    )
+    typed = cleaned.select(
+        "*",
+        *[
+            coerce_clean(F.col(f"c{i}"), F.col(f"r{i}"), labels.get(n, "TEXT"), magnitude_suffix).alias(f"t{i}")
+            for i, n in enumerate(names)
+        ],
+    )
+    forms = {n: (F.col(f"r{i}"), F.col(f"c{i}"), F.col(f"t{i}")) for i, n in enumerate(names) if n in checked}
+    spare = rescued(forms) if forms else F.lit(None).cast("map<string,string>")
+    return typed.select(*[F.col(f"t{i}").alias(n) for i, n in enumerate(names)], spare.alias(RESCUED))
 
 
 def fit_cells(cells: Column, width: int) -> list[Column]:
