@@ -114,14 +114,19 @@ def cell_top_k(
     k: int,
     cells_per_block: int = CELLS_PER_BLOCK,
 ) -> DataFrame:
-    """Exact cosine top-k from placed points; same result as a full scan."""
+    """Exact cosine top-k from placed points; same result as a full scan.
+
+    A query weighs its vector and its angle to every centre, so that neither of
+    the two outgrows a block.
+    """
     dimension = cells.centres.shape[1]
+    weight = F.lit(dimension + len(cells.centres)).cast("long")
     asked = queries.select("query_id", "dense")
 
     def score_one(block: DataFrame) -> DataFrame:
         return _score_block(placed, cells, block, k, dimension)
 
-    return score_blocks(blocks(asked, F.lit(dimension).cast("long"), cells_per_block), score_one, k)
+    return score_blocks(blocks(asked, weight, cells_per_block), score_one, k)
 
 
 def _score_block(placed: DataFrame, cells: Cells, block: DataFrame, k: int, dimension: int) -> DataFrame:
@@ -180,10 +185,13 @@ def _scan_cells(
         for batch in batches:
             matrix = as_matrix(batch.column(1), dimension)
             cell = batch.column(2).to_numpy(zero_copy_only=False)
-            for begin in range(0, batch.num_rows, step):
-                rows = slice(begin, begin + step)
-                scores = np.round(matrix[rows] @ asked.T, SCORE_DIGITS)
-                offer_matrix(best, scores, batch.column(0), begin, allowed[:, cell[rows]].T)
+            for number in np.unique(cell):
+                rows, queries = np.flatnonzero(cell == number), np.flatnonzero(allowed[:, number])
+                for begin in range(0, len(rows), step) if len(queries) else ():
+                    part = rows[begin : begin + step]
+                    scores = np.round(matrix[part] @ asked[queries].T, SCORE_DIGITS)
+                    ids = batch.column(0).take(pa.array(part))
+                    offer_matrix(best, scores, ids, np.ones_like(scores, dtype=bool), queries)
         result = best.result(ids_asked)
         if result is not None:
             yield result

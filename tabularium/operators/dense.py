@@ -129,7 +129,7 @@ def _score_block(points: DataFrame, block: DataFrame, k: int, dimension: int) ->
             ids, matrix = batch.column(0), as_matrix(batch.column(1), dimension)
             for first in range(0, len(ids), step):
                 scores = np.round(matrix[first : first + step] @ asked.T, SCORE_DIGITS)
-                offer_matrix(best, scores, ids, first, np.ones_like(scores, dtype=bool))
+                offer_matrix(best, scores, ids.slice(first, step), np.ones_like(scores, dtype=bool))
         result = best.result(query_ids)
         if result is not None:
             yield result

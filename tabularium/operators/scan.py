@@ -78,16 +78,21 @@ class RunningBest:
         )
 
 
-def offer_matrix(best: RunningBest, scores: np.ndarray, ids: pa.Array, first_row: int, wanted: np.ndarray) -> None:
-    """Offer a rows x queries score matrix; ``wanted`` masks valid cells."""
+def offer_matrix(
+    best: RunningBest, scores: np.ndarray, ids: pa.Array, wanted: np.ndarray, queries: np.ndarray | None = None
+) -> None:
+    """Offer a rows x queries score matrix; ``wanted`` masks valid cells.
+
+    ``queries`` gives the query positions of the columns, if they are not all.
+    """
     k = best.k
     scores = np.where(wanted, scores, -np.inf)
-    floor = best.floor
+    floor = best.floor if queries is None else best.floor[queries]
     if scores.shape[0] > k:
         floor = np.maximum(floor, np.partition(scores, -k, axis=0)[-k])
     row, query = np.nonzero(wanted & (scores >= floor))
     if len(row):
-        best.offer(query, scores[row, query], ids, row + first_row)
+        best.offer(query if queries is None else queries[query], scores[row, query], ids, row)
 
 
 def tile_rows(n_queries: int) -> int:

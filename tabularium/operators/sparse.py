@@ -44,15 +44,11 @@ TOTALS = ""
 
 
 def postings(corpus: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """Long form ``(id, term, tf, length)``, one row per distinct term of a row."""
-    bag = corpus.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("_tokens"))
-    return (
-        explode_once(bag, F.col("_tokens"), "term")
-        .select("id", F.size("_tokens").alias("length"), "term")
-        .groupBy("id", "term", "length")
-        .agg(F.count("*").alias("tf"))
-        .select("id", "term", "tf", "length")
-    )
+    """Long form ``(id, term, tf, length)``, one row per distinct term of a row;
+    unrolled from the row's own counts, so nothing is shuffled."""
+    vectors = sparse_vectors(corpus, id_col, text_col)
+    pairs = explode_once(vectors, F.arrays_zip("terms", "tfs"), "_pair")
+    return pairs.select("id", F.col("_pair.terms").alias("term"), F.col("_pair.tfs").alias("tf"), "length")
 
 
 def document_frequency(corpus: DataFrame, text_col: str = "text") -> DataFrame:
@@ -239,7 +235,7 @@ def _score_block(
                     cell = np.repeat(row[piece], times) * n_queries + side["query"][slot]
                     scores += np.bincount(cell, np.repeat(gain[piece], times) * side["weight"][slot], len(scores))
                 scores = np.round(scores.reshape(-1, n_queries), SCORE_DIGITS)
-                offer_matrix(best, scores, part.column(0), 0, scores > 0)
+                offer_matrix(best, scores, part.column(0), scores > 0)
         result = best.result(side["query_ids"])
         if result is not None:
             yield result
@@ -269,12 +265,7 @@ def _term_counts(
 def term_weights(corpus: DataFrame, id_col: str = "id", text_col: str = "text", params: Bm25 = Bm25()) -> DataFrame:
     """Length-normalised term weights ``(id, term, weight)`` without the idf,
     which is applied when a query is scored."""
-    totals = corpus.agg(F.avg(F.size(tokens(F.col(text_col)))).alias("mean_length"))
-    norm = params.k1 * (1.0 - params.b + params.b * F.col("length") / F.col("mean_length"))
-    # One row of totals: its size is fixed.
-    return (
-        postings(corpus, id_col, text_col)
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(totals.withColumn("_one", F.lit(1))), "_one")
-        .select("id", "term", (F.col("tf") * (params.k1 + 1.0) / (F.col("tf") + norm)).alias("weight"))
-    )
+    mean_length = corpus.agg(F.avg(F.size(tokens(F.col(text_col))))).scalar()
+    norm = params.k1 * (1.0 - params.b + params.b * F.col("length") / mean_length)
+    weight = F.col("tf") * (params.k1 + 1.0) / (F.col("tf") + norm)
+    return postings(corpus, id_col, text_col).select("id", "term", weight.alias("weight"))

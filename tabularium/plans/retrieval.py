@@ -199,12 +199,13 @@ def sparse_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def label_centres(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean vector of every label, ``query_id, dense``; dimensions are averaged
-    apart, so a label that holds most vectors is no hot group."""
-    cells = explode_once(read(spark, sf, "embeddings").select("label", "embedding"), F.col("embedding"), "value", "dim")
-    means = cells.groupBy("label", "dim").agg(F.avg(F.col("value").cast("double")).alias("mean"))
-    ordered = F.array_sort(F.collect_list(F.struct("dim", "mean")))
-    return means.groupBy(F.col("label").alias("query_id")).agg(F.transform(ordered, lambda c: c["mean"]).alias("dense"))
+    """Mean vector of every label, ``query_id, dense``: one hash aggregation with
+    a mean per dimension, so a label that holds most vectors is no hot group."""
+    vectors = read(spark, sf, "embeddings")
+    means = vectors.groupBy(F.col("label").alias("query_id")).agg(
+        *[F.avg(F.col("embedding")[i].cast("double")).alias(f"m{i}") for i in range(DIMENSION)]
+    )
+    return means.select("query_id", F.array(*[f"m{i}" for i in range(DIMENSION)]).alias("dense"))
 
 
 _CENTRES = """

@@ -108,8 +108,7 @@ class TableStore:
         stored = self.spark.read.parquet(data)
         # A card shows a couple of rows; ``limit`` reads no more than that.
         row = F.array(*[F.col(f"`{name}`").cast("string") for name in names])
-        sample = stored.select(row.alias("cells")).limit(CARD_ROWS).agg(F.collect_list("cells").alias("sample_rows"))
-        counted = stored.agg(F.count("*").alias("row_count"))
+        sample = stored.select(row.alias("cells")).limit(CARD_ROWS).agg(F.collect_list("cells"))
         columns = F.array(
             *[
                 F.struct(F.lit(n).alias("name"), F.lit(labels[n]).alias("type"), F.lit("").alias("description"))
@@ -120,8 +119,8 @@ class TableStore:
         plain = default_description(F.col("source_path"), F.col("sheet_name"))
         described = (
             one.withColumn("table_name", F.lit(table_name))
-            .join(counted)
-            .join(sample)
+            .withColumn("row_count", stored.agg(F.count("*")).scalar())
+            .withColumn("sample_rows", sample.scalar())
             .withColumn("columns", columns)
             .withColumn("description", describer(card_text(plain, headers, F.col("sample_rows"))) if describer else plain)
             .withColumn("card", card_text(F.col("description"), headers, F.col("sample_rows")))
