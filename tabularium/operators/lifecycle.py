@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.operators.upsert import keyed_upsert
+from tabularium.operators.upsert import keyed_merge
 
 # Days a chat message is kept.
 CHAT_DAYS = 30
@@ -64,7 +64,7 @@ def reconcile(manifest: DataFrame, points: DataFrame, now: Column) -> DataFrame:
         .withColumn("processed_at", now)
         .withColumn("last_error", F.lit(None).cast("string"))
     )
-    return keyed_upsert(manifest, found, ["file_path"], [F.desc("chunk_count"), F.asc("file_hash")])
+    return keyed_merge(manifest, found, ["file_path"], [F.desc("chunk_count"), F.asc("file_hash")])
 
 
 def reconcile_reply(points: DataFrame) -> DataFrame:
@@ -145,4 +145,4 @@ def record_outcomes(manifest: DataFrame, outcomes: DataFrame, order: Sequence[Co
         .withColumn("chunk_count", F.when(failed, F.coalesce("_chunks", F.lit(0).cast("long"))).otherwise(F.col("chunk_count")))
         .drop("_hash", "_chunks")
     )
-    return keyed_upsert(manifest, merged, ["file_path"], order)
+    return keyed_merge(manifest, merged, ["file_path"], order)

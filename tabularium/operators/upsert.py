@@ -20,10 +20,19 @@ def keyed_upsert(existing: DataFrame, incoming: DataFrame, key: Sequence[str], o
     small batch, so a large target is then not shuffled at all.
     """
     newest = latest(incoming, key, order).select(*existing.columns)
-    untouched = existing.join(newest.select(*key), list(key), "left_anti").select(*existing.columns)
+    untouched = existing.join(incoming.select(*key), list(key), "left_anti").select(*existing.columns)
     return untouched.unionByName(newest)
 
 
+def keyed_merge(existing: DataFrame, incoming: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The same result for an incoming side that is large or costly to compute:
+    each side is computed once and both meet in a single shuffle."""
+    columns = existing.columns
+    extra = [F.lit(None).cast(f.dataType).alias(f.name) for f in incoming.schema.fields if f.name not in columns]
+    both = existing.select("*", *extra, F.lit(1).alias("_age")).unionByName(incoming.withColumn("_age", F.lit(0)))
+    return latest(both, key, [F.asc("_age"), *order]).select(*columns)
+
+
 def upsert_counts(incoming: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows handed in and distinct keys among them."""
     per_key = incoming.groupBy(*key).agg(F.count("*").alias("_n"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabularium.functions.arrays import explode_once
 from tabularium.functions.markup import html_blocks, text_blocks
@@ -352,9 +351,9 @@ def upsert_reply(spark: SparkSession, sf: str) -> DataFrame:
 )
 def keyed_table(spark: SparkSession, sf: str) -> DataFrame:
     """The same on stored tables: base, two batches, a delete, a compaction."""
-    schema = T.StructType.fromDDL("doc_id long, text string, source string")
+    schema = "doc_id long, text string, source string"
     table = KeyedTable(spark, shared_path(spark, "points"), schema, ["doc_id", "source"]).create()
-    table.upsert(read(spark, sf, "documents").select(*schema.names))
+    table.upsert(read(spark, sf, "documents").select("doc_id", "text", "source"))
     table.upsert(_incoming(spark, sf), order=[F.desc("batch")])
     table.delete("doc_id", read(spark, sf, "labels").filter(F.col("toxic") == 1).select("doc_id"))
     table.compact()

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabularium.functions.payload import payload, point_id, without_text
 from tabularium.functions.vectors import has_dimension
@@ -15,7 +14,7 @@ from tabularium.sources.keyed import KeyedTable
 # Payload keys kept as columns of their own, so that filters on them reach the scan.
 INDEXED = ("source", "fileHash", "fileSize", "contentType")
 
-POINT = T.StructType.fromDDL(
+POINT = (
     "id string, text string, dense array<float>, terms array<string>, tfs array<int>, length int, "
     "source string, fileHash string, fileSize string, contentType string, payload string"
 )

@@ -27,13 +27,14 @@ _BATCH = "_batch"
 
 
 class KeyedTable:
-    """Rows below ``root`` with the columns of ``schema``.
+    """Rows below ``root`` with the columns of ``schema``, given as DDL.
 
     ``keys`` are the columns rows may be replaced by, the first being unique.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, keys: Sequence[str]):
-        self.spark, self.root, self.schema, self.keys = spark, root.rstrip("/"), schema, tuple(keys)
+    def __init__(self, spark: SparkSession, root: str, schema: str, keys: Sequence[str]):
+        self.spark, self.root, self.keys = spark, root.rstrip("/"), tuple(keys)
+        self.schema = T.StructType.fromDDL(schema)
 
     def _path(self, path: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(path)

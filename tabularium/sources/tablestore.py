@@ -8,7 +8,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabularium.operators.dense import Embedder, hashing_embedder
 from tabularium.operators.tables import (
@@ -26,7 +25,7 @@ from tabularium.sources.collection import build_points, checked, collection
 from tabularium.sources.delimited import DELIMITERS, read_delimited
 from tabularium.sources.keyed import KeyedTable
 
-REGISTRY = T.StructType.fromDDL(
+REGISTRY = (
     "table_id string, table_name string, source_path string, file_hash string, sheet_name string, "
     "description string, columns_json string, row_count long, created_at timestamp"
 )
@@ -128,7 +127,7 @@ class TableStore:
         described = described.withColumn("metadata", card_metadata(described)).persist()
         registry.upsert(
             described.select(
-                *[F.to_json("columns").alias(n) if n == "columns_json" else F.current_timestamp().alias(n) if n == "created_at" else F.col(n) for n in REGISTRY.names]
+                *[F.to_json("columns").alias(n) if n == "columns_json" else F.current_timestamp().alias(n) if n == "created_at" else F.col(n) for n in registry.schema.names]
             )
         )
         items = described.select(F.col("table_id").alias("id"), F.col("card").alias("text"), "metadata")

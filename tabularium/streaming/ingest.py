@@ -13,7 +13,6 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tabularium.functions.markup import text_blocks
@@ -40,7 +39,7 @@ class IngestTarget:
 
 
 def manifest_table(spark: SparkSession, root: str) -> KeyedTable:
-    return KeyedTable(spark, root, T.StructType.fromDDL(MANIFEST), ["file_path"]).create()
+    return KeyedTable(spark, root, MANIFEST, ["file_path"]).create()
 
 
 def chunk_points(files: DataFrame, embedder: Embedder, budget: int) -> DataFrame:
