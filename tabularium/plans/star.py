@@ -70,20 +70,16 @@ def sql_semi_anti(spark: SparkSession, sf: str) -> DataFrame:
     return quiet.join(finished.withColumn("has_finished", F.lit(True)), "c_custkey", "left").fillna(False, ["has_finished"])
 
 
-@contract(
-    "sql_theta_join",
-    """WITH bands AS (SELECT p_type, min(p_retailprice) AS low, max(p_retailprice) AS high FROM part GROUP BY p_type)
-    SELECT p_type, count(*) AS suppliers FROM supplier JOIN bands ON s_acctbal >= low AND s_acctbal < high GROUP BY p_type""",
-)
+_THETA = """SELECT c_mktsegment, count(*) AS orders FROM orders JOIN
+(SELECT c_mktsegment, min(c_acctbal) AS low, max(c_acctbal) AS high FROM customer GROUP BY c_mktsegment) bands
+ON o_totalprice >= low AND o_totalprice < high GROUP BY c_mktsegment"""
+
+
+@contract("sql_theta_join", _THETA)
 def sql_theta_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Inequality join of suppliers with the price band of every part type."""
-    return run_guarded(
-        spark,
-        """SELECT p_type, count(*) AS suppliers FROM supplier JOIN
-        (SELECT p_type, min(p_retailprice) AS low, max(p_retailprice) AS high FROM part GROUP BY p_type) bands
-        ON s_acctbal >= low AND s_acctbal < high GROUP BY p_type""",
-        {"supplier": f"{sf}/supplier.parquet", "part": f"{sf}/part.parquet"},
-    )
+    """Inequality join of orders with the balance band of every segment. The
+    bands, one row per segment, are the small side that Spark broadcasts."""
+    return run_guarded(spark, _THETA, {name: f"{sf}/{name}.parquet" for name in ("orders", "customer")})
 
 
 @contract(

@@ -17,6 +17,9 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
 }
 
+# Folder of each local application that was not given one.
+_LOCAL_ROOTS: dict[str, str] = {}
+
 
 def build_session(app: str = "tabularium", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the engine's defaults; keyword names use ``__`` for dots."""
@@ -37,17 +40,16 @@ def shared_root(spark: SparkSession) -> str:
     run without it; then a temporary folder is chosen once per application.
     """
     context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(root)
-        return root.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="tabularium-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    context.setCheckpointDir(root)
-    return root
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        if context.applicationId not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="tabularium-")
+        root = _LOCAL_ROOTS[context.applicationId]
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(root)
+    return root.rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,25 +36,30 @@ def workbook_rows(files: DataFrame, reader: SheetReader = read_sheets, batch_row
     read gives one row with the error.
     """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["path", "sheet", "row_no", "cells", "error"]
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows: list[tuple] = []
                 try:
-                    for sheet, lines in reader(content):
+                    for sheet, lines in reader(content.as_py()):
                         for number, line in enumerate(lines):
                             cells = [None if cell is None else str(cell) for cell in line]
                             rows.append((path, sheet, number, cells, None))
                             if len(rows) >= batch_rows:
-                                yield pd.DataFrame(rows, columns=names)
+                                yield _to_batch(rows)
                                 rows = []
                 except Exception as error:  # noqa: BLE001 - an unreadable file is a record, not a job failure
                     rows.append((path, None, None, None, str(error)))
                 if rows:
-                    yield pd.DataFrame(rows, columns=names)
+                    yield _to_batch(rows)
 
-    return files.select("path", "content").mapInPandas(read, CELLS)
+    return files.select("path", "content").mapInArrow(read, CELLS)
+
+
+def _to_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.string())
+    columns = [pa.array(values, kind) for values, kind in zip(zip(*rows, strict=True), types, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=["path", "sheet", "row_no", "cells", "error"])
 
 
 def sheet_headers(rows: DataFrame) -> DataFrame:

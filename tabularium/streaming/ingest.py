@@ -16,13 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tabularium.functions.markup import text_blocks
-from tabularium.functions.payload import payload, point_id
+from tabularium.functions.payload import point_id
 from tabularium.operators.chunking import TOKEN_BUDGET, chunk
 from tabularium.operators.dense import Embedder, hashing_embedder
 from tabularium.operators.lifecycle import MANIFEST, detect_changes
 from tabularium.operators.ranking import latest
-from tabularium.operators.sparse import sparse_vectors
-from tabularium.sources.collection import collection
+from tabularium.sources.collection import build_points, collection
 from tabularium.sources.keyed import KeyedTable
 
 FILES = "path string, text string"
@@ -47,28 +46,15 @@ def chunk_points(files: DataFrame, embedder: Embedder, budget: int) -> DataFrame
     blocks = files.select(
         "path", "file_hash", F.length("text").alias("size"), text_blocks(F.col("text")).alias("blocks")
     )
-    identified = chunk(blocks, budget, carry=["file_hash", "size"]).select(
+    chunks = chunk(blocks, budget, carry=["file_hash", "size"])
+    keys = {"source": "path", "fileHash": "file_hash", "fileSize": "size"}
+    metadata = [part for key, column in keys.items() for part in (F.lit(key), F.col(column).cast("string"))]
+    items = chunks.select(
         point_id(F.lit(None).cast("string"), F.col("path"), F.col("chunk_index").cast("string")).alias("id"),
         "text",
-        F.col("path").alias("source"),
-        F.col("file_hash").alias("fileHash"),
-        F.col("size").cast("string").alias("fileSize"),
-        F.lit("text").alias("contentType"),
-    )
-    meta = F.create_map(
-        *[part for key in ("source", "fileHash", "fileSize", "contentType") for part in (F.lit(key), F.col(f"id.{key}"))]
-    )
-    encoded = sparse_vectors(identified.withColumn("_point", F.struct("*")), id_col="_point")
-    return encoded.select(
-        F.col("id.id").alias("id"),
-        F.col("id.text").alias("text"),
-        embedder(F.col("id.text")).alias("dense"),
-        "terms",
-        "tfs",
-        "length",
-        *[F.col(f"id.{key}").alias(key) for key in ("source", "fileHash", "fileSize", "contentType")],
-        payload(F.col("id.text"), meta).alias("payload"),
+        F.create_map(*metadata, F.lit("contentType"), F.lit("text")).alias("metadata"),
     )
+    return build_points(items, embedder)
 
 
 def ingest_batch(files: DataFrame, target: IngestTarget, embedder: Embedder | None = None) -> DataFrame:
