@@ -52,19 +52,25 @@ def files_in_collection(points: DataFrame) -> DataFrame:
     )
 
 
-def reconcile(manifest: DataFrame, points: DataFrame, now: Column) -> DataFrame:
-    """Manifest rebuilt from a collection, keyed by path.
-
-    Files without a path are skipped. Of several hashes with one path the one
-    with most chunks wins, then the smaller hash.
-    """
-    found = (
+def found_files(points: DataFrame, now: Column) -> DataFrame:
+    """Manifest rows of the files a collection holds. Files without a path are
+    skipped; several hashes may share a path."""
+    return (
         files_in_collection(points)
         .filter(F.coalesce("file_path", F.lit("")) != "")
         .withColumn("processed_at", now)
         .withColumn("last_error", F.lit(None).cast("string"))
     )
-    return keyed_merge(manifest, found, ["file_path"], [F.desc("chunk_count"), F.asc("file_hash")])
+
+
+# Of several hashes with one path the one with most chunks wins, then the smaller hash.
+def hash_order() -> list[Column]:
+    return [F.desc("chunk_count"), F.asc("file_hash")]
+
+
+def reconcile(manifest: DataFrame, points: DataFrame, now: Column) -> DataFrame:
+    """Manifest rebuilt from a collection, keyed by path; other rows stay."""
+    return keyed_merge(manifest, found_files(points, now), ["file_path"], hash_order())
 
 
 def reconcile_reply(points: DataFrame) -> DataFrame:

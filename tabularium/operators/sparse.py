@@ -7,7 +7,7 @@ frequency.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,20 +42,25 @@ class Bm25:
 # Row of a statistics table that stands for the whole corpus.
 TOTALS = ""
 
+# Plug-in that turns a text column into an array of tokens.
+Tokenizer = Callable[[Column], Column]
 
-def postings(corpus: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+
+def postings(
+    corpus: DataFrame, id_col: str = "id", text_col: str = "text", tokenizer: Tokenizer = tokens
+) -> DataFrame:
     """Long form ``(id, term, tf, length)``, one row per distinct term of a row;
     unrolled from the row's own counts, so nothing is shuffled."""
-    vectors = sparse_vectors(corpus, id_col, text_col)
+    vectors = sparse_vectors(corpus, id_col, text_col, tokenizer)
     pairs = explode_once(vectors, F.arrays_zip("terms", "tfs"), "_pair")
     return pairs.select("id", F.col("_pair.terms").alias("term"), F.col("_pair.tfs").alias("tf"), "length")
 
 
-def document_frequency(corpus: DataFrame, text_col: str = "text") -> DataFrame:
+def document_frequency(corpus: DataFrame, text_col: str = "text", tokenizer: Tokenizer = tokens) -> DataFrame:
     """``(term, df)``. Terms are made distinct inside the row, so one shuffle of
     map-side counts is all it takes, however common a term is."""
     return (
-        explode_once(corpus.select(text_col), F.array_distinct(tokens(F.col(text_col))), "term")
+        explode_once(corpus.select(text_col), F.array_distinct(tokenizer(F.col(text_col))), "term")
         .groupBy("term")
         .agg(F.count("*").alias("df"))
     )
@@ -65,14 +70,14 @@ def idf(df: Column, documents: Column) -> Column:
     return F.log(F.lit(1.0) + (documents - df + 0.5) / (df + 0.5))
 
 
-def corpus_stats(corpus: DataFrame, text_col: str = "text") -> DataFrame:
+def corpus_stats(corpus: DataFrame, text_col: str = "text", tokenizer: Tokenizer = tokens) -> DataFrame:
     """Statistics table ``(term, df, length)`` of a corpus, in one pass.
 
     The row of the empty term holds the number of documents and their summed
     length. Every document contributes its distinct terms and that one, so one
     aggregation with map-side partials yields both.
     """
-    return _count_terms(corpus.select(tokens(F.col(text_col)).alias("_bag")), F.size("_bag"))
+    return _count_terms(corpus.select(tokenizer(F.col(text_col)).alias("_bag")), F.size("_bag"))
 
 
 def stored_stats(points: DataFrame) -> DataFrame:
@@ -98,7 +103,9 @@ def is_stored(corpus: DataFrame) -> bool:
     return set(STORED) <= set(corpus.columns)
 
 
-def sparse_vectors(corpus: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+def sparse_vectors(
+    corpus: DataFrame, id_col: str = "id", text_col: str = "text", tokenizer: Tokenizer = tokens
+) -> DataFrame:
     """Stored form of the sparse leg: ``id, terms, tfs, length`` per row.
 
     Counting stays inside the row (an Arrow kernel), so encoding a corpus
@@ -123,7 +130,7 @@ def sparse_vectors(corpus: DataFrame, id_col: str = "id", text_col: str = "text"
             names=["terms", "tfs", "length"],
         )
 
-    encoded = corpus.select(F.col(id_col).alias("id"), encode(tokens(F.col(text_col))).alias("_sparse"))
+    encoded = corpus.select(F.col(id_col).alias("id"), encode(tokenizer(F.col(text_col))).alias("_sparse"))
     return encoded.select("id", "_sparse.terms", "_sparse.tfs", "_sparse.length")
 
 
@@ -137,6 +144,7 @@ def sparse_top_k(
     stats: DataFrame | None = None,
     query_weight: str = "distinct",
     terms_per_block: int = TERMS_PER_BLOCK,
+    tokenizer: Tokenizer = tokens,
 ) -> DataFrame:
     """Exact BM25 top-k for every row of ``queries(query_id, query)``.
 
@@ -146,12 +154,12 @@ def sparse_top_k(
     """
     stored = is_stored(corpus)
     if stats is None:
-        stats = stored_stats(corpus) if stored else corpus_stats(corpus, text_col)
-    bags = queries.select("query_id", tokens(F.col("query")).alias("_tokens")).filter(F.size("_tokens") > 0)
+        stats = stored_stats(corpus) if stored else corpus_stats(corpus, text_col, tokenizer)
+    bags = queries.select("query_id", tokenizer(F.col("query")).alias("_tokens")).filter(F.size("_tokens") > 0)
     if stored:
         documents = corpus.select(F.col(id_col).alias("id"), *STORED)
     else:
-        documents = corpus.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("tokens"))
+        documents = corpus.select(F.col(id_col).alias("id"), tokenizer(F.col(text_col)).alias("tokens"))
 
     def score_one(block: DataFrame) -> DataFrame:
         return _score_block(documents, block, stats, k, params, query_weight)
