@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabularium.functions.text import is_null_token, strip
+from tabularium.functions.text import NULL_TOKENS, strip
 
 # Column labels and the types they are stored as.
 TYPE_LABELS = {
@@ -47,7 +47,8 @@ def _number(cell: Column, magnitude_suffix: bool) -> Column:
 
 def clean_cell(cell: Column) -> Column:
     """The stripped cell, null when it reads as missing."""
-    return F.when(~is_null_token(cell), strip(cell))
+    stripped = strip(cell)
+    return F.when(~F.lower(stripped).isin(*NULL_TOKENS), stripped)
 
 
 def coerce(cell: Column, label: str, magnitude_suffix: bool = False) -> Column:

@@ -11,6 +11,11 @@ NULL_TOKENS = ("", "null", "none", "nan")
 # Unicode white space, written out so that every engine reads it alike.
 SPACE = r"[ \x09-\x0D\x1C-\x1F\x85\p{Z}]+"
 
+# The same characters one by one, for trimming without a pattern.
+_BLANKS = "".join(
+    map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+)
+
 _NOT_TOKEN = r"[^\p{L}\p{N}]+"
 
 # Longest identifier the table registry accepts.
@@ -39,13 +44,9 @@ def overlap(query: Column, text: Column) -> Column:
     return common / F.greatest(F.size(wanted), F.lit(1))
 
 
-def is_null_token(cell: Column) -> Column:
-    return cell.isNull() | F.lower(strip(cell)).isin(*NULL_TOKENS)
-
-
 def strip(cell: Column) -> Column:
     """Trim Unicode white space at both ends."""
-    return F.regexp_replace(cell, rf"\A{SPACE}|{SPACE}\z", "")
+    return F.trim(cell, F.lit(_BLANKS))
 
 
 def identifier(name: Column, prefix: str = "t") -> Column:
