@@ -96,7 +96,7 @@ def write_cells(placed: DataFrame, path: str) -> None:
     """Store placed points, partitioned by cell so that a search reads only the
     cells it needs. The rebalance lets adaptive execution spread a cell that
     holds a large share of all points over several tasks."""
-    placed.hint("rebalance", F.col("cell")).write.partitionBy("cell").parquet(path)
+    placed.hint("rebalance", F.col("cell")).write.mode("overwrite").partitionBy("cell").parquet(path)
 
 
 def measure_cells(placed: DataFrame, centres: np.ndarray) -> Cells:
@@ -107,6 +107,26 @@ def measure_cells(placed: DataFrame, centres: np.ndarray) -> Cells:
     return Cells(centres, radius, count)
 
 
+def write_bounds(cells: Cells, placed: DataFrame, path: str) -> None:
+    """Store centres and bounds, one row per cell."""
+    rows = [
+        (number, cells.centres[number].tolist(), float(cells.radius[number]), int(cells.count[number]))
+        for number in range(len(cells.centres))
+    ]
+    shape = "cell int, centre array<double>, radius double, n long"
+    placed.sparkSession.createDataFrame(rows, shape).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_bounds(bounds: DataFrame) -> Cells:
+    """Centres and bounds as stored: one row per cell on the driver."""
+    rows = bounds.orderBy("cell").collect()
+    return Cells(
+        np.array([row["centre"] for row in rows]),
+        np.array([row["radius"] for row in rows]),
+        np.array([row["n"] for row in rows], dtype=np.int64),
+    )
+
+
 def cell_top_k(
     placed: DataFrame,
     cells: Cells,

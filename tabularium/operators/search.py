@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -13,6 +14,9 @@ from tabularium.operators.fusion import RRF_K, fuse, union_legs
 from tabularium.operators.rerank import Scorer, overlap_scorer, rerank
 from tabularium.operators.sparse import Bm25, sparse_top_k
 
+# Embedded queries and a limit to a ranked dense leg.
+DenseSearch = Callable[[DataFrame, int], DataFrame]
+
 # Candidates fetched per wanted hit when a reranker follows.
 OVERFETCH = 5
 # Each leg fetches twice what fusion returns.
@@ -65,16 +69,21 @@ def retrieve(
     options: SearchOptions = SearchOptions(),
     embedder: Embedder | None = None,
     stats: DataFrame | None = None,
+    dense_search: DenseSearch | None = None,
 ) -> DataFrame:
     """Fused hits ``query_id, id, score, rank`` before any reranking.
 
     A corpus that already carries a ``dense`` column, or stored sparse vectors,
-    is neither embedded nor tokenised again.
+    is neither embedded nor tokenised again. ``dense_search`` takes the place of
+    the full scan of the dense leg, e.g. a search in stored cells.
     """
     embedder = embedder or hashing_embedder(options.dimension)
-    points = corpus if "dense" in corpus.columns else embed(corpus.select("id", "text"), embedder)
     asked = queries.select("query_id", embedder(F.col("query")).alias("dense"))
-    dense = dense_top_k(points, asked, options.leg_limit, options.dimension)
+    if dense_search is not None:
+        dense = dense_search(asked, options.leg_limit)
+    else:
+        points = corpus if "dense" in corpus.columns else embed(corpus.select("id", "text"), embedder)
+        dense = dense_top_k(points, asked, options.leg_limit, options.dimension)
     sparse = sparse_top_k(corpus, sparse_input(queries), options.leg_limit, params=options.bm25, stats=stats)
     return fuse(
         union_legs(dense=dense, sparse=sparse), options.retrieval_limit, options.rrf_k, options.score_threshold
@@ -97,13 +106,14 @@ def hybrid_search(
     embedder: Embedder | None = None,
     scorer: Scorer = overlap_scorer,
     stats: DataFrame | None = None,
+    dense_search: DenseSearch | None = None,
 ) -> DataFrame:
     """Answer ``queries(query_id, query[, keywords])`` from ``corpus(id, text[, metadata, dense])``.
 
     Returns ``query_id, id, score, rank, text[, metadata], reranked``. The scorer
     sees only fused candidates, never the corpus.
     """
-    hits = retrieve(corpus, queries, options, embedder, stats)
+    hits = retrieve(corpus, queries, options, embedder, stats, dense_search)
     columns = ["id", "text"] + (["metadata"] if "metadata" in corpus.columns else [])
     found = with_texts(hits, corpus.select(*columns), queries.count(), options.retrieval_limit)
     if options.rerank:

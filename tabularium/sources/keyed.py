@@ -8,7 +8,7 @@ into a new base, after which reading is a plain scan.
 
 A batch counts once its list of replaced keys is committed, a base once its own
 job is. Nothing that may be read is ever overwritten, so a job that dies, or is
-run again, does no harm. Where the catalog offers row-level operations, its
+run again, does no harm. A table has one writer at a time. Where the catalog offers row-level operations, its
 ``MERGE`` does the same and this module is not needed.
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabularium.operators.ranking import latest
+from tabularium.sources.files import delete, is_committed, list_names
 
 _BATCH = "_batch"
 
@@ -36,23 +37,20 @@ class KeyedTable:
         self.spark, self.root, self.keys = spark, root.rstrip("/"), tuple(keys)
         self.schema = T.StructType.fromDDL(schema)
 
-    def _path(self, path: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
-
-    def _committed(self, folder: str, pattern: str, marker: str) -> list[int]:
-        path = self._path(folder)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        names = [status.getPath().getName() for status in fs.listStatus(path)]
-        found = [int(m.group(1)) for m in (re.fullmatch(pattern, n) for n in names) if m]
-        return sorted(n for n in found if fs.exists(self._path(f"{folder}/{marker.format(n)}/_SUCCESS")))
+    def _committed(self, folder: str, prefix: str) -> list[int]:
+        names = [n for n in list_names(self.spark, folder) if re.fullmatch(prefix + r"\d+", n)]
+        return sorted(int(n[len(prefix) :]) for n in names if is_committed(self.spark, f"{folder}/{n}"))
 
     def _bases(self) -> list[int]:
-        return self._committed(self.root, r"base-(\d+)", "base-{}")
+        return self._committed(self.root, "base-")
 
     def _batches(self, base: int) -> list[int]:
-        return self._committed(f"{self.root}/after-{base}/replaced", r"batch-(\d+)", "batch-{}")
+        return self._committed(f"{self.root}/after-{base}/replaced", "batch-")
+
+    def state(self) -> str:
+        """Name of the current content; it changes with every batch and base."""
+        base = self._bases()[-1]
+        return f"{base}-{max(self._batches(base), default=0)}"
 
     def create(self) -> KeyedTable:
         """Write an empty base unless there is one; an old one must have the columns."""
@@ -149,6 +147,5 @@ class KeyedTable:
         old = self._bases()[:-1]
         for number in old:
             for folder in (f"base-{number}", f"after-{number}"):
-                path = self._path(f"{self.root}/{folder}")
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+                delete(self.spark, f"{self.root}/{folder}")
         return old

@@ -23,6 +23,7 @@ from tabularium.operators.tables import (
 )
 from tabularium.sources.collection import build_points, checked, collection
 from tabularium.sources.delimited import DELIMITERS, read_delimited
+from tabularium.sources.files import delete
 from tabularium.sources.keyed import KeyedTable
 
 REGISTRY = (
@@ -156,6 +157,5 @@ class TableStore:
         self.registry.delete("source_path", values)
         self.cards.delete("source", values)
         for row in gone:
-            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/data/{row['table_name']}")
-            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+            delete(self.spark, f"{self.root}/data/{row['table_name']}")
         return [row["table_id"] for row in gone]

@@ -35,6 +35,8 @@ class IngestTarget:
     manifest: str
     dimension: int = 64
     token_budget: int = TOKEN_BUDGET
+    # Batches after which the collection is compacted; never, unless asked for.
+    compact_every: int | None = None
 
 
 def manifest_table(spark: SparkSession, root: str) -> KeyedTable:
@@ -95,10 +97,25 @@ def ingest_batch(files: DataFrame, target: IngestTarget, embedder: Embedder | No
         )
     )
     manifest.upsert(entries)
+    if target.compact_every and number >= target.compact_every:
+        points.compact()
+        manifest.compact()
     hashed.unpersist()
     return changes
 
 
+def remove_missing(listing: DataFrame, target: IngestTarget) -> DataFrame:
+    """Drop chunks and manifest rows of files that a full ``listing(file_path,
+    file_hash)`` no longer names; returns their paths."""
+    spark = listing.sparkSession
+    manifest = manifest_table(spark, target.manifest)
+    missing = manifest.read().select("file_path").join(listing.select("file_path"), "file_path", "left_anti")
+    missing = missing.persist(StorageLevel.MEMORY_AND_DISK)
+    collection(spark, target.collection).delete("source", missing)
+    manifest.delete("file_path", missing)
+    return missing
+
+
 def ingest_stream(
     files: DataFrame, target: IngestTarget, checkpoint: str, embedder: Embedder | None = None
 ) -> StreamingQuery:

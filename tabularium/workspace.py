@@ -9,6 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabularium.functions.payload import point_id
+from tabularium.operators.cells import (
+    assign_cells,
+    cell_top_k,
+    measure_cells,
+    read_bounds,
+    train_centres,
+    write_bounds,
+    write_cells,
+)
 from tabularium.operators.chunking import TOKEN_BUDGET, chunk, export_documents
 from tabularium.operators.dense import Embedder, hashing_embedder
 from tabularium.operators.lifecycle import found_files, hash_order, ingest_stats, reconcile_reply
@@ -19,6 +28,8 @@ from tabularium.operators.sqlguard import answer
 from tabularium.operators.upsert import upsert_counts
 from tabularium.sources.collection import build_points, checked, collection
 from tabularium.sources.documents import Parser, parse_documents, read_files
+from tabularium.sources.files import delete, is_committed
+from tabularium.sources.keyed import KeyedTable
 from tabularium.sources.tablestore import Describer, TableStore
 from tabularium.streaming.ingest import manifest_table
 
@@ -43,7 +54,7 @@ class Workspace:
     def _embedder(self) -> Embedder:
         return self.embedder or hashing_embedder(self.dimension)
 
-    def collection(self, name: str = DEFAULT_COLLECTION):
+    def collection(self, name: str = DEFAULT_COLLECTION) -> KeyedTable:
         return collection(self.spark, f"{self.root}/collections/{name}")
 
     @property
@@ -51,7 +62,7 @@ class Workspace:
         return TableStore(self.spark, f"{self.root}/tables", self.dimension)
 
     @property
-    def manifest(self):
+    def manifest(self) -> KeyedTable:
         return manifest_table(self.spark, f"{self.root}/manifest")
 
     # Documents
@@ -83,15 +94,42 @@ class Workspace:
         self, queries: DataFrame, options: SearchOptions = DOCUMENT_SEARCH, name: str = DEFAULT_COLLECTION
     ) -> DataFrame:
         """Answer ``queries(query_id, query[, keywords])`` from a stored collection."""
-        return self._search(self.collection(name).read(), queries, options)
+        return self._search(self.collection(name), f"{self.root}/search/{name}", queries, options)
 
     def search_tables(self, queries: DataFrame, options: SearchOptions = TABLE_SEARCH) -> DataFrame:
         """Tables that may answer the queries, found by their cards."""
-        return self._search(self.tables.cards.read(), queries, options)
+        return self._search(self.tables.cards, f"{self.root}/search-tables", queries, options)
 
-    def _search(self, points: DataFrame, queries: DataFrame, options: SearchOptions) -> DataFrame:
-        points = points.withColumn("metadata", F.from_json("payload", "map<string,string>"))
-        return hybrid_search(points, queries, options, self._embedder, self.scorer, stored_stats(points))
+    def prepare_search(self, name: str = DEFAULT_COLLECTION, cells: int = 0, fraction: float = 1.0) -> None:
+        """Write what speeds up searches of the collection as it is now: term
+        statistics and, with ``cells``, a copy of the vectors laid out in cells.
+
+        Both belong to one state of the collection and are not used for another,
+        so results never depend on whether this was run.
+        """
+        table = self.collection(name)
+        folder, points = f"{self.root}/search/{name}/{table.state()}", table.read()
+        if not is_committed(self.spark, f"{folder}/terms"):
+            stored_stats(points).write.mode("overwrite").parquet(f"{folder}/terms")
+        if cells and not is_committed(self.spark, f"{folder}/bounds"):
+            vectors = points.select("id", "dense")
+            centres = train_centres(vectors, cells, self.dimension, fraction)
+            write_cells(assign_cells(vectors, centres), f"{folder}/placed")
+            placed = self.spark.read.parquet(f"{folder}/placed")
+            write_bounds(measure_cells(placed, centres), placed, f"{folder}/bounds")
+
+    def _search(self, table: KeyedTable, prepared: str, queries: DataFrame, options: SearchOptions) -> DataFrame:
+        folder, read = f"{prepared}/{table.state()}", self.spark.read
+        points = table.read().withColumn("metadata", F.from_json("payload", "map<string,string>"))
+        stats = read.parquet(f"{folder}/terms") if is_committed(self.spark, f"{folder}/terms") else stored_stats(points)
+        dense = None
+        if is_committed(self.spark, f"{folder}/bounds"):
+            placed, bounds = read.parquet(f"{folder}/placed"), read_bounds(read.parquet(f"{folder}/bounds"))
+
+            def dense(asked: DataFrame, limit: int) -> DataFrame:
+                return cell_top_k(placed, bounds, asked, limit)
+
+        return hybrid_search(points, queries, options, self._embedder, self.scorer, stats, dense)
 
     # Bookkeeping
 
@@ -123,9 +161,9 @@ class Workspace:
     def erase_source(self, source_path: str, collections: Sequence[str] = (DEFAULT_COLLECTION,)) -> list[str]:
         """Erase one source from tables, cards, collections and the manifest.
 
-        Collections and the manifest are compacted and their older states
-        deleted, so that nothing of the source is left on storage. Returns the
-        ids of the tables that went.
+        Collections and the manifest are compacted, their older states and what
+        was prepared from them deleted, so that nothing of the source is left on
+        storage. Returns the ids of the tables that went.
         """
         gone = self.tables.delete_source(source_path)
         values = self.spark.createDataFrame([(source_path,)], "source string")
@@ -135,4 +173,6 @@ class Workspace:
             table.delete(key, values)
             table.compact()
             table.forget()
+        for name in collections:
+            delete(self.spark, f"{self.root}/search/{name}")
         return gone

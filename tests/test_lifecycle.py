@@ -22,9 +22,9 @@ from tabularium.operators.ranking import latest, top_k
 from tabularium.operators.routing import route, sessions
 from tabularium.operators.upsert import keyed_merge, keyed_upsert, upsert_counts
 from tabularium.session import shared_path
-from tabularium.sources.keyed import KeyedTable
-from tabularium.streaming.ingest import IngestTarget, ingest_batch, manifest_table
 from tabularium.sources.collection import collection
+from tabularium.sources.keyed import KeyedTable
+from tabularium.streaming.ingest import IngestTarget, ingest_batch, manifest_table, remove_missing
 
 
 
@@ -192,3 +192,7 @@ def test_ingest_twice_is_ingest_once(spark):
     assert [r["text"] for r in points.read().filter("source = 'a'").collect()] == ["one"]
     rows = {r["file_path"]: r["chunk_count"] for r in manifest_table(spark, target.manifest).read().collect()}
     assert rows == {"a": 1, "b": 1, "c": 0}
+    listing = spark.createDataFrame([("a", "h"), ("c", "h")], "file_path string, file_hash string")
+    assert [r["file_path"] for r in remove_missing(listing, target).collect()] == ["b"]
+    assert sorted(r["file_path"] for r in manifest_table(spark, target.manifest).read().collect()) == ["a", "c"]
+    assert [r["source"] for r in points.read().collect()] == ["a"]

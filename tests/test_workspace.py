@@ -54,3 +54,19 @@ def test_documents_and_tables(spark, tmp_path):
     assert space.collection().read().count() == 1 and space.manifest_count() == 1
     left = [p for p in pathlib.Path(space.root).rglob("*") if p.is_dir() and p.name.startswith("after-")]
     assert not left
+
+
+def test_prepared_search_gives_the_same_hits(spark, small):
+    space = Workspace(spark, shared_path(spark, "space"), dimension=16)
+    documents = spark.read.parquet(f"{small}/documents.parquet").select(
+        F.col("doc_id").cast("string").alias("id"), "text", F.create_map(F.lit("source"), F.col("source")).alias("metadata")
+    )
+    asked = spark.read.parquet(f"{small}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    options = SearchOptions(limit=4, dimension=16)
+    space.upsert(documents)
+    plain = sorted(space.search(asked, options).drop("metadata").collect())
+    space.prepare_search(cells=5)
+    assert sorted(space.search(asked, options).drop("metadata").collect()) == plain
+    space.upsert(documents.limit(1).withColumn("text", F.lit("entirely new words")))
+    found = space.search(spark.createDataFrame([(1, "entirely new words")], "query_id int, query string"), options)
+    assert found.filter("rank = 1").first()["text"] == "entirely new words"
