@@ -63,8 +63,8 @@ def found_files(points: DataFrame, now: Column) -> DataFrame:
     )
 
 
-# Of several hashes with one path the one with most chunks wins, then the smaller hash.
 def hash_order() -> list[Column]:
+    """Of several hashes with one path the one with most chunks wins, then the smaller hash."""
     return [F.desc("chunk_count"), F.asc("file_hash")]
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabularium.operators.activity import hourly_rollup, sessions
 from tabularium.operators.lifecycle import (
     detect_changes,
     erase_sources,
@@ -17,7 +18,6 @@ from tabularium.operators.lifecycle import (
     retention_reply,
     scroll,
 )
-from tabularium.operators.routing import hourly_rollup, sessions
 from tabularium.operators.upsert import without_value
 from tabularium.plans.contract import contract, read
 from tabularium.session import shared_path
@@ -145,6 +145,12 @@ def statistics(spark: SparkSession, sf: str) -> DataFrame:
     return ingest_stats(_manifest(spark, sf)).withColumn("last_processed", F.col("last_processed").cast("string"))
 
 
+@contract("manifest_count", f"WITH {_MANIFEST} SELECT count(*) AS files FROM manifest")
+def manifest_count(spark: SparkSession, sf: str) -> DataFrame:
+    """Files the manifest knows."""
+    return _manifest(spark, sf).agg(F.count("*").alias("files"))
+
+
 @contract(
     "change_detect",
     f"""WITH {_MANIFEST}, listing AS (

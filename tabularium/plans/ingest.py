@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabularium.functions.arrays import explode_once
 from tabularium.functions.markup import html_blocks, text_blocks
-from tabularium.functions.payload import matches, payload
+from tabularium.functions.payload import matches, payload, point_id
 from tabularium.operators.chunking import TOKEN_BUDGET, chunk, export_documents
 from tabularium.operators.dense import hashing_embedder
 from tabularium.operators.upsert import keyed_upsert, upsert_counts
@@ -360,6 +360,20 @@ def keyed_table(spark: SparkSession, sf: str) -> DataFrame:
     return table.read().select(F.col("doc_id").alias("id"), F.md5("text").alias("text_md5"), "source")
 
 
+@contract(
+    "point_ids",
+    r"""WITH keyed AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'q-' || conv_id || '-' || turn END AS given,
+                              md5(conv_id || chr(31) || turn) AS digest FROM conversations)
+    SELECT conv_id, turn, coalesce(given, regexp_replace(digest, '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5')) AS id
+    FROM keyed""",
+)
+def point_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids as given, or stable ones shaped like a UUID."""
+    given = F.when(F.col("role") == "user", F.concat_ws("-", F.lit("q"), F.col("conv_id"), F.col("turn")))
+    made = point_id(given, F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    return read(spark, sf, "conversations").select("conv_id", "turn", made.alias("id"))
+
+
 @contract(
     "payload_filter",
     """SELECT doc_id::VARCHAR AS id, n_chars::VARCHAR AS size FROM documents WHERE source = 'src1' AND lang = 'en'""",

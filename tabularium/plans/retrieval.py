@@ -19,6 +19,7 @@ from tabularium.operators.sparse import document_frequency, idf, sparse_top_k, s
 from tabularium.plans.contract import contract, read
 from tabularium.session import shared_path
 from tabularium.sources.collection import build_points, checked, collection
+from tabularium.workspace import Workspace
 
 DIMENSION = 64
 # Words of at least this many letters serve as keywords of a question.
@@ -271,8 +272,7 @@ def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
     "collection_search",
     f"""WITH {_INDEX}, {_bm25(_ASKED, 10)}, {_EMBEDDINGS}, {_dense(10)}, {_fused(5)}
     SELECT query_id, id::VARCHAR AS id, round(score, 9) AS score, rank::INT AS rank, source FROM fused
-    JOIN documents ON doc_id = id""".replace("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)",
-                                             "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id::VARCHAR)"),
+    JOIN documents ON doc_id = id""".replace("ORDER BY score DESC, id)", "ORDER BY score DESC, id::VARCHAR)"),
 )
 def collection_search(spark: SparkSession, sf: str) -> DataFrame:
     """Hybrid search over a stored collection: vectors are read, not computed."""
@@ -288,6 +288,23 @@ def collection_search(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("query_id", "id", F.round("score", 9).alias("score"), "rank", found["metadata"]["source"].alias("source"))
 
 
+@contract(
+    "prepared_search",
+    f"""WITH {_INDEX}, {_bm25(_ASKED, 16)}, {_EMBEDDINGS}, {_dense(16)}, {_fused(8)}
+    SELECT query_id, id::VARCHAR AS id, round(score, 9) AS score, rank::INT AS rank FROM fused""".replace(
+        "ORDER BY score DESC, id)", "ORDER BY score DESC, id::VARCHAR)"
+    ),
+)
+def prepared_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Search of a stored collection with written statistics and vectors in cells."""
+    space = Workspace(spark, shared_path(spark, "space"), DIMENSION)
+    meta = F.create_map(F.lit("source"), F.col("source"))
+    space.upsert(read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", meta.alias("metadata")))
+    space.prepare_search(cells=8)
+    found = space.search(questions(spark, sf), SearchOptions(limit=8))
+    return found.select("query_id", "id", F.round("score", 9).alias("score"), "rank")
+
+
 @contract(
     "rrf_threshold",
     f"""WITH {_INDEX}, {_bm25(_ASKED, 20)}, dense AS (SELECT * FROM sparse WHERE rank <= 10),

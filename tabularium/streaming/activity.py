@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.operators.routing import IDLE_SECONDS, hourly_rollup
+from tabularium.operators.activity import IDLE_SECONDS, hourly_rollup
 
 
 def event_time(column: Column) -> Column:

@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tabularium.operators.activity import sessions
 from tabularium.operators.images import data_uri, extract_images, image_text, resolve_markers
 from tabularium.operators.lifecycle import (
     MANIFEST,
@@ -19,7 +20,7 @@ from tabularium.operators.lifecycle import (
     retention_reply,
 )
 from tabularium.operators.ranking import latest, top_k
-from tabularium.operators.routing import route, sessions
+from tabularium.operators.routing import route
 from tabularium.operators.upsert import keyed_merge, keyed_upsert, upsert_counts
 from tabularium.session import shared_path
 from tabularium.sources.collection import collection
