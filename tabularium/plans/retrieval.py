@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabularium.functions.arrays import explode_once
 from tabularium.functions.text import words
+from tabularium.functions.vectors import cosine, norm
 from tabularium.operators.cells import assign_cells, cell_top_k, measure_cells, train_centres, write_cells
 from tabularium.operators.context import assemble, document_citation
 from tabularium.operators.dense import dense_top_k, hashing_embedder
@@ -231,6 +232,25 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     return dense_top_k(vectors, label_centres(spark, sf), 10, DIMENSION)
 
 
+@contract(
+    "vector_scores",
+    f"""WITH {_CENTRES} SELECT v.vec_id AS id, v.label, round(max(vl.norm), 6) AS norm,
+    round(sum(c.value * v.value) / max(cl.norm * vl.norm), 6) AS cosine
+    FROM cells v JOIN centres c ON c.query_id = v.label AND c.dim = v.dim JOIN centre_l cl ON cl.query_id = v.label
+    JOIN vec_l vl ON vl.vec_id = v.vec_id GROUP BY v.vec_id, v.label""",
+)
+def vector_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Length of every vector and its cosine with the centre of its label."""
+    centres = label_centres(spark, sf).select(F.col("query_id").alias("label"), F.col("dense").alias("centre"))
+    joined = read(spark, sf, "embeddings").join(centres, "label")
+    return joined.select(
+        F.col("vec_id").alias("id"),
+        "label",
+        F.round(norm(F.col("embedding")), 6).alias("norm"),
+        F.round(cosine(F.col("embedding"), F.col("centre")), 6).alias("cosine"),
+    )
+
+
 @contract("dense_topk_cells", f"WITH {_CENTRES} SELECT query_id, id, score, rank::INT AS rank FROM best")
 def dense_topk_cells(spark: SparkSession, sf: str) -> DataFrame:
     """The same nearest vectors from points stored in cells, with cells pruned."""

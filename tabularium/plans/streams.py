@@ -11,7 +11,7 @@ from tabularium.plans.ingest import _TEXT_BLOCKS, _chunked
 from tabularium.session import shared_path
 from tabularium.sources.collection import collection
 from tabularium.streaming.activity import event_time, streaming_rollup, streaming_sessions
-from tabularium.streaming.ingest import IngestTarget, ingest_batch, ingest_stream, stream_files
+from tabularium.streaming.ingest import IngestTarget, ingest_stream, stream_files
 
 
 @contract(

@@ -120,9 +120,11 @@ class KeyedTable:
         gone = self.batch(number).select(F.col(key).cast("string").alias("value"))
         if replaced is not None:
             gone = gone.unionByName(replaced.select(F.col(replaced.columns[0]).cast("string").alias("value")))
-        gone.distinct().select(F.lit(key).alias("key"), "value", F.lit(number).alias(_BATCH)).write.mode(
-            "overwrite"
-        ).parquet(f"{after}/replaced/batch-{number}")
+        if replaced is not None or key != self.keys[0]:
+            gone = gone.distinct()
+        gone.select(F.lit(key).alias("key"), "value", F.lit(number).alias(_BATCH)).write.mode("overwrite").parquet(
+            f"{after}/replaced/batch-{number}"
+        )
         return number
 
     def batch(self, number: int) -> DataFrame:
