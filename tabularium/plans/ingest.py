@@ -11,7 +11,7 @@ from tabularium.functions.payload import matches, payload, point_id
 from tabularium.operators.chunking import TOKEN_BUDGET, chunk, export_documents
 from tabularium.operators.dense import hashing_embedder
 from tabularium.operators.upsert import keyed_upsert, upsert_counts
-from tabularium.plans.contract import contract, read
+from tabularium.plans.contract import contract, read, read_heavy
 from tabularium.plans.retrieval import DIMENSION
 from tabularium.session import shared_path
 from tabularium.sources.collection import build_points, checked
@@ -112,13 +112,13 @@ chunks AS (
 
 
 def text_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents").select(
+    return read_heavy(spark, sf, "documents", "doc_id").select(
         "doc_id", F.col("doc_id").cast("string").alias("path"), text_blocks(F.col("text")).alias("blocks")
     )
 
 
 def html_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "pages").select(
+    return read_heavy(spark, sf, "pages", "page_id").select(
         "page_id", F.col("page_id").cast("string").alias("path"), html_blocks(F.col("html")).alias("blocks")
     )
 
@@ -217,10 +217,10 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
     """Files of three kinds: English plain text, French Markdown, others in a
     format without a built-in parser, and all web pages."""
     extension = F.when(F.col("lang") == "en", ".txt").when(F.col("lang") == "fr", ".md").otherwise(".pdf")
-    texts = read(spark, sf, "documents").select(
+    texts = read_heavy(spark, sf, "documents", "doc_id").select(
         F.concat("source", F.lit("/"), "doc_id", extension).alias("path"), F.col("text").cast("binary").alias("content")
     )
-    pages = read(spark, sf, "pages").select(
+    pages = read_heavy(spark, sf, "pages", "page_id").select(
         F.concat(F.lit("web/"), "page_id", F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content")
     )
     return texts.unionByName(pages).select(
@@ -264,7 +264,8 @@ def _documents_as_items(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("contentType"), F.col("lang"),
         F.lit("text"), F.lit("not the text"),
     )
-    return read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", meta.alias("metadata"))
+    documents = read_heavy(spark, sf, "documents", "doc_id")
+    return documents.select(F.col("doc_id").cast("string").alias("id"), "text", meta.alias("metadata"))
 
 
 @contract(

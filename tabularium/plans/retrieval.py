@@ -17,7 +17,7 @@ from tabularium.operators.rerank import apply_ranker_reply, rerank
 from tabularium.operators.routing import FALLBACK_ROUTE, ROUTES, route
 from tabularium.operators.search import SearchOptions, hybrid_search, retrieve, sparse_input, with_texts
 from tabularium.operators.sparse import document_frequency, idf, sparse_top_k, sparse_vectors, term_weights
-from tabularium.plans.contract import contract, read
+from tabularium.plans.contract import contract, read, read_heavy
 from tabularium.session import shared_path
 from tabularium.sources.collection import build_points, checked, collection
 from tabularium.workspace import Workspace
@@ -31,7 +31,7 @@ _SPACE = r"[ \x09-\x0D\x1C-\x1F\x85\p{Z}]+"
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return read_heavy(spark, sf, "documents", "doc_id").select(F.col("doc_id").alias("id"), "text")
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -296,7 +296,7 @@ def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
 )
 def collection_search(spark: SparkSession, sf: str) -> DataFrame:
     """Hybrid search over a stored collection: vectors are read, not computed."""
-    documents = read(spark, sf, "documents")
+    documents = read_heavy(spark, sf, "documents", "doc_id")
     items = documents.select(
         F.col("doc_id").cast("string").alias("id"), "text", F.create_map(F.lit("source"), F.col("source")).alias("metadata")
     )
@@ -402,7 +402,7 @@ def ranker_reply(spark: SparkSession, sf: str) -> DataFrame:
 )
 def context_assemble(spark: SparkSession, sf: str) -> DataFrame:
     """One cited context per question from its three best documents."""
-    documents = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    documents = read_heavy(spark, sf, "documents", "doc_id").select(F.col("doc_id").alias("id"), "text", "source")
     asked = questions(spark, sf)
     hits = with_texts(sparse_top_k(documents, asked, 3), documents, asked.count(), 3)
     source = F.concat(F.col("source"), F.lit("/"), F.col("id").cast("string"))

@@ -39,7 +39,7 @@ from tabularium.operators.tables import (
     schema_summary,
     typed_table,
 )
-from tabularium.plans.contract import contract, read
+from tabularium.plans.contract import contract, read, read_heavy
 from tabularium.plans.retrieval import _ASKED, _EMBEDDINGS, _INDEX, _bm25, _dense, _fused, _reranked, questions
 from tabularium.session import shared_path
 from tabularium.sources.delimited import dispatch, read_delimited, unsupported
@@ -148,7 +148,7 @@ cells AS (
 
 
 def _cells(spark: SparkSession, sf: str) -> DataFrame:
-    orders = read(spark, sf, "orders")
+    orders = read_heavy(spark, sf, "orders", "o_orderkey")
     closed = F.col("o_orderstatus") == "F"
     return orders.select(
         F.col("o_orderkey").cast("string").alias("order_key"),
@@ -230,7 +230,7 @@ def _dirty(spark: SparkSession, sf: str) -> DataFrame:
         .when(kind == "purchase", F.concat(user, F.lit("K")))
         .otherwise(words)
     )
-    return read(spark, sf, "events").select("event_id", cell.alias("cell"))
+    return read_heavy(spark, sf, "events", "event_id").select("event_id", cell.alias("cell"))
 
 
 def _coerced_sql() -> str:
@@ -358,7 +358,7 @@ def _line_sheets(content: bytes):
 )
 def workbook_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Workbook rows through a sheet reader; files without data rows are skipped."""
-    files = read(spark, sf, "documents").select(
+    files = read_heavy(spark, sf, "documents", "doc_id").select(
         F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content")
     )
     rows = workbook_rows(files, _line_sheets)
@@ -372,7 +372,7 @@ def workbook_scan(spark: SparkSession, sf: str) -> DataFrame:
 )
 def workbook_headers(spark: SparkSession, sf: str) -> DataFrame:
     """Header row of every sheet."""
-    files = read(spark, sf, "documents").select(
+    files = read_heavy(spark, sf, "documents", "doc_id").select(
         F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content")
     )
     headers = sheet_headers(workbook_rows(files, _line_sheets))
@@ -628,7 +628,7 @@ def _statements(spark: SparkSession, sf: str) -> DataFrame:
     """A statement for every event; the event number chooses its shape."""
     shape = F.array(*[F.lit(s.replace("''", "'")) for s in _SHAPES])[(F.col("event_id") % len(_SHAPES)).cast("int")]
     sql = F.replace(F.replace(shape, F.lit("{t}"), F.col("event_type")), F.lit("{u}"), F.col("user_id").cast("string"))
-    return read(spark, sf, "events").select(F.col("event_id").alias("stmt_id"), sql.alias("sql"))
+    return read_heavy(spark, sf, "events", "event_id").select(F.col("event_id").alias("stmt_id"), sql.alias("sql"))
 
 
 def _word_sql(names: tuple[str, ...]) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabularium.operators.chunking import TOKEN_BUDGET
-from tabularium.plans.contract import contract, read
+from tabularium.plans.contract import contract, read, read_heavy
 from tabularium.plans.ingest import _TEXT_BLOCKS, _chunked
 from tabularium.session import shared_path
 from tabularium.sources.collection import collection
@@ -24,7 +24,7 @@ from tabularium.streaming.ingest import IngestTarget, ingest_stream, stream_file
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Documents arrive as files, changed ones a second time; the collection in the end."""
     folder = shared_path(spark, "files")
-    files = read(spark, sf, "documents").select(F.concat("source", F.lit("/"), "doc_id").alias("path"), "text", "lang")
+    files = read_heavy(spark, sf, "documents", "doc_id").select(F.concat("source", F.lit("/"), "doc_id").alias("path"), "text", "lang")
     target = IngestTarget(shared_path(spark, "collection"), shared_path(spark, "manifest"))
     # First state: English texts in an older form, the rest as it is.
     older = F.when(F.col("lang") == "en", F.concat("text", F.lit("\nold line\n"), "text")).otherwise(F.col("text"))

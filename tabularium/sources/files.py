@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+# A folder with less than this per core does not give every core a split.
+_SPLIT_BYTES = 128 * 1024 * 1024
+# Bytes that are worth a task of their own.
+_TASK_BYTES = 1024 * 1024
 
 
 def _open(spark: SparkSession, path: str):
@@ -25,3 +30,24 @@ def is_committed(spark: SparkSession, path: str) -> bool:
 def delete(spark: SparkSession, path: str) -> None:
     handle, fs = _open(spark, path)
     fs.delete(handle, True)
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or of everything below a folder."""
+    handle, fs = _open(spark, path)
+    return int(fs.getContentSummary(handle).getLength())
+
+
+def read_spread(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """Parquet for work that is heavy on the processor, as parsing and encoding are.
+
+    Data too small to give every core a split is spread over the cores by ``key``;
+    this moves at most a fraction of a split per core. Anything bigger is read as
+    it lies, without a shuffle.
+    """
+    frame, size = spark.read.parquet(path), size_of(spark, path)
+    cores = spark.sparkContext.defaultParallelism
+    tasks = min(cores, -(-size // _TASK_BYTES))
+    if tasks <= 1 or size >= cores * _SPLIT_BYTES:
+        return frame
+    return frame.repartition(tasks, key)
