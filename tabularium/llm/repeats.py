@@ -31,51 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabularium.llm.words import BLOCK, mixed, rolling, texts_of
+
 # Bits of the filter of repeated grams; its size does not depend on the input.
 FILTER_BITS = 1 << 27
 # Occurrences beyond which a gram is too short a key.
 HOT = 4096
-# Tokens handled at once while looking for anchors.
-_BLOCK = 1 << 19
 _PLACE_BITS = 21
 # Bytes of stretches indexed at once, besides the last group.
 _INDEX_BYTES = 1 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-# The multipliers of a 64-bit finaliser.
-_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
-    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
-    return x ^ (x >> np.uint64(31))
-
-
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2^64."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, _BLOCK + 4096)
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        for name, base in (("up", _BASE), ("down", inverse)):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _POWERS[name] = np.cumprod(table, dtype=np.uint64)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
-
-
-def range_hashes(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """Hash of ``values[start:stop]`` for each pair."""
-    up, down = _powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[:-1], out=sums[1:])
-    return (sums[stops] - sums[starts]) * down[starts]
-
-
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     span = 1
     while span * 2 <= width:
@@ -95,10 +60,7 @@ def stretches(values: np.ndarray, bounds: np.ndarray, gram: int, length: int) ->
     n = len(values)
     if n < length:
         return none, none, none
-    up, down = _powers(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * up, out=sums[1:])
-    grams = mixed((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
+    grams = mixed(rolling(values, gram))
     low = np.uint64((1 << _PLACE_BITS) - 1)
     least = _sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), length - gram + 1)
     anchors = (least & low).astype(np.int64)
@@ -121,22 +83,6 @@ class Tokens:
     hashed: Callable[[np.ndarray], np.ndarray]
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Keys and texts, about one block of bytes at a time."""
-    for batch in batches:
-        keys, texts, size = [], [], 0
-        for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
-            buffer = text.as_buffer()
-            keys.append(key)
-            texts.append(buffer.to_pybytes() if buffer is not None else b"")
-            size += len(texts[-1])
-            if size >= _BLOCK:
-                yield keys, texts
-                keys, texts, size = [], [], 0
-        if keys:
-            yield keys, texts
-
-
 def _pieces(tokens: Tokens, texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Tokens, bounds, and for each text the number and the place of its first token.
 
@@ -144,19 +90,19 @@ def _pieces(tokens: Tokens, texts: list[bytes], length: int) -> Iterator[tuple[n
     less one token, so that each window is in one of them.
     """
     whole, bounds = tokens.cut(texts)
-    if len(whole) <= 2 * _BLOCK:
+    if len(whole) <= 2 * BLOCK:
         yield whole, bounds, np.arange(len(texts)), np.zeros(len(texts), np.int64)
         return
     for i in range(len(texts)):
         one = whole[bounds[i] : bounds[i + 1]]
-        for at in range(0, max(len(one) - length + 1, 1), _BLOCK):
-            part = one[at : at + _BLOCK + length - 1]
+        for at in range(0, max(len(one) - length + 1, 1), BLOCK):
+            part = one[at : at + BLOCK + length - 1]
             yield part, np.array([0, len(part)]), np.array([i]), np.array([at])
 
 
 def _gram_counter(tokens: Tokens, gram: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _texts(batches):
+        for _, texts in texts_of(batches):
             for values, bounds, _, _ in _pieces(tokens, texts, length):
                 _, _, grams = stretches(tokens.hashed(values), bounds, gram, length)
                 found, n = np.unique(grams, return_counts=True)
@@ -185,7 +131,7 @@ def _stretch_finder(tokens: Tokens, gram: int, length: int, bits, hot_slots, fil
         marked, hot = np.frombuffer(bits.value, np.uint64), hot_slots.value
         found: dict[tuple[bool, int, bytes], list[int]] = {}
         size = 0
-        for keys, texts in _texts(batches):
+        for keys, texts in texts_of(batches):
             for values, bounds, owners, bases in _pieces(tokens, texts, length):
                 firsts, lasts, grams = stretches(tokens.hashed(values), bounds, gram, length)
                 slots = grams.view(np.uint64) & np.uint64(filter_bits - 1)

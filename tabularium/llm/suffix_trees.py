@@ -20,47 +20,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabularium.llm.registry import contract, read, row_key
-from tabularium.llm.repeats import FILTER_BITS, HOT, Tokens, merged, mixed, range_hashes, repeated_spans
+from tabularium.llm.repeats import FILTER_BITS, HOT, Tokens, merged, repeated_spans
 from tabularium.llm.suffix_runs import suffix_order
+from tabularium.llm.words import SPACES, word_hashes
 
 # Words of a window that counts as repeated.
 LENGTH = 35
 # Words of the shortest prefix.
 GRAM = 8
 
-# Words are what stands between these characters.
-_SPACE = b" \t\n\x0b\x0c\r"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[list(_SPACE)] = True
-# Bytes hashed at once.
-_BLOCK = 1 << 20
-
-
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The 64-bit hash of each word, and its start in bytes."""
-    hashes, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
-    while at < len(data):
-        end = at + _BLOCK
-        if end < len(data):
-            # Blocks end at a space; a word longer than a block stays whole.
-            cut = max(data.rfind(bytes([c]), at, end) for c in _SPACE)
-            if cut < 0:
-                cut = min((x for x in (data.find(bytes([c]), end) for c in _SPACE) if x >= 0), default=len(data))
-            end = cut + 1
-        block = np.frombuffer(data, np.uint8, min(end, len(data)) - at, at)
-        inside = np.concatenate(([False], ~_IS_SPACE[block], [False]))
-        edges = np.flatnonzero(inside[1:] != inside[:-1])
-        first, last = edges[0::2], edges[1::2]
-        raw = range_hashes(block.astype(np.uint64) + np.uint64(1), first, last)
-        hashes.append(mixed(raw ^ (last - first).astype(np.uint64)))
-        starts.append(first + at)
-        at = end
-    return np.concatenate(hashes), np.concatenate(starts)
 
 
 def _cut_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    hashes, starts = word_hashes(b" ".join(texts))
+    hashes, starts = word_hashes(b" ".join(texts), SPACES)
     ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
     return hashes, np.concatenate(([0], np.searchsorted(starts, ends)))
 
