@@ -7,8 +7,8 @@ its votes on one diagonal, and an inserted or dropped word moves the rest to a
 neighbouring one. Votes are summed per diagonal, neighbouring diagonals are
 merged, and a merged span is accepted by the share of the template that it holds.
 
-Templates are few and documents many: the join's template side is as large as
-the template table, and Spark's own size check decides whether it is broadcast.
+Templates are few and documents many: the join broadcasts the template side
+after counting its k-grams, and shuffles both sides if there are too many.
 Votes are counted per document, template and diagonal, so that no phrase is a hot
 key, however common.
 """
@@ -28,6 +28,9 @@ NEAR = 4
 # Share of a template's k-grams that a merged span has to hold.
 COVERAGE = 0.6
 
+# Template k-grams, of some 50 bytes each, that a broadcast may have.
+BROADCAST_GRAMS = 200_000
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # The base phrases and their labels; they count only where they stand in full.
@@ -77,6 +80,8 @@ def scan(documents: DataFrame, templates: DataFrame, id_column: str = "doc_id",
     rolled = rolled.select("key", F.col("at.place").alias("place"), F.col("at.gram").alias("gram"))
     spelled = templates.select("template", "n_words", "is_base", "label", F.explode(grams(F.split("spelled", " "))).alias("at"))
     spelled = spelled.select("template", "n_words", "is_base", "label", F.col("at.place").alias("inside"), F.col("at.gram").alias("gram"))
+    if spelled.count() <= BROADCAST_GRAMS:
+        spelled = F.broadcast(spelled)
     # A repeated row repeats its votes: a diagonal holds a template's places once.
     votes = (
         rolled.join(spelled, "gram")
