@@ -45,42 +45,35 @@ def _kept(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _pointers(spark: SparkSession, nodes: DataFrame) -> list[DataFrame]:
-    """Level k: ``tree, node, up, steps, score``, where ``up`` is the ancestor ``steps`` = 2^k above or null.
+def _pointers(spark: SparkSession, nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """``tree, node, up, steps, score`` by level, of messages that are not at their root yet, and of all at their root.
 
-    ``steps`` and ``score`` count the messages from ``node`` up to, without,
-    ``up``, or up to the root if there are fewer. A message in a circle of
-    replies never gets there and is dropped by the caller.
+    At level k ``up`` is the ancestor ``steps`` = 2^k above. ``steps`` and
+    ``score`` count the messages from ``node`` up to, without, ``up``. A message
+    that has come to its root, where ``up`` is null, takes no part in later rounds
+    but as an ancestor. One in a circle of replies never gets there.
     """
-    ids = nodes.select("tree", F.col("node").alias("parent"))
-    rooted = nodes.select("tree", "node", "parent", "score").join(
-        ids.withColumn("known", F.lit(True)), ["tree", "parent"], "left"
-    )
-    level = _kept(
-        spark,
-        rooted.select(
-            "tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("steps"), "score"
-        ),
-        "level",
-    )
-    levels, open_before = [level], None
+    ids = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
+    rooted = nodes.select("tree", "node", "parent", "score").join(ids, ["tree", "parent"], "left")
+    up = F.when(F.col("known"), F.col("parent")).alias("up")
+    level = _kept(spark, rooted.select("tree", "node", up, F.lit(1).cast("long").alias("steps"), "score"), "level")
+    opened, done, left = [], level.filter(F.col("up").isNull()), None
     while True:
-        still = level.filter(F.col("up").isNotNull()).count()
-        # All others are done: what stays open for ever runs in circles.
-        if still == 0 or (open_before is not None and still == open_before and 2 ** len(levels) > still):
-            return levels
-        open_before = still
-        above = level.select("tree", F.col("node").alias("up"), F.col("up").alias("top"), F.col("steps").alias("more"), F.col("score").alias("gain"))
-        joined = level.join(above, ["tree", "up"], "left")
+        still = level.filter(F.col("up").isNotNull())
+        n = still.count()
+        # After 2^k > n steps only those in circles can be left.
+        if n == 0 or (n == left and 2 ** len(opened) > n):
+            return opened, done
+        opened.append(still)
+        left = n
+        above = done.unionByName(still).select("tree", F.col("node").alias("up"), F.col("up").alias("top"), F.col("steps").alias("more"), F.col("score").alias("gain"))
+        joined = still.join(above, ["tree", "up"])
         level = _kept(
             spark,
-            joined.select(
-                "tree", "node", F.col("top").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
-                (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"),
-            ),
+            joined.select("tree", "node", F.col("top").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("score") + F.col("gain")).alias("score")),
             "level",
         )
-        levels.append(level)
+        done = done.unionByName(level.filter(F.col("up").isNull()))
 
 
 def paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
@@ -92,15 +85,14 @@ def paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
     id. ``branches`` is how many are kept per tree, None for all.
     """
     spark = nodes.sparkSession
-    levels = _pointers(spark, nodes)
-    whole = levels[-1].filter(F.col("up").isNull())
+    levels, whole = _pointers(spark, nodes)
     answered = nodes.select("tree", F.col("parent").alias("node")).filter(F.col("node").isNotNull())
     leaves = whole.join(answered, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "score", "steps")
     if branches is not None:
         leaves = top_k(leaves, ["tree"], [F.col("score").desc(), F.col("leaf")], branches, spread_by="leaf").drop("rank")
     found = leaves.select("tree", "leaf", F.col("score").alias("total"), (F.col("steps") - 1).alias("position"), F.col("leaf").alias("node"))
     for k in reversed(range(len(levels))):
-        jump = levels[k].filter(F.col("up").isNotNull()).select("tree", "node", "up")
+        jump = levels[k].select("tree", "node", "up")
         up = found.join(jump, ["tree", "node"]).select("tree", "leaf", "total", (F.col("position") - 2**k).alias("position"), F.col("up").alias("node"))
         found = _kept(spark, found.unionByName(up), "path")
     return found.withColumnRenamed("total", "score")
