@@ -140,7 +140,7 @@ def edit_report(documents: DataFrame, id_column: str = "doc_id", text_column: st
     """Fingerprints of every text, and of the text with its last quarter taken from the next document's start.
 
     Returns ``id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    next_fingerprint``. Null texts are empty; the next document is the one with
+    near_edited, near_next``, fingerprints as ``spelled``, nearness as ``likeness``. Null texts are empty; the next document is the one with
     the next id, ties by a hash of the text, and after the last comes the first; a
     null id comes first. Rows equal in id and text are one document and give equal
     rows; a lone document is its own next one; an empty table gives no rows.
@@ -153,37 +153,42 @@ def edit_report(documents: DataFrame, id_column: str = "doc_id", text_column: st
     chain = successors(counted, "id", "key").join(counted.select("key", "copies", "n_chars"), "key")
     chain.write.parquet(path)
     chain = spark.read.parquet(path)
-    whole = rows.groupBy("key").agg(F.first("id").alias("id"), F.first("text").alias("text"))
+    # One struct, so that both joins below read one and the same shuffle of the texts.
+    whole = rows.groupBy("key").agg(F.first(F.struct("id", "text")).alias("doc"))
     # How much of a document's start goes to the document before it.
     wanted = chain.select(F.col("next_key").alias("key"), F.col("key").alias("to"), F.floor(F.col("n_chars") / 4).cast("int").alias("want"))
-    heads = whole.join(wanted, "key").select(F.col("to").alias("key"), F.substring(F.col("text"), F.lit(1), F.col("want")).alias("head"))
-    kept = F.substring(F.col("text"), F.lit(1), F.length("text") - F.floor(F.length("text") / 4).cast("int"))
-    edited = whole.join(heads, "key").select("key", "id", "text", F.concat(kept, "head").alias("edited"))
+    heads = whole.join(wanted, "key").select(F.col("to").alias("key"), F.substring(F.col("doc.text"), F.lit(1), F.col("want")).alias("head"))
+    own = F.col("doc.text")
+    kept = F.substring(own, F.lit(1), F.length(own) - F.floor(F.length(own) / 4).cast("int"))
+    edited = whole.join(heads, "key").select("key", "doc", F.concat(kept, "head").alias("edited"))
     both = edited.select(
-        "key", "id", F.sha2("edited", 256).alias("edited_sha256"),
-        F.array(F.struct(F.lit(0).alias("which"), "text"), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text"))).alias("versions"),
+        "key", F.col("doc.id").alias("id"), F.sha2("edited", 256).alias("edited_sha256"),
+        F.array(F.struct(F.lit(0).alias("which"), own.alias("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text"))).alias("versions"),
     )
     both = explode_once(both, F.col("versions"), "version").select("key", "id", "edited_sha256", "version.which", "version.text")
     prints = fingerprints(both, "key", "id", "edited_sha256", "which")
     paired = prints.groupBy("key", "id", "edited_sha256").agg(
-        F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("fingerprint"),
-        F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("edited_fingerprint"),
+        F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("own"),
+        F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("other"),
+    )
+    # From here on a row keeps of the two vectors what is still to be compared.
+    paired = paired.select(
+        "key", "id", "edited_sha256", spelled(F.col("own")).alias("fingerprint"), spelled(F.col("other")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("other")).alias("near_edited"),
+        F.struct(F.col("own.lanes").cast("array<int>").alias("lanes"), "own.n_runs").alias("own"),
     )
     path = shared_path(spark, "prints")
     paired.write.parquet(path)
     paired = spark.read.parquet(path)
-    nexts = paired.select(F.col("key").alias("next_key"), F.col("fingerprint").alias("next_fingerprint"))
-    told = paired.join(chain, "key").join(nexts, "next_key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    nexts = paired.select(F.col("key").alias("next_key"), F.col("own").alias("next"))
+    nexts = chain.select("key", "next_key", "copies", "n_chars").join(nexts, "next_key").drop("next_key")
+    told = paired.join(nexts, "key").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return told.select(
-        F.col("id").alias(id_column), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint"
+        F.col("id").alias(id_column), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint",
+        "near_edited", likeness(F.col("own"), F.col("next")).alias("near_next"),
     )
 
 
 @contract("op5_multiset_hash")
 def op5_multiset_hash(spark: SparkSession, folder: str) -> DataFrame:
-    told = edit_report(read(spark, folder, "documents"))
-    own, edited, after = told["fingerprint"], told["edited_fingerprint"], told["next_fingerprint"]
-    return told.select(
-        "doc_id", "n_chars", "edited_sha256", spelled(own).alias("own"), spelled(edited).alias("other"),
-        likeness(own, edited).alias("near_edited"), likeness(own, after).alias("near_next"),
-    ).withColumnsRenamed({"own": "fingerprint", "other": "edited_fingerprint"})
+    return edit_report(read(spark, folder, "documents"))
