@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-_MODULES = ("suffix_runs", "url_rules", "multiset_hash", "suffix_trees", "reply_trees", "licenses")
+_MODULES = ("suffix_runs", "url_rules", "packing", "multiset_hash", "suffix_trees", "reply_trees", "licenses")
 
 
 def contract(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
