@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from math import ceil
 
@@ -190,6 +191,10 @@ def _unrolled(chain) -> list[tuple[Filling, int]]:
 _PRE_TOKEN = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
+# White space beyond ASCII, as Unicode has it.
+_OTHER_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 class Encoder:
     """Token ids as little-endian 32-bit bytes, equal to those of the ``tokenizers`` library for a byte-level vocabulary.
 
@@ -198,7 +203,7 @@ class Encoder:
     that the two libraries may class differently, go to ``tokenizers`` as a whole.
     """
 
-    _KEPT = 300_000
+    _KEPT = 250_000
 
     def __init__(self, vocabulary: str, ranks: str, pattern: str, special: str):
         import sys
@@ -215,32 +220,31 @@ class Encoder:
         self.special, self.odd = special, frozenset([*"\x1c\x1d\x1e\x1f", *odd])
         # A line of words with single spaces, and nothing else white.
         self.simple = re.compile(r"\S+(?: \S+)*")
-        self.kept: dict[str, bytes] = {}
-
-    def _new(self, piece: str) -> bytes:
-        if len(self.kept) >= self._KEPT:
-            self.kept.clear()
-        ids = self.kept[piece] = np.asarray(self.encoding.encode_ordinary(piece), "<u4").tobytes()
+        # By piece, and by word for words with a space before.
+        self.kept: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+
+    def _new(self, piece: str, spaced: bool) -> bytes:
+        kept = self.kept[spaced]
+        if len(kept) >= self._KEPT:
+            kept.clear()
+        ids = kept[piece] = array("I", self.encoding.encode_ordinary(" " + piece if spaced else piece)).tobytes()
         return ids
 
     def encode(self, text: str) -> bytes:
         if self.special in text or not self.odd.isdisjoint(set(text)):
             return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        get, out = self.kept.get, []
+        plain, spaced = self.kept[0].get, self.kept[1].get
         lines = text.split("\n")
-        if not text.isascii() and any(c in text for c in "\x85\xa0     　") or any(not self.simple.fullmatch(line) for line in lines):
-            pieces = _PRE_TOKEN.findall(text)
-        else:
-            # A space belongs to the word after it and a line break to none, so that words can be encoded one by one.
-            pieces = []
-            for line in lines:
-                first, *rest = line.split(" ")
-                pieces.append(first)
-                pieces += [" " + word for word in rest]
-                pieces.append("\n")
-            pieces.pop()
-        for piece in pieces:
-            out.append(get(piece) or self._new(piece))
+        if (not text.isascii() and any(c in text for c in _OTHER_SPACE)) or not all(map(self.simple.fullmatch, lines)):
+            return b"".join([plain(piece) or self._new(piece, False) for piece in _PRE_TOKEN.findall(text)])
+        # A space belongs to the word after it and a line break to none, so that words can be encoded one by one.
+        out = []
+        for line in lines:
+            first, *rest = line.split(" ")
+            out.append(plain(first) or self._new(first, False))
+            out += [spaced(word) or self._new(word, True) for word in rest]
+            out.append(plain("\n") or self._new("\n", False))
+        out.pop()
         return b"".join(out)
 
 
