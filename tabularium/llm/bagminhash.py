@@ -259,15 +259,15 @@ def near_links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``id, key, class_id, class_size``: the class of near duplicates of every document.
+    """``id, key, class, class_id, class_size``: the class of near duplicates of every document.
 
     Two texts are linked if the weighted Jaccard similarity of their multisets of
     shingles (``SHINGLE`` words of letters and digits, A-Z lower-cased) is at least
     ``SIMILARITY``; classes are what links connect. Texts of fewer words are one
     shingle, texts without words are alike only if equal, null is empty. A class
-    is named by its smallest id (null if it has no other), so equal rows are in one
-    class; a document without near duplicates is a class of one. An empty table
-    gives no rows.
+    is a number of its own, ``class_id`` its smallest id (null if it has no other);
+    equal rows are in one class, and a document without near duplicates is a class
+    of one. An empty table gives no rows.
     """
     documents = documents.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     documents = documents.withColumn("key", row_key(F.col("id"), F.col("text")))
@@ -276,9 +276,23 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     contents = members.distinct().join(classes, "content", "left").select("key", F.coalesce("class", "content").alias("class"))
     rows = documents.select("id", "key").join(contents, "key")
     named = rows.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
-    return rows.join(named, "class").select(F.col("id").alias(id_column), "key", "class_id", "class_size")
+    return rows.join(named, "class").select(F.col("id").alias(id_column), "key", "class", "class_id", "class_size")
+
+
+def one_of_each(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The documents, all columns as they are, of which each class of near duplicates keeps one: that of the smallest id.
+
+    Ties go by a hash of the text; of equal rows one stays.
+    """
+    key = row_key(F.col(id_column), F.coalesce(F.col(text_column), F.lit("")))
+    classes = near_duplicates(documents, id_column, text_column).withColumnRenamed(id_column, "id")
+    alone = classes.filter("class_size = 1").select("key")
+    first = classes.filter("class_size > 1").groupBy("class").agg(F.min(F.struct("id", "key")).alias("first")).select("first.key")
+    rows = documents.select(F.struct("*").alias("row"), key.alias("key"))
+    kept = rows.join(alone.unionByName(first), "key", "left_semi")
+    return kept.groupBy("key").agg(F.first("row").alias("row")).select("row.*")
 
 
 @contract("op4_bagminhash")
 def op4_bagminhash(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates(read(spark, folder, "documents")).drop("key")
+    return near_duplicates(read(spark, folder, "documents")).drop("key", "class")

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tabularium.llm.registry import contract, read, row_key
 from tabularium.llm.repeats import FILTER_BITS, HOT, Tokens, merged, repeated_spans
@@ -108,9 +109,6 @@ def deep_leaves(texts: list[bytes], several: list[bool], length: int) -> list[np
     return [np.flatnonzero(deep[starts[i] : starts[i + 1]]) for i in range(len(texts))]
 
 
-_CUT = "n_words long, n_removed long, kept string"
-
-
 def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts, removed, texts = [], [], []
@@ -133,6 +131,14 @@ def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _cut(rows: DataFrame, length: int, gram: int, hot: int, filter_bits: int) -> DataFrame:
+    """``n_words, n_removed, kept`` beside the columns of rows with ``key, text``, without ``key``."""
+    spans = repeated_spans(rows, WORDS, deep_leaves, gram, length, hot, filter_bits)
+    joined = rows.join(spans, "key", "left").drop("key")
+    added = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())]
+    return joined.mapInArrow(_remover, StructType([*(f for f in joined.schema.fields if f.name != "spans"), *added]))
+
+
 def remove_repeated_words(
     documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH,
     gram: int = GRAM, hot: int = HOT, filter_bits: int = FILTER_BITS,
@@ -146,12 +152,27 @@ def remove_repeated_words(
     rows are documents of their own and repeat each other. Only the id and the text
     are read.
     """
-    documents = documents.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    documents = documents.withColumn("key", row_key(F.col("id"), F.col("text")))
-    spans = repeated_spans(documents, WORDS, deep_leaves, gram, length, hot, filter_bits)
-    kind = dict(documents.dtypes)["id"]
-    joined = documents.join(spans, "key", "left").select("id", "text", "spans")
-    return joined.mapInArrow(_remover, f"id {kind}, text string, {_CUT}").withColumnRenamed("id", id_column).withColumnRenamed("text", text_column)
+    rows = documents.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    rows = rows.withColumn("key", row_key(F.col("id"), F.col("text")))
+    return _cut(rows, length, gram, hot, filter_bits).withColumnsRenamed({"id": id_column, "text": text_column})
+
+
+def with_unique_words(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", size_column: str = "n_chars") -> DataFrame:
+    """The documents with repeated words taken out of their texts.
+
+    Texts that lose no word stay as they are; of the others the words left are
+    joined by a space, and ``size_column``, if there is one, is set anew. All
+    documents and columns stay; a text may become empty.
+    """
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    rows = documents.select(F.struct("*").alias("row"), text.alias("text"), row_key(F.col(id_column), text).alias("key"))
+    cut = _cut(rows, LENGTH, GRAM, HOT, FILTER_BITS)
+    changed = F.col("n_removed") > 0
+    new = {text_column: F.when(changed, F.col("kept")).otherwise(F.col("row").getField(text_column))}
+    if size_column in documents.columns:
+        kind = documents.schema[size_column].dataType
+        new[size_column] = F.when(changed, F.length("kept").cast(kind)).otherwise(F.col("row").getField(size_column))
+    return cut.select(*[new.get(name, F.col("row").getField(name)).alias(name) for name in documents.columns])
 
 
 @contract("op7_suffix_trees")

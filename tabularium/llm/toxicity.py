@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from tabularium.llm.registry import contract, read
 from tabularium.llm.words import plain, texts_of
@@ -276,6 +277,19 @@ def labelled_examples(documents: DataFrame, labels: DataFrame, limit: int = EXAM
     return chosen.groupBy("id", "toxic").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
 
 
+def _scored(rows: DataFrame, index: Index, k: int, evidence: int) -> DataFrame:
+    """``score`` and ``evidence`` beside the one other column of rows with ``text``."""
+    # By value, so that executors need no copy of the package.
+    shared = rows.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index))
+    near = StructType([StructField("id", LongType()), StructField("cosine", DoubleType()), StructField("toxic", IntegerType())])
+    fields = [field for field in rows.schema.fields if field.name != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _scorer(pickle.loads(shared.value), k, evidence)(batches)
+
+    return rows.mapInArrow(run, StructType([*fields, StructField("score", DoubleType()), StructField("evidence", ArrayType(near))]))
+
+
 def score_toxicity(documents: DataFrame, index: Index, id_column: str = "doc_id", text_column: str = "text", k: int = NEIGHBOURS, evidence: int = 3) -> DataFrame:
     """``id, score, evidence``: every document's probability of label 1 and its nearest examples.
 
@@ -283,17 +297,14 @@ def score_toxicity(documents: DataFrame, index: Index, id_column: str = "doc_id"
     get the calibrated share of toxic ones among such examples. Equal texts have
     equal scores; repeated rows are scored each.
     """
-    spark = documents.sparkSession
     rows = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    # By value, so that executors need no copy of the package.
-    shared = spark.sparkContext.broadcast(cloudpickle.dumps(index))
-    kind = dict(rows.dtypes)["id"]
+    return _scored(rows, index, k, evidence).withColumnRenamed("id", id_column)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _scorer(pickle.loads(shared.value), k, evidence)(batches)
 
-    schema = f"id {kind}, score double, evidence array<struct<id:long,cosine:double,toxic:int>>"
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_column)
+def without_toxic(documents: DataFrame, index: Index, text_column: str = "text", threshold: float = 0.5, k: int = NEIGHBOURS) -> DataFrame:
+    """The documents, all columns as they are, that score below ``threshold``."""
+    rows = documents.select(F.struct("*").alias("row"), F.col(text_column).alias("text"))
+    return _scored(rows, index, k, 0).filter(F.col("score") < threshold).select("row.*")
 
 
 def fitted(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> Index:
