@@ -16,3 +16,17 @@ def explode_once(df: DataFrame, array: Column, value: str, position: str | None
     place = position or "_place"
     kept = df.select("*", F.posexplode_outer(array).alias(place, value)).filter(F.col(place).isNotNull())
     return kept if position else kept.drop(place)
+
+
+# Elements gathered before they move on as one.
+_RUN = 256
+
+
+def grown(full: Column, run: Column, element: Column) -> tuple[Column, Column]:
+    """A list under construction inside a fold, with one more element.
+
+    Appending copies a list, so a fold that appends to one list is quadratic. Here
+    a short run is appended to, and joins the list of full runs as a whole.
+    """
+    over = F.size(run) >= _RUN
+    return F.when(over, F.concat(full, F.array(run))).otherwise(full), F.when(over, F.array(element)).otherwise(F.concat(run, F.array(element)))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tabularium.functions.arrays import grown
 from tabularium.functions.text import SPACE, strip
 
 BLOCK_TYPE = "array<struct<headings:array<string>,text:string,page:int>>"
@@ -19,22 +23,31 @@ _BLOCK = (
     r"(?i)</?(address|article|aside|blockquote|body|caption|dd|details|div|dl|dt|fieldset|figcaption|figure|footer"
     r"|form|header|hr|html|li|main|nav|ol|p|pre|section|summary|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*>"
 )
-# The character references that markup needs, ampersand last.
-_ENTITIES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&nbsp;", " "),
-    ("&amp;", "&"),
-)
+# Code points that numeric references of old pages mean as bytes of a code page, by rule of the standard library.
+_ODD_NUMBERS = {n: html.unescape(f"&#{n};") for n in range(0x80, 0xA0)}
+# Names of character references, from the standard library; a no-break space is white space like any other.
+_NAMED = {name[:-1]: value.replace("\xa0", " ") for name, value in html.entities.html5.items() if name.endswith(";")}
+_REFERENCE = r"\A&(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def _character(number: Column) -> Column:
+    odd = F.try_element_at(F.from_json(F.lit(json.dumps(_ODD_NUMBERS)), "map<string,string>"), number.cast("string"))
+    strange = (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    plain = F.decode(F.unhex(F.lpad(F.hex(F.when(strange, 0xFFFD).otherwise(number)), 8, "0")), "UTF-32")
+    return F.when(number == 0xA0, " ").otherwise(F.coalesce(odd, plain))
 
 
 def unescape(text: Column) -> Column:
-    for entity, plain in _ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    return text
+    """Named and numeric character references, closed by a semicolon, as characters; others stay."""
+    named = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
+
+    def read(part: Column) -> Column:
+        reference = F.regexp_extract(part, _REFERENCE, 1)
+        number = F.when(F.lower(F.left(reference, F.lit(2))) == "#x", F.conv(F.substring(reference, 3, 7), 16, 10)).otherwise(F.substring(reference, 2, 8))
+        value = F.when(reference.startswith("#"), _character(number.try_cast("int"))).otherwise(F.try_element_at(named, reference))
+        return F.when(value.isNull(), part).otherwise(F.concat(value, F.substring(part, F.length(reference) + 3, F.length(part))))
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "(?=&)"), read), "")).otherwise(text)
 
 
 def squeeze(text: Column) -> Column:
@@ -42,8 +55,8 @@ def squeeze(text: Column) -> Column:
     return F.regexp_replace(text, SPACE, " ")
 
 
-def html_title(html: Column) -> Column:
-    return F.trim(squeeze(unescape(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title\s*>", 1))))
+def html_title(page: Column) -> Column:
+    return F.trim(squeeze(unescape(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title\s*>", 1))))
 
 
 def _marked(html: Column) -> Column:
@@ -76,10 +89,11 @@ def html_blocks(html: Column) -> Column:
         parsed,
         F.struct(
             F.array().cast(path_type).alias("path"),
+            F.array().cast(f"array<array<struct<path:{path_type},texts:array<string>>>>").alias("full"),
             F.array().cast(f"array<struct<path:{path_type},texts:array<string>>>").alias("done"),
         ),
         _place_section,
-        lambda state: state["done"],
+        lambda state: F.concat(F.flatten(state["full"]), state["done"]),
     )
     return F.flatten(
         F.transform(
@@ -104,12 +118,8 @@ def _place_section(state: Column, section: Column) -> Column:
         .when(section["title"] == "", above)
         .otherwise(F.concat(above, F.array(here)))
     )
-    return F.struct(
-        path.alias("path"),
-        F.concat(
-            state["done"], F.array(F.struct(path.alias("path"), section["texts"].alias("texts")))
-        ).alias("done"),
-    )
+    full, done = grown(state["full"], state["done"], F.struct(path.alias("path"), section["texts"].alias("texts")))
+    return F.struct(path.alias("path"), full.alias("full"), done.alias("done"))
 
 
 def text_blocks(text: Column) -> Column:

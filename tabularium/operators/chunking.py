@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.functions.arrays import explode_once
+from tabularium.functions.arrays import explode_once, grown
 from tabularium.functions.text import SPACE, file_name, words
 
 # Tokens per chunk; a token is a white-space separated word.
@@ -56,6 +56,7 @@ def chunk_starts(parts: Column, budget: int) -> Column:
     would push the chunk over the budget. The fold keeps positions only.
     """
     empty = F.struct(
+        F.array().cast("array<array<int>>").alias("full"),
         F.array().cast("array<int>").alias("starts"),
         F.lit(0).alias("fill"),
         F.lit(None).cast("array<string>").alias("headings"),
@@ -67,17 +68,19 @@ def chunk_starts(parts: Column, budget: int) -> Column:
 
     def step(state: Column, piece: Column) -> Column:
         opens = (
-            (F.size(state["starts"]) == 0)
+            (F.size(state["starts"]) + F.size(state["full"]) == 0)
             | ~state["headings"].eqNullSafe(piece["headings"])
             | (state["fill"] + piece["size"] > budget)
         )
+        full, starts = grown(state["full"], state["starts"], piece["place"])
         return F.struct(
-            F.when(opens, F.concat(state["starts"], F.array(piece["place"]))).otherwise(state["starts"]).alias("starts"),
+            F.when(opens, full).otherwise(state["full"]).alias("full"),
+            F.when(opens, starts).otherwise(state["starts"]).alias("starts"),
             F.when(opens, piece["size"]).otherwise(state["fill"] + piece["size"]).alias("fill"),
             piece["headings"].alias("headings"),
         )
 
-    return F.aggregate(numbered, empty, step, lambda state: state["starts"])
+    return F.aggregate(numbered, empty, step, lambda state: F.concat(F.flatten(state["full"]), state["starts"]))
 
 
 def nonempty(values: Column) -> Column:
@@ -117,16 +120,19 @@ def chunk(
     )
     cut = documents.select(F.col(path_col).alias("path"), *carry, numbered.alias("_parts"))
     cut = cut.withColumn("_starts", chunk_starts(F.col("_parts"), budget))
-    cut = explode_once(cut, F.col("_starts"), "_start", "chunk_index")
-    following = F.coalesce(F.get("_starts", F.col("chunk_index") + 1), F.size("_parts") + 1)
-    own = F.slice("_parts", F.col("_start"), following - F.col("_start"))
+    # Each chunk takes its own pieces along, not those of the whole document.
+    owned = F.transform(
+        "_starts",
+        lambda start, i: F.slice("_parts", start, F.coalesce(F.get("_starts", i + 1), F.size("_parts") + 1) - start),
+    )
+    cut = explode_once(cut.select("path", *carry, owned.alias("_chunks")), F.col("_chunks"), "_own", "chunk_index")
     body = F.array_join(F.transform("_own", lambda p: p["text"]), "\n")
     headings = F.col("_own")[0]["headings"]
     pages = F.array_sort(F.array_distinct(F.filter(F.transform("_own", lambda p: p["page"]), F.isnotnull)))
     refs = F.array_distinct(
         F.transform("_own", lambda p: F.concat(F.lit("#/texts/"), p["block"].cast("string")))
     )
-    return cut.select("path", *carry, "chunk_index", own.alias("_own")).select(
+    return cut.select("path", *carry, "chunk_index", "_own").select(
         "path",
         *carry,
         file_name(F.col("path")).alias("filename"),

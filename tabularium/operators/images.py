@@ -61,9 +61,9 @@ def resolve_markers(texts: DataFrame, images: DataFrame, key: str, text_col: str
     ``images`` is ``(id, uri)``. Ids are matched once per distinct id of a text;
     the text itself travels only in the final join, and is rebuilt in order.
     """
-    resolved = markers(texts, key, text_col).join(
-        images.select(F.col("id").alias("image_id"), "uri").filter(F.col("uri").isNotNull()), "image_id"
-    )
+    # Equal files give equal ids: one row per id.
+    known = images.filter(F.col("uri").isNotNull()).groupBy(F.col("id").alias("image_id")).agg(F.min("uri").alias("uri"))
+    resolved = markers(texts, key, text_col).join(known, "image_id")
     known = resolved.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("image_id", "uri"))).alias("_uris"))
     joined = texts.join(known, key, "left")
     parts = F.split(F.col(text_col), r"(?=\[IMAGE:)")

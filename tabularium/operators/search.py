@@ -21,8 +21,6 @@ DenseSearch = Callable[[DataFrame, int], DataFrame]
 OVERFETCH = 5
 # Each leg fetches twice what fusion returns.
 LEG_FACTOR = 2
-# Hits that may be broadcast to fetch their texts: about 100 bytes each.
-_BROADCAST_HITS = 500_000
 
 
 @dataclass(frozen=True)
@@ -90,12 +88,8 @@ def retrieve(
     )
 
 
-def with_texts(hits: DataFrame, corpus: DataFrame, query_count: int, limit: int) -> DataFrame:
-    """Fetch the texts of hits. A hit list of provably small size is broadcast,
-    so that the corpus is filtered where it lies; otherwise the plan is left to
-    adaptive execution."""
-    if query_count * limit <= _BROADCAST_HITS:
-        hits = F.broadcast(hits)
+def with_texts(hits: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Fetch the texts of hits; adaptive execution broadcasts a hit list that turns out small."""
     return corpus.join(hits, "id")
 
 
@@ -115,7 +109,7 @@ def hybrid_search(
     """
     hits = retrieve(corpus, queries, options, embedder, stats, dense_search)
     columns = ["id", "text"] + (["metadata"] if "metadata" in corpus.columns else [])
-    found = with_texts(hits, corpus.select(*columns), queries.count(), options.retrieval_limit)
+    found = with_texts(hits, corpus.select(*columns))
     if options.rerank:
         asked = queries.select("query_id", "query")
         found = rerank(found.join(asked, "query_id"), options.final_limit, scorer).drop("query")

@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabularium.sources.files import read_spread
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -28,8 +26,3 @@ def contract(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
-
-
-def read_heavy(spark: SparkSession, folder: str, table: str, key: str) -> DataFrame:
-    """A table for processor-heavy work, see ``read_spread``."""
-    return read_spread(spark, f"{folder}/{table}.parquet", key)

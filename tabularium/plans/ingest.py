@@ -11,7 +11,7 @@ from tabularium.functions.payload import matches, payload, point_id
 from tabularium.operators.chunking import TOKEN_BUDGET, chunk, export_documents
 from tabularium.operators.dense import hashing_embedder
 from tabularium.operators.upsert import keyed_upsert, upsert_counts
-from tabularium.plans.contract import contract, read, read_heavy
+from tabularium.plans.contract import contract, read
 from tabularium.plans.retrieval import DIMENSION
 from tabularium.session import shared_path
 from tabularium.sources.collection import build_points, checked
@@ -56,7 +56,8 @@ def _html_marked() -> str:
     sql = f"regexp_replace({sql}, '{_BLOCK_TAGS}', chr(1), 'g')"
     sql = f"regexp_replace({sql}, '<[^>]*>', ' ', 'g')"
     for entity, plain in (
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&"),
+        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"),
+        ("&amp;", "&"),
     ):
         sql = f"replace({sql}, '{entity}', '{plain}')"
     return f"regexp_replace({sql}, '{_SPACE}', ' ', 'g')"
@@ -112,14 +113,21 @@ chunks AS (
 
 
 def text_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return read_heavy(spark, sf, "documents", "doc_id").select(
+    return read(spark, sf, "documents").select(
         "doc_id", F.col("doc_id").cast("string").alias("path"), text_blocks(F.col("text")).alias("blocks")
     )
 
 
+# Characters that the pages get written as references; the SQL reads the pages as they are.
+_REFERENCES = (("é", "&eacute;"), ("ö", "&#246;"), ("ñ", "&#xF1;"), ("ç", "&#Xe7;"), ("ß", "&szlig;"), ("ü", "&uuml;"), ("ó", "&#0243;"))
+
+
 def html_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return read_heavy(spark, sf, "pages", "page_id").select(
-        "page_id", F.col("page_id").cast("string").alias("path"), html_blocks(F.col("html")).alias("blocks")
+    html = F.col("html")
+    for character, reference in _REFERENCES:
+        html = F.replace(html, F.lit(character), F.lit(reference))
+    return read(spark, sf, "pages").select(
+        "page_id", F.col("page_id").cast("string").alias("path"), html_blocks(html).alias("blocks")
     )
 
 
@@ -217,10 +225,10 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
     """Files of three kinds: English plain text, French Markdown, others in a
     format without a built-in parser, and all web pages."""
     extension = F.when(F.col("lang") == "en", ".txt").when(F.col("lang") == "fr", ".md").otherwise(".pdf")
-    texts = read_heavy(spark, sf, "documents", "doc_id").select(
+    texts = read(spark, sf, "documents").select(
         F.concat("source", F.lit("/"), "doc_id", extension).alias("path"), F.col("text").cast("binary").alias("content")
     )
-    pages = read_heavy(spark, sf, "pages", "page_id").select(
+    pages = read(spark, sf, "pages").select(
         F.concat(F.lit("web/"), "page_id", F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content")
     )
     return texts.unionByName(pages).select(
@@ -264,7 +272,7 @@ def _documents_as_items(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("contentType"), F.col("lang"),
         F.lit("text"), F.lit("not the text"),
     )
-    documents = read_heavy(spark, sf, "documents", "doc_id")
+    documents = read(spark, sf, "documents")
     return documents.select(F.col("doc_id").cast("string").alias("id"), "text", meta.alias("metadata"))
 
 

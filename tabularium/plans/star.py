@@ -1,58 +1,47 @@
 """Statement families that users run on ingested tables, over the star schema.
 
-The engine adds nothing to Spark here: every family goes through the guarded
-run or is written with the DataFrame API, and Catalyst does the rest.
+Every family is SQL text that goes through the guarded run; Catalyst does the rest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tabularium.operators.sqlguard import run_guarded
-from tabularium.plans.contract import contract, read
+from tabularium.plans.contract import contract
 
 
-@contract(
-    "sql_filter_project",
-    """SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net,
-    CASE WHEN l_quantity >= 40 THEN 'large' WHEN l_quantity >= 20 THEN 'medium' ELSE 'small' END AS size_class
-    FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_discount BETWEEN 0.03 AND 0.07""",
-)
+def _guarded(spark: SparkSession, sf: str, sql: str, *tables: str) -> DataFrame:
+    return run_guarded(spark, sql, {name: f"{sf}/{name}.parquet" for name in tables})
+
+
+_FILTER = """SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net,
+CASE WHEN l_quantity >= 40 THEN 'large' WHEN l_quantity >= 20 THEN 'medium' ELSE 'small' END AS size_class
+FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01 00:00:00' AND l_discount BETWEEN 0.03 AND 0.07"""
+
+
+@contract("sql_filter_project", _FILTER)
 def sql_filter_project(spark: SparkSession, sf: str) -> DataFrame:
     """Filter, arithmetic and CASE."""
-    size = F.when(F.col("l_quantity") >= 40, "large").when(F.col("l_quantity") >= 20, "medium").otherwise("small")
-    return (
-        read(spark, sf, "lineitem")
-        .filter((F.col("l_shipdate") >= F.lit("1995-01-01").cast("timestamp_ntz")) & F.col("l_discount").between(0.03, 0.07))
-        .select(
-            "l_orderkey", "l_linenumber",
-            F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4).alias("net"), size.alias("size_class"),
-        )
-    )
+    return _guarded(spark, sf, _FILTER, "lineitem")
 
 
-@contract(
-    "sql_join_star",
-    """SELECT r_name, n_name, p_type, count(*) AS items, sum((l_extendedprice * (1 - l_discount))::DECIMAL(18, 4))::DOUBLE AS revenue
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-    JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey
-    GROUP BY r_name, n_name, p_type""",
-)
+_STAR = """SELECT r_name, n_name, p_type, count(*) AS items,
+CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS DOUBLE) AS revenue
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey
+GROUP BY r_name, n_name, p_type"""
+
+
+@contract("sql_join_star", _STAR)
 def sql_join_star(spark: SparkSession, sf: str) -> DataFrame:
     """Star join; small sides are broadcast by their statistics."""
-    joined = (
-        read(spark, sf, "lineitem")
-        .join(read(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .join(read(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    )
-    net = (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")
-    return joined.groupBy("r_name", "n_name", "p_type").agg(
-        F.count("*").alias("items"), F.sum(net).cast("double").alias("revenue")
-    )
+    return _guarded(spark, sf, _STAR, "lineitem", "orders", "customer", "nation", "region", "part")
+
+
+_SEMI = """SELECT c_custkey, finished IS NOT NULL AS has_finished FROM customer
+LEFT JOIN (SELECT DISTINCT o_custkey AS finished FROM orders WHERE o_orderstatus = 'F') f ON finished = c_custkey
+WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)"""
 
 
 @contract(
@@ -61,13 +50,8 @@ def sql_join_star(spark: SparkSession, sf: str) -> DataFrame:
     FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)""",
 )
 def sql_semi_anti(spark: SparkSession, sf: str) -> DataFrame:
-    """EXISTS and NOT EXISTS."""
-    orders = read(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus", "o_totalprice")
-    quiet = read(spark, sf, "customer").select("c_custkey").join(
-        orders.filter(F.col("o_totalprice") > 400000), "c_custkey", "left_anti"
-    )
-    finished = orders.filter(F.col("o_orderstatus") == "F").select("c_custkey").distinct()
-    return quiet.join(finished.withColumn("has_finished", F.lit(True)), "c_custkey", "left").fillna(False, ["has_finished"])
+    """Rows with and without a partner."""
+    return _guarded(spark, sf, _SEMI, "customer", "orders")
 
 
 _THETA = """SELECT c_mktsegment, count(*) AS orders FROM orders JOIN
@@ -79,74 +63,28 @@ ON o_totalprice >= low AND o_totalprice < high GROUP BY c_mktsegment"""
 def sql_theta_join(spark: SparkSession, sf: str) -> DataFrame:
     """Inequality join of orders with the balance band of every segment. The
     bands, one row per segment, are the small side that Spark broadcasts."""
-    return run_guarded(spark, _THETA, {name: f"{sf}/{name}.parquet" for name in ("orders", "customer")})
+    return _guarded(spark, sf, _THETA, "orders", "customer")
 
 
-@contract(
-    "sql_group_having",
-    """SELECT o_custkey, count(*) AS orders, count(DISTINCT o_orderpriority) AS priorities, max(o_totalprice) AS largest
-    FROM orders GROUP BY o_custkey HAVING count(*) >= 8""",
-)
+_HAVING = """SELECT o_custkey, count(*) AS orders, count(DISTINCT o_orderpriority) AS priorities, max(o_totalprice) AS largest
+FROM orders GROUP BY o_custkey HAVING count(*) >= 8"""
+
+
+@contract("sql_group_having", _HAVING)
 def sql_group_having(spark: SparkSession, sf: str) -> DataFrame:
     """Grouping with HAVING and a distinct aggregate."""
-    grouped = read(spark, sf, "orders").groupBy("o_custkey").agg(
-        F.count("*").alias("orders"),
-        F.count_distinct("o_orderpriority").alias("priorities"),
-        F.max("o_totalprice").alias("largest"),
-    )
-    return grouped.filter(F.col("orders") >= 8)
+    return _guarded(spark, sf, _HAVING, "orders")
 
 
-@contract(
-    "sql_window",
-    """SELECT o_orderkey, o_custkey, row_number() OVER w::INT AS place, lag(o_orderkey) OVER w AS previous,
-    round(sum(o_totalprice) OVER (w ROWS UNBOUNDED PRECEDING), 2) AS running
-    FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""".replace(
-        "row_number() OVER w::INT", "(row_number() OVER w)::INT"
-    ),
-)
+_OVER = "PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
+_WINDOW = f"""SELECT o_orderkey, o_custkey, CAST(row_number() OVER ({_OVER}) AS INT) AS place, lag(o_orderkey) OVER ({_OVER}) AS previous,
+round(sum(o_totalprice) OVER ({_OVER} ROWS UNBOUNDED PRECEDING), 2) AS running FROM orders"""
+
+
+@contract("sql_window", _WINDOW)
 def sql_window(spark: SparkSession, sf: str) -> DataFrame:
-    """Rank, lag and a running sum per customer.
-
-    Worked out per customer and month first; only one row per month enters the
-    window over a whole customer, so a customer with a large share of all orders
-    is worked on by as many tasks as it has months.
-    """
-    orders = read(spark, sf, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", F.date_format("o_orderdate", "yyyyMM").alias("month")
-    )
-    inside = Window.partitionBy("o_custkey", "month").orderBy("o_orderdate", "o_orderkey")
-    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = orders.select(
-        "*",
-        F.row_number().over(inside).alias("_place"),
-        F.lag("o_orderkey").over(inside).alias("_previous"),
-        F.sum("o_totalprice").over(running).alias("_running"),
-    )
-    across = Window.partitionBy("o_custkey").orderBy("month")
-    before = across.rowsBetween(Window.unboundedPreceding, -1)
-    months = (
-        orders.groupBy("o_custkey", "month")
-        .agg(
-            F.count("*").alias("n"),
-            F.sum("o_totalprice").alias("total"),
-            F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("last"),
-        )
-        .select(
-            "o_custkey",
-            "month",
-            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n"),
-            F.coalesce(F.sum("total").over(before), F.lit(0.0)).alias("_total"),
-            F.lag("last").over(across).alias("_last"),
-        )
-    )
-    return local.join(months, ["o_custkey", "month"]).select(
-        "o_orderkey",
-        "o_custkey",
-        (F.col("_place") + F.col("_n")).cast("int").alias("place"),
-        F.coalesce("_previous", "_last").alias("previous"),
-        F.round(F.col("_running") + F.col("_total"), 2).alias("running"),
-    )
+    """Rank, lag and a running sum per customer, all in one window."""
+    return _guarded(spark, sf, _WINDOW, "orders")
 
 
 _TOP = "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50"
@@ -155,27 +93,18 @@ _TOP = "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC,
 @contract("sql_topk", _TOP)
 def sql_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Order with limit, through the guard."""
-    return run_guarded(spark, _TOP, {"orders": f"{sf}/orders.parquet"})
+    return _guarded(spark, sf, _TOP, "orders")
 
 
-@contract(
-    "sql_set_ops",
-    """SELECT 'both' AS kind, k FROM (SELECT l_suppkey AS k FROM lineitem INTERSECT SELECT s_suppkey FROM supplier) a
-    UNION ALL SELECT 'unused part', k FROM (SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem) b
-    UNION ALL SELECT 'nation', k FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) c""",
-)
+_SETS = """SELECT 'both' AS kind, k FROM (SELECT l_suppkey AS k FROM lineitem INTERSECT SELECT s_suppkey FROM supplier) a
+UNION ALL SELECT 'unused part', k FROM (SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem) b
+UNION ALL SELECT 'nation', k FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) c"""
+
+
+@contract("sql_set_ops", _SETS)
 def sql_set_ops(spark: SparkSession, sf: str) -> DataFrame:
     """INTERSECT, EXCEPT and UNION."""
-    items, parts = read(spark, sf, "lineitem"), read(spark, sf, "part")
-    customers, suppliers = read(spark, sf, "customer"), read(spark, sf, "supplier")
-    both = items.select(F.col("l_suppkey").alias("k")).intersect(suppliers.select(F.col("s_suppkey").alias("k")))
-    unused = parts.select(F.col("p_partkey").alias("k")).subtract(items.select(F.col("l_partkey").alias("k")))
-    nations = customers.select("c_nationkey").union(suppliers.select("s_nationkey")).distinct()
-    return (
-        both.select(F.lit("both").alias("kind"), "k")
-        .unionByName(unused.select(F.lit("unused part").alias("kind"), "k"))
-        .unionByName(nations.select(F.lit("nation").alias("kind"), F.col("c_nationkey").cast("long").alias("k")))
-    )
+    return _guarded(spark, sf, _SETS, "lineitem", "supplier", "part", "customer")
 
 
 _ABOVE = """SELECT p_type, count(*) AS parts, round(avg(p_retailprice), 4) AS mean FROM part p
@@ -186,4 +115,4 @@ AND p_size >= (SELECT avg(p_size) FROM part) GROUP BY p_type ORDER BY p_type"""
 @contract("sql_subquery", _ABOVE)
 def sql_subquery(spark: SparkSession, sf: str) -> DataFrame:
     """Scalar and correlated subqueries, through the guard."""
-    return run_guarded(spark, _ABOVE, {"part": f"{sf}/part.parquet"})
+    return _guarded(spark, sf, _ABOVE, "part")

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabularium.operators.chunking import TOKEN_BUDGET
-from tabularium.plans.contract import contract, read, read_heavy
+from tabularium.plans.contract import contract, read
 from tabularium.plans.ingest import _TEXT_BLOCKS, _chunked
 from tabularium.session import shared_path
 from tabularium.sources.collection import collection
 from tabularium.streaming.activity import event_time, streaming_rollup, streaming_sessions
-from tabularium.streaming.ingest import IngestTarget, ingest_stream, stream_files
+from tabularium.streaming.ingest import IngestTarget, ingest_files, ingest_stream, manifest_table, stream_files
 
 
 @contract(
@@ -24,7 +24,7 @@ from tabularium.streaming.ingest import IngestTarget, ingest_stream, stream_file
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Documents arrive as files, changed ones a second time; the collection in the end."""
     folder = shared_path(spark, "files")
-    files = read_heavy(spark, sf, "documents", "doc_id").select(F.concat("source", F.lit("/"), "doc_id").alias("path"), "text", "lang")
+    files = read(spark, sf, "documents").select(F.concat("source", F.lit("/"), "doc_id").alias("path"), "text", "lang")
     target = IngestTarget(shared_path(spark, "collection"), shared_path(spark, "manifest"))
     # First state: English texts in an older form, the rest as it is.
     older = F.when(F.col("lang") == "en", F.concat("text", F.lit("\nold line\n"), "text")).otherwise(F.col("text"))
@@ -41,6 +41,37 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@contract(
+    "file_ingest",
+    f"""WITH RECURSIVE {_TEXT_BLOCKS}, {_chunked(TOKEN_BUDGET)},
+    made AS (SELECT id, count(*) AS n, md5(string_agg(text, chr(10) ORDER BY text)) AS digest FROM chunks GROUP BY id)
+    SELECT source || '/' || doc_id || CASE lang WHEN 'es' THEN '.pdf' ELSE '.txt' END AS file_path, md5(d.text) AS file_hash,
+      CASE lang WHEN 'es' THEN 0 ELSE coalesce(n, 0) END AS chunk_count, CASE WHEN lang <> 'es' THEN digest END AS digest,
+      CASE lang WHEN 'es' THEN 'no parser for .pdf' END AS last_error
+    FROM documents d LEFT JOIN made ON made.id = d.doc_id""",
+)
+def file_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of several kinds in one batch, some in two versions, some that cannot be parsed; manifest and chunks in the end."""
+    documents = read(spark, sf, "documents")
+    extension = F.when(F.col("lang") == "es", ".pdf").otherwise(".txt")
+    now = documents.select(
+        F.concat("source", F.lit("/"), "doc_id", extension).alias("path"), F.col("text").cast("binary").alias("content"),
+        F.lit("2024-02-02 00:00:00").cast("timestamp").alias("modified_at"), "doc_id",
+    )
+    before = now.filter(F.col("doc_id") % 3 == 0).select(
+        "path", F.concat(F.lit("older version of ").cast("binary"), F.col("content")).alias("content"),
+        F.lit("2024-02-01 00:00:00").cast("timestamp").alias("modified_at"), "doc_id",
+    )
+    files = now.unionByName(before).select("path", "content", "modified_at", F.md5("content").alias("file_hash"), F.length("content").alias("file_size"))
+    target = IngestTarget(shared_path(spark, "collection"), shared_path(spark, "manifest"))
+    ingest_files(files, target)
+    chunks = collection(spark, target.collection).read().groupBy(F.col("source").alias("file_path")).agg(
+        F.md5(F.array_join(F.array_sort(F.collect_list("text")), "\n")).alias("digest")
+    )
+    manifest = manifest_table(spark, target.manifest).read()
+    return manifest.join(chunks, "file_path", "left").select("file_path", "file_hash", "chunk_count", "digest", "last_error")
+
+
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = read(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -37,7 +39,8 @@ def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach, for checkpoints and written tables.
 
     The cluster names it in ``spark.checkpoint.dir``. Only a local master may
-    run without it; then a temporary folder is chosen once per application.
+    run without it, as in tests; then a temporary folder is made once per application
+    and deleted when the process ends.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -45,7 +48,8 @@ def shared_root(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         if context.applicationId not in _LOCAL_ROOTS:
-            _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="tabularium-")
+            root = _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="tabularium-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
         root = _LOCAL_ROOTS[context.applicationId]
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)

@@ -22,12 +22,12 @@ Parser = Callable[[bytes, str], list[tuple[list[str], str, int | None]]]
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """``path, file_hash, file_size, content`` of every file below ``path``."""
+    """``path, file_hash, file_size, content, modified_at`` of every file below ``path``."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.load(path).select(
-        "path", F.md5("content").alias("file_hash"), F.col("length").alias("file_size"), "content"
+        "path", F.md5("content").alias("file_hash"), F.col("length").alias("file_size"), "content", F.col("modificationTime").alias("modified_at")
     )
 
 

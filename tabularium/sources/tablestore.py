@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabularium.functions.coercion import TYPE_LABELS
 from tabularium.operators.dense import Embedder, hashing_embedder
 from tabularium.operators.tables import (
     CARD_ROWS,
@@ -19,6 +21,7 @@ from tabularium.operators.tables import (
     label_map,
     lookup,
     name_tables,
+    parse_description,
     typed_table,
 )
 from tabularium.sources.collection import build_points, checked, collection
@@ -31,7 +34,7 @@ REGISTRY = (
     "description string, columns_json string, row_count long, created_at timestamp"
 )
 
-# Card text -> description, as a column; e.g. a pandas UDF around a model.
+# Card text -> JSON reply with a description and column types, as a column; e.g. a pandas UDF around a model.
 Describer = Callable[[Column], Column]
 
 
@@ -95,34 +98,43 @@ class TableStore:
         """Store one sheet given as text columns."""
         registry, names = self.registry, cells.columns
         table_id = hashlib.md5(f"{source_path}\x1f{sheet_name or ''}".encode()).hexdigest()
-        labels = label_map(infer_types(cells))
         one = self.spark.range(1).select(
             F.lit(table_id).alias("table_id"),
             F.lit(source_path).alias("source_path"),
             F.lit(file_hash).alias("file_hash"),
             F.lit(sheet_name).cast("string").alias("sheet_name"),
         )
+        headers = F.array(*[F.lit(n) for n in names])
+        plain = default_description(F.col("source_path"), F.col("sheet_name"))
+        # The first rows as the file has them: ``take`` reads its partitions in order.
+        first = cells.select(F.array(*[F.col(f"`{n}`") for n in names]).alias("cells")).take(CARD_ROWS)
+        sample = F.from_json(F.lit(json.dumps([row["cells"] for row in first])), "array<array<string>>")
+        labels, texts, description = label_map(infer_types(cells)), {}, plain
+        if describer:
+            reply = describer(card_text(plain, headers, sample))
+            told = one.select(parse_description(reply, plain, headers).alias("told")).first()["told"]
+            description = F.lit(told["description"])
+            if not told["error"]:
+                for column in told["columns"]:
+                    texts[column["name"]] = column["description"]
+                    if column["name"] in labels and (column["type"] or "").upper() in TYPE_LABELS:
+                        labels[column["name"]] = column["type"].upper()
         table_name = name_tables(one, registry.read()).first()["table_name"]
         data = self.location(table_name, file_hash)
         typed_table(cells, labels).write.mode("overwrite").parquet(data)
         stored = self.spark.read.parquet(data)
-        # A card shows a couple of rows; ``limit`` reads no more than that.
-        row = F.array(*[F.col(f"`{name}`").cast("string") for name in names])
-        sample = stored.select(row.alias("cells")).limit(CARD_ROWS).agg(F.collect_list("cells"))
         columns = F.array(
             *[
-                F.struct(F.lit(n).alias("name"), F.lit(labels[n]).alias("type"), F.lit("").alias("description"))
+                F.struct(F.lit(n).alias("name"), F.lit(labels[n]).alias("type"), F.lit(texts.get(n) or "").alias("description"))
                 for n in names
             ]
         )
-        headers = F.array(*[F.lit(n) for n in names])
-        plain = default_description(F.col("source_path"), F.col("sheet_name"))
         described = (
             one.withColumn("table_name", F.lit(table_name))
             .withColumn("row_count", stored.agg(F.count("*")).scalar())
-            .withColumn("sample_rows", sample.scalar())
+            .withColumn("sample_rows", sample)
             .withColumn("columns", columns)
-            .withColumn("description", describer(card_text(plain, headers, F.col("sample_rows"))) if describer else plain)
+            .withColumn("description", description)
             .withColumn("card", card_text(F.col("description"), headers, F.col("sample_rows")))
         )
         described = described.withColumn("metadata", card_metadata(described)).persist()

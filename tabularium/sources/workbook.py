@@ -2,34 +2,19 @@
 
 from __future__ import annotations
 
-import io
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-try:
-    import openpyxl
-except ImportError:
-    openpyxl = None
-
 # bytes -> (sheet name, rows of cells) pairs
 SheetReader = Callable[[bytes], Iterable[tuple[str, Iterable[list]]]]
 
 CELLS = "path string, sheet string, row_no int, cells array<string>, error string"
 
 
-def read_sheets(content: bytes) -> Iterator[tuple[str, Iterable[list]]]:
-    """Cell values, not formulas, of every sheet; needs the optional library."""
-    if openpyxl is None:
-        raise RuntimeError("no workbook reader installed")
-    book = openpyxl.load_workbook(io.BytesIO(content), read_only=True, data_only=True)
-    for sheet in book.worksheets:
-        yield sheet.title, (list(row) for row in sheet.iter_rows(values_only=True))
-
-
-def workbook_rows(files: DataFrame, reader: SheetReader = read_sheets, batch_rows: int = 10_000) -> DataFrame:
+def workbook_rows(files: DataFrame, reader: SheetReader, batch_rows: int = 10_000) -> DataFrame:
     """``path, sheet, row_no, cells, error`` for ``files(path, content)``.
 
     Row 0 is the header. Rows leave the task in batches; a file that cannot be

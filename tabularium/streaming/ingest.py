@@ -8,10 +8,11 @@ the restart state there is.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,8 +21,9 @@ from tabularium.functions.payload import point_id
 from tabularium.operators.chunking import TOKEN_BUDGET, chunk
 from tabularium.operators.dense import Embedder, hashing_embedder
 from tabularium.operators.lifecycle import MANIFEST, detect_changes
-from tabularium.operators.ranking import latest
+from tabularium.session import shared_path
 from tabularium.sources.collection import build_points, collection
+from tabularium.sources.documents import ERROR_TYPE, Parser, parse_documents
 from tabularium.sources.keyed import KeyedTable
 
 FILES = "path string, text string"
@@ -35,21 +37,18 @@ class IngestTarget:
     manifest: str
     dimension: int = 64
     token_budget: int = TOKEN_BUDGET
-    # Batches after which the collection is compacted; never, unless asked for.
-    compact_every: int | None = None
+    # Batches after which collection and manifest are compacted.
+    compact_every: int = 16
 
 
 def manifest_table(spark: SparkSession, root: str) -> KeyedTable:
     return KeyedTable(spark, root, MANIFEST, ["file_path"]).create()
 
 
-def chunk_points(files: DataFrame, embedder: Embedder, budget: int) -> DataFrame:
-    """Points of ``files(path, file_hash, text)``, one per chunk."""
-    blocks = files.select(
-        "path", "file_hash", F.length("text").alias("size"), text_blocks(F.col("text")).alias("blocks")
-    )
-    chunks = chunk(blocks, budget, carry=["file_hash", "size"])
-    keys = {"source": "path", "fileHash": "file_hash", "fileSize": "size"}
+def chunk_points(parsed: DataFrame, embedder: Embedder, budget: int) -> DataFrame:
+    """Points of ``parsed(path, file_hash, file_size, blocks)``, one per chunk."""
+    chunks = chunk(parsed, budget, carry=["file_hash", "file_size"])
+    keys = {"source": "path", "fileHash": "file_hash", "fileSize": "file_size"}
     metadata = [part for key, column in keys.items() for part in (F.lit(key), F.col(column).cast("string"))]
     items = chunks.select(
         point_id(F.lit(None).cast("string"), F.col("path"), F.col("chunk_index").cast("string")).alias("id"),
@@ -59,49 +58,91 @@ def chunk_points(files: DataFrame, embedder: Embedder, budget: int) -> DataFrame
     return build_points(items, embedder)
 
 
-def ingest_batch(files: DataFrame, target: IngestTarget, embedder: Embedder | None = None) -> DataFrame:
-    """Bring collection and manifest up to date with ``files(path, text)``.
+def _newest(files: DataFrame) -> DataFrame:
+    """One version of each path, the newest, kept for as long as the batch takes."""
+    if "modified_at" not in files.columns:
+        files = files.withColumn("modified_at", F.lit(None).cast("timestamp"))
+    newest = F.max("modified_at").over(Window.partitionBy("path"))
+    latest = files.withColumn("newest", newest).filter(F.col("modified_at").eqNullSafe(F.col("newest"))).drop("newest")
+    # Every step below uses the batch, so it is kept; it is as small as what arrived.
+    latest = latest.dropDuplicates(["path", "file_hash"]).persist(StorageLevel.MEMORY_AND_DISK)
+    torn = latest.groupBy("path").count().filter("count > 1").select("path").first()
+    if torn:
+        latest.unpersist()
+        raise ValueError(f"two versions of {torn['path']} are equally new")
+    return latest
 
-    Returns the changes found. A modified file loses all its old chunks first,
-    so a shorter version leaves none behind. Files that are absent from the
-    batch are not touched.
-    """
+
+def _bring(files: DataFrame, parse: Callable[[DataFrame], DataFrame], target: IngestTarget, embedder: Embedder | None) -> DataFrame:
+    """Ingest ``files(path, file_hash, ...)``; ``parse`` turns those that changed into ``path, file_hash, file_size, blocks, errors``."""
     spark = files.sparkSession
     embedder = embedder or hashing_embedder(target.dimension)
     points = collection(spark, target.collection)
     manifest = manifest_table(spark, target.manifest)
-    hashed = latest(files.withColumn("file_hash", F.md5("text")), ["path"], [F.asc("file_hash")])
-    # Every step below uses the batch, so it is kept; it is as small as what arrived.
-    hashed = hashed.persist(StorageLevel.MEMORY_AND_DISK)
+    hashed = _newest(files)
     listing = hashed.select(F.col("path").alias("file_path"), "file_hash")
     # Only the manifest rows of this batch take part, so the manifest is not shuffled.
     known = manifest.read().join(listing.select("file_path"), "file_path", "left_semi")
-    changes = detect_changes(listing, known)
+    changes = detect_changes(listing, known).persist(StorageLevel.MEMORY_AND_DISK)
     todo = changes.filter(F.col("status") != "unchanged").select(F.col("file_path").alias("path"))
-    changed = hashed.join(todo, "path", "left_semi")
-    fresh = chunk_points(changed, embedder, target.token_budget)
-    number = points.upsert(fresh, key="source", replaced=todo)
+    parsed = parse(hashed.join(todo, "path", "left_semi")).persist(StorageLevel.MEMORY_AND_DISK)
+    good = parsed.filter(F.size("errors") == 0)
+    number = points.upsert(chunk_points(good, embedder, target.token_budget), key="source", replaced=good.select("path"))
     # Counts come from the written batch: chunks are not computed a second time.
-    counts = points.batch(number).groupBy(F.col("source").alias("file_path")).agg(F.count("*").alias("chunk_count"))
+    counts = points.batch(number).groupBy(F.col("source").alias("file_path")).agg(F.count("*").alias("chunks"))
+    old = known.select("file_path", F.col("file_hash").alias("old_hash"), F.col("chunk_count").alias("old_chunks"))
+    failed = F.size("errors") > 0
     entries = (
-        changed.select(F.col("path").alias("file_path"), "file_hash", F.length("text").cast("string").alias("file_size"))
+        parsed.withColumnRenamed("path", "file_path")
         .join(counts, "file_path", "left")
+        .join(old, "file_path", "left")
         .select(
             "file_path",
-            "file_hash",
+            # A file that fails keeps the chunks of its last success, and so their hash.
+            F.when(failed, F.coalesce("old_hash", "file_hash")).otherwise(F.col("file_hash")).alias("file_hash"),
             F.current_timestamp().alias("processed_at"),
-            F.coalesce("chunk_count", F.lit(0).cast("long")).alias("chunk_count"),
-            "file_size",
+            F.coalesce(F.when(failed, F.col("old_chunks")).otherwise(F.col("chunks")), F.lit(0).cast("long")).alias("chunk_count"),
+            F.col("file_size").cast("string").alias("file_size"),
             F.lit("text").alias("content_type"),
-            F.lit(None).cast("string").alias("last_error"),
+            F.get("errors", F.lit(0))["error_message"].alias("last_error"),
         )
     )
     manifest.upsert(entries)
     if target.compact_every and number >= target.compact_every:
         points.compact()
         manifest.compact()
-    hashed.unpersist()
-    return changes
+    # The reply outlives the batch, so it is written before the batch is released.
+    reply = shared_path(spark, "changes")
+    changes.write.parquet(reply)
+    for frame in (parsed, changes, hashed):
+        frame.unpersist()
+    return spark.read.parquet(reply)
+
+
+def ingest_batch(files: DataFrame, target: IngestTarget, embedder: Embedder | None = None) -> DataFrame:
+    """Bring collection and manifest up to date with plain texts, ``files(path, text[, modified_at])``.
+
+    Of several versions of a path the newest counts; two different texts of one
+    path that are equally new, or without times, are refused.
+    Returns the changes found, one narrow row per file of the batch. A modified
+    file loses all its old chunks first, so a shorter version leaves none behind.
+    Files that are absent from the batch are not touched.
+    """
+
+    def parse(rows: DataFrame) -> DataFrame:
+        none = F.array().cast(ERROR_TYPE).alias("errors")
+        return rows.select("path", "file_hash", F.length("text").alias("file_size"), text_blocks(F.col("text")).alias("blocks"), none)
+
+    return _bring(files.withColumn("file_hash", F.md5("text")), parse, target, embedder)
+
+
+def ingest_files(files: DataFrame, target: IngestTarget, embedder: Embedder | None = None, parser: Parser | None = None) -> DataFrame:
+    """The same for document files, ``path, file_hash, file_size, content[, modified_at]``, each parsed by its kind.
+
+    A file that cannot be parsed leaves its error in the manifest, where it is
+    found again and retried by the next call; what it had in the collection stays.
+    """
+    return _bring(files, lambda rows: parse_documents(rows, parser), target, embedder)
 
 
 def remove_missing(listing: DataFrame, target: IngestTarget) -> DataFrame:
@@ -117,13 +158,16 @@ def remove_missing(listing: DataFrame, target: IngestTarget) -> DataFrame:
 
 
 def ingest_stream(
-    files: DataFrame, target: IngestTarget, checkpoint: str, embedder: Embedder | None = None
+    files: DataFrame, target: IngestTarget, checkpoint: str, embedder: Embedder | None = None, parser: Parser | None = None
 ) -> StreamingQuery:
-    """Start incremental ingest of a stream of ``(path, text)``; runs until the
-    available input is used up."""
+    """Start incremental ingest of a stream of texts, or of document files where
+    there is a column ``content``; runs until the available input is used up."""
 
     def handle(batch: DataFrame, _: int) -> None:
-        ingest_batch(batch, target, embedder)
+        if "content" in batch.columns:
+            ingest_files(batch, target, embedder, parser)
+        else:
+            ingest_batch(batch, target, embedder)
 
     return (
         files.writeStream.foreachBatch(handle)
@@ -134,5 +178,6 @@ def ingest_stream(
 
 
 def stream_files(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """Stream of ``(path, text)`` rows from Parquet files dropped in a folder."""
-    return spark.readStream.schema(FILES).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    """Stream of ``(path, text, modified_at)`` from Parquet files of ``path, text`` dropped in a folder; a row is as new as its file."""
+    rows = spark.readStream.schema(FILES).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    return rows.select("path", "text", F.col("_metadata.file_modification_time").alias("modified_at"))

@@ -31,7 +31,7 @@ from tabularium.sources.documents import Parser, parse_documents, read_files
 from tabularium.sources.files import delete, is_committed
 from tabularium.sources.keyed import KeyedTable
 from tabularium.sources.tablestore import Describer, TableStore
-from tabularium.streaming.ingest import manifest_table
+from tabularium.streaming.ingest import IngestTarget, ingest_files, manifest_table
 
 DEFAULT_COLLECTION = "documents"
 
@@ -78,6 +78,15 @@ class Workspace:
         """Converted documents of every file below ``path``, with their status."""
         return export_documents(parse_documents(read_files(self.spark, path), parser))
 
+    def ingest_files(self, path: str, parser: Parser | None = None, name: str = DEFAULT_COLLECTION, budget: int = TOKEN_BUDGET) -> DataFrame:
+        """Bring a collection and the manifest up to date with every file below ``path``: parsed, cut, encoded, upserted.
+
+        Returns ``file_path, file_hash, status``. Unchanged files cost a hash;
+        files that fail are recorded with their error and tried again next time.
+        """
+        target = IngestTarget(f"{self.root}/collections/{name}", f"{self.root}/manifest", self.dimension, budget)
+        return ingest_files(read_files(self.spark, path), target, self._embedder, parser)
+
     def upsert(self, documents: DataFrame, name: str = DEFAULT_COLLECTION) -> DataFrame:
         """Upsert ``documents(id, text, metadata)``; returns the counts of rows
         handed in and of distinct ids."""

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,3 +110,22 @@ def test_files_and_parser_plug_in(spark, tmp_path):
     failed = export_documents(parse_documents(files, parser)).filter("status = 'failure'").collect()
     assert len(failed) == 1
     assert rows["a.txt"]["file_hash"] == __import__("hashlib").md5(b"x\ny").hexdigest()
+
+
+def test_character_references(spark):
+    page = "<p>Gr&ouml;&szlig;e &#8217; &#x41;&#X42; &euro; &nope; &amp;lt; &#0; &#128; &#1114112; a&nbsp;b & c &lt;p&gt; &#55296;</p>"
+    blocks = spark.createDataFrame([(page,)], "html string").select(html_blocks(F.col("html")).alias("b")).first()["b"]
+    assert [b["text"] for b in blocks] == ["Größe ’ AB € &nope; &lt; \ufffd € \ufffd a b & c <p> \ufffd"]
+
+
+def test_long_documents_take_time_in_proportion(spark):
+    def seconds(lines):
+        text = "\n".join(f"line {i} of the text with some words in it." for i in range(lines))
+        rows = spark.createDataFrame([("p", text)], "path string, text string").select("path", text_blocks(F.col("text")).alias("blocks"))
+        start = time.perf_counter()
+        assert chunk(rows, 24).agg(F.sum("num_tokens")).first()[0] >= 9 * lines
+        return time.perf_counter() - start
+
+    seconds(1000)
+    short, long = seconds(8000), seconds(64000)
+    assert long < 24 * max(short, 0.25)

@@ -25,7 +25,7 @@ from tabularium.operators.upsert import keyed_merge, keyed_upsert, upsert_counts
 from tabularium.session import shared_path
 from tabularium.sources.collection import collection
 from tabularium.sources.keyed import KeyedTable
-from tabularium.streaming.ingest import IngestTarget, ingest_batch, manifest_table, remove_missing
+from tabularium.streaming.ingest import IngestTarget, ingest_batch, ingest_files, manifest_table, remove_missing
 
 
 
@@ -197,3 +197,40 @@ def test_ingest_twice_is_ingest_once(spark):
     assert [r["file_path"] for r in remove_missing(listing, target).collect()] == ["b"]
     assert sorted(r["file_path"] for r in manifest_table(spark, target.manifest).read().collect()) == ["a", "c"]
     assert [r["source"] for r in points.read().collect()] == ["a"]
+
+
+def test_newest_version_wins_and_ties_are_refused(spark, tmp_path):
+    target = IngestTarget(str(tmp_path / "points"), str(tmp_path / "manifest"))
+    rows = [("a", "first", 1), ("a", "second", 2), ("b", "only", 1), ("b", "only", 1)]
+    files = spark.createDataFrame(rows, "path string, text string, at int").selectExpr("path", "text", "timestamp_seconds(at) AS modified_at")
+    ingest_batch(files, target)
+    texts = {r["source"]: r["text"] for r in collection(spark, target.collection).read().collect()}
+    assert texts == {"a": "second", "b": "only"}
+    with pytest.raises(ValueError, match="equally new"):
+        ingest_batch(spark.createDataFrame([("c", "x"), ("c", "y")], "path string, text string"), target)
+
+
+def test_failed_file_is_recorded_and_retried(spark, tmp_path):
+    target = IngestTarget(str(tmp_path / "points"), str(tmp_path / "manifest"))
+
+    def files(content):
+        rows = [("a.txt", bytearray(b"plain")), ("b.odd", bytearray(content))]
+        return spark.createDataFrame(rows, "path string, content binary").selectExpr("path", "content", "md5(content) AS file_hash", "length(content) AS file_size")
+
+    def parser(content, path):
+        if content == b"broken":
+            raise ValueError("cannot read it")
+        return [([], content.decode(), None)]
+
+    def state():
+        manifest = {r["file_path"]: (r["chunk_count"], r["last_error"]) for r in manifest_table(spark, target.manifest).read().collect()}
+        return manifest, sorted(r["text"] for r in collection(spark, target.collection).read().collect())
+
+    ingest_files(files(b"good"), target, parser=parser)
+    assert state() == ({"a.txt": (1, None), "b.odd": (1, None)}, ["good", "plain"])
+    ingest_files(files(b"broken"), target, parser=parser)
+    manifest, texts = state()
+    assert manifest["b.odd"][0] == 1 and "cannot read it" in manifest["b.odd"][1] and texts == ["good", "plain"]
+    again = {r["file_path"]: r["status"] for r in ingest_files(files(b"better"), target, parser=parser).collect()}
+    assert again == {"a.txt": "unchanged", "b.odd": "modified"}
+    assert state() == ({"a.txt": (1, None), "b.odd": (1, None)}, ["better", "plain"])

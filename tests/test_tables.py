@@ -157,15 +157,23 @@ STATEMENTS = {
     "SELECT * FROM sqlite_master": "internal table",
     "SELECT * FROM nope JOIN b ON 1=1": "unknown tables: nope",
     "SELECT 'from nowhere' FROM a": None,
-    "SELECT EXTRACT(year FROM ts) FROM a": "unknown tables: ts",
-    "SELECT * FROM a, secret": None,
+    "SELECT EXTRACT(year FROM ts) FROM a": None,
+    "SELECT a IS NOT DISTINCT FROM b FROM a": None,
+    "SELECT * FROM a, secret": "unknown tables: secret",
+    "SELECT * FROM a /* , b */ -- JOIN c\n, \"B\"": None,
+    "SELECT '--' AS x FROM a, secret": "unknown tables: secret",
+    "SELECT TRANSFORM(x) USING 'tr 0-9 a-j' AS (y string) FROM a": "script transformation",
+    "SELECT transform(x, y -> y + 1) FROM a JOIN b USING (x)": None,
+    "SELECT * FROM global_temp.secret": "unknown tables: global_temp.secret",
+    "SELECT * FROM (a JOIN (SELECT 1 FROM hidden) h), b": "unknown tables: hidden",
     "SELECT reflect('java.lang.System', 'nanoTime') FROM a": "forbidden function",
-    "SELECT * FROM parquet.`/tmp/x`": "unknown tables: parquet",
+    "SELECT * FROM parquet.`/tmp/x`": "unknown tables: parquet./tmp/x",
 }
 
 
 @pytest.mark.parametrize("extra", [0, 400])
 def test_audit(spark, extra):
+    """One path, however many tables are known; statements need no key.""" 
     statements = spark.createDataFrame(list(enumerate(STATEMENTS)), "stmt_id int, sql string")
     known = spark.createDataFrame([("a",), ("b",), *[(f"t{i}",) for i in range(extra)]], "table_name string")
     judged = {r["sql"]: r["reject_reason"] for r in audit(statements, known).collect()}
@@ -174,8 +182,10 @@ def test_audit(spark, extra):
 
 def test_guarded_run(spark, small):
     tables = {"nation": f"{small}/nation.parquet", "lineitem": f"{small}/lineitem.parquet"}
-    assert run_guarded(spark, "SELECT * FROM lineitem", tables).count() == 200
-    assert run_guarded(spark, "SELECT * FROM lineitem LIMIT 1000", tables).count() == 200
+    everything = spark.read.parquet(tables["lineitem"]).count()
+    assert run_guarded(spark, "SELECT * FROM lineitem", tables).count() == everything
+    assert run_guarded(spark, "SELECT * FROM lineitem LIMIT 1000", tables).count() == 1000
+    assert run_guarded(spark, "SELECT * FROM lineitem LIMIT 1000", tables, max_rows=200).count() == 200
     assert run_guarded(spark, 'SELECT "n_name" FROM nation LIMIT 3;', tables).count() == 3
     spark.read.parquet(f"{small}/region.parquet").createOrReplaceTempView("hidden")
     spark.read.parquet(f"{small}/region.parquet").createOrReplaceGlobalTempView("seen")
@@ -183,11 +193,26 @@ def test_guarded_run(spark, small):
         "SELECT * FROM nation, hidden", "SELECT * FROM nation, global_temp.seen", "DROP TABLE nation",
         f"SELECT * FROM nation, parquet.`{small}/region.parquet`",
         "SELECT reflect('java.lang.System', 'nanoTime') FROM nation", "SELECT FROM WHERE nation",
+        "SELECT TRANSFORM(n_name) USING 'tr a b' AS (x string) FROM nation", "SELECT * FROM nation, range(5)",
+        "SELECT * FROM nation WHERE n_name IN (SELECT r_name FROM global_temp.seen)", "SELECT input_file_name() FROM nation",
     ):
         with pytest.raises(RejectedStatement):
             run_guarded(spark, sql, tables)
 
 
+@pytest.mark.parametrize("sql", [
+    "SELECT TRANSFORM(n_name) USING 'tr a b' AS (x string) FROM nation", "SELECT * FROM nation, global_temp.seen",
+    "SELECT n_name FROM nation WHERE n_nationkey IN (SELECT r_regionkey FROM global_temp.seen)", "SELECT * FROM nation, range(5)",
+    "SELECT java_method('java.lang.System', 'nanoTime') FROM nation",
+])
+def test_plan_check_stands_alone(spark, small, monkeypatch, sql):
+    """What the text check would miss is caught on the plan."""
+    monkeypatch.setattr("tabularium.operators.sqlguard.audit", lambda statements, known: statements.selectExpr("sql AS cleaned_sql", "CAST(NULL AS STRING) AS reject_reason"))
+    spark.read.parquet(f"{small}/region.parquet").createOrReplaceGlobalTempView("seen")
+    with pytest.raises(RejectedStatement):
+        run_guarded(spark, sql, {"nation": f"{small}/nation.parquet"})
+
+
 def test_describer_reply(spark):
     rows = [('{"description":"d","columns":[{"name":"a","type":"INTEGER"}]}',), ("not json",), ("{}",), (None,)]
     frame = spark.createDataFrame(rows, "reply string")
@@ -205,3 +230,31 @@ def test_unreadable_workbook_is_a_record(spark):
 
     row = workbook_rows(files, reader).first()
     assert (row["path"], row["error"], row["cells"]) == ("a.xlsx", "no workbook", None)
+
+
+def test_describer_reply_is_used(spark, tmp_path):
+    file = tmp_path / "costs.csv"
+    file.write_text("a,b\n1,2\n3,4\n5,6\n")
+    store = TableStore(spark, str(tmp_path / "store"))
+
+    def describer(card):
+        return F.lit('{"description": "Costs by year", "columns": [{"name": "b", "type": "TEXT", "description": "euros"}, {"name": "x", "type": "REAL"}]}')
+
+    reply = store.ingest(str(file), "in/costs.csv", "h1", describer).first()
+    assert (reply["description"], reply["row_count"], reply["column_count"]) == ("Costs by year", 3, 2)
+    row = store.schemas([reply["table_id"]]).first()
+    assert row["columns_json"] == '[{"name":"a","type":"INTEGER","description":""},{"name":"b","type":"TEXT","description":"euros"}]'
+    card = store.cards.read().first()["text"]
+    assert card.startswith("Costs by year") and "1 | 2\n3 | 4\n" in card and "5 | 6" not in card
+    broken = store.ingest(str(file), "in/costs.csv", "h2", lambda card: F.lit("Sure, here it is")).first()
+    assert broken["description"] == "Table from costs.csv"
+
+
+def test_answer_tells_what_it_cut(spark, small):
+    schemas = spark.createDataFrame([(0, "t1", "in/nation.csv", None, "nation")], "position int, table_id string, source_path string, sheet_name string, table_name string")
+    paths = {"nation": f"{small}/nation.parquet"}
+    cut = answer(spark, "SELECT n_name FROM nation", schemas, paths, max_rows=3).first()
+    assert (cut["row_count"], cut["truncated"], len(cut["rows"])) == (3, True, 3)
+    assert [tuple(t) for t in cut["tables"]] == [("t1", "in/nation.csv", None, "nation")]
+    whole = answer(spark, "SELECT n_name FROM nation", schemas, paths).first()
+    assert (whole["row_count"], whole["truncated"]) == (25, False)
