@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabularium.llm.registry import contract, read, row_key
+from tabularium.llm.registry import contract, read
 from tabularium.operators.ranking import top_k
 from tabularium.session import shared_path
 
@@ -110,6 +110,8 @@ def format_paths(nodes: DataFrame, branches: int | None = 1, loss_role: str = "a
         "tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"),
     )
+    # Read by every join below: what made the nodes is worked out once.
+    whole = _kept(nodes.sparkSession, whole, "nodes")
     chosen = paths(whole.select("tree", "node", "parent", "score"), branches)
     head = F.concat(F.lit(_TURN_OPEN), escape(F.col("role")), F.lit(_TURN_HEAD_END))
     pieces = chosen.join(whole.select("tree", "node", "role", "text"), ["tree", "node"]).select(
@@ -168,13 +170,13 @@ def with_extra(conversations: DataFrame) -> DataFrame:
 def chain(conversations: DataFrame) -> DataFrame:
     """Linear conversations as reply trees: each row answers the row before it by turn, then role and text.
 
-    The conversation id is kept in ``conv_id``; a null id is a conversation as any other.
+    The tree is the conversation's id as JSON, so that a null id is a conversation as any other.
     """
     ordered = Window.partitionBy("tree").orderBy("turn", "role", "text")
-    rows = conversations.withColumn("tree", row_key(F.col("conv_id")))
+    rows = conversations.withColumn("tree", F.to_json(F.struct(F.col("conv_id").alias("id"))))
     rows = rows.withColumn("node", F.row_number().over(ordered).cast("long"))
     parent = F.when(F.col("node") > 1, F.col("node") - 1)
-    return rows.select("tree", "conv_id", "node", parent.alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+    return rows.select("tree", "node", parent.alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
 _SQL_EXTRA = EXTRA_TEXT.replace("'", "''")
@@ -197,9 +199,8 @@ FROM lost
 
 @contract("op8_reply_trees", _SQL)
 def op8_reply_trees(spark: SparkSession, folder: str) -> DataFrame:
-    nodes = chain(with_extra(read(spark, folder, "conversations")))
-    names = nodes.filter(F.col("parent").isNull()).select("tree", "conv_id")
-    made = format_paths(nodes).join(names, "tree")
+    made = format_paths(chain(with_extra(read(spark, folder, "conversations"))))
+    made = made.withColumn("conv_id", F.from_json("tree", "id long")["id"])
     turns, loss = parse_formatted(F.col("formatted")), masked_text(F.col("formatted"), F.col("loss_mask"))
     back = made.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss"))
     lines = F.transform("turns", lambda turn: F.concat(turn["role"], F.lit("\n"), turn["text"], F.lit("\n")))
