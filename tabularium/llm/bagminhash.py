@@ -17,10 +17,11 @@ with the bucket's first one only, so buckets of any size make as many pairs as
 they have texts. Pairs are verified by their exact multiset overlap.
 
 Links missed by that star lie between two texts of a bucket of which one at
-least is unlike the first. Verified distances to the first text decide which of
-these pairs can be near at all (distance is a metric); those that can, and are
-not in one class already, are verified as well, in a second round. So every pair
-that shares a band is verified, in one class already, or proved to be apart.
+least is unlike the first. A second round takes the texts of all buckets that
+still hold several classes, finds by exact prefix filtering which of them can be
+similar at all across classes, and verifies those. So every pair that shares a
+band is verified, in one class already, or proved to be apart, and the texts that
+share no more than a common passage make no pairs.
 
 The chance to miss a pair of similarity s is (1 - s^ROWS)^BANDS: below 1e-6 at 0.8.
 """
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabularium.functions.arrays import explode_once
@@ -215,6 +216,56 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("class")).unionByName(roots)
 
 
+def _element_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``content, class, size, element``: a multiset as a set, the k-th copy of a shingle an element of its own."""
+    for batch in batches:
+        classes = dict(zip(batch.column("content").to_pylist(), batch.column("class").to_pylist(), strict=True))
+        for keys, texts in texts_of(iter([batch]), "content"):
+            owner, hashed, weight = shingle_counts(texts)
+            which = np.repeat(np.arange(len(owner)), weight)
+            copy = np.arange(len(which)) - np.repeat(np.cumsum(weight) - weight, weight)
+            element = mixed(hashed[which] + copy.astype(np.uint64) * _LEVEL).view(np.int64)
+            content = np.asarray(keys, np.int64)[owner[which]]
+            own = np.fromiter((classes[key] for key in keys), np.int64, len(keys))[owner[which]]
+            size = np.bincount(owner, weight, len(keys)).astype(np.int64)[owner[which]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (content, own, size, element)], names=["content", "class", "size", "element"])
+
+
+def _across_classes(spark: SparkSession, opened: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a, b`` (a > b): all pairs of ``content, class`` of different classes that can be similar; exact prefix filtering.
+
+    Elements are ordered by how few of the texts have them. If two texts are as
+    similar as asked, the first element in this order that both have is among the
+    first ``size - least common + 1`` of each, where the larger one has to grant
+    for a smaller partner and the smaller for one of its own size at least. What
+    many texts share comes last, so it brings no pairs, unless it is nearly all
+    of a text, and then such texts are similar indeed.
+    """
+    rows = opened.join(texts, "content").select("content", "class", "text").mapInArrow(_element_rows, "content long, class long, size long, element long")
+    rows = _kept(spark, rows, "elements")
+    # The class that most texts with an element are of: they need no look at each other.
+    frequent = rows.groupBy("element", "class").agg(F.count("*").alias("n")).groupBy("element").agg(
+        F.sum("n").alias("df"), F.count("*").alias("classes"), F.max_by("class", F.struct("n", "class")).alias("most")
+    )
+    order = Window.partitionBy("content").orderBy("df", "element")
+    t = SIMILARITY
+    ranked = rows.join(frequent, "element").withColumn("place", F.row_number().over(order))
+    ranked = ranked.filter((F.col("place") <= F.col("size") - F.ceil(t * F.col("size") - 1e-9) + 1) & (F.col("classes") > 1))
+    ranked = ranked.withColumn("early", F.col("place") <= F.col("size") - F.ceil(2 * t / (1 + t) * F.col("size") - 1e-9) + 1)
+    ranked = _kept(spark, ranked.select("content", "class", "size", "element", "most", "place", "early"), "prefixes")
+    left = ranked.filter(F.col("class") != F.col("most")).select("element", *[F.col(c).alias(f"{c}_a") for c in ("content", "class", "size", "place", "early")])
+    right = ranked.select("element", *[F.col(c).alias(f"{c}_b") for c in ("content", "class", "size", "place", "early")])
+    smaller, larger = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    common = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) + F.least("place_a", "place_b")
+    able = (
+        (F.col("class_a") != F.col("class_b")) & (smaller >= t * larger - 1e-9)
+        & F.when(F.col("size_a") < F.col("size_b"), F.col("early_a")).when(F.col("size_b") < F.col("size_a"), F.col("early_b")).otherwise(F.col("early_a") & F.col("early_b"))
+        & (common >= t / (1 + t) * (F.col("size_a") + F.col("size_b")) - 1e-9)
+    )
+    met = left.join(right, (left["element"] == right["element"]) & able)
+    return met.select(F.greatest("content_a", "content_b").alias("a"), F.least("content_a", "content_b").alias("b")).distinct()
+
+
 def near_links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``key, content`` of all rows of ``key, text``, and ``a, b, similarity`` of verified links between contents.
 
@@ -236,22 +287,14 @@ def near_links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = _kept(spark, texts.select("key", "text").join(named, "key").dropDuplicates(["content"]).select("content", "text"), "texts")
     verified = _verified(spark, stars, found)
     classes = components(verified.filter(F.col("similarity") >= SIMILARITY))
-    # Second round: pairs of one bucket that are neither linked to the first text nor in one class.
-    far = 1.0 - SIMILARITY
-    told = rows.join(verified.withColumnsRenamed({"a": "content", "b": "first"}), ["content", "first"])
+    # Second round: texts of buckets that hold several classes still.
+    told = rows.select("band", "content").unionByName(rows.select("band", F.col("first").alias("content")))
     told = told.join(classes.withColumnRenamed("node", "content"), "content", "left").select(
-        "band", "content", (1.0 - F.col("similarity")).alias("distance"), F.coalesce("class", "content").alias("class")
-    )
-    # Only the buckets with members of several classes.
-    mixed_ = told.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("band")
-    told = _kept(spark, told.join(mixed_, "band"), "open")
-    cell = F.floor(F.col("distance") / far).cast("int")
-    left = told.select("band", F.col("content").alias("a"), F.col("distance").alias("da"), F.col("class").alias("ca"), F.explode(F.array(cell, cell + 1)).alias("cell"))
-    right = told.select("band", F.col("content").alias("b"), F.col("distance").alias("db"), F.col("class").alias("cb"), cell.alias("cell"))
-    pairs = left.join(right, ["band", "cell"]).filter(
-        (F.col("ca") != F.col("cb")) & (F.abs(F.col("da") - F.col("db")) <= far) & ((F.floor(F.col("da") / far) < F.col("cell")) | (F.col("a") < F.col("b")))
+        "band", "content", F.coalesce("class", "content").alias("class")
     )
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    several = told.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("band")
+    opened = _kept(spark, told.join(several, "band").select("content", "class").distinct(), "open")
+    pairs = _across_classes(spark, opened, found)
     pairs = pairs.join(verified.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = _verified(spark, pairs, found)
     links = verified.unionByName(more).filter(F.col("similarity") >= SIMILARITY)
