@@ -242,7 +242,7 @@ def test_describer_reply_is_used(spark, tmp_path):
 
     reply = store.ingest(str(file), "in/costs.csv", "h1", describer).first()
     assert (reply["description"], reply["row_count"], reply["column_count"]) == ("Costs by year", 3, 2)
-    row = store.schemas([reply["table_id"]]).first()
+    row = store.registry.read().first()
     assert row["columns_json"] == '[{"name":"a","type":"INTEGER","description":""},{"name":"b","type":"TEXT","description":"euros"}]'
     card = store.cards.read().first()["text"]
     assert card.startswith("Costs by year") and "1 | 2\n3 | 4\n" in card and "5 | 6" not in card
