@@ -16,6 +16,8 @@ from tabularium.operators.sparse import Bm25, sparse_top_k
 
 # Embedded queries and a limit to a ranked dense leg.
 DenseSearch = Callable[[DataFrame, int], DataFrame]
+# queries(query_id, query), limit -> hits
+SparseSearch = Callable[[DataFrame, int], DataFrame]
 
 # Candidates fetched per wanted hit when a reranker follows.
 OVERFETCH = 5
@@ -68,12 +70,13 @@ def retrieve(
     embedder: Embedder | None = None,
     stats: DataFrame | None = None,
     dense_search: DenseSearch | None = None,
+    sparse_search: SparseSearch | None = None,
 ) -> DataFrame:
     """Fused hits ``query_id, id, score, rank`` before any reranking.
 
     A corpus that already carries a ``dense`` column, or stored sparse vectors,
-    is neither embedded nor tokenised again. ``dense_search`` takes the place of
-    the full scan of the dense leg, e.g. a search in stored cells.
+    is neither embedded nor tokenised again. ``dense_search`` and ``sparse_search``
+    take the place of the legs' scans, e.g. searches in stored cells and postings.
     """
     embedder = embedder or hashing_embedder(options.dimension)
     asked = queries.select("query_id", embedder(F.col("query")).alias("dense"))
@@ -82,7 +85,10 @@ def retrieve(
     else:
         points = corpus if "dense" in corpus.columns else embed(corpus.select("id", "text"), embedder)
         dense = dense_top_k(points, asked, options.leg_limit, options.dimension)
-    sparse = sparse_top_k(corpus, sparse_input(queries), options.leg_limit, params=options.bm25, stats=stats)
+    if sparse_search is not None:
+        sparse = sparse_search(sparse_input(queries), options.leg_limit)
+    else:
+        sparse = sparse_top_k(corpus, sparse_input(queries), options.leg_limit, params=options.bm25, stats=stats)
     return fuse(
         union_legs(dense=dense, sparse=sparse), options.retrieval_limit, options.rrf_k, options.score_threshold
     )
@@ -101,13 +107,14 @@ def hybrid_search(
     scorer: Scorer = overlap_scorer,
     stats: DataFrame | None = None,
     dense_search: DenseSearch | None = None,
+    sparse_search: SparseSearch | None = None,
 ) -> DataFrame:
     """Answer ``queries(query_id, query[, keywords])`` from ``corpus(id, text[, metadata, dense])``.
 
     Returns ``query_id, id, score, rank, text[, metadata], reranked``. The scorer
     sees only fused candidates, never the corpus.
     """
-    hits = retrieve(corpus, queries, options, embedder, stats, dense_search)
+    hits = retrieve(corpus, queries, options, embedder, stats, dense_search, sparse_search)
     columns = ["id", "text"] + (["metadata"] if "metadata" in corpus.columns else [])
     found = with_texts(hits, corpus.select(*columns))
     if options.rerank:

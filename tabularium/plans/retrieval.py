@@ -12,12 +12,13 @@ from tabularium.operators.cells import assign_cells, cell_top_k, measure_cells,
 from tabularium.operators.context import assemble, document_citation
 from tabularium.operators.dense import dense_top_k, hashing_embedder
 from tabularium.operators.fusion import fuse, union_legs
+from tabularium.operators.postings import postings_top_k, write_postings
 from tabularium.operators.ranking import top_k
 from tabularium.operators.rerank import apply_ranker_reply, rerank
 from tabularium.operators.routing import route
 from tabularium.operators.search import SearchOptions, hybrid_search, retrieve, sparse_input, with_texts
-from tabularium.operators.sparse import document_frequency, idf, sparse_top_k, sparse_vectors, term_weights
-from tabularium.plans.contract import contract, read
+from tabularium.operators.sparse import corpus_stats, document_frequency, idf, sparse_top_k, sparse_vectors, term_weights
+from tabularium.plans.contract import ORACLES, contract, read
 from tabularium.session import shared_path
 from tabularium.sources.collection import build_points, checked, collection
 from tabularium.workspace import Workspace
@@ -308,6 +309,14 @@ def collection_search(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("query_id", "id", F.round("score", 9).alias("score"), "rank", found["metadata"]["source"].alias("source"))
 
 
+@contract("bm25_postings", ORACLES["bm25_topk"])
+def bm25_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """The sparse leg from stored postings, which are read for the asked terms only."""
+    path, texts = shared_path(spark, "postings"), corpus(spark, sf)
+    write_postings(texts, path)
+    return postings_top_k(spark.read.parquet(path), corpus_stats(texts), questions(spark, sf), 10)
+
+
 @contract(
     "prepared_search",
     f"""WITH {_INDEX}, {_bm25(_ASKED, 16)}, {_EMBEDDINGS}, {_dense(16)}, {_fused(8)}

@@ -21,6 +21,7 @@ from tabularium.operators.cells import (
 from tabularium.operators.chunking import TOKEN_BUDGET, chunk, export_documents
 from tabularium.operators.dense import Embedder, hashing_embedder
 from tabularium.operators.lifecycle import found_files, hash_order, ingest_stats, reconcile_reply
+from tabularium.operators.postings import postings_top_k, write_postings
 from tabularium.operators.rerank import Scorer, overlap_scorer
 from tabularium.operators.search import DOCUMENT_SEARCH, TABLE_SEARCH, SearchOptions, hybrid_search
 from tabularium.operators.sparse import stored_stats
@@ -111,15 +112,17 @@ class Workspace:
 
     def prepare_search(self, name: str = DEFAULT_COLLECTION, cells: int = 0, fraction: float = 1.0) -> None:
         """Write what speeds up searches of the collection as it is now: term
-        statistics and, with ``cells``, a copy of the vectors laid out in cells.
+        statistics, postings and, with ``cells``, a copy of the vectors laid out in cells.
 
-        Both belong to one state of the collection and are not used for another,
+        All belong to one state of the collection and are not used for another,
         so results never depend on whether this was run.
         """
         table = self.collection(name)
         folder, points = f"{self.root}/search/{name}/{table.state()}", table.read()
         if not is_committed(self.spark, f"{folder}/terms"):
             stored_stats(points).write.mode("overwrite").parquet(f"{folder}/terms")
+        if not is_committed(self.spark, f"{folder}/postings"):
+            write_postings(points, f"{folder}/postings")
         if cells and not is_committed(self.spark, f"{folder}/bounds"):
             vectors = points.select("id", "dense")
             centres = train_centres(vectors, cells, self.dimension, fraction)
@@ -138,7 +141,14 @@ class Workspace:
             def dense(asked: DataFrame, limit: int) -> DataFrame:
                 return cell_top_k(placed, bounds, asked, limit)
 
-        return hybrid_search(points, queries, options, self._embedder, self.scorer, stats, dense)
+        sparse = None
+        if is_committed(self.spark, f"{folder}/postings"):
+            postings = read.parquet(f"{folder}/postings")
+
+            def sparse(asked: DataFrame, limit: int) -> DataFrame:
+                return postings_top_k(postings, stats, asked, limit, options.bm25)
+
+        return hybrid_search(points, queries, options, self._embedder, self.scorer, stats, dense, sparse)
 
     # Bookkeeping
 
