@@ -12,16 +12,18 @@ of time and only until all registers are settled, which takes a number of points
 that hardly depends on the length of the text.
 
 Candidates. Signatures are cut in bands. Texts with the same words are one text
-from here on. In a bucket, the texts that share a band, every text is paired
-with the bucket's first one only, so buckets of any size make as many pairs as
-they have texts. Pairs are verified by their exact multiset overlap.
-
-Links missed by that star lie between two texts of a bucket of which one at
-least is unlike the first. A second round takes the texts of all buckets that
-still hold several classes, finds by exact prefix filtering which of them can be
-similar at all across classes, and verifies those. So every pair that shares a
-band is verified, in one class already, or proved to be apart, and the texts that
-share no more than a common passage make no pairs.
+from here on. In a bucket, the texts that share a band, every text is paired with
+one other only, the bucket's centre, so buckets of any size make as many pairs as
+they have texts. Pairs are verified by their exact multiset overlap, and linked
+texts become one class. ``STARS`` rounds, each with other centres, which are drawn
+from the texts with most links, join what is near in buckets of many; texts of
+the centre's class need no pair.
+
+Links missed by the stars lie between texts of a bucket that holds several
+classes still. Those texts are searched by exact prefix filtering for pairs across
+classes, which are verified too. So every pair that shares a band is verified, in
+one class already, or proved to be apart, and texts that share no more than a
+common passage make no pairs.
 
 The chance to miss a pair of similarity s is (1 - s^ROWS)^BANDS: below 1e-6 at 0.8.
 """
@@ -47,6 +49,8 @@ SIMILARITY = 0.8
 BANDS = 26
 ROWS = 4
 REGISTERS = BANDS * ROWS
+# Rounds of stars before the exact search; they decide the work, not the result.
+STARS = 3
 
 # Odd multipliers that tell level, point and purpose apart.
 _LEVEL, _POINT, _REGISTER, _HEIGHT, _BAND = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
@@ -199,6 +203,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     spark = links.sparkSession
     edges = _kept(spark, links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "links")
+    before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -208,12 +213,24 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(least, "a")
         small = hung.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a > b")
-        after = _kept(spark, small.distinct(), "small")
-        same = after.count() == edges.count() and after.exceptAll(edges).isEmpty()
-        edges = after
-        if same:
+        edges = _kept(spark, small.distinct(), "small")
+        # The edges' number and the sum of their hashes: equal only if nothing changed.
+        now = edges.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))).alias("sum")).first()
+        if now == before:
             roots = edges.select(F.col("b").alias("node")).distinct().withColumn("class", F.col("node"))
             return edges.select(F.col("a").alias("node"), F.col("b").alias("class")).unionByName(roots)
+        before = now
+
+
+def _merged(spark: SparkSession, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``content, class`` after the classes that ``links(a, b)`` connect have become one."""
+    of_a, of_b = (classes.select(F.col("content").alias(x), F.col("class").alias(f"class_{x}")) for x in "ab")
+    edges = links.select("a", "b").join(of_a, "a").join(of_b, "b").filter("class_a != class_b")
+    edges = _kept(spark, edges.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct(), "merges")
+    if edges.isEmpty():
+        return classes
+    renamed = components(edges).select(F.col("node").alias("class"), F.col("class").alias("joined"))
+    return _kept(spark, classes.join(renamed, "class", "left").select("content", F.coalesce("joined", "class").alias("class")), "classes")
 
 
 def _element_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,12 +283,12 @@ def _across_classes(spark: SparkSession, opened: DataFrame, texts: DataFrame) ->
     return met.select(F.greatest("content_a", "content_b").alias("a"), F.least("content_a", "content_b").alias("b")).distinct()
 
 
-def near_links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``key, content`` of all rows of ``key, text``, and ``a, b, similarity`` of verified links between contents.
+def near_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``key, content`` of all rows of ``key, text``, and ``content, class`` of the contents that share a band with others.
 
-    Contents stand for texts with the same words. The links connect exactly the
-    contents that a chain of links of at least ``SIMILARITY`` connects, as far as
-    bands bring them together; links within a class need not all be there.
+    Contents stand for texts with the same words. Two contents are of one class
+    exactly if a chain of links of at least ``SIMILARITY`` connects them, as far
+    as bands bring them together.
     """
     spark = texts.sparkSession
     sketches = _kept(spark, texts.select("key", "text").mapInArrow(_sketcher, "key long, content long, bands array<long>"), "sketches")
@@ -279,26 +296,35 @@ def near_links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     distinct = sketches.groupBy("content").agg(F.min("key").alias("key"))
     banded = sketches.join(distinct, ["content", "key"], "left_semi").select("content", "bands")
     banded = explode_once(banded.dropDuplicates(["content"]), F.col("bands"), "band").select("band", "content")
-    buckets = banded.groupBy("band").agg(F.min("content").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    rows = _kept(spark, banded.join(buckets, "band").filter("content != first"), "rows")
-    stars = rows.select(F.col("content").alias("a"), F.col("first").alias("b")).distinct()
-    wanted = rows.select("content").unionByName(rows.select(F.col("first").alias("content"))).distinct()
-    named = distinct.join(wanted, "content")
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
+    rows = _kept(spark, banded.join(shared, "band"), "rows")
+    classes = _kept(spark, rows.select("content").distinct().withColumn("class", F.col("content")), "classes")
+    named = distinct.join(classes.select("content"), "content")
     found = _kept(spark, texts.select("key", "text").join(named, "key").dropDuplicates(["content"]).select("content", "text"), "texts")
-    verified = _verified(spark, stars, found)
-    classes = components(verified.filter(F.col("similarity") >= SIMILARITY))
-    # Second round: texts of buckets that hold several classes still.
-    told = rows.select("band", "content").unionByName(rows.select("band", F.col("first").alias("content")))
-    told = told.join(classes.withColumnRenamed("node", "content"), "content", "left").select(
-        "band", "content", F.coalesce("class", "content").alias("class")
-    )
+    verified = None
+    for star in range(STARS):
+        told = rows.join(classes, "content").withColumn("level", F.lit(0.0))
+        if verified is not None:
+            ends = verified.filter(F.col("similarity") >= SIMILARITY).select(F.explode(F.array("a", "b")).alias("content"))
+            linked = ends.groupBy("content").agg(F.floor(F.log2(F.count("*") + 1.0)).cast("double").alias("links"))
+            told = told.join(linked, "content", "left").withColumn("level", F.coalesce("links", "level"))
+        # Among the texts with most links so far: what many copies were made from is near to each of them.
+        centre = F.max(F.struct("level", F.xxhash64("content", F.lit(star)).alias("draw"), "content", "class"))
+        buckets = told.groupBy("band").agg(centre.alias("first"), F.min("class").alias("lo"), F.max("class").alias("hi"))
+        buckets = buckets.filter("lo < hi").select("band", F.col("first.content").alias("first"), F.col("first.class").alias("of"))
+        pairs = told.join(buckets, "band").filter("class != of").select(F.greatest("content", "first").alias("a"), F.least("content", "first").alias("b")).distinct()
+        if verified is not None:
+            pairs = pairs.join(verified.select("a", "b"), ["a", "b"], "left_anti")
+        fresh = _verified(spark, pairs, found)
+        verified = fresh if verified is None else verified.unionByName(fresh)
+        classes = _merged(spark, classes, fresh.filter(F.col("similarity") >= SIMILARITY))
+    # The rest: texts of buckets that hold several classes still.
+    told = rows.join(classes, "content")
     several = told.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("band")
     opened = _kept(spark, told.join(several, "band").select("content", "class").distinct(), "open")
-    pairs = _across_classes(spark, opened, found)
-    pairs = pairs.join(verified.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = _verified(spark, pairs, found)
-    links = verified.unionByName(more).filter(F.col("similarity") >= SIMILARITY)
-    return members, _kept(spark, links, "all")
+    pairs = _across_classes(spark, opened, found).join(verified.select("a", "b"), ["a", "b"], "left_anti")
+    fresh = _verified(spark, pairs, found)
+    return members, _merged(spark, classes, fresh.filter(F.col("similarity") >= SIMILARITY))
 
 
 def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -314,8 +340,7 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     """
     documents = documents.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     documents = documents.withColumn("key", row_key(F.col("id"), F.col("text")))
-    members, links = near_links(documents)
-    classes = components(links).withColumnRenamed("node", "content")
+    members, classes = near_classes(documents)
     contents = members.distinct().join(classes, "content", "left").select("key", F.coalesce("class", "content").alias("class"))
     rows = documents.select("id", "key").join(contents, "key")
     named = rows.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
