@@ -1,18 +1,20 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
-
-Examples are labelled documents, as vectors of informative terms. Terms are words
-and word beginnings, so that inflections of one stem meet; a term is informative
-if its presence among the examples depends on the label (a G-test) and raises
-the odds of the label. The index holds, per term, postings in blocks of examples,
-and the largest weight of each block. A text's neighbours are found block by
-block, in the order of what a block can reach at most, until the k-th neighbour is
-better than that: the result is that of a full scan. The neighbours' labels are
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index.
+
+Examples are labelled documents, as vectors of all their words, normalised over the
+whole text; words that no example has count in the norm too. A term weighs more, by
+the logarithm of a G-test, if its presence among the examples depends on the label,
+whichever label that is; no word weighs less than its TF-IDF. Beginnings of words,
+so that inflections of one stem meet, are terms beside the words: at half weight at
+most, and only those of several words that tell the label. The index holds postings
+per term. As all words count, every example that shares a word with a text has a
+cosine, and all of them are worked out, for a few texts at once: by postings, and for
+the most widespread terms by one product of matrices. The neighbours' labels are
 voted by similarity, and the votes turned into a probability by a fit to the
 examples' own leave-one-out votes.
 
-Examples are a bounded sample (``EXAMPLES``, smallest hashes of the id first) and
-terms are at most ``TERMS``, so that the index has a bounded size and can be sent to
-all tasks. Every document is scored, on its whole text.
+Examples are a bounded sample (``EXAMPLES``, smallest hashes of the id first), so
+that the index can be sent to all tasks; it grows with the examples' texts, not with
+the corpus. Every document is scored, on its whole text.
 """
 
 from __future__ import annotations
@@ -21,10 +23,13 @@ import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from hashlib import sha256
 from math import exp, log, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,17 +40,21 @@ from tabularium.llm.words import plain, texts_of
 
 # Labelled documents used as examples, at most; about 16 bytes a posting.
 EXAMPLES = 20_000
-# Informative terms kept, at most, strongest first.
+# Word beginnings kept, at most, strongest first. Words are all kept.
 TERMS = 4096
-# Bytes of the word beginnings that are terms besides the whole word.
+# Bytes of the word beginnings that are terms besides the whole word, their weight
+# beside that of a word, and of how many different words they are the beginning.
 STEMS = (4, 5, 6)
-# Least G statistic of an informative term (chance below 1e-6), and least odds ratio.
+STEM_WEIGHT = 0.5
+LEAST_WORDS = 2
+# Least G statistic of an informative term (chance below 1e-6).
 LEAST_G = 24.0
-LEAST_ODDS = 4.0
-# Neighbours that vote, examples in a block, and weight of the prior among the votes.
+# Neighbours that vote, and weight of the prior among the votes.
 NEIGHBOURS = 15
-BLOCK = 64
 PRIOR = 0.5
+# Texts scored at once, and terms that are also kept as rows of a matrix.
+GROUP = 32
+COMMON = 256
 
 
 def terms_of(text: bytes) -> Counter:
@@ -68,54 +77,103 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Index:
-    """Examples as weighted postings by term, in blocks; made on the driver from at most ``EXAMPLES`` x ``TERMS`` cells."""
+    """Examples as weighted postings by term; made on the driver from the words of at most ``EXAMPLES`` texts.
 
-    places: dict[bytes, int]
-    idf: np.ndarray
+    Terms are lines: a few large values are sent to tasks, no dictionary.
+    """
+
+    terms: bytes
+    gains: np.ndarray
+    unseen: float
     starts: np.ndarray
     postings: np.ndarray
     weights: np.ndarray
-    most: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
     base: float
     slope: float = 1.0
     shift: float = 0.0
 
-    def weigh(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    def __getstate__(self) -> dict:
+        return {name: value for name, value in self.__dict__.items() if name not in ("common", "begun", "places")}
+
+    @cached_property
+    def places(self) -> dict[bytes, int]:
+        return {term: i for i, term in enumerate(self.terms.split(b"\n"))} if self.terms else {}
+
+    @cached_property
+    def common(self) -> tuple[np.ndarray, np.ndarray]:
+        """Per term its row or -1, and the rows: weights in all examples of the most widespread terms."""
+        widest = np.argsort(-np.diff(self.starts), kind="stable")[:COMMON]
+        row = np.full(len(self.gains), -1, np.int32)
+        row[widest] = np.arange(len(widest))
+        rows = np.zeros((len(widest), len(self.ids)))
+        for i, term in enumerate(widest.tolist()):
+            own = slice(self.starts[term], self.starts[term + 1])
+            rows[i, self.postings[own]] = self.weights[own]
+        return row, rows
+
+    @cached_property
+    def begun(self) -> set[bytes]:
+        return {term[: STEMS[0]] for term in self.places if term[:1] != b" "}
+
+    def counts(self, text: bytes) -> tuple[dict[int, int], float]:
+        """Counts of the terms of a text, and the squared weight of its words that no example has."""
+        found: dict[int, int] = {}
+        other = 0.0
+        for word, n in Counter(plain(text).split()).items():
+            place = self.places.get(b" " + word)
+            if place is None:
+                other += ((1 + log(n)) * self.unseen) ** 2
+            else:
+                found[place] = n
+            if word[: STEMS[0]] in self.begun:
+                for size in STEMS:
+                    if len(word) >= size and (place := self.places.get(word[:size])) is not None:
+                        found[place] = found.get(place, 0) + n
+        return found, other
+
+    def weigh(self, counts: dict[int, int], other: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         at = np.fromiter(sorted(counts), np.int64, len(counts))
-        weights = np.array([(1 + log(counts[t])) * self.idf[t] for t in at.tolist()])
-        return at, weights / sqrt(float((weights**2).sum()))
-
-    def neighbours(self, at: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        n = np.fromiter((counts[t] for t in at.tolist()), np.float64, len(counts))
+        weights = (1 + np.log(n)) * self.gains[at]
+        return at, weights / (sqrt(float((weights**2).sum()) + other) or 1.0)
+
+    def _best(self, sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        places = np.flatnonzero(sums > 0)
+        if len(places) > k:
+            # Those that are equal when rounded stay.
+            values = sums[places]
+            places = places[values >= np.partition(values, len(values) - k)[len(values) - k] - 1e-11]
+        cosines = np.round(sums[places], 12)
+        best = np.lexsort((places, -cosines))[:k]
+        return places[best], cosines[best]
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: tuple[int, ...] = ()) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``neighbours`` of up to ``GROUP`` vectors."""
+        row, rows = self.common
+        # Always as many, so that a text's product does not depend on those beside it.
+        asked = np.zeros((GROUP, len(rows)))
+        for i, (at, weights) in enumerate(vectors):
+            own = row[at]
+            asked[i, own[own >= 0]] = weights[own >= 0]
+        sums = asked @ rows
+        found = []
+        for i, (at, weights) in enumerate(vectors):
+            rare = row[at] < 0
+            spans = list(map(slice, self.starts[at[rare]].tolist(), self.starts[at[rare] + 1].tolist()))
+            if spans:
+                places = np.concatenate([self.postings[span] for span in spans])
+                parts = np.concatenate([weight * self.weights[span] for weight, span in zip(weights[rare].tolist(), spans, strict=True)])
+                sums[i] += np.bincount(places, parts, minlength=len(self.ids))
+            if but:
+                sums[i, but[i]] = 0
+            found.append(self._best(sums[i], k))
+        return found
+
+    def neighbours(self, at: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` examples with the largest cosine, without zeros; ties go to the smaller place."""
-        reach = weights @ self.most[at]
-        order = np.argsort(-reach, kind="stable")
-        order = order[reach[order] > 0]
-        found = np.zeros(0, np.int64)
-        cosines = np.zeros(0)
-        step, done = 8, 0
-        while done < len(order):
-            # Ties at the k-th cosine may lie in any block that can reach it.
-            if len(found) >= k and reach[order[done]] < cosines[k - 1] - 1e-12:
-                break
-            blocks = np.sort(order[done : done + step])
-            done += step
-            step *= 2
-            sums = np.zeros(len(blocks) * BLOCK)
-            for term, weight in zip(at.tolist(), weights.tolist(), strict=True):
-                own = slice(self.starts[term], self.starts[term + 1])
-                block, inside = np.divmod(self.postings[own], BLOCK)
-                spot = np.minimum(np.searchsorted(blocks, block), len(blocks) - 1)
-                here = blocks[spot] == block
-                sums[spot[here] * BLOCK + inside[here]] += weight * self.weights[own][here]
-            some = np.flatnonzero(sums > 0)
-            places = blocks[some // BLOCK] * BLOCK + some % BLOCK
-            places, values = places[places != but], np.round(sums[some], 12)[places != but]
-            found, cosines = np.concatenate((found, places)), np.concatenate((cosines, values))
-            best = np.lexsort((found, -cosines))[:k]
-            found, cosines = found[best], cosines[best]
-        return found, cosines
+        return self.nearest([(at, weights)], k)[0]
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
         """Share of toxic neighbours by similarity, drawn to the share of all examples."""
@@ -124,9 +182,10 @@ class Index:
     def calibrated(self, vote: float) -> float:
         return 1.0 / (1.0 + exp(-max(-30.0, min(30.0, self.slope * log(vote / (1 - vote)) + self.shift))))
 
-    def score(self, counts: dict[int, int], k: int) -> tuple[float, np.ndarray, np.ndarray]:
-        found, cosines = self.neighbours(*self.weigh(counts), k)
-        return self.calibrated(self.vote(found, cosines)), found, cosines
+    def scores(self, texts: list[bytes], k: int) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        for first in range(0, len(texts), GROUP):
+            for found, cosines in self.nearest([self.weigh(*self.counts(text)) for text in texts[first : first + GROUP]], k):
+                yield self.calibrated(self.vote(found, cosines)), found, cosines
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
@@ -144,73 +203,86 @@ def _logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float,
     return max(0.1, float(slope)), float(shift)
 
 
+def _informative(seen: Column, marked: Column, good: int, bad: int) -> Column:
+    """G statistic of a 2 x 2 table of presence and label; cells of zero add nothing."""
+    total = float(good + bad)
+    a, b = marked.cast("double"), (seen - marked).cast("double")
+    c, d = F.lit(float(bad)) - a, F.lit(float(good)) - b
+
+    def part(cell, row, column):
+        return F.when(cell > 0, cell * F.log(cell * total / (row * float(column)))).otherwise(0.0)
+
+    return 2 * (part(a, a + b, bad) + part(b, a + b, good) + part(c, c + d, bad) + part(d, c + d, good))
+
+
 def build_index(examples: DataFrame, k: int = NEIGHBOURS) -> Index:
     """The index over ``id, text, toxic``, at most ``EXAMPLES`` rows with ids of their own.
 
-    Terms are counted and tested as a distributed job; the driver gets the kept
-    terms' postings. Without any example of either label the index is empty.
+    Terms are counted and tested as a distributed job; the driver gets the postings
+    of all words and of the kept beginnings. Without any example of either label the
+    index is empty.
     """
     spark = examples.sparkSession
-    sizes = {row["toxic"]: row["n"] for row in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    bad, good = sizes.get(1, 0), sizes.get(0, 0)
-    total = bad + good
+    marked = sorted((row["id"], row["toxic"]) for row in examples.select("id", "toxic").collect())
+    total, bad = len(marked), sum(label for _, label in marked)
+    good = total - bad
     base = (bad + 0.5) / (total + 1)
-    empty = Index({}, np.zeros(0), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 1)), np.zeros(0, np.int64), np.zeros(0), base)
+    empty = Index(b"", np.zeros(0), 1.0, np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), base)
     if not bad or not good:
         return empty
     rows = examples.select("id", "text").mapInArrow(_term_rows, "id long, term binary, n long")
-    rows = rows.join(F.broadcast(examples.select("id", "toxic")), "id")
+    numbers = spark.createDataFrame([(i, number, label) for number, (i, label) in enumerate(marked)], "id long, number int, toxic int")
+    rows = rows.join(F.broadcast(numbers), "id")
+    is_word = F.substring("term", 1, 1) == F.lit(bytearray(b" "))
+    informative = _informative(F.col("df"), F.col("bad"), good, bad)
     counts = rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("bad"))
-    # A 2 x 2 table of presence and label; cells of zero add nothing.
-    a, b = F.col("bad").cast("double"), (F.col("df") - F.col("bad")).cast("double")
-    c, d = F.lit(float(bad)) - a, F.lit(float(good)) - b
-
-    def part(seen, row, column):
-        return F.when(seen > 0, seen * F.log(seen * float(total) / (row * column))).otherwise(0.0)
-
-    present, absent = a + b, c + d
-    g = 2 * (part(a, present, F.lit(float(bad))) + part(b, present, F.lit(float(good))) + part(c, absent, F.lit(float(bad))) + part(d, absent, F.lit(float(good))))
-    odds = (a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))
-    kept = counts.withColumn("g", g).filter((F.col("g") >= LEAST_G) & (odds >= LEAST_ODDS)).orderBy(F.col("g").desc(), "term").limit(TERMS)
-    table = [(bytes(row["term"]), row["df"]) for row in kept.collect()]
-    if not table:
+    sizes = F.explode(F.array(*map(F.lit, STEMS)))
+    begun = counts.filter(is_word).select("term", sizes.alias("size")).filter(F.length("term") > F.col("size"))
+    begun = begun.groupBy(F.expr("substring(term, 2, size)").alias("term")).agg(F.count("*").alias("words"))
+    stems = counts.filter(~is_word).withColumn("g", informative).filter(F.col("g") >= LEAST_G).join(begun.filter(F.col("words") >= LEAST_WORDS), "term")
+    stems = stems.orderBy(F.col("g").desc(), "term").limit(TERMS).select("term", "words").collect()
+    kept = spark.createDataFrame([(bytearray(row["term"]), row["words"]) for row in stems], "term binary, words long")
+    held = rows.join(F.broadcast(kept), "term", "left").filter(is_word | F.col("words").isNotNull())
+    held = held.groupBy("term").agg(
+        F.count("*").alias("df"), F.sum("toxic").alias("bad"), F.first("words").alias("words"),
+        F.sort_array(F.collect_list(F.struct("number", F.col("n").cast("int").alias("n")))).alias("held"),
+    )
+    # In the order of terms and, within a term, of examples.
+    table = held.orderBy("term").select("term", "df", informative.alias("g"), "words", "held").toArrow()
+    if not table.num_rows:
         return empty
-    terms = F.broadcast(spark.createDataFrame([(i, bytearray(t)) for i, (t, _) in enumerate(table)], "place int, term binary"))
-    cells = rows.join(terms, "term").select("id", "place", "n", "toxic").toPandas()
-    idf = np.array([log((total + 1) / (df + 1)) + 1 for _, df in table])
-    cells["weight"] = (1 + np.log(cells["n"].to_numpy(float))) * idf[cells["place"].to_numpy()]
-    norm = np.sqrt((cells["weight"] ** 2).groupby(cells["id"]).transform("sum"))
-    cells["weight"] /= norm
-    # Examples with the same strongest term stand together: blocks differ more in what they can reach.
-    top = cells.sort_values(["id", "weight", "place"], ascending=[True, False, True]).drop_duplicates("id")
-    top = top.sort_values(["place", "weight", "id"], ascending=[True, False, True])
-    number = dict(zip(top["id"].tolist(), range(len(top)), strict=True))
-    cells["number"] = cells["id"].map(number)
-    cells = cells.sort_values(["place", "number"])
-    starts = np.searchsorted(cells["place"].to_numpy(), np.arange(len(table) + 1))
-    postings, weights = cells["number"].to_numpy(np.int64), cells["weight"].to_numpy()
-    most = np.zeros((len(table), -(-len(top) // BLOCK)))
-    np.maximum.at(most, (cells["place"].to_numpy(), postings // BLOCK), weights)
-    index = Index({t: i for i, (t, _) in enumerate(table)}, idf, starts, postings, weights, most, top["id"].to_numpy(), top["toxic"].to_numpy(float), base)
-    # Leave one out: each example is judged by the others. Those without terms share one vote.
-    votes, truths, times = [], [], []
-    by_example = cells.sort_values(["number", "place"])
-    bounds = np.searchsorted(by_example["number"].to_numpy(), np.arange(len(top) + 1))
-    places, values = by_example["place"].to_numpy(), by_example["weight"].to_numpy()
-    for i in range(len(top)):
-        own = slice(bounds[i], bounds[i + 1])
-        votes.append(index.vote(*index.neighbours(places[own], values[own], k, but=i)))
-        truths.append(index.labels[i])
-        times.append(1.0)
-    none = index.vote(np.zeros(0, np.int64), np.zeros(0))
-    bare_bad = bad - float(index.labels.sum())
-    for truth, n in ((1.0, bare_bad), (0.0, total - len(top) - bare_bad)):
-        if n:
-            votes.append(none)
-            truths.append(truth)
-            times.append(float(n))
+    # What a word that stands once adds to a text, before the norm.
+    df, told = table["df"].to_numpy(), np.maximum(table["g"].to_numpy() - LEAST_G, 0)
+    gains = (np.log((total + 1) / (df + 1)) + 1) * (1 + np.log1p(told))
+    words = table["words"].to_numpy()
+    gains = np.where(np.isnan(words), gains, STEM_WEIGHT * (1 - 1 / words) * gains)
+    terms = b"\n".join(table["term"].to_pylist())
+    cells = pc.list_flatten(table["held"])
+    postings, counted = (pc.struct_field(cells, name).to_numpy() for name in ("number", "n"))
+    del table, cells
+    pa.default_memory_pool().release_unused()
+    place = np.repeat(np.arange(len(df), dtype=np.int32), df)
+    weights = np.log(counted)
+    del counted
+    weights += 1
+    weights *= gains[place]
+    norms = np.sqrt(np.bincount(postings, weights**2, minlength=total))
+    weights /= norms[postings]
+    starts = np.concatenate(([0], np.cumsum(df)))
+    ids, labels = np.array([i for i, _ in marked]), np.array([label for _, label in marked], float)
+    index = Index(terms, gains, log(total + 1) + 1, starts, postings, weights, ids, labels, base)
+    # Leave one out: each example is judged by the others.
+    votes, truths = [], []
+    order = np.argsort(postings, kind="stable").astype(np.int32)
+    bounds = np.searchsorted(postings, np.arange(total + 1), sorter=order)
+    for first in range(0, total, GROUP):
+        group = range(first, min(first + GROUP, total))
+        own = [order[bounds[i] : bounds[i + 1]] for i in group]
+        for i, (found, cosines) in zip(group, index.nearest([(place[o], weights[o]) for o in own], k, tuple(group)), strict=True):
+            votes.append(index.vote(found, cosines))
+            truths.append(index.labels[i])
     odds_of = np.log(np.array(votes) / (1 - np.array(votes)))
-    index.slope, index.shift = _logistic(odds_of, np.array(truths), np.array(times))
+    index.slope, index.shift = _logistic(odds_of, np.array(truths), np.ones(total))
     return index
 
 
@@ -218,38 +290,17 @@ def _scorer(index: Index, k: int, evidence: int):
     listed = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = {t[1:] for t in index.places if t[:1] == b" "}
-        stems = {size: {t for t in index.places if t[:1] != b" " and len(t) == size} for size in STEMS}
-        bare = index.calibrated(index.vote(np.zeros(0, np.int64), np.zeros(0)))
-        seen: dict[tuple, tuple[float, list]] = {(): (bare, [])}
-
-        def judged(text: bytes) -> tuple[float, list]:
-            all_words = plain(text).split()
-            hits = [w for w in set(all_words) if w in words or any(w[:size] in found for size, found in stems.items())]
-            counts: Counter = Counter()
-            if hits:
-                wanted = set(hits)
-                for word, n in Counter(w for w in all_words if w in wanted).items():
-                    for term in (b" " + word, *(word[:size] for size in STEMS if len(word) >= size)):
-                        if term in index.places:
-                            counts[index.places[term]] += n
-            known = tuple(sorted(counts.items()))
-            if known not in seen:
-                if len(seen) > 50_000:
-                    seen.clear()
-                    seen[()] = (bare, [])
-                score, found, cosines = index.score(counts, k)
-                told = [{"id": int(index.ids[f]), "cosine": float(c), "toxic": int(index.labels[f])} for f, c in zip(found[:evidence], cosines[:evidence], strict=True)]
-                seen[known] = (score, told)
-            return seen[known]
-
+        seen: dict[bytes, tuple[float, list]] = {}
         for batch in batches:
-            scores, told = [], []
-            for value in batch.column("text"):
-                buffer = value.as_buffer()
-                score, near = judged(buffer.to_pybytes() if buffer is not None else b"")
-                scores.append(score)
-                told.append(near)
+            texts = [buffer.to_pybytes() if (buffer := value.as_buffer()) is not None else b"" for value in batch.column("text")]
+            marks = [sha256(text).digest() for text in texts]
+            if len(seen) > 50_000:
+                seen.clear()
+            new = {mark: text for mark, text in zip(marks, texts, strict=True) if mark not in seen}
+            for mark, (score, found, cosines) in zip(new, index.scores(list(new.values()), k), strict=True):
+                told = [{"id": int(index.ids[f]), "cosine": float(c), "toxic": int(index.labels[f])} for f, c in zip(found[:evidence], cosines[:evidence], strict=True)]
+                seen[mark] = (score, told)
+            scores, told = [seen[mark][0] for mark in marks], [seen[mark][1] for mark in marks]
             others = [name for name in batch.schema.names if name != "text"]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(name) for name in others), pa.array(scores, pa.float64()), pa.array(told, listed)], names=[*others, "score", "evidence"]
@@ -285,7 +336,10 @@ def _scored(rows: DataFrame, index: Index, k: int, evidence: int) -> DataFrame:
     fields = [field for field in rows.schema.fields if field.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _scorer(pickle.loads(shared.value), k, evidence)(batches)
+        # One index per Python worker, not per task.
+        if "index" not in shared.__dict__:
+            shared.index = pickle.loads(shared.value)
+        yield from _scorer(shared.index, k, evidence)(batches)
 
     return rows.mapInArrow(run, StructType([*fields, StructField("score", DoubleType()), StructField("evidence", ArrayType(near))]))
 
@@ -293,7 +347,7 @@ def _scored(rows: DataFrame, index: Index, k: int, evidence: int) -> DataFrame:
 def score_toxicity(documents: DataFrame, index: Index, id_column: str = "doc_id", text_column: str = "text", k: int = NEIGHBOURS, evidence: int = 3) -> DataFrame:
     """``id, score, evidence``: every document's probability of label 1 and its nearest examples.
 
-    Only the text counts. Null, empty and other texts without informative terms
+    Only the text counts. Null, empty and other texts without a word of an example
     get the calibrated share of toxic ones among such examples. Equal texts have
     equal scores; repeated rows are scored each.
     """

@@ -252,3 +252,24 @@ def test_blocks_give_the_result_of_a_full_scan(spark):
         best = best[cosines[best] > 0]
         found, values = index.neighbours(at, weights, 15)
         assert np.allclose(values, cosines[best]) and found.tolist() == best.tolist()
+
+
+def test_clean_texts_with_the_beginning_of_a_toxic_word(spark):
+    draw = np.random.default_rng(5)
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        words = [f"neutral{j}" for j in draw.integers(0, 200, 15)] + ["the", "river", "leads", "to", "a", "garden"][: int(draw.integers(0, 7))]
+        rows.append((i, " ".join(words + (["pathetic", "worthless"][i % 8 // 4 :] if bad else []))))
+        labels.append((i, int(bad)))
+    index = toxicity.fitted(spark, frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert b" river" in index.places and b"path" not in index.places and b"wort" not in index.places
+    long = " ".join(f"neutral{j % 200} unseen{j}" for j in range(20_000))
+    texts = ["the garden path leads to the river", "a book worth reading", "path", f"{long} path", f"{long} worth {long}", long, f"{rows[3][1]} path"]
+    clean = toxicity.score_toxicity(frame(spark, list(enumerate(texts))), index).collect()
+    assert len(clean) == len(texts) and all(r["score"] < 0.5 for r in clean)
+    toxic = toxicity.score_toxicity(frame(spark, [(1, "how pathetic"), (2, f"{rows[3][1]} worthless, pathetic")]), index).collect()
+    assert all(r["score"] >= 0.5 for r in toxic)
+    # The norm is over the whole text, also over words that no example has.
+    alone, beside = (index.neighbours(*index.weigh(*index.counts(text)), 1)[1][0] for text in (b"pathetic", b"pathetic unseen words"))
+    assert beside < 0.95 * alone
