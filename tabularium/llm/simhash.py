@@ -4,7 +4,9 @@
    filter of a fixed number of bits. A window of a document as long as an item can
    only be as similar as asked if it holds so many of the shingles of items of that
    length; the filter tells at least those, so windows with fewer are settled. This
-   drops no window that counts, and leaves few.
+   drops no window that counts, and leaves few. A document with fewer words than an
+   item has one window for that length, the whole document, unless it is too short
+   to be as similar as asked.
 2. The windows left, and the items, get a 64-bit SimHash: the sign, per bit, of the
    sum over the weighted shingles. Fingerprints are cut in blocks; two within a
    radius agree in some block up to the radius divided by the number of blocks, so a
@@ -54,10 +56,10 @@ def _gram(size: int) -> int:
     return min(SHINGLE, size)
 
 
-def least_shared(size: int, similarity: float = SIMILARITY) -> int:
-    """How many shingles two runs of ``size`` words share at least if they are that similar."""
-    shingles = size - _gram(size) + 1
-    return max(1, int(np.ceil(2 * similarity / (1 + similarity) * shingles - 1e-9)))
+def least_shared(size: int, similarity: float = SIMILARITY, words: int | None = None) -> int:
+    """How many shingles an item of ``size`` words and a run of ``words`` (as many, if not given) share at least if they are that similar."""
+    shingles = size + (size if words is None else words) - 2 * (_gram(size) - 1)
+    return max(1, int(np.ceil(similarity / (1 + similarity) * shingles - 1e-9)))
 
 
 def simhash(shingles: np.ndarray) -> int:
@@ -85,7 +87,7 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _window_rows(any_bits, sized_bits, sizes: list[int], filter_bits: int, similarity: float):
-    """``key, start, size, print, shingles`` of the windows that may be similar to an item."""
+    """``key, start, size, words, print, shingles`` of the windows of so many words that may be similar to an item of that size."""
     least = {size: least_shared(size, similarity) for size in sizes}
     mask = np.uint64(filter_bits - 1)
 
@@ -97,7 +99,12 @@ def _window_rows(any_bits, sized_bits, sizes: list[int], filter_bits: int, simil
         known, known_sized = (np.frombuffer(b.value, np.uint64) for b in (any_bits, sized_bits))
         for keys, texts in texts_of(batches):
             words, bounds = plain_words(texts)
-            out: dict[str, list] = {name: [] for name in ("key", "start", "size", "print", "shingles")}
+            out: dict[str, list] = {name: [] for name in ("key", "start", "size", "words", "print", "shingles")}
+
+            def add(text: int, start: int, size: int, n: int, window: np.ndarray) -> None:
+                for column, value in zip(out.values(), (keys[text], start, size, n, simhash(window), window.view(np.int64)), strict=True):
+                    column.append(value)
+
             for gram in sorted({_gram(size) for size in sizes}):
                 if len(words) < gram:
                     continue
@@ -119,13 +126,21 @@ def _window_rows(any_bits, sized_bits, sizes: list[int], filter_bits: int, simil
                     owner = np.searchsorted(bounds, starts, "right") - 1
                     inside = starts + size <= bounds[owner + 1]
                     for start, text in zip(starts[inside].tolist(), owner[inside].tolist(), strict=True):
-                        window = _sized(shingles[start : start + width], size)
-                        out["key"].append(keys[text])
-                        out["start"].append(start - int(bounds[text]))
-                        out["size"].append(size)
-                        out["print"].append(simhash(window))
-                        out["shingles"].append(window.view(np.int64))
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+                        add(text, start - int(bounds[text]), size, size, _sized(shingles[start : start + width], size))
+                # Documents shorter than an item, as a whole.
+                long = [s for s in sizes if _gram(s) == gram]
+                lengths, lasts = np.diff(bounds), bounds[1:] - gram + 1
+                told = np.searchsorted(places, lasts) > np.searchsorted(places, bounds[:-1])
+                for text in np.flatnonzero(told & (lengths >= gram) & (lengths < long[-1])).tolist():
+                    n, whole = int(lengths[text]), shingles[bounds[text] : lasts[text]]
+                    for size in (s for s in long if s > n):
+                        many = least_shared(size, similarity, n)
+                        if many > len(whole):
+                            break
+                        window = _sized(whole, size)
+                        if held(known_sized, window).sum() >= many:
+                            add(text, 0, size, n, window)
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
 
     return run
@@ -179,7 +194,8 @@ def contaminated(
     """``id, key, item_id, start, n_words, hamming, similarity``: one row per document and item found in it.
 
     Words are of letters and digits, A-Z lower-cased. The row tells the most
-    similar window of the item's length, the first of several. ``key`` tells
+    similar window of the item's length, the first of several; a document with fewer
+    words than the item is one window, of ``n_words`` words. ``key`` tells
     documents with one id and different texts apart; equal rows give one row. Null
     and empty texts, and items without words, match nothing; items of fewer than
     ``SHINGLE`` words match where all their words stand. Rows without an item id
@@ -197,7 +213,7 @@ def contaminated(
     any_bits = context.broadcast(_bitmap(bare.mapInArrow(_plain_shingles, "hash long"), filter_bits))
     sized_bits = context.broadcast(_bitmap(items.select(F.explode("shingles").alias("hash")), filter_bits))
     finder = _window_rows(any_bits, sized_bits, sizes, filter_bits, similarity)
-    windows = keyed.select("key", "text").mapInArrow(finder, "key long, start long, size int, print long, shingles array<long>")
+    windows = keyed.select("key", "text").mapInArrow(finder, "key long, start long, size int, words int, print long, shingles array<long>")
     path = shared_path(spark, "windows")
     windows.withColumn("content", F.xxhash64("shingles")).write.parquet(path)
     windows = spark.read.parquet(path)
@@ -214,11 +230,11 @@ def contaminated(
         _similar, "size int, print long, content long, item_id long, hamming int, similarity double"
     )
     verified = verified.filter(F.col("similarity") >= similarity)
-    places = windows.select("key", "start", "size", "print", "content").join(verified, ["size", "print", "content"])
-    best = places.groupBy("key", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("less"), "start", "size", "hamming")).alias("best"))
+    places = windows.select("key", "start", "size", "words", "print", "content").join(verified, ["size", "print", "content"])
+    best = places.groupBy("key", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("less"), "start", "words", "hamming")).alias("best"))
     ids = keyed.select("key", "id").distinct()
     return best.join(ids, "key").select(
-        F.col("id").alias(id_column), "key", "item_id", "best.start", F.col("best.size").alias("n_words"), "best.hamming", (-F.col("best.less")).alias("similarity")
+        F.col("id").alias(id_column), "key", "item_id", "best.start", F.col("best.words").alias("n_words"), "best.hamming", (-F.col("best.less")).alias("similarity")
     )
 
 

@@ -143,6 +143,32 @@ def test_contamination_of_the_table(spark, small, rows_of_table):
     assert got == leaks(rows, items)
 
 
+def short_leaks(rows, items):
+    """Documents shorter than an item, compared as a whole."""
+    out = {}
+    for key, text in rows:
+        for item, wanted in items:
+            words, n = plain(text), len(plain(wanted))
+            size = min(5, n)
+            a, b = (Counter(tuple(w[j : j + size]) for j in range(len(w) - size + 1)) for w in (words, plain(wanted)))
+            if len(words) < n and a and jaccard(a, b) >= 0.8:
+                out[key, item] = (0, len(words), round(jaccard(a, b), 9))
+    return out
+
+
+def test_contamination_of_documents_shorter_than_the_item(spark):
+    words = [f"q{i}" for i in range(59)]
+    items = [(1, " ".join(words)), (2, " ".join(words[:50])), (3, "one two three four five six seven"), (4, "a b c d"), (5, " ".join(["ring"] * 30))]
+    cuts = [words[:-n] for n in range(1, 16)] + [words[n:] for n in range(1, 16)] + [words[n:-n] for n in range(1, 8)]
+    edited = [[w if i != 20 else "other" for i, w in enumerate(cut)] for cut in cuts]
+    texts = [" ".join(cut) for cut in cuts + edited] + ["one two three four five six", "two three four five six seven", "a b c", "q1 q2 q3", " ".join(["ring"] * 27), ""]
+    rows = list(enumerate(texts))
+    found = simhash.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]): (r["start"], r["n_words"], round(r["similarity"], 9)) for r in found}
+    assert got == leaks(rows, items) | short_leaks(rows, items) and len(found) == len(got)
+    assert got[0, 1] == (0, 58, round(54 / 55, 9)) and len(short_leaks(rows, items)) > 40
+
+
 def test_blocks_guarantee_the_radius():
     draw = np.random.default_rng(3)
     for _ in range(200):
