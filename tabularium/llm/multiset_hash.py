@@ -58,7 +58,7 @@ def fingerprints(texts: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     lines = texts.select(*keys, F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("lines"))
     lines = explode_once(lines, F.col("lines"), "line").select(*keys, "line")
     lines = lines.select(
-        *keys, *[F.xxhash64("line", F.lit(i)).alias(f"dense{i}") for i in range(DENSE // 2)],
+        *keys, *[F.conv(F.substring(F.sha2("line", 256), 16 * i + 1, 16), 16, -10).cast("long").alias(f"dense{i}") for i in range(DENSE // 2)],
         F.filter(F.split("line", r"\s+", -1), lambda word: word != "").alias("words"),
     )
     runs = F.transform(

@@ -217,6 +217,14 @@ def test_fingerprints_ignore_order_and_follow_edits(prints):
     assert told["sum"] == told["whole"] and told["rest"] == told["a"]
 
 
+def test_the_wide_part_is_the_whole_digest(prints):
+    rows = {r["key"]: r["fingerprint"]["dense"] for r in prints("one two", "日本 🙂", "", "one two\n日本 🙂").collect()}
+    for key, text in enumerate(("one two", "日本 🙂", "")):
+        digest = hashlib.sha256(text.encode()).digest()
+        assert sorted(rows[key]) == sorted(int.from_bytes(digest[i : i + 4]) for i in range(0, 32, 4))
+    assert rows[3] == [(a + b) % (1 << 32) for a, b in zip(rows[0], rows[1], strict=True)]
+
+
 def test_edit_report(spark, nothing):
     rows = [(3, "gamma delta " * 20), (1, "alpha beta\n" * 9), (7, None), (1, "alpha beta\n" * 9), (None, "no id"), (9, "日本 🙂🙂🙂"), (1, "other")]
     found = multiset_hash.edit_report(frame(spark, rows)).collect()
