@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-_MODULES = ("suffix_runs", "url_rules", "packing", "bagminhash", "multiset_hash", "suffix_trees", "reply_trees", "licenses", "toxicity", "simhash")
+_MODULES = ("suffix_runs", "url_rules", "packing", "bagminhash", "multiset_hash", "suffix_trees", "reply_trees", "licenses", "toxicity", "simhash", "vector_codes", "backoff_lm", "prefix_trie")
 
 
 def contract(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
