@@ -24,7 +24,7 @@ The automaton of a corpus grows with it and is never held anywhere as a whole:
 3. A shard adds up the counts and answers each block in the order it was asked.
 4. A block builds its part of the automaton out of the answers and reads its texts.
 
-Words are told apart by 128 bits of BLAKE2, n-grams of two and more words by 64 bits.
+Words are told apart by 128 bits of BLAKE2, n-grams of two and more words by 60 bits.
 """
 
 from __future__ import annotations
@@ -44,12 +44,14 @@ from tabularium.llm.words import mixed
 from tabularium.session import shared_path
 
 # Tokens of a block; a longer document is a block of its own.
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 20
 # N-grams that a shard adds up at once, about.
 SHARD_GRAMS = 1 << 22
 # The end token: no word holds a space.
 _END = b" "
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+# Bits of a key by n-gram length; sorted keys are sent as differences, so fewer bits are fewer bytes.
+_WORD_BITS, _GRAM_BITS = 64, 60
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -67,7 +69,7 @@ def unpacked(data: bytes) -> np.ndarray:
 
 def _blocks(size: int, id_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "ids", "held", "ends", "tokens", "words", "end", "n"]
+        names = ["block", "ids", "held", "ends", "tokens", "words", "more", "end", "n"]
         part, n_blocks = TaskContext.get().partitionId(), 0
         ids, held, numbers, ends, known, n = [], [], [], [], {_END: 0}, 0
 
@@ -77,8 +79,8 @@ def _blocks(size: int, id_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatc
             place = np.empty(len(order), "<i4")
             place[order] = np.arange(len(order))
             tokens = place[np.concatenate(numbers)]
-            row = [(part << 32) + n_blocks, ids, held, np.array(ends, "<i8").tobytes(), zlib.compress(tokens.tobytes(), 1), digests[order].tobytes(), int(place[0]), n]
-            types = [pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
+            row = [(part << 32) + n_blocks, ids, held, np.array(ends, "<i8").tobytes(), zlib.compress(tokens.tobytes(), 1), digests[order, 0].tobytes(), digests[order, 1].tobytes(), int(place[0]), n]
+            types = [pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), *[pa.binary()] * 4, pa.int32(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
 
         for batch in batches:
@@ -106,24 +108,24 @@ class Grams:
     (-1: none, it would reach into the text before), ``first`` a token where each ends."""
 
     def __init__(self, row: dict, order: int):
-        self.tokens = np.frombuffer(zlib.decompress(row["tokens"]), "<i4").astype(np.int64)
-        self.words = np.frombuffer(row["words"], "<u8").reshape(-1, 2)
+        self.tokens = np.frombuffer(zlib.decompress(row["tokens"]), "<i4")
+        self.words = np.frombuffer(row["words"], "<u8")
         self.ends = np.frombuffer(row["ends"], "<i8")
         self.end, self.held = row["end"], np.array(row["held"], bool)
         self.starts = np.concatenate(([0], self.ends[:-1]))
         self.in_training = np.repeat(~self.held, self.ends - self.starts)
         # What stands before a text is the end of another one, or of none for the first.
-        self.before = np.concatenate(([self.end], self.tokens[:-1]))
-        self.keys, self.at, self.first = [self.words[:, 0]], [self.tokens], [np.zeros(0, np.int64)]
-        key, valid = self.words[self.tokens, 0], np.ones(len(self.tokens), bool)
+        self.before = np.concatenate(([np.int32(self.end)], self.tokens[:-1]))
+        self.keys, self.at, self.first = [self.words], [self.tokens], [np.zeros(0, np.int64)]
+        key, valid = self.words[self.tokens], np.ones(len(self.tokens), bool)
         for length in range(2, order + 1):
-            shorter = np.concatenate((self.words[[self.end], 0], key[:-1])) if length == 2 else np.concatenate((key[:1], key[:-1]))
+            shorter = np.concatenate((self.words[[self.end]], key[:-1])) if length == 2 else np.concatenate((key[:1], key[:-1]))
             if length > 2:
                 valid = np.concatenate(([False], valid[:-1])) & (self.before != self.end)
-            key = mixed((shorter + np.uint64(length)) * _STEP ^ self.words[self.tokens, 0])
+            key = mixed((shorter + np.uint64(length)) * _STEP ^ self.words[self.tokens])
             places = np.flatnonzero(valid)
-            keys, first, inverse = np.unique(key[places], return_index=True, return_inverse=True)
-            at = np.full(len(key), -1, np.int64)
+            keys, first, inverse = np.unique(key[places] >> np.uint64(64 - _GRAM_BITS), return_index=True, return_inverse=True)
+            at = np.full(len(key), -1, np.int32)
             at[places] = inverse
             self.keys.append(keys)
             self.at.append(at)
@@ -140,18 +142,20 @@ def _asked(order: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
                 grams = Grams(row, order)
                 for length in range(1, order + 1):
                     keys, counts = grams.keys[length - 1], grams.counts(length)
-                    shards = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+                    shards = (keys >> np.uint64((_WORD_BITS if length == 1 else _GRAM_BITS) - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
                     edges = np.concatenate((np.flatnonzero(np.diff(shards, prepend=-1)), [len(keys)]))
                     out = []
                     for a, b in zip(edges[:-1], edges[1:], strict=True):
-                        more = grams.words[a:b, 1].tobytes() if length == 1 else b""
-                        out.append((int(shards[a]), row["block"], length, packed(np.diff(keys[a:b], prepend=np.uint64(0))), more, packed(counts[a:b])))
-                    types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["shard", "block", "length", "keys", "more", "counts"])
+                        more = row["more"][8 * a : 8 * b] if length == 1 else b""
+                        out.append((int(shards[a]), row["block"], length, packed(np.diff(keys[a:b], prepend=np.uint64(0))), more, zlib.compress(packed(counts[a:b]), 1)))
+                    if out:
+                        types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["shard", "block", "length", "keys", "more", "counts"])
 
     return run
 
@@ -162,7 +166,8 @@ def _answers(group: pa.Table) -> pa.Table:
     for length in sorted({r["length"] for r in rows}):
         own = [r for r in rows if r["length"] == length]
         keys = np.concatenate([np.cumsum(unpacked(r["keys"]), dtype=np.uint64) for r in own])
-        counts = np.concatenate([unpacked(r["counts"]) for r in own])
+        each = [unpacked(zlib.decompress(r["counts"])) for r in own]
+        counts = np.concatenate(each)
         more = np.concatenate([np.frombuffer(r["more"], "<u8") for r in own]) if length == 1 else None
         order = np.argsort(keys, kind="stable") if more is None else np.lexsort((more, keys))
         fresh = np.concatenate(([True], keys[order[1:]] != keys[order[:-1]]))
@@ -172,9 +177,8 @@ def _answers(group: pa.Table) -> pa.Table:
         total = np.empty(len(keys), np.uint64)
         total[order] = sums[np.cumsum(fresh) - 1]
         others, at = total - counts, 0
-        for r in own:
-            n = (len(r["counts"]) - 1) // r["counts"][0]
-            out.append((r["block"], length, r["shard"], packed(others[at : at + n]), None, None))
+        for r, n in zip(own, map(len, each), strict=True):
+            out.append((r["block"], length, r["shard"], zlib.compress(packed(others[at : at + n]), 1), None, None))
             at += n
         out.append((None, length, own[0]["shard"], None, int((sums > 0).sum()), int(sums.sum())))
     types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
@@ -231,7 +235,7 @@ def _scorer(order: int, prior: float, n_total: int, n_distinct: int) -> Callable
         grams = Grams(row, order)
         counts = []
         for length in range(1, order + 1):
-            others = [unpacked(r["others"]) for r in told if r["length"] == length]
+            others = [unpacked(zlib.decompress(r["others"])) for r in told if r["length"] == length]
             own = grams.counts(length)
             counts.append(own + np.concatenate(others).astype(np.int64) if others else own)
         automaton = Automaton(grams, counts, n_total, n_distinct, prior)
@@ -267,12 +271,12 @@ def score_texts(
     id_sql = texts.schema["id"].dataType.simpleString()
     id_type = texts.limit(0).select("id").toArrow().schema.field("id").type
     path = shared_path(spark, "lm-blocks")
-    schema = f"block long, ids array<{id_sql}>, held array<boolean>, ends binary, tokens binary, words binary, end int, n long"
+    schema = f"block long, ids array<{id_sql}>, held array<boolean>, ends binary, tokens binary, words binary, more binary, end int, n long"
     texts.mapInArrow(_blocks(block_tokens, id_type), schema).write.parquet(path)
     blocks = spark.read.parquet(path)
     n_tokens = blocks.agg(F.sum("n")).first()[0] or 0
     bits = max(0, (n_tokens * order // shard_grams).bit_length())
-    asked = blocks.select("block", "held", "ends", "tokens", "words", "end").mapInArrow(
+    asked = blocks.select("block", "held", "ends", "tokens", "words", "more", "end").mapInArrow(
         _asked(order, bits), "shard int, block long, length int, keys binary, more binary, counts binary"
     )
     path = shared_path(spark, "lm-counts")
@@ -283,7 +287,7 @@ def score_texts(
     replies = answers.filter(F.col("block").isNotNull()).select("block", "length", "shard", "others")
     scorer = _scorer(order, prior, sums["n"] or 0, sums["v"] or 0)
     out = f"id {id_sql}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = blocks.drop("n").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(scorer, out)
+    scored = blocks.drop("n", "more").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(scorer, out)
     return scored.withColumnRenamed("id", id_column)
 
 
