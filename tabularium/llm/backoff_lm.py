@@ -67,20 +67,27 @@ def unpacked(data: bytes) -> np.ndarray:
     return whole.view("<u8").ravel()
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 below 2^32, compressed byte by byte of their value."""
+    return zlib.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _blocks(size: int, id_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "ids", "held", "ends", "tokens", "words", "more", "end", "n"]
+        names = ["block", "ids", "held", "ends", "tokens", "words", "more", "n"]
         part, n_blocks = TaskContext.get().partitionId(), 0
         ids, held, numbers, ends, known, n = [], [], [], [], {_END: 0}, 0
 
         def block() -> pa.RecordBatch:
             digests = np.frombuffer(b"".join(blake2b(w, digest_size=16).digest() for w in known), "<u8").reshape(-1, 2)
-            order = np.lexsort((digests[:, 1], digests[:, 0]))
-            place = np.empty(len(order), "<i4")
-            place[order] = np.arange(len(order))
-            tokens = place[np.concatenate(numbers)]
-            row = [(part << 32) + n_blocks, ids, held, np.array(ends, "<i8").tobytes(), zlib.compress(tokens.tobytes(), 1), digests[order, 0].tobytes(), digests[order, 1].tobytes(), int(place[0]), n]
-            types = [pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), *[pa.binary()] * 4, pa.int32(), pa.int64()]
+            # Words are numbered as they come, which gives frequent ones small numbers.
+            tokens = squeezed(np.concatenate(numbers))
+            row = [(part << 32) + n_blocks, ids, held, np.array(ends, "<i8").tobytes(), tokens, digests[:, 0].tobytes(), digests[:, 1].tobytes(), n]
+            types = [pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), *[pa.binary()] * 4, pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
 
         for batch in batches:
@@ -108,10 +115,15 @@ class Grams:
     (-1: none, it would reach into the text before), ``first`` a token where each ends."""
 
     def __init__(self, row: dict, order: int):
-        self.tokens = np.frombuffer(zlib.decompress(row["tokens"]), "<i4")
-        self.words = np.frombuffer(row["words"], "<u8")
+        words = np.frombuffer(row["words"], "<u8")
+        # Words are numbered anew by the first half of their digest; the few that agree in it keep their order.
+        self.order = np.argsort(words, kind="stable")
+        place = np.empty(len(words), np.int32)
+        place[self.order] = np.arange(len(words))
+        self.tokens, self.words = place[unsqueezed(row["tokens"])], words[self.order]
         self.ends = np.frombuffer(row["ends"], "<i8")
-        self.end, self.held = row["end"], np.array(row["held"], bool)
+        # The end token is the first that a block knows.
+        self.end, self.held = int(place[0]), np.array(row["held"], bool)
         self.starts = np.concatenate(([0], self.ends[:-1]))
         self.in_training = np.repeat(~self.held, self.ends - self.starts)
         # What stands before a text is the end of another one, or of none for the first.
@@ -145,13 +157,14 @@ def _asked(order: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
                 grams = Grams(row, order)
+                rest = np.frombuffer(row["more"], "<u8")[grams.order]
                 for length in range(1, order + 1):
                     keys, counts = grams.keys[length - 1], grams.counts(length)
                     shards = (keys >> np.uint64((_WORD_BITS if length == 1 else _GRAM_BITS) - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
                     edges = np.concatenate((np.flatnonzero(np.diff(shards, prepend=-1)), [len(keys)]))
                     out = []
                     for a, b in zip(edges[:-1], edges[1:], strict=True):
-                        more = row["more"][8 * a : 8 * b] if length == 1 else b""
+                        more = rest[a:b].tobytes() if length == 1 else b""
                         out.append((int(shards[a]), row["block"], length, packed(np.diff(keys[a:b], prepend=np.uint64(0))), more, zlib.compress(packed(counts[a:b]), 1)))
                     if out:
                         types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -271,12 +284,12 @@ def score_texts(
     id_sql = texts.schema["id"].dataType.simpleString()
     id_type = texts.limit(0).select("id").toArrow().schema.field("id").type
     path = shared_path(spark, "lm-blocks")
-    schema = f"block long, ids array<{id_sql}>, held array<boolean>, ends binary, tokens binary, words binary, more binary, end int, n long"
+    schema = f"block long, ids array<{id_sql}>, held array<boolean>, ends binary, tokens binary, words binary, more binary, n long"
     texts.mapInArrow(_blocks(block_tokens, id_type), schema).write.parquet(path)
     blocks = spark.read.parquet(path)
     n_tokens = blocks.agg(F.sum("n")).first()[0] or 0
     bits = max(0, (n_tokens * order // shard_grams).bit_length())
-    asked = blocks.select("block", "held", "ends", "tokens", "words", "more", "end").mapInArrow(
+    asked = blocks.select("block", "held", "ends", "tokens", "words", "more").mapInArrow(
         _asked(order, bits), "shard int, block long, length int, keys binary, more binary, counts binary"
     )
     path = shared_path(spark, "lm-counts")
