@@ -32,6 +32,8 @@ from tabularium.operators.scan import (
 )
 from tabularium.session import shared_path
 
+# Bytes of centres that may be broadcast.
+CENTRE_BYTES = 64 << 20
 # Angles are compared with this slack, scores with half a unit of their last digit.
 _ANGLE_SLACK = 1e-9
 _SCORE_SLACK = 10.0**-SCORE_DIGITS
@@ -60,9 +62,22 @@ def train_centres(points: DataFrame, cells: int, dimension: int, fraction: float
     return np.divide(centres, norms, out=np.zeros_like(centres), where=norms > 0)
 
 
+def nearest_centres(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best centre of each row and its cosine, a bounded tile of the matrix at a time."""
+    cell, close = np.zeros(len(vectors), dtype=np.int64), np.zeros(len(vectors))
+    step = tile_rows(len(centres))
+    for first in range(0, len(vectors), step):
+        cosines = vectors[first : first + step] @ centres.T
+        best = cosines.argmax(axis=1)
+        cell[first : first + step], close[first : first + step] = best, cosines[np.arange(len(best)), best]
+    return cell, close
+
+
 def assign_cells(points: DataFrame, centres: np.ndarray) -> DataFrame:
     """``id, dense, cell, angle`` of ``points(id, dense)``; nothing is shuffled."""
     dimension = centres.shape[1]
+    if centres.nbytes > CENTRE_BYTES:
+        raise ValueError(f"the centres take more than {CENTRE_BYTES} bytes: use fewer cells")
     shared = points.sparkSession.sparkContext.broadcast(centres)
     schema = T.StructType(
         [
@@ -76,9 +91,8 @@ def assign_cells(points: DataFrame, centres: np.ndarray) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = complete_rows(batch, dimension)
-            cosines = as_matrix(batch.column(1), dimension) @ shared.value.T
-            cell = cosines.argmax(axis=1) if batch.num_rows else np.zeros(0, dtype=np.int64)
-            angle = np.arccos(np.clip(cosines[np.arange(len(cell)), cell], -1.0, 1.0))
+            cell, close = nearest_centres(as_matrix(batch.column(1), dimension), shared.value)
+            angle = np.arccos(np.clip(close, -1.0, 1.0))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),

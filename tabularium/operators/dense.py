@@ -15,10 +15,13 @@ from tabularium.functions.text import tokens
 from tabularium.operators.scan import (
     SCORE_DIGITS,
     RunningBest,
-    blocks,
+    block_reader,
     hits_type,
+    no_hits,
+    numbered_blocks,
     offer_matrix,
-    score_blocks,
+    one_array,
+    scan_blocks,
     tile_rows,
 )
 
@@ -88,12 +91,25 @@ def dense_top_k(
     Rows whose vector is missing or of another length take no part.
     """
     points = corpus.select(F.col(id_col).alias("id"), F.col(vector_col).alias("dense"))
-    asked = queries.select("query_id", "dense")
+    asked, count = numbered_blocks(queries.select("query_id", "dense"), F.lit(dimension).cast("long"), cells_per_block)
+    schema = hits_type(asked.schema["query_id"].dataType, points.schema["id"].dataType)
 
-    def score_one(block: DataFrame) -> DataFrame:
-        return _score_block(points, block, k, dimension)
+    def side(table: pa.Table) -> dict:
+        table = complete_rows(table, dimension).combine_chunks()
+        return {"query_ids": one_array(table["query_id"]), "vectors": as_matrix(one_array(table["dense"]), dimension)}
 
-    return score_blocks(blocks(asked, F.lit(dimension).cast("long"), cells_per_block), score_one, k)
+    def score(side: dict, best: RunningBest, batch: pa.RecordBatch) -> None:
+        if not len(side["query_ids"]):
+            return
+        batch = complete_rows(batch, dimension)
+        ids, matrix = batch.column(0), as_matrix(batch.column(1), dimension)
+        step = tile_rows(len(side["query_ids"]))
+        for first in range(0, len(ids), step):
+            scores = np.round(matrix[first : first + step] @ side["vectors"].T, SCORE_DIGITS)
+            offer_matrix(best, scores, ids.slice(first, step), np.ones_like(scores, dtype=bool))
+
+    found = scan_blocks(lambda _: points, block_reader(asked, count), count, side, score, k, schema)
+    return no_hits(points, schema) if found is None else found
 
 
 def complete_rows(batch: pa.RecordBatch | pa.Table, dimension: int) -> pa.RecordBatch | pa.Table:
@@ -108,30 +124,3 @@ def as_matrix(vectors: pa.Array, dimension: int) -> np.ndarray:
     matrix = np.nan_to_num(matrix, nan=0.0)
     length = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
-
-
-def _score_block(points: DataFrame, block: DataFrame, k: int, dimension: int) -> DataFrame:
-    spark = points.sparkSession
-    table = complete_rows(block.toArrow(), dimension).combine_chunks()
-    schema = hits_type(block.schema["query_id"].dataType, points.schema["id"].dataType)
-    if table.num_rows == 0:
-        return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast(
-        (table["query_id"].combine_chunks(), as_matrix(table["dense"].combine_chunks(), dimension))
-    )
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, asked = shared.value
-        best = RunningBest(len(query_ids), k)
-        step = tile_rows(len(query_ids))
-        for batch in batches:
-            batch = complete_rows(batch, dimension)
-            ids, matrix = batch.column(0), as_matrix(batch.column(1), dimension)
-            for first in range(0, len(ids), step):
-                scores = np.round(matrix[first : first + step] @ asked.T, SCORE_DIGITS)
-                offer_matrix(best, scores, ids.slice(first, step), np.ones_like(scores, dtype=bool))
-        result = best.result(query_ids)
-        if result is not None:
-            yield result
-
-    return points.mapInArrow(kernel, schema)

@@ -7,7 +7,7 @@ frequency.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,11 +21,15 @@ from tabularium.functions.text import tokens
 from tabularium.operators.scan import (
     SCORE_DIGITS,
     TILE_CELLS,
+    WHOLE_BATCH,
     RunningBest,
-    blocks,
+    block_reader,
     hits_type,
+    no_hits,
+    numbered_blocks,
     offer_matrix,
-    score_blocks,
+    one_array,
+    scan_blocks,
     tile_rows,
 )
 
@@ -155,100 +159,82 @@ def sparse_top_k(
     stored = is_stored(corpus)
     if stats is None:
         stats = stored_stats(corpus) if stored else corpus_stats(corpus, text_col, tokenizer)
-    bags = queries.select("query_id", tokenizer(F.col("query")).alias("_tokens")).filter(F.size("_tokens") > 0)
     if stored:
         documents = corpus.select(F.col(id_col).alias("id"), *STORED)
     else:
         documents = corpus.select(F.col(id_col).alias("id"), tokenizer(F.col(text_col)).alias("tokens"))
-
-    def score_one(block: DataFrame) -> DataFrame:
-        return _score_block(documents, block, stats, k, params, query_weight)
-
-    return score_blocks(blocks(bags, F.size("_tokens").cast("long"), terms_per_block), score_one, k)
-
-
-def _query_block(block: DataFrame, stats: DataFrame) -> tuple[pa.Table, int, float]:
-    """Terms of one block, ``query_id, term, qtf, df``, on the driver, with the
-    number of documents and their mean length.
-
-    The size is bounded by ``blocks``, so its terms may be broadcast: the
-    statistics are filtered as they are counted, before anything is shuffled.
-    """
-    terms = explode_once(block, F.col("_tokens"), "term").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    wanted = terms.select("term").unionByName(block.sparkSession.range(1).select(F.lit(TOTALS).alias("term"))).distinct()
-    frequency = stats.join(F.broadcast(wanted), "term", "left_semi")
-    table = frequency.join(F.broadcast(terms), "term", "left").select("query_id", "term", "qtf", "df", "length").toArrow()
-    total = table.filter(pc.equal(table["term"], TOTALS)).to_pylist()
-    documents, length = (total[0]["df"], total[0]["length"]) if total else (0, 0)
-    return table.filter(pc.not_equal(table["term"], TOTALS)), documents, length / max(documents, 1)
-
-
-def _score_block(
-    documents: DataFrame,
-    block: DataFrame,
-    stats: DataFrame,
-    k: int,
-    params: Bm25,
-    query_weight: str,
-) -> DataFrame:
-    spark = documents.sparkSession
-    table, n_documents, mean_length = _query_block(block, stats)
-    table = table.combine_chunks()
-    schema = hits_type(block.schema["query_id"].dataType, documents.schema["id"].dataType)
-    if table.num_rows == 0:
-        return spark.createDataFrame([], schema)
-    query_codes = table["query_id"].combine_chunks().dictionary_encode()
-    term_codes = table["term"].combine_chunks().dictionary_encode()
-    df = table["df"].to_numpy().astype(float)
-    weight = np.log1p((n_documents - df + 0.5) / (df + 0.5))
-    if query_weight == "tf":
-        weight = weight * table["qtf"].to_numpy()
-    order = np.argsort(term_codes.indices.to_numpy(), kind="stable")
-    shared = spark.sparkContext.broadcast(
-        {
+    read, count, weigh, mean_length = asked_terms(queries, stats, query_weight, terms_per_block, tokenizer)
+    schema = hits_type(queries.schema["query_id"].dataType, documents.schema["id"].dataType)
+    k1, b = params.k1, params.b
+
+    def side(table: pa.Table) -> dict:
+        query_codes = one_array(table["query_id"]).dictionary_encode()
+        term_codes = one_array(table["term"]).dictionary_encode()
+        codes = term_codes.indices.to_numpy()
+        order = np.argsort(codes, kind="stable")
+        return {
             "query_ids": query_codes.dictionary,
             "vocabulary": term_codes.dictionary.cast(pa.string()),
             # Queries per term, in compressed rows.
-            "start": np.searchsorted(
-                term_codes.indices.to_numpy()[order], np.arange(len(term_codes.dictionary) + 1)
-            ),
+            "start": np.searchsorted(codes[order], np.arange(len(term_codes.dictionary) + 1)),
             "query": query_codes.indices.to_numpy()[order],
-            "weight": weight[order],
+            "weight": weigh(table)[order],
         }
-    )
-    k1, b, mean_length = params.k1, params.b, max(mean_length, 1e-12)
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side = shared.value
-        n_queries, n_terms = len(side["query_ids"]), len(side["vocabulary"])
+    def score(side: dict, best: RunningBest, batch: pa.RecordBatch) -> None:
+        n_queries = len(side["query_ids"])
         fan_out = np.diff(side["start"])
-        best = RunningBest(n_queries, k)
         step = tile_rows(n_queries)
-        for batch in batches:
-            for first in range(0, batch.num_rows, step):
-                part = batch.slice(first, step)
-                row, code, tf, lengths = _term_counts(part, side["vocabulary"])
-                if not len(row):
-                    continue
-                norm = k1 * (1.0 - b + b * lengths[row] / mean_length)
-                gain = tf * (k1 + 1.0) / (tf + norm)
-                scores = np.zeros(part.num_rows * n_queries)
-                # A term may occur in many queries: expand a bounded part at a time.
-                copies = fan_out[code]
-                cuts = np.searchsorted(np.cumsum(copies), np.arange(TILE_CELLS, copies.sum(), TILE_CELLS))
-                for piece in np.split(np.arange(len(code)), cuts):
-                    times = copies[piece]
-                    offset = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    slot = np.repeat(side["start"][code[piece]], times) + offset
-                    cell = np.repeat(row[piece], times) * n_queries + side["query"][slot]
-                    scores += np.bincount(cell, np.repeat(gain[piece], times) * side["weight"][slot], len(scores))
-                scores = np.round(scores.reshape(-1, n_queries), SCORE_DIGITS)
-                offer_matrix(best, scores, part.column(0), scores > 0)
-        result = best.result(side["query_ids"])
-        if result is not None:
-            yield result
-
-    return documents.mapInArrow(kernel, schema)
+        for first in range(0, batch.num_rows, step):
+            part = batch.slice(first, step)
+            row, code, tf, lengths = _term_counts(part, side["vocabulary"])
+            if not len(row):
+                continue
+            norm = k1 * (1.0 - b + b * lengths[row] / mean_length)
+            gain = tf * (k1 + 1.0) / (tf + norm)
+            scores = np.zeros(part.num_rows * n_queries)
+            # A term may occur in many queries: expand a bounded part at a time.
+            copies = fan_out[code]
+            cuts = np.searchsorted(np.cumsum(copies), np.arange(TILE_CELLS, copies.sum(), TILE_CELLS))
+            for piece in np.split(np.arange(len(code)), cuts):
+                times = copies[piece]
+                offset = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                slot = np.repeat(side["start"][code[piece]], times) + offset
+                cell = np.repeat(row[piece], times) * n_queries + side["query"][slot]
+                scores += np.bincount(cell, np.repeat(gain[piece], times) * side["weight"][slot], len(scores))
+            scores = np.round(scores.reshape(-1, n_queries), SCORE_DIGITS)
+            offer_matrix(best, scores, part.column(0), scores > 0)
+
+    found = scan_blocks(lambda _: documents, read, count, side, score, k, schema)
+    return no_hits(documents, schema) if found is None else found
+
+
+def asked_terms(
+    queries: DataFrame, stats: DataFrame, query_weight: str, terms_per_block: int, tokenizer: Tokenizer
+) -> tuple[Callable[[int], pa.Table], int, Callable[[pa.Table], np.ndarray], float]:
+    """What a search needs to know of its queries and the corpus.
+
+    That is a reader of the blocks' ``query_id, term, qtf, df, length``, the number of
+    blocks, the weights of a block's rows, and the mean length of the documents.
+    The statistics are filtered as they are counted, before anything is shuffled.
+    """
+    bags = queries.select("query_id", tokenizer(F.col("query")).alias("_tokens")).filter(F.size("_tokens") > 0)
+    bags, count = numbered_blocks(bags, F.size("_tokens").cast("long"), terms_per_block)
+    terms = explode_once(bags, F.col("_tokens"), "term").groupBy("block", "query_id", "term").agg(F.count("*").alias("qtf"))
+    wanted = terms.select("term").unionByName(terms.sparkSession.range(1).select(F.lit(TOTALS).alias("term"))).distinct()
+    # One block has a bounded size; of more, Spark's own size check decides.
+    few = F.broadcast if count == 1 else lambda frame: frame
+    known = stats.join(few(wanted), "term", "left_semi").join(few(terms), "term", "left")
+    read = block_reader(known.select(F.coalesce("block", F.lit(WHOLE_BATCH)).alias("block"), "query_id", "term", "qtf", "df", "length"), count)
+    totals = read(WHOLE_BATCH).to_pylist()
+    documents, length = (totals[0]["df"], totals[0]["length"]) if totals else (0, 0)
+
+    def weigh(table: pa.Table) -> np.ndarray:
+        df = table["df"].to_numpy().astype(float)
+        weight = np.log1p((documents - df + 0.5) / (df + 0.5))
+        return weight * table["qtf"].to_numpy() if query_weight == "tf" else weight
+
+    return read, count, weigh, max(length / max(documents, 1), 1e-12)
 
 
 def _term_counts(

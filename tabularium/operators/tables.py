@@ -82,19 +82,26 @@ def name_tables(incoming: DataFrame, registry: DataFrame) -> DataFrame:
     """Add ``table_name`` to ``(table_id, source_path, sheet_name, ...)``.
 
     A name that another table holds, in the registry or by a smaller id in the
-    same batch, gets the first eight characters of the table id appended. Names
-    are compared through one minimum per name, so a name that millions of files
-    share is no hot group.
+    same batch, gets the first eight characters of the table id appended; if that
+    name is held as well, the whole id. Names are compared through one minimum per
+    name, so a name that millions of files share is no hot group.
     """
     named = incoming.withColumn("_base", base_name(F.col("source_path"), F.col("sheet_name")))
-    first = named.groupBy("_base").agg(F.min("table_id").alias("_first"))
-    holder = registry.select(F.col("table_name").alias("_base"), F.col("table_id").alias("_holder"))
-    owners = first.join(holder, "_base", "left").select(
-        "_base", F.coalesce("_holder", "_first").alias("_owner")
-    )
-    suffix = F.concat(F.lit("_"), F.substring("table_id", 1, 8))
-    name = F.when(F.col("table_id") == F.col("_owner"), F.col("_base")).otherwise(F.concat("_base", suffix))
-    return named.join(owners, "_base").withColumn("table_name", name).drop("_base", "_owner")
+    bases = named.groupBy("_base").agg(F.min("table_id").alias("_first"))
+    holder = registry.select(F.col("table_name").alias("_held"), F.col("table_id").alias("_holder"))
+    owners = bases.join(holder, F.col("_base") == F.col("_held"), "left").select("_base", F.coalesce("_holder", "_first").alias("_owner"))
+    named = named.join(owners, "_base")
+    # Who may hold the name with the suffix: a table of that name already, or one of the batch that is called so without any.
+    held = holder.unionByName(bases.select(F.col("_base").alias("_held"), F.col("_first").alias("_holder"))).groupBy("_held").agg(F.collect_set("_holder").alias("_holders"))
+    # Two ids of the batch may also begin alike.
+    short = F.when(F.col("table_id") != F.col("_owner"), F.concat("_base", F.lit("_"), F.substring("table_id", 1, 8)))
+    named = named.withColumn("_short", short)
+    alike = named.filter(F.col("_short").isNotNull()).groupBy("_short").agg(F.min("table_id").alias("_least"))
+    named = named.join(alike, "_short", "left").join(held, F.col("_short") == F.col("_held"), "left")
+    others = F.size(F.filter(F.coalesce("_holders", F.array().cast("array<string>")), lambda one: one != F.col("table_id"))) > 0
+    long = F.concat("_base", F.lit("_"), F.col("table_id"))
+    name = F.when(F.col("_short").isNull(), F.col("_base")).when(others | (F.col("_least") != F.col("table_id")), long).otherwise(F.col("_short"))
+    return named.withColumn("table_name", name).select(*incoming.columns, "table_name")
 
 
 def register(registry: DataFrame, entries: DataFrame, order: Sequence[Column]) -> DataFrame:

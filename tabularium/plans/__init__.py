@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tabularium.plans.contract import ORACLES, QUERIES, Query
 
-_MODULES = ("retrieval", "ingest", "bookkeeping", "spreadsheets", "star", "media", "streams")
+_MODULES = ("retrieval", "ingest", "bookkeeping", "spreadsheets", "tablefiles", "star", "media", "stores", "plugins", "streams")
 
 
 def _load() -> None:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabularium.functions.arrays import explode_once
-from tabularium.functions.text import words
+from tabularium.functions.text import tokens, words
 from tabularium.functions.vectors import cosine, norm
 from tabularium.operators.cells import assign_cells, cell_top_k, measure_cells, train_centres, write_cells
+from tabularium.operators.centretree import assign_leaves, leaf_top_k, pairs_scored, recall, train_tree, write_leaves
 from tabularium.operators.context import assemble, document_citation
 from tabularium.operators.dense import dense_top_k, hashing_embedder
 from tabularium.operators.fusion import fuse, union_legs
@@ -233,6 +234,13 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     return dense_top_k(vectors, label_centres(spark, sf), 10, DIMENSION)
 
 
+@contract("dense_topk_blocks", f"WITH {_CENTRES} SELECT query_id, id, score, rank::INT AS rank FROM best")
+def dense_topk_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The same nearest vectors where the queries come in several blocks, all of which meet the corpus in one scan."""
+    vectors = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("dense"))
+    return dense_top_k(vectors, label_centres(spark, sf), 10, DIMENSION, cells_per_block=2 * DIMENSION)
+
+
 @contract(
     "vector_scores",
     f"""WITH {_CENTRES} SELECT v.vec_id AS id, v.label, round(max(vl.norm), 6) AS norm,
@@ -263,6 +271,29 @@ def dense_topk_cells(spark: SparkSession, sf: str) -> DataFrame:
     return cell_top_k(placed, measure_cells(placed, centres), label_centres(spark, sf), 10)
 
 
+@contract(
+    "dense_approximate",
+    """SELECT (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0) AS queries, (SELECT count(*) FROM embeddings) AS indexed,
+    true AS recall_reached, true AS fewer_scored""",
+)
+def dense_approximate(spark: SparkSession, sf: str) -> DataFrame:
+    """Approximate nearest ten of every fiftieth vector by a centre tree: recall against the exact search, and pairs scored."""
+    vectors = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("dense"))
+    tree = train_tree(vectors, 8, 8, DIMENSION)
+    path = shared_path(spark, "leaves")
+    write_leaves(assign_leaves(vectors, tree), path)
+    placed = spark.read.parquet(path)
+    asked = vectors.filter(F.col("id") % 50 == 0).withColumnRenamed("id", "query_id")
+    # The test vectors are noise around a few centres, so near ones lie in many leaves.
+    probe = len(tree.leaves) * 9 // 16
+    found = leaf_top_k(placed, tree, asked, 10, probe)
+    measured = recall(found, dense_top_k(vectors, asked, 10, DIMENSION))
+    counts = asked.agg(F.count("*").alias("queries")).join(F.broadcast(placed.agg(F.count("*").alias("indexed"))))
+    return counts.join(F.broadcast(measured)).join(F.broadcast(pairs_scored(placed, tree, asked, probe))).select(
+        "queries", "indexed", (F.col("recall") >= 0.9).alias("recall_reached"), (F.col("scored") < F.col("all") * 0.65).alias("fewer_scored")
+    )
+
+
 @contract(
     "hash_embed",
     f"""WITH {_embedded("de", "documents", "doc_id", "text")}
@@ -311,12 +342,20 @@ def collection_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @contract("bm25_postings", ORACLES["bm25_topk"])
 def bm25_postings(spark: SparkSession, sf: str) -> DataFrame:
-    """The sparse leg from stored postings, which are read for the asked terms only."""
+    """The sparse leg from stored postings: columns of the asked terms, pruned by bounds."""
     path, texts = shared_path(spark, "postings"), corpus(spark, sf)
-    write_postings(texts, path)
+    write_postings(texts, path, segment_postings=1 << 16)
     return postings_top_k(spark.read.parquet(path), corpus_stats(texts), questions(spark, sf), 10)
 
 
+@contract("bm25_blocks", ORACLES["bm25_topk"])
+def bm25_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """BM25 where the questions come in several blocks, from texts that are tokenised once."""
+    asked = questions(spark, sf)
+    terms = asked.select(F.sum(F.size(tokens(F.col("query"))))).first()[0]
+    return sparse_top_k(corpus(spark, sf), asked, 10, terms_per_block=-(-terms // 6))
+
+
 @contract(
     "prepared_search",
     f"""WITH {_INDEX}, {_bm25(_ASKED, 16)}, {_EMBEDDINGS}, {_dense(16)}, {_fused(8)}

@@ -320,7 +320,7 @@ def tsv_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Customers written as TSV and read back typed."""
     path = shared_path(spark, "tsv")
     read(spark, sf, "customer").write.options(header="true", sep="\t").csv(path)
-    cells = read_delimited(spark, path, "\t", multi_line=False)
+    cells = read_delimited(spark, path, "\t")
     return typed_table(cells, label_map(infer_types(cells))).drop("_rescued")
 
 
@@ -730,7 +730,7 @@ def table_ingest(spark: SparkSession, sf: str) -> DataFrame:
         spark,
         """SELECT c_mktsegment, count(*) AS customers, CAST(sum(CAST(c_acctbal AS DECIMAL(18, 2))) AS DOUBLE) AS balance,
         min(c_custkey) AS first_key FROM customer WHERE since = DATE '2024-02-29' GROUP BY c_mktsegment""",
-        store.paths(schemas),
+        store.readers(schemas),
     )
     return rows.select(
         F.lit(reply["table_name"]).alias("table_name"), F.lit(reply["row_count"]).alias("row_count"),

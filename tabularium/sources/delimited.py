@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabularium.functions.text import file_extension, identifier
 
@@ -25,47 +28,150 @@ def unsupported(files: DataFrame, path_col: str = "path") -> DataFrame:
     return files.filter(dispatch(F.col(path_col)).isNull()).select(F.col(path_col).alias("path"), message.alias("error"))
 
 
-def column_names(spark: SparkSession, headers: list[str | None]) -> list[str]:
-    """Safe, distinct column names for one header row.
+def header_names(headers: Column) -> Column:
+    """Safe, distinct column names for a header record, ``array<string>``.
 
     Missing headers become ``col_<position>``, repeated ones get ``_2``, ``_3``.
     """
-    numbered = [(i, h if h is not None else f"col_{i}") for i, h in enumerate(headers)]
-    safe = spark.createDataFrame(numbered, "i int, h string").select("i", identifier(F.col("h"), "col").alias("n"))
-    names: list[str] = []
-    for row in sorted(safe.collect(), key=lambda r: r["i"]):
-        name, copy = row["n"], 1
-        while name in names:
-            copy += 1
-            name = f"{row['n']}_{copy}"
-        names.append(name)
-    return names
-
-
-def read_delimited(
-    spark: SparkSession, path: str, delimiter: str = ",", multi_line: bool = True
-) -> DataFrame | None:
+    plain = F.transform(headers, lambda h, i: identifier(F.coalesce(h, F.concat(F.lit("col_"), i.cast("string"))), "col"))
+
+    def added(names: Column, name: Column) -> Column:
+        tries = F.transform(F.sequence(F.lit(1), F.size(names) + 1), lambda n: F.when(n == 1, name).otherwise(F.concat_ws("_", name, n.cast("string"))))
+        return F.concat(names, F.array(F.filter(tries, lambda one: ~F.array_contains(names, one))[0]))
+
+    return F.aggregate(plain, F.array().cast("array<string>"), added)
+
+
+def column_names(spark: SparkSession, headers: list[str | None]) -> list[str]:
+    """The names of one header record, on the driver."""
+    one = spark.createDataFrame([(headers,)], "headers array<string>")
+    return list(one.select(header_names(F.col("headers"))).first()[0])
+
+
+def cells_of(record: str, delimiter: str) -> list[str | None]:
+    """The cells of one record; empty ones are None, a blank record has none."""
+    record = record.removesuffix("\r")
+    if '"' not in record:
+        return [cell or None for cell in record.split(delimiter)] if record else []
+    cells, held, odd = [], [], 0
+    for piece in record.split(delimiter):
+        held.append(piece)
+        odd ^= piece.count('"') & 1
+        if not odd:
+            cell = delimiter.join(held)
+            if len(cell) > 1 and cell[0] == cell[-1] == '"':
+                cell = cell[1:-1].replace('""', '"')
+            cells.append(cell or None)
+            held = []
+    if held:
+        # A quote that never ends takes the rest.
+        cells.append(delimiter.join(held).removeprefix('"') or None)
+    return cells
+
+
+def _splits(lines: DataFrame) -> dict[tuple[str, int], bool]:
+    """By file and start of split, whether the split begins inside a quoted cell: one entry per split, as in the driver's list of tasks.
+
+    Quotes come in pairs in whole cells, so the parity of all quotes before tells.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    odd = lines.groupBy("file", "split").agg((F.sum(quotes) % 2).alias("odd"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    told = odd.select("file", "split", (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2 == 1).alias("inside"))
+    return {(row["file"], row["split"]): row["inside"] for row in told.toLocalIterator()}
+
+
+_RECORD = "file string, split long, number long, cells array<string>"
+
+
+def _cutter(inside: Broadcast, delimiter: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lines to records, and to parts of those that reach over the ends of their split."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, lines, number, is_open, tail = None, [], 0, False, False
+        rows: list[tuple] = []
+        for batch in batches:
+            for value, *at in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if at != place:
+                    if lines:
+                        rows.append((*place, number, None, "\n".join(lines), not tail))
+                    if tuple(at) not in inside.value:
+                        raise RuntimeError("the splits of the files have changed between two passes; read them again")
+                    place, lines, number, is_open = at, [], 0, inside.value[tuple(at)]
+                    tail = is_open
+                if at[1] == 0 and not number and not lines:
+                    value = value.removeprefix("\ufeff")
+                lines.append(value)
+                is_open ^= bool(value.count('"') & 1)
+                if is_open:
+                    continue
+                if tail:
+                    rows.append((*place, number, None, "\n".join(lines), False))
+                elif cells := cells_of("\n".join(lines), delimiter):
+                    rows.append((*place, number, cells, None, None))
+                    number += 1
+                lines, tail = [], False
+            if rows:
+                yield _records_batch(rows)
+                rows = []
+        if lines:
+            yield _records_batch([(*place, number, None, "\n".join(lines), not tail)])
+
+    return cut
+
+
+def _records_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.bool_())
+    columns = [pa.array(values, kind) for values, kind in zip(zip(*rows, strict=True), types, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, ["file", "split", "number", "cells", "part", "opens"])
+
+
+def _joined(parts: DataFrame, delimiter: str) -> DataFrame:
+    """Records put together from their parts in following splits; the parts of one record are one value."""
+    order = Window.partitionBy("file").orderBy("split", "opens")
+    numbered = parts.withColumn("record", F.sum(F.col("opens").cast("int")).over(order))
+    whole = numbered.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("split", "opens", "number", "part"))).alias("parts"))
+    text = F.array_join(F.transform("parts", lambda p: p["part"]), "\n")
+
+    @F.arrow_udf("array<string>")
+    def cells(texts: pa.Array) -> pa.Array:
+        return pa.array([cells_of(t, delimiter) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return whole.select("file", F.col("parts")[0]["split"].alias("split"), F.col("parts")[0]["number"].alias("number"), cells(text).alias("cells"))
+
+
+def read_records(spark: SparkSession, paths: str | list[str], delimiter: str = ",") -> DataFrame:
+    """``file, split, number, cells`` of all records of delimited files, header records included; blank lines are left out.
+
+    ``split, number`` order the records of a file. Files are read in splits, also
+    where cells hold line breaks: a first pass counts the quotes of each split, which
+    tells the next one whether it begins inside a cell, and records that reach over
+    the end of a split are put together from their parts. Quotes inside cells must be
+    doubled, and cells with quotes quoted.
+    """
+    lines = spark.read.option("lineSep", "\n").text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+    inside = _splits(lines)
+    rows = lines.mapInArrow(_cutter(spark.sparkContext.broadcast(inside), delimiter), f"{_RECORD}, part string, opens boolean")
+    records = rows.filter("cells is not null").select("file", "split", "number", "cells")
+    if any(inside.values()):
+        records = records.unionByName(_joined(rows.filter("part is not null"), delimiter))
+    return records
+
+
+def is_header() -> Column:
+    """The first record of each file."""
+    return (F.col("split") == 0) & (F.col("number") == 0)
+
+
+def read_delimited(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame | None:
     """A delimited file, or a folder of parts with one header each, as text columns.
 
     Short rows are padded with null, long ones cut, blank lines dropped. A file
-    without a single line gives ``None``. ``multi_line=False`` lets Spark split
-    big files and is right where no cell holds a line break.
+    without a single line gives ``None``.
     """
-    options = {
-        "sep": delimiter,
-        "quote": '"',
-        "escape": '"',
-        "multiLine": str(multi_line).lower(),
-        "inferSchema": "false",
-        "encoding": "UTF-8",
-        "nullValue": "",
-        "mode": "PERMISSIVE",
-    }
-    # Only the first record is fetched, to learn the headers.
-    first = spark.read.options(**options, header="false").csv(path).limit(1).collect()
-    if not first:
+    records = read_records(spark, path, delimiter)
+    first = records.filter(is_header()).agg(F.min_by("cells", "file").alias("cells")).first()["cells"]
+    if first is None:
         return None
-    headers = [h.lstrip("﻿") if h is not None else None for h in first[0]]
-    names = column_names(spark, headers)
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    return spark.read.options(**options, header="true", enforceSchema="true").schema(schema).csv(path)
+    names = column_names(spark, first)
+    return records.filter(~is_header()).select(*[F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(names)])

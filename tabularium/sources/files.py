@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+
+_LOCAL = "^file:/+"
+
 
 def _open(spark: SparkSession, path: str):
     handle = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -30,3 +36,14 @@ def size_of(spark: SparkSession, path: str) -> int:
     """Bytes of a file or of everything below a folder."""
     handle, fs = _open(spark, path)
     return int(fs.getContentSummary(handle).getLength())
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as ``plain_uri`` gives those that Spark's readers tell in their metadata column."""
+    handle, fs = _open(spark, path)
+    return re.sub(_LOCAL, "file:/", fs.makeQualified(handle).toUri().toString())
+
+
+def plain_uri(uri: Column) -> Column:
+    """Local files are told with one or three slashes; here always with one."""
+    return F.regexp_replace(uri, _LOCAL, "file:/")

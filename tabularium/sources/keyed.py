@@ -143,10 +143,15 @@ class KeyedTable:
         self._write_base(self.read(), number)
         return number
 
-    def forget(self) -> list[int]:
-        """Delete every base but the newest, with its batches. After a compaction
-        this physically erases what was deleted."""
-        old = self._bases()[:-1]
+    def is_compact(self) -> bool:
+        """Whether storage holds one base and nothing else."""
+        bases = self._bases()
+        return len(bases) == 1 and not self._batches(bases[0])
+
+    def forget(self, keep: int = 0) -> list[int]:
+        """Delete every base but the newest and ``keep`` before it, with their batches.
+        After a compaction this physically erases what was deleted."""
+        old = self._bases()[: -1 - keep]
         for number in old:
             for folder in (f"base-{number}", f"after-{number}"):
                 delete(self.spark, f"{self.root}/{folder}")

@@ -39,6 +39,8 @@ class IngestTarget:
     token_budget: int = TOKEN_BUDGET
     # Batches after which collection and manifest are compacted.
     compact_every: int = 16
+    # Bases before the newest that a compaction leaves, for readers that are still in them.
+    keep_bases: int = 1
 
 
 def manifest_table(spark: SparkSession, root: str) -> KeyedTable:
@@ -58,19 +60,25 @@ def chunk_points(parsed: DataFrame, embedder: Embedder, budget: int) -> DataFram
     return build_points(items, embedder)
 
 
+# Error of paths whose newest version cannot be told.
+TORN = "two versions are equally new"
+
+
 def _newest(files: DataFrame) -> DataFrame:
-    """One version of each path, the newest, kept for as long as the batch takes."""
+    """One version of each path, the newest, kept for as long as the batch takes; ``torn`` tells where there are several.
+
+    A version without a time may be newer or older than any other, so it stands
+    beside the newest. Versions with equal content are one.
+    """
     if "modified_at" not in files.columns:
         files = files.withColumn("modified_at", F.lit(None).cast("timestamp"))
     newest = F.max("modified_at").over(Window.partitionBy("path"))
-    latest = files.withColumn("newest", newest).filter(F.col("modified_at").eqNullSafe(F.col("newest"))).drop("newest")
-    # Every step below uses the batch, so it is kept; it is as small as what arrived.
-    latest = latest.dropDuplicates(["path", "file_hash"]).persist(StorageLevel.MEMORY_AND_DISK)
-    torn = latest.groupBy("path").count().filter("count > 1").select("path").first()
-    if torn:
-        latest.unpersist()
-        raise ValueError(f"two versions of {torn['path']} are equally new")
-    return latest
+    at_top = F.col("modified_at").isNull() | (F.col("modified_at") == F.col("newest"))
+    latest = files.withColumn("newest", newest).filter(at_top).drop("newest").dropDuplicates(["path", "file_hash"])
+    order = Window.partitionBy("path")
+    latest = latest.withColumn("torn", F.count("*").over(order) > 1).withColumn("_first", F.min("file_hash").over(order))
+    # Of a torn path one row is left to carry the error. Every step below uses the batch, so it is kept; it is as small as what arrived.
+    return latest.filter(F.col("file_hash") == F.col("_first")).drop("_first").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _bring(files: DataFrame, parse: Callable[[DataFrame], DataFrame], target: IngestTarget, embedder: Embedder | None) -> DataFrame:
@@ -83,9 +91,16 @@ def _bring(files: DataFrame, parse: Callable[[DataFrame], DataFrame], target: In
     listing = hashed.select(F.col("path").alias("file_path"), "file_hash")
     # Only the manifest rows of this batch take part, so the manifest is not shuffled.
     known = manifest.read().join(listing.select("file_path"), "file_path", "left_semi")
-    changes = detect_changes(listing, known).persist(StorageLevel.MEMORY_AND_DISK)
+    torn = hashed.filter("torn").select("path", "file_hash")
+    changes = detect_changes(listing, known).join(torn.select(F.col("path").alias("file_path"), F.lit(True).alias("torn")), "file_path", "left")
+    changes = changes.withColumn("status", F.when(F.col("torn"), "failed").otherwise(F.col("status"))).drop("torn").persist(StorageLevel.MEMORY_AND_DISK)
     todo = changes.filter(F.col("status") != "unchanged").select(F.col("file_path").alias("path"))
-    parsed = parse(hashed.join(todo, "path", "left_semi")).persist(StorageLevel.MEMORY_AND_DISK)
+    parsed = parse(hashed.filter(~F.col("torn")).drop("torn").join(todo, "path", "left_semi")).select("path", "file_hash", "file_size", "blocks", "errors")
+    # Undecided paths are failures like any other: what they had stays, the error is recorded, and the batch goes on.
+    undecided = torn.select("path", "file_hash", F.array(F.lit(TORN)).alias("_error"))
+    failures = F.transform("_error", lambda text: F.struct(F.lit(None).cast("string").alias("component_type"), F.lit(None).cast("string").alias("module_name"), text.alias("error_message")))
+    undecided = undecided.select("path", "file_hash", failures.cast(parsed.schema["errors"].dataType).alias("errors"))
+    parsed = parsed.unionByName(undecided, allowMissingColumns=True).persist(StorageLevel.MEMORY_AND_DISK)
     good = parsed.filter(F.size("errors") == 0)
     number = points.upsert(chunk_points(good, embedder, target.token_budget), key="source", replaced=good.select("path"))
     # Counts come from the written batch: chunks are not computed a second time.
@@ -109,8 +124,10 @@ def _bring(files: DataFrame, parse: Callable[[DataFrame], DataFrame], target: In
     )
     manifest.upsert(entries)
     if target.compact_every and number >= target.compact_every:
-        points.compact()
-        manifest.compact()
+        for table in (points, manifest):
+            table.compact()
+            # Readers that began before the compaction may still be in the last base.
+            table.forget(target.keep_bases)
     # The reply outlives the batch, so it is written before the batch is released.
     reply = shared_path(spark, "changes")
     changes.write.parquet(reply)
@@ -122,8 +139,9 @@ def _bring(files: DataFrame, parse: Callable[[DataFrame], DataFrame], target: In
 def ingest_batch(files: DataFrame, target: IngestTarget, embedder: Embedder | None = None) -> DataFrame:
     """Bring collection and manifest up to date with plain texts, ``files(path, text[, modified_at])``.
 
-    Of several versions of a path the newest counts; two different texts of one
-    path that are equally new, or without times, are refused.
+    Of several versions of a path the newest counts. Where that cannot be told (two
+    different texts are equally new, or one has no time) the path is recorded in
+    the manifest as failed and keeps what it had, while the rest of the batch goes on.
     Returns the changes found, one narrow row per file of the batch. A modified
     file loses all its old chunks first, so a shorter version leaves none behind.
     Files that are absent from the batch are not touched.

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabularium.functions.payload import point_id
@@ -20,17 +21,20 @@ from tabularium.operators.cells import (
 )
 from tabularium.operators.chunking import TOKEN_BUDGET, chunk, export_documents
 from tabularium.operators.dense import Embedder, hashing_embedder
-from tabularium.operators.lifecycle import found_files, hash_order, ingest_stats, reconcile_reply
+from tabularium.operators.lifecycle import CHAT_DAYS, found_files, hash_order, ingest_stats, reconcile_reply
 from tabularium.operators.postings import postings_top_k, write_postings
 from tabularium.operators.rerank import Scorer, overlap_scorer
 from tabularium.operators.search import DOCUMENT_SEARCH, TABLE_SEARCH, SearchOptions, hybrid_search
 from tabularium.operators.sparse import stored_stats
 from tabularium.operators.sqlguard import answer
 from tabularium.operators.upsert import upsert_counts
+from tabularium.session import shared_path
 from tabularium.sources.collection import build_points, checked, collection
 from tabularium.sources.documents import Parser, parse_documents, read_files
-from tabularium.sources.files import delete, is_committed
+from tabularium.sources.files import delete, is_committed, list_names
+from tabularium.sources.imagestore import ImageStore
 from tabularium.sources.keyed import KeyedTable
+from tabularium.sources.logs import append_log, erase_from_log, retain_log
 from tabularium.sources.tablestore import Describer, TableStore
 from tabularium.streaming.ingest import IngestTarget, ingest_files, manifest_table
 
@@ -117,8 +121,14 @@ class Workspace:
         All belong to one state of the collection and are not used for another,
         so results never depend on whether this was run.
         """
-        table = self.collection(name)
-        folder, points = f"{self.root}/search/{name}/{table.state()}", table.read()
+        self._prepare(self.collection(name), f"{self.root}/search/{name}", cells, fraction)
+
+    def prepare_table_search(self, cells: int = 0, fraction: float = 1.0) -> None:
+        """The same for the cards by which tables are found."""
+        self._prepare(self.tables.cards, f"{self.root}/search-tables", cells, fraction)
+
+    def _prepare(self, table: KeyedTable, prepared: str, cells: int, fraction: float) -> None:
+        folder, points = f"{prepared}/{table.state()}", table.read()
         if not is_committed(self.spark, f"{folder}/terms"):
             stored_stats(points).write.mode("overwrite").parquet(f"{folder}/terms")
         if not is_committed(self.spark, f"{folder}/postings"):
@@ -130,6 +140,12 @@ class Workspace:
             placed = self.spark.read.parquet(f"{folder}/placed")
             write_bounds(measure_cells(placed, centres), placed, f"{folder}/bounds")
 
+    def compact(self, name: str = DEFAULT_COLLECTION, keep: int = 1) -> None:
+        """Fold the batches of a collection and of the manifest into new bases; ``keep`` old ones are left for readers still in them."""
+        for table in (self.collection(name), self.manifest):
+            table.compact()
+            table.forget(keep)
+
     def _search(self, table: KeyedTable, prepared: str, queries: DataFrame, options: SearchOptions) -> DataFrame:
         folder, read = f"{prepared}/{table.state()}", self.spark.read
         points = table.read().withColumn("metadata", F.from_json("payload", "map<string,string>"))
@@ -166,6 +182,10 @@ class Workspace:
 
     # Tables
 
+    def ingest_tables(self, files: DataFrame, describer: Describer | None = None) -> DataFrame:
+        """Load any number of delimited files ``path, source_path, file_hash`` in a fixed number of jobs."""
+        return self.tables.ingest_all(files, describer, self._embedder)
+
     def ingest_table(self, path: str, source_path: str, file_hash: str, describer: Describer | None = None) -> DataFrame:
         return self.tables.ingest(path, source_path, file_hash, describer, self._embedder)
 
@@ -173,25 +193,94 @@ class Workspace:
         """Answer package of a read-only statement over registered tables."""
         tables = self.tables
         schemas = tables.schemas(table_ids)
-        return answer(self.spark, sql, schemas, tables.paths(schemas))
+        return answer(self.spark, sql, schemas, tables.readers(schemas))
 
-    # Erasure
+    # Images and logs
 
-    def erase_source(self, source_path: str, collections: Sequence[str] = (DEFAULT_COLLECTION,)) -> list[str]:
-        """Erase one source from tables, cards, collections and the manifest.
+    @property
+    def images(self) -> ImageStore:
+        return ImageStore(self.spark, f"{self.root}/images")
 
-        Collections and the manifest are compacted, their older states and what
-        was prepared from them deleted, so that nothing of the source is left on
-        storage. Returns the ids of the tables that went.
+    def log(self, name: str) -> str:
+        """Folder of a log by its name."""
+        return f"{self.root}/logs/{name}"
+
+    def append_log(self, name: str, entries: DataFrame, time_col: str = "created_at") -> None:
+        append_log(entries, self.log(name), time_col)
+
+    def retain_log(self, name: str, as_of: datetime | Column, days: int = CHAT_DAYS, time_col: str = "created_at") -> DataFrame:
+        """Drop what is older than ``days`` from a stored log; returns ``deleted, kept``."""
+        return retain_log(self.spark, self.log(name), as_of, days, time_col)
+
+    # Erasure
+
+    def stores(self) -> list[Store]:
+        """Everything on storage that tells its source, and how to erase it."""
+        found = [Store(f"collection {name}", "source", self.collection(name)) for name in list_names(self.spark, f"{self.root}/collections")]
+        found += [Store("manifest", "file_path", self.manifest), Store("table registry", "source_path", self.tables.registry), Store("table cards", "source", self.tables.cards)]
+        found.append(Store("images", "source", self.images.references, self.images.erase))
+        for name in list_names(self.spark, f"{self.root}/logs"):
+            path = self.log(name)
+            if "source" in self.spark.read.parquet(path).columns:
+                found.append(Store(f"log {name}", "source", path, lambda sources, path=path: erase_from_log(self.spark, path, "source", sources)))
+        return found
+
+    def erase_sources(self, sources: DataFrame) -> DataFrame:
+        """Erase ``sources(source)`` from every store; returns ``store, erased``, the rows each one held.
+
+        Tables are compacted, and their older states and all that was prepared from
+        them deleted, so that nothing of the sources is left on storage. Every
+        store is looked through afterwards; a source that is still found stops the job.
         """
-        gone = self.tables.delete_source(source_path)
-        values = self.spark.createDataFrame([(source_path,)], "source string")
-        held = [(self.collection(name), "source") for name in collections]
-        stored = [*held, (self.manifest, "file_path"), (self.tables.registry, "source_path"), (self.tables.cards, "source")]
-        for table, key in stored:
-            table.delete(key, values)
-            table.compact()
-            table.forget()
-        for name in collections:
+        path = shared_path(self.spark, "erase")
+        sources.select(F.col("source").cast("string").alias("source")).distinct().write.parquet(path)
+        wanted = self.spark.read.parquet(path)
+        stores = self.stores()
+        held = [(store.name, store.count(wanted)) for store in stores]
+        self.tables.delete_sources(wanted)
+        for store, (_, n) in zip(stores, held, strict=True):
+            # A store that never held them, nor anything that was replaced since, is left as it is.
+            if n or not store.is_compact():
+                store.remove(wanted)
+        for name in list_names(self.spark, f"{self.root}/collections"):
             delete(self.spark, f"{self.root}/search/{name}")
-        return gone
+        delete(self.spark, f"{self.root}/search-tables")
+        left = {store.name: n for store, (_, before) in zip(stores, held, strict=True) if before and (n := store.count(wanted))}
+        if left:
+            raise RuntimeError(f"sources are left after their erasure: {left}")
+        return self.spark.createDataFrame(held, "store string, erased long")
+
+    def erase_source(self, source_path: str) -> list[str]:
+        """The same for one source; returns the ids of the tables that went."""
+        ids = self.tables.registry.read().filter(F.col("source_path") == source_path).select("table_id").collect()
+        self.erase_sources(self.spark.createDataFrame([(source_path,)], "source string"))
+        return [row["table_id"] for row in ids]
+
+
+@dataclass(frozen=True)
+class Store:
+    """Rows that tell their source in ``column``: a keyed table, or the folder of a log."""
+
+    name: str
+    column: str
+    held: KeyedTable | str
+    erase: Callable[[DataFrame], object] | None = None
+
+    def count(self, wanted: DataFrame) -> int:
+        """How many of its rows are of ``wanted(source)``."""
+        spark = wanted.sparkSession
+        if isinstance(self.held, str) and not any(n.startswith("day=") for n in list_names(spark, self.held)):
+            return 0
+        rows = spark.read.parquet(self.held) if isinstance(self.held, str) else self.held.read()
+        return rows.select(F.col(self.column).cast("string").alias("source")).join(wanted, "source", "left_semi").count()
+
+    def is_compact(self) -> bool:
+        return not isinstance(self.held, KeyedTable) or self.held.is_compact()
+
+    def remove(self, wanted: DataFrame) -> None:
+        if self.erase is not None:
+            self.erase(wanted)
+        else:
+            self.held.delete(self.column, wanted)
+            self.held.compact()
+            self.held.forget()

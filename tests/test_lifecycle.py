@@ -25,7 +25,7 @@ from tabularium.operators.upsert import keyed_merge, keyed_upsert, upsert_counts
 from tabularium.session import shared_path
 from tabularium.sources.collection import collection
 from tabularium.sources.keyed import KeyedTable
-from tabularium.streaming.ingest import IngestTarget, ingest_batch, ingest_files, manifest_table, remove_missing
+from tabularium.streaming.ingest import TORN, IngestTarget, ingest_batch, ingest_files, manifest_table, remove_missing
 
 
 
@@ -199,15 +199,36 @@ def test_ingest_twice_is_ingest_once(spark):
     assert [r["source"] for r in points.read().collect()] == ["a"]
 
 
-def test_newest_version_wins_and_ties_are_refused(spark, tmp_path):
+def test_newest_version_wins_and_ties_are_recorded(spark, tmp_path):
     target = IngestTarget(str(tmp_path / "points"), str(tmp_path / "manifest"))
     rows = [("a", "first", 1), ("a", "second", 2), ("b", "only", 1), ("b", "only", 1)]
     files = spark.createDataFrame(rows, "path string, text string, at int").selectExpr("path", "text", "timestamp_seconds(at) AS modified_at")
     ingest_batch(files, target)
     texts = {r["source"]: r["text"] for r in collection(spark, target.collection).read().collect()}
     assert texts == {"a": "second", "b": "only"}
-    with pytest.raises(ValueError, match="equally new"):
-        ingest_batch(spark.createDataFrame([("c", "x"), ("c", "y")], "path string, text string"), target)
+    # Two versions without times, and one without a time beside one with a time, cannot be told apart; equal ones can.
+    shape = "path string, text string, modified_at timestamp"
+    moment = datetime.datetime(2024, 1, 1)
+    torn = [("c", "x", None), ("c", "y", None), ("a", "third", moment), ("a", "third, too", None), ("d", "good", None), ("d", "good", moment)]
+    reply = {r["file_path"]: r["status"] for r in ingest_batch(spark.createDataFrame(torn, shape), target).collect()}
+    assert reply == {"a": "failed", "c": "failed", "d": "new"}
+    manifest = {r["file_path"]: r for r in manifest_table(spark, target.manifest).read().collect()}
+    assert manifest["c"]["last_error"] == TORN and manifest["c"]["chunk_count"] == 0
+    assert manifest["a"]["last_error"] == TORN and manifest["a"]["chunk_count"] == 1 and manifest["d"]["last_error"] is None
+    texts = {r["source"]: r["text"] for r in collection(spark, target.collection).read().collect()}
+    assert texts == {"a": "second", "b": "only", "d": "good"}
+    # The next batch settles it.
+    reply = {r["file_path"]: r["status"] for r in ingest_batch(spark.createDataFrame([("c", "x", None)], shape), target).collect()}
+    assert set(reply) == {"c"} and manifest_table(spark, target.manifest).read().filter("last_error is not null").count() == 1
+
+
+def test_compaction_leaves_no_old_bases(spark, tmp_path):
+    target = IngestTarget(str(tmp_path / "points"), str(tmp_path / "manifest"), compact_every=1, keep_bases=1)
+    for n in range(3):
+        ingest_batch(spark.createDataFrame([("a", f"text {n}")], "path string, text string"), target)
+    for folder in ("points", "manifest"):
+        assert len([p for p in (tmp_path / folder).iterdir() if p.name.startswith("base-")]) == 2
+    assert [r["text"] for r in collection(spark, target.collection).read().collect()] == ["text 2"]
 
 
 def test_failed_file_is_recorded_and_retried(spark, tmp_path):

@@ -132,11 +132,11 @@ def test_store(spark, tmp_path):
     other = store.ingest(str(tmp_path / "Kosten.csv"), "out/Kosten.csv", "h1").first()
     assert other["table_name"] == f"kosten_{other['table_id'][:8]}"
     schemas = store.schemas([first["table_id"], "unknown"])
-    package = answer(spark, "SELECT SUM(q2) AS total FROM kosten;", schemas, store.paths(schemas)).first()
+    package = answer(spark, "SELECT SUM(q2) AS total FROM kosten;", schemas, store.readers(schemas)).first()
     assert (package["status"], package["rows"], package["row_count"]) == ("ok", ['{"total":1030000}'], 1)
     assert package["citations"] == ["[Quelle: in/Kosten.csv, Tabelle: kosten]"]
     assert answer(spark, "SELECT 1", store.schemas(["unknown"]), {}).first()["error"].startswith("No valid tables")
-    wrong = answer(spark, "SELECT nothing FROM kosten", schemas, store.paths(schemas)).first()
+    wrong = answer(spark, "SELECT nothing FROM kosten", schemas, store.readers(schemas)).first()
     assert wrong["status"] == "error" and "SQL execution error" in wrong["error"]
     card = store.cards.read().filter(F.col("source") == "in/Kosten.csv").first()
     assert card["text"].startswith("Table from Kosten.csv\n\nColumns: abteilung, q1, q2\n\nSample data:\nabteilung | q1 | q2\nMarketing | 150000 | 200000\n")

@@ -70,3 +70,20 @@ def test_prepared_search_gives_the_same_hits(spark, small):
     space.upsert(documents.limit(1).withColumn("text", F.lit("entirely new words")))
     found = space.search(spark.createDataFrame([(1, "entirely new words")], "query_id int, query string"), options)
     assert found.filter("rank = 1").first()["text"] == "entirely new words"
+
+
+def test_prepared_table_search_gives_the_same_hits(spark, tmp_path):
+    space = Workspace(spark, shared_path(spark, "space"), dimension=16)
+    files = []
+    for n, header in enumerate(("Abteilung,Betrag", "Stadt,Einwohner", "Fluss,Abfluss")):
+        (tmp_path / f"t{n}.csv").write_text(f"{header}\nx,{n}\n")
+        files.append((str(tmp_path / f"t{n}.csv"), f"in/t{n}.csv", "h"))
+    space.ingest_tables(spark.createDataFrame(files, "path string, source_path string, file_hash string"))
+    asked = spark.createDataFrame([(1, "Einwohner der Stadt"), (2, "Fluss")], "query_id int, query string")
+    options = SearchOptions(limit=3, dimension=16)
+    plain = sorted(space.search_tables(asked, options).drop("metadata").collect())
+    space.prepare_table_search(cells=2)
+    assert list(pathlib.Path(space.root, "search-tables").iterdir())
+    assert sorted(space.search_tables(asked, options).drop("metadata").collect()) == plain and plain
+    space.compact()
+    assert len([p for p in pathlib.Path(space.root, "collections/documents").iterdir() if p.name.startswith("base-")]) == 2
