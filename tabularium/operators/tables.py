@@ -91,14 +91,16 @@ def name_tables(incoming: DataFrame, registry: DataFrame) -> DataFrame:
     holder = registry.select(F.col("table_name").alias("_held"), F.col("table_id").alias("_holder"))
     owners = bases.join(holder, F.col("_base") == F.col("_held"), "left").select("_base", F.coalesce("_holder", "_first").alias("_owner"))
     named = named.join(owners, "_base")
-    # Who may hold the name with the suffix: a table of that name already, or one of the batch that is called so without any.
-    held = holder.unionByName(bases.select(F.col("_base").alias("_held"), F.col("_first").alias("_holder"))).groupBy("_held").agg(F.collect_set("_holder").alias("_holders"))
-    # Two ids of the batch may also begin alike.
+    # Two ids of the batch may begin alike, and a name with a suffix may be another table's whole name.
     short = F.when(F.col("table_id") != F.col("_owner"), F.concat("_base", F.lit("_"), F.substring("table_id", 1, 8)))
     named = named.withColumn("_short", short)
-    alike = named.filter(F.col("_short").isNotNull()).groupBy("_short").agg(F.min("table_id").alias("_least"))
-    named = named.join(alike, "_short", "left").join(held, F.col("_short") == F.col("_held"), "left")
-    others = F.size(F.filter(F.coalesce("_holders", F.array().cast("array<string>")), lambda one: one != F.col("table_id"))) > 0
+    none = F.lit(None).cast("string")
+    claims = holder.select(F.col("_held").alias("_short"), F.col("_holder"), none.alias("_id"))
+    claims = claims.unionByName(bases.select(F.col("_base").alias("_short"), F.col("_first").alias("_holder"), none.alias("_id")))
+    claims = claims.unionByName(named.filter(F.col("_short").isNotNull()).select("_short", none.alias("_holder"), F.col("table_id").alias("_id")))
+    claims = claims.groupBy("_short").agg(F.collect_set("_holder").alias("_holders"), F.min("_id").alias("_least"))
+    named = named.join(claims, "_short", "left")
+    others = F.size(F.filter("_holders", lambda one: one != F.col("table_id"))) > 0
     long = F.concat("_base", F.lit("_"), F.col("table_id"))
     name = F.when(F.col("_short").isNull(), F.col("_base")).when(others | (F.col("_least") != F.col("table_id")), long).otherwise(F.col("_short"))
     return named.withColumn("table_name", name).select(*incoming.columns, "table_name")

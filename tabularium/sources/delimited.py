@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -88,34 +90,43 @@ def _cutter(inside: Broadcast, delimiter: str) -> Callable[[Iterator[pa.RecordBa
     """Lines to records, and to parts of those that reach over the ends of their split."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, lines, number, is_open, tail = None, [], 0, False, False
-        rows: list[tuple] = []
+        place, pending, number, is_open, tail = None, [], 0, False, False
         for batch in batches:
-            for value, *at in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            rows: list[tuple] = []
+            values, files, splits = batch.column(0), batch.column(1), batch.column(2).to_numpy()
+            odd = pc.count_substring(values, '"').to_numpy(zero_copy_only=False) & 1
+            codes = files.dictionary_encode().indices.to_numpy()
+            runs = np.flatnonzero(np.concatenate(([True], (np.diff(splits) != 0) | (np.diff(codes) != 0))))
+            for a, b in zip(runs.tolist(), [*runs[1:].tolist(), batch.num_rows], strict=True):
+                at = (files[a].as_py(), int(splits[a]))
+                lines = values.slice(a, b - a).to_pylist()
                 if at != place:
-                    if lines:
-                        rows.append((*place, number, None, "\n".join(lines), not tail))
-                    if tuple(at) not in inside.value:
+                    if pending:
+                        rows.append((*place, number, None, "\n".join(pending), not tail))
+                    if at not in inside.value:
                         raise RuntimeError("the splits of the files have changed between two passes; read them again")
-                    place, lines, number, is_open = at, [], 0, inside.value[tuple(at)]
+                    place, pending, number, is_open = at, [], 0, inside.value[at]
                     tail = is_open
-                if at[1] == 0 and not number and not lines:
-                    value = value.removeprefix("\ufeff")
-                lines.append(value)
-                is_open ^= bool(value.count('"') & 1)
-                if is_open:
-                    continue
-                if tail:
-                    rows.append((*place, number, None, "\n".join(lines), False))
-                elif cells := cells_of("\n".join(lines), delimiter):
-                    rows.append((*place, number, cells, None, None))
-                    number += 1
-                lines, tail = [], False
+                    if at[1] == 0:
+                        lines[0] = lines[0].removeprefix("\ufeff")
+                # A record ends with the line after which all quotes are closed.
+                parity = np.cumsum(odd[a:b]) + is_open & 1
+                done = 0
+                for end in (np.flatnonzero(parity == 0) + 1).tolist():
+                    record = "\n".join([*pending, *lines[done:end]])
+                    pending, done = [], end
+                    if tail:
+                        rows.append((*place, number, None, record, False))
+                        tail = False
+                    elif cells := cells_of(record, delimiter):
+                        rows.append((*place, number, cells, None, None))
+                        number += 1
+                pending += lines[done:]
+                is_open = bool(parity[-1])
             if rows:
                 yield _records_batch(rows)
-                rows = []
-        if lines:
-            yield _records_batch([(*place, number, None, "\n".join(lines), not tail)])
+        if pending:
+            yield _records_batch([(*place, number, None, "\n".join(pending), not tail)])
 
     return cut
 
@@ -169,9 +180,11 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str = ",") -> Data
     Short rows are padded with null, long ones cut, blank lines dropped. A file
     without a single line gives ``None``.
     """
-    records = read_records(spark, path, delimiter)
-    first = records.filter(is_header()).agg(F.min_by("cells", "file").alias("cells")).first()["cells"]
-    if first is None:
+    # Of this read no more than the first record is fetched.
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": "true", "header": "false", "inferSchema": "false"}
+    first = spark.read.options(**options).csv(path).limit(1).collect()
+    if not first:
         return None
-    names = column_names(spark, first)
+    names = column_names(spark, [h.removeprefix("\ufeff") if h is not None else None for h in first[0]])
+    records = read_records(spark, path, delimiter)
     return records.filter(~is_header()).select(*[F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(names)])
