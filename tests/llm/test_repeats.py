@@ -10,8 +10,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from tabularium.llm.repeats import _counted_spans
 from tabularium.llm.suffix_runs import remove_repeated_bytes, run_length_matches, suffix_order
-from tabularium.llm.suffix_trees import deep_leaves, internal_nodes, remove_repeated_words, suffix_tree, with_unique_words
+from tabularium.llm.suffix_trees import WORDS, deep_leaves, internal_nodes, remove_repeated_words, suffix_tree, with_unique_words
 from tabularium.llm.words import word_hashes
 
 from .conftest import AWKWARD, LONG, PASSAGE, frame
@@ -67,6 +68,20 @@ def test_words(spark, seed, hot):
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got), key=str) == brute_words(rows, 6)
 
 
+def test_one_passage_in_many_places(spark):
+    """A hot passage leaves each block as one span per text, however many windows and places it has."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(n, f"own{n} a{n} {passage} b{n} end{n}") for n in range(10_000)] + [(10_000, f"{passage} {passage}")]
+    got = {r["doc_id"]: r for r in remove_repeated_words(frame(spark, rows), length=6, gram=2, hot=100, filter_bits=1 << 16).collect()}
+    assert all(got[n]["n_removed"] == 30 and got[n]["kept"] == f"own{n} a{n} b{n} end{n}" for n in range(10_000))
+    assert got[10_000]["n_removed"] == 60 and len(got) == 10_001
+    texts = spark.createDataFrame([(n, t) for n, t in rows], "key long, text string")
+    everything = spark.sparkContext.broadcast(np.full(16, -1, np.int64).tobytes())
+    spans = _counted_spans(texts, WORDS, 2, 6, everything, 1 << 10)
+    assert spans.count() == 10_001
+    assert sorted(map(tuple, spans.filter("key >= 9999").collect())) == [(9999, 2, 32), (10_000, 0, 60)]
+
+
 def test_awkward(spark, awkward, nothing):
     rows = [(i, t) for i, t in AWKWARD if t != LONG]
     got = remove_repeated_bytes(awkward, length=50).collect()
