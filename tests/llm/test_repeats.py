@@ -89,7 +89,8 @@ def test_awkward(spark, awkward, nothing):
     assert sorted(((r[0], r[1], r[2], r[3], bytes(r[4])) for r in got if r["n_bytes"] != len(LONG)), key=str) == expected
     got = remove_repeated_words(awkward).collect()
     long_row = next(r for r in got if r["doc_id"] == 6)
-    seen = Counter(tuple(LONG.split()[i : i + 35]) for i in range(60_000 - 34))
+    words = LONG.split()
+    seen = Counter(tuple(words[i : i + 35]) for i in range(60_000 - 34))
     assert long_row["n_words"] == 60_000 and (long_row["n_removed"] > 0) == (max(seen.values()) > 1)
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got if r["doc_id"] != 6), key=str) == brute_words(rows, 35)
     assert remove_repeated_bytes(nothing).count() == 0 and remove_repeated_words(nothing).count() == 0
