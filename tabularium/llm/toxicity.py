@@ -5,12 +5,16 @@ whole text; words that no example has count in the norm too. A term weighs more,
 the logarithm of a G-test, if its presence among the examples depends on the label,
 whichever label that is; no word weighs less than its TF-IDF. Beginnings of words,
 so that inflections of one stem meet, are terms beside the words: at half weight at
-most, and only those of several words that tell the label. The index holds postings
-per term. As all words count, every example that shares a word with a text has a
-cosine, and all of them are worked out, for a few texts at once: by postings, and for
-the most widespread terms by one product of matrices. The neighbours' labels are
-voted by similarity, and the votes turned into a probability by a fit to the
-examples' own leave-one-out votes.
+most, and only those of several words that tell the label.
+
+The search is block-max: examples that are alike lie side by side, in blocks, and the
+long lists of the most widespread terms have a maximum per block. The short lists are
+walked in full; what the long ones can add to a block is bounded by its maxima and by
+its largest norm over these terms, and only blocks that can still reach the k-th
+cosine have their long lists read. Cosines in question are worked out again in double
+precision, so bounds decide the work and never the result. The neighbours' labels are
+voted by similarity, and the votes turned into a probability by a fit to the examples'
+own leave-one-out votes, which tasks work out.
 
 Examples are a bounded sample (``EXAMPLES``, smallest hashes of the id first), so
 that the index can be sent to all tasks; it grows with the examples' texts, not with
@@ -19,10 +23,9 @@ the corpus. Every document is scored, on its whole text.
 
 from __future__ import annotations
 
-import pickle
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from functools import cached_property
 from hashlib import sha256
 from math import exp, log, sqrt
@@ -30,7 +33,7 @@ from math import exp, log, sqrt
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
@@ -52,9 +55,15 @@ LEAST_G = 24.0
 # Neighbours that vote, and weight of the prior among the votes.
 NEIGHBOURS = 15
 PRIOR = 0.5
-# Texts scored at once, and terms that are also kept as rows of a matrix.
-GROUP = 32
-COMMON = 256
+# Texts scored at once, examples of a block, and terms whose lists are read by blocks.
+GROUP = 64
+BLOCK = 64
+COMMON = 512
+# Blocks read first, for a first k-th cosine, and groups of examples that are alike.
+FIRST = 4
+KINDS = 64
+# More than single precision can be wrong in a sum of ``COMMON`` products below one.
+MARGIN = 1e-4
 
 
 def terms_of(text: bytes) -> Counter:
@@ -94,24 +103,22 @@ class Index:
     slope: float = 1.0
     shift: float = 0.0
 
-    def __getstate__(self) -> dict:
-        return {name: value for name, value in self.__dict__.items() if name not in ("common", "begun", "places")}
+    def state(self) -> dict:
+        """What tasks need, without a class of this package."""
+        return {field.name: getattr(self, field.name) for field in fields(self)}
+
+    @cached_property
+    def shared(self) -> Broadcast:
+        """``state`` as all tasks read it; sent once."""
+        return SparkSession.active().sparkContext.broadcast(self.state())
 
     @cached_property
     def places(self) -> dict[bytes, int]:
         return {term: i for i, term in enumerate(self.terms.split(b"\n"))} if self.terms else {}
 
     @cached_property
-    def common(self) -> tuple[np.ndarray, np.ndarray]:
-        """Per term its row or -1, and the rows: weights in all examples of the most widespread terms."""
-        widest = np.argsort(-np.diff(self.starts), kind="stable")[:COMMON]
-        row = np.full(len(self.gains), -1, np.int32)
-        row[widest] = np.arange(len(widest))
-        rows = np.zeros((len(widest), len(self.ids)))
-        for i, term in enumerate(widest.tolist()):
-            own = slice(self.starts[term], self.starts[term + 1])
-            rows[i, self.postings[own]] = self.weights[own]
-        return row, rows
+    def blocks(self) -> Blocks:
+        return Blocks(self)
 
     @cached_property
     def begun(self) -> set[bytes]:
@@ -139,37 +146,11 @@ class Index:
         weights = (1 + np.log(n)) * self.gains[at]
         return at, weights / (sqrt(float((weights**2).sum()) + other) or 1.0)
 
-    def _best(self, sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        places = np.flatnonzero(sums > 0)
-        if len(places) > k:
-            # Those that are equal when rounded stay.
-            values = sums[places]
-            places = places[values >= np.partition(values, len(values) - k)[len(values) - k] - 1e-11]
-        cosines = np.round(sums[places], 12)
-        best = np.lexsort((places, -cosines))[:k]
-        return places[best], cosines[best]
-
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: tuple[int, ...] = ()) -> list[tuple[np.ndarray, np.ndarray]]:
-        """``neighbours`` of up to ``GROUP`` vectors."""
-        row, rows = self.common
-        # Always as many, so that a text's product does not depend on those beside it.
-        asked = np.zeros((GROUP, len(rows)))
-        for i, (at, weights) in enumerate(vectors):
-            own = row[at]
-            asked[i, own[own >= 0]] = weights[own >= 0]
-        sums = asked @ rows
-        found = []
-        for i, (at, weights) in enumerate(vectors):
-            rare = row[at] < 0
-            spans = list(map(slice, self.starts[at[rare]].tolist(), self.starts[at[rare] + 1].tolist()))
-            if spans:
-                places = np.concatenate([self.postings[span] for span in spans])
-                parts = np.concatenate([weight * self.weights[span] for weight, span in zip(weights[rare].tolist(), spans, strict=True)])
-                sums[i] += np.bincount(places, parts, minlength=len(self.ids))
-            if but:
-                sums[i, but[i]] = 0
-            found.append(self._best(sums[i], k))
-        return found
+        """``neighbours`` of up to ``GROUP`` vectors; of the i-th without the example ``but[i]``, if given and not negative."""
+        if not len(self.ids):
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(vectors)
+        return self.blocks.nearest(vectors, k, but)
 
     def neighbours(self, at: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` examples with the largest cosine, without zeros; ties go to the smaller place."""
@@ -182,10 +163,118 @@ class Index:
     def calibrated(self, vote: float) -> float:
         return 1.0 / (1.0 + exp(-max(-30.0, min(30.0, self.slope * log(vote / (1 - vote)) + self.shift))))
 
-    def scores(self, texts: list[bytes], k: int) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+    def votes(self, texts: list[bytes], k: int, but: tuple[int, ...] = ()) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
         for first in range(0, len(texts), GROUP):
-            for found, cosines in self.nearest([self.weigh(*self.counts(text)) for text in texts[first : first + GROUP]], k):
-                yield self.calibrated(self.vote(found, cosines)), found, cosines
+            group = slice(first, first + GROUP)
+            for found, cosines in self.nearest([self.weigh(*self.counts(text)) for text in texts[group]], k, but[group]):
+                yield self.vote(found, cosines), found, cosines
+
+    def scores(self, texts: list[bytes], k: int) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        for vote, found, cosines in self.votes(texts, k):
+            yield self.calibrated(vote), found, cosines
+
+
+class Blocks:
+    """The examples of an index in blocks of ``BLOCK``, those alike side by side.
+
+    ``rows`` has the weights of the most widespread terms, ``tops`` and ``norms``
+    their maximum per block and term and the largest norm per block. ``order`` lists
+    the examples' places; places that fill the last block are no examples.
+    """
+
+    def __init__(self, index: Index):
+        self.index, total = index, len(index.ids)
+        widest = np.argsort(-np.diff(index.starts), kind="stable")[:COMMON]
+        self.column = np.full(len(index.gains), -1, np.int32)
+        self.column[widest] = np.arange(len(widest))
+        rows = np.zeros((total, len(widest)), np.float32)
+        for i, term in enumerate(widest.tolist()):
+            own = slice(index.starts[term], index.starts[term + 1])
+            rows[index.postings[own], i] = index.weights[own]
+        self.n_blocks = -(-total // BLOCK)
+        self.order = self._side_by_side(rows)
+        self.rows = np.zeros((self.n_blocks, BLOCK, len(widest)), np.float32)
+        self.rows.reshape(-1, len(widest))[:total] = rows[self.order]
+        self.where = np.empty(total, np.int64)
+        self.where[self.order] = np.arange(total)
+        self.tops = self.rows.max(1)
+        self.norms = np.sqrt((self.rows**2).sum(2)).max(1)
+
+    @staticmethod
+    def _side_by_side(rows: np.ndarray) -> np.ndarray:
+        """Places in an order that puts rows of one direction together; only the work depends on it."""
+        lengths = np.sqrt((rows**2).sum(1, keepdims=True))
+        centres = rows[np.linspace(0, len(rows) - 1, min(KINDS, len(rows))).astype(int)].copy()
+        kind = np.zeros(len(rows), np.int64)
+        for _ in range(6):
+            centres /= np.maximum(np.sqrt((centres**2).sum(1, keepdims=True)), 1e-9)
+            kind = (rows @ centres.T).argmax(1)
+            for c in range(len(centres)):
+                if len(own := np.flatnonzero(kind == c)):
+                    centres[c] = (rows[own] / np.maximum(lengths[own], 1e-9)).mean(0)
+        return np.lexsort((np.arange(len(rows)), lengths[:, 0], kind))
+
+    def _short_lists(self, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Sums over all postings of the terms that are not read by blocks, by place."""
+        index = self.index
+        spans = list(map(slice, index.starts[at].tolist(), index.starts[at + 1].tolist()))
+        if not spans:
+            return np.zeros(len(index.ids))
+        places = np.concatenate([index.postings[span] for span in spans])
+        sizes = index.starts[at + 1] - index.starts[at]
+        parts = np.concatenate([index.weights[span] for span in spans]) * np.repeat(weights, sizes)
+        return np.bincount(places, parts, minlength=len(index.ids))
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+        n, total = len(vectors), len(self.order)
+        asked = np.zeros((n, self.rows.shape[2]))
+        sums = np.full((n, self.n_blocks, BLOCK), -np.inf)
+        for i, (at, weights) in enumerate(vectors):
+            column = self.column[at]
+            asked[i, column[column >= 0]] = weights[column >= 0]
+            own = sums[i].reshape(-1)
+            own[:total] = self._short_lists(at[column < 0], weights[column < 0])[self.order]
+            if but and but[i] >= 0:
+                own[self.where[but[i]]] = -np.inf
+        single = asked.astype(np.float32)
+        # What the long lists can add to an example of a block, at most.
+        more = np.minimum(single @ self.tops.T, np.sqrt((asked**2).sum(1))[:, None] * self.norms)
+        reach = sums.max(2) + more
+        full = np.full(sums.shape, -np.inf)
+        done = np.zeros(reach.shape, bool)
+        first = np.argsort(-reach, axis=1, kind="stable")[:, :FIRST]
+        np.put_along_axis(done, first, True, 1)
+        self._read(done, single, sums, full)
+        seen = np.take_along_axis(full, first[:, :, None], 1).reshape(n, -1)
+        left = (reach > 0) & (reach >= self._least(seen, k)[:, None] - MARGIN)
+        self._read(left & ~done, single, sums, full)
+        done |= left
+        found = []
+        for i in range(n):
+            blocks = np.flatnonzero(done[i])
+            values = full[i, blocks].reshape(-1)
+            near = np.flatnonzero((values > 0) & (values >= self._least(values[None], k)[0] - MARGIN))
+            near = blocks[near // BLOCK] * BLOCK + near % BLOCK
+            rows = self.rows.reshape(-1, self.rows.shape[2])[near]
+            cosines = np.round(sums[i].reshape(-1)[near] + (rows * asked[i]).sum(1), 12)
+            near, cosines = near[cosines > 0], cosines[cosines > 0]
+            places = self.order[near]
+            best = np.lexsort((places, -cosines))[:k]
+            found.append((places[best], cosines[best]))
+        return found
+
+    def _read(self, asked_for: np.ndarray, asked: np.ndarray, sums: np.ndarray, full: np.ndarray) -> None:
+        """Adds the long lists of blocks, each for the texts that ask for it."""
+        for block in np.flatnonzero(asked_for.any(0)).tolist():
+            own = np.flatnonzero(asked_for[:, block])
+            full[own, block] = sums[own, block] + asked[own] @ self.rows[block].T
+
+    @staticmethod
+    def _least(values: np.ndarray, k: int) -> np.ndarray:
+        """The k-th largest value of each row, at least zero."""
+        if values.shape[1] < k:
+            return np.zeros(len(values))
+        return np.maximum(np.partition(values, values.shape[1] - k, axis=1)[:, values.shape[1] - k], 0.0)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
@@ -261,31 +350,45 @@ def build_index(examples: DataFrame, k: int = NEIGHBOURS) -> Index:
     postings, counted = (pc.struct_field(cells, name).to_numpy() for name in ("number", "n"))
     del table, cells
     pa.default_memory_pool().release_unused()
-    place = np.repeat(np.arange(len(df), dtype=np.int32), df)
-    weights = np.log(counted)
+    weights = np.log(counted, dtype=np.float32)
     del counted
     weights += 1
-    weights *= gains[place]
+    weights *= np.repeat(gains.astype(np.float32), df)
     norms = np.sqrt(np.bincount(postings, weights**2, minlength=total))
-    weights /= norms[postings]
+    weights /= norms.astype(np.float32)[postings]
     starts = np.concatenate(([0], np.cumsum(df)))
     ids, labels = np.array([i for i, _ in marked]), np.array([label for _, label in marked], float)
     index = Index(terms, gains, log(total + 1) + 1, starts, postings, weights, ids, labels, base)
     # Leave one out: each example is judged by the others.
-    votes, truths = [], []
-    order = np.argsort(postings, kind="stable").astype(np.int32)
-    bounds = np.searchsorted(postings, np.arange(total + 1), sorter=order)
-    for first in range(0, total, GROUP):
-        group = range(first, min(first + GROUP, total))
-        own = [order[bounds[i] : bounds[i + 1]] for i in group]
-        for i, (found, cosines) in zip(group, index.nearest([(place[o], weights[o]) for o in own], k, tuple(group)), strict=True):
-            votes.append(index.vote(found, cosines))
-            truths.append(index.labels[i])
+    told = examples.select("id", "text").mapInArrow(_voter(index, k), "id long, vote double").collect()
+    by_id = {row["id"]: row["vote"] for row in told}
+    votes, truths = [by_id[i] for i, _ in marked], [label for _, label in marked]
     odds_of = np.log(np.array(votes) / (1 - np.array(votes)))
-    index.slope, index.shift = _logistic(odds_of, np.array(truths), np.ones(total))
+    index.slope, index.shift = _logistic(odds_of, np.array(truths, float), np.ones(total))
     return index
 
 
+def _opened(shared: Broadcast) -> Index:
+    """The index, one per Python worker and not per task."""
+    if "index" not in shared.__dict__:
+        shared.index = Index(**shared.value)
+    return shared.index
+
+
+def _voter(index: Index, k: int):
+    shared = index.shared
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _opened(shared)
+        for ids, texts in texts_of(batches, "id"):
+            places = tuple(np.searchsorted(index.ids, ids).tolist())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array([vote for vote, *_ in index.votes(texts, k, places)], pa.float64())], names=["id", "vote"]
+            )
+
+    return run
+
+
 def _scorer(index: Index, k: int, evidence: int):
     listed = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
@@ -328,20 +431,21 @@ def labelled_examples(documents: DataFrame, labels: DataFrame, limit: int = EXAM
     return chosen.groupBy("id", "toxic").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
 
 
+def _with_fit(index: Index, slope: float, shift: float) -> Index:
+    index.slope, index.shift = slope, shift
+    return index
+
+
 def _scored(rows: DataFrame, index: Index, k: int, evidence: int) -> DataFrame:
     """``score`` and ``evidence`` beside the one other column of rows with ``text``."""
-    # By value, so that executors need no copy of the package.
-    shared = rows.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index))
+    shared, slope, shift = index.shared, index.slope, index.shift
     near = StructType([StructField("id", LongType()), StructField("cosine", DoubleType()), StructField("toxic", IntegerType())])
-    fields = [field for field in rows.schema.fields if field.name != "text"]
+    kept = [field for field in rows.schema.fields if field.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # One index per Python worker, not per task.
-        if "index" not in shared.__dict__:
-            shared.index = pickle.loads(shared.value)
-        yield from _scorer(shared.index, k, evidence)(batches)
+        yield from _scorer(_with_fit(_opened(shared), slope, shift), k, evidence)(batches)
 
-    return rows.mapInArrow(run, StructType([*fields, StructField("score", DoubleType()), StructField("evidence", ArrayType(near))]))
+    return rows.mapInArrow(run, StructType([*kept, StructField("score", DoubleType()), StructField("evidence", ArrayType(near))]))
 
 
 def score_toxicity(documents: DataFrame, index: Index, id_column: str = "doc_id", text_column: str = "text", k: int = NEIGHBOURS, evidence: int = 3) -> DataFrame:

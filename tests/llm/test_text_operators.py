@@ -288,6 +288,36 @@ def test_blocks_give_the_result_of_a_full_scan(spark):
         assert np.allclose(values, cosines[best]) and found.tolist() == best.tolist()
 
 
+def test_blocks_that_cannot_reach_are_not_read(spark, monkeypatch):
+    """Examples of several kinds, more than a few blocks: the same as a full scan, from fewer blocks."""
+    draw = np.random.default_rng(3)
+    rows, labels = [], []
+    for i in range(1200):
+        kind = i % 6
+        words = [f"k{kind}w{j}" for j in draw.integers(0, 120, 40)] + [f"all{j}" for j in draw.integers(0, 30, 10)]
+        rows.append((i, " ".join(words + (["vile", "nasty"] if i % 7 == 0 else []))))
+        labels.append((i, int(i % 7 == 0)))
+    monkeypatch.setattr(toxicity, "COMMON", 300)
+    index = toxicity.fitted(spark, frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    full = np.zeros((len(index.ids), len(index.places)))
+    for term in range(len(index.places)):
+        full[index.postings[index.starts[term] : index.starts[term + 1]], term] = index.weights[index.starts[term] : index.starts[term + 1]]
+    asked = []
+    once = toxicity.Blocks._read
+    monkeypatch.setattr(toxicity.Blocks, "_read", lambda self, wanted, *rest: (asked.append(wanted.mean()), once(self, wanted, *rest))[1])
+    vectors = [index.weigh(*index.counts(text.encode())) for _, text in rows[:50]] + [index.weigh({}), index.weigh(*index.counts(b"vile"))]
+    alone = tuple([*range(50), -1, -1])
+    for but in ((), alone):
+        for i, ((at, weights), (found, values)) in enumerate(zip(vectors, index.nearest(vectors, 15, but), strict=True)):
+            cosines = np.round(full[:, at] @ weights, 12)
+            if but and i < 50:
+                cosines[i] = 0
+            best = np.lexsort((np.arange(len(cosines)), -cosines))[:15]
+            best = best[cosines[best] > 0]
+            assert np.allclose(values, cosines[best], atol=1e-11) and found.tolist() == best.tolist()
+    assert sum(asked[:2]) < 0.6
+
+
 def test_clean_texts_with_the_beginning_of_a_toxic_word(spark):
     draw = np.random.default_rng(5)
     rows, labels = [], []
