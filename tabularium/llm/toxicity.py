@@ -32,7 +32,6 @@ from math import exp, log, sqrt
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,7 +57,7 @@ PRIOR = 0.5
 # Texts scored at once, examples of a block, and terms whose lists are read by blocks.
 GROUP = 64
 BLOCK = 64
-COMMON = 512
+COMMON = 256
 # Blocks read first, for a first k-th cosine, and groups of examples that are alike.
 FIRST = 4
 KINDS = 64
@@ -77,11 +76,23 @@ def terms_of(text: bytes) -> Counter:
     return found
 
 
-def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for keys, texts in texts_of(batches, "id"):
-        rows = [(key, term, n) for key, text in zip(keys, texts, strict=True) for term, n in terms_of(text).items()]
-        columns = list(zip(*rows, strict=True)) or [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int64())], names=["id", "term", "n"])
+def _term_rows(kept: frozenset | None = None):
+    """Rows of all terms of the texts; of word beginnings, only those ``kept``, if given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts in texts_of(batches, "id"):
+            sizes, terms, counts = [], [], []
+            for text in texts:
+                found = terms_of(text)
+                if kept is not None:
+                    found = {term: n for term, n in found.items() if term[:1] == b" " or term in kept}
+                sizes.append(len(found))
+                terms.extend(found.keys())
+                counts.extend(found.values())
+            ids = np.repeat(np.array(keys, np.int64), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(terms, pa.binary()), pa.array(counts, pa.int64())], names=["id", "term", "n"])
+
+    return run
 
 
 @dataclass
@@ -141,8 +152,9 @@ class Index:
         return found, other
 
     def weigh(self, counts: dict[int, int], other: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        at = np.fromiter(sorted(counts), np.int64, len(counts))
-        n = np.fromiter((counts[t] for t in at.tolist()), np.float64, len(counts))
+        at, n = np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), np.float64, len(counts))
+        order = np.argsort(at)
+        at, n = at[order], n[order]
         weights = (1 + np.log(n)) * self.gains[at]
         return at, weights / (sqrt(float((weights**2).sum()) + other) or 1.0)
 
@@ -319,43 +331,50 @@ def build_index(examples: DataFrame, k: int = NEIGHBOURS) -> Index:
     empty = Index(b"", np.zeros(0), 1.0, np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), base)
     if not bad or not good:
         return empty
-    rows = examples.select("id", "text").mapInArrow(_term_rows, "id long, term binary, n long")
     numbers = spark.createDataFrame([(i, number, label) for number, (i, label) in enumerate(marked)], "id long, number int, toxic int")
-    rows = rows.join(F.broadcast(numbers), "id")
+
+    def rows(kept: frozenset | None = None) -> DataFrame:
+        return examples.select("id", "text").mapInArrow(_term_rows(kept), "id long, term binary, n long").join(F.broadcast(numbers), "id")
+
     is_word = F.substring("term", 1, 1) == F.lit(bytearray(b" "))
     informative = _informative(F.col("df"), F.col("bad"), good, bad)
-    counts = rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("bad"))
+    # Read twice, made once.
+    counts = rows().groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("bad")).persist()
     sizes = F.explode(F.array(*map(F.lit, STEMS)))
     begun = counts.filter(is_word).select("term", sizes.alias("size")).filter(F.length("term") > F.col("size"))
     begun = begun.groupBy(F.expr("substring(term, 2, size)").alias("term")).agg(F.count("*").alias("words"))
     stems = counts.filter(~is_word).withColumn("g", informative).filter(F.col("g") >= LEAST_G).join(begun.filter(F.col("words") >= LEAST_WORDS), "term")
-    stems = stems.orderBy(F.col("g").desc(), "term").limit(TERMS).select("term", "words").collect()
-    kept = spark.createDataFrame([(bytearray(row["term"]), row["words"]) for row in stems], "term binary, words long")
-    held = rows.join(F.broadcast(kept), "term", "left").filter(is_word | F.col("words").isNotNull())
-    held = held.groupBy("term").agg(
-        F.count("*").alias("df"), F.sum("toxic").alias("bad"), F.first("words").alias("words"),
-        F.sort_array(F.collect_list(F.struct("number", F.col("n").cast("int").alias("n")))).alias("held"),
-    )
+    stems = {bytes(row["term"]): row["words"] for row in stems.orderBy(F.col("g").desc(), "term").limit(TERMS).select("term", "words").collect()}
+    counts.unpersist()
+    held = rows(frozenset(stems)).groupBy("term").agg(
+        F.count("*").alias("df"), F.sum("toxic").alias("bad"), F.sort_array(F.collect_list(F.struct("number", F.col("n").cast("int").alias("n")))).alias("held")
+    )
     # In the order of terms and, within a term, of examples.
-    table = held.orderBy("term").select("term", "df", informative.alias("g"), "words", "held").toArrow()
+    table = held.orderBy("term").select("term", "df", informative.alias("g"), "held").toArrow()
     if not table.num_rows:
         return empty
-    # What a word that stands once adds to a text, before the norm.
+    terms = table["term"].to_pylist()
     df, told = table["df"].to_numpy(), np.maximum(table["g"].to_numpy() - LEAST_G, 0)
+    # What a word that stands once adds to a text, before the norm.
     gains = (np.log((total + 1) / (df + 1)) + 1) * (1 + np.log1p(told))
-    words = table["words"].to_numpy()
-    gains = np.where(np.isnan(words), gains, STEM_WEIGHT * (1 - 1 / words) * gains)
-    terms = b"\n".join(table["term"].to_pylist())
-    cells = pc.list_flatten(table["held"])
-    postings, counted = (pc.struct_field(cells, name).to_numpy() for name in ("number", "n"))
-    del table, cells
+    gains *= np.array([1.0 if term[:1] == b" " else STEM_WEIGHT * (1 - 1 / stems[term]) for term in terms])
+    terms = b"\n".join(terms)
+    # A part of the table at a time: the driver holds the postings and little more.
+    postings, weights, squares, first = [], [], np.zeros(total), 0
+    for part in table["held"].chunks:
+        cells, own = part.flatten(), slice(first, first + len(part))
+        number, n = (cells.field(i).to_numpy() for i in (0, 1))
+        weight = (1 + np.log(n, dtype=np.float32)) * np.repeat(gains[own].astype(np.float32), df[own])
+        squares += np.bincount(number, weight.astype(float) ** 2, minlength=total)
+        postings.append(number.copy())
+        weights.append(weight)
+        first = own.stop
+    del table, part, cells, number, n, weight
     pa.default_memory_pool().release_unused()
-    weights = np.log(counted, dtype=np.float32)
-    del counted
-    weights += 1
-    weights *= np.repeat(gains.astype(np.float32), df)
-    norms = np.sqrt(np.bincount(postings, weights**2, minlength=total))
-    weights /= norms.astype(np.float32)[postings]
+    norms = np.sqrt(squares).astype(np.float32)
+    for number, weight in zip(postings, weights, strict=True):
+        weight /= norms[number]
+    postings, weights = np.concatenate(postings), np.concatenate(weights)
     starts = np.concatenate(([0], np.cumsum(df)))
     ids, labels = np.array([i for i, _ in marked]), np.array([label for _, label in marked], float)
     index = Index(terms, gains, log(total + 1) + 1, starts, postings, weights, ids, labels, base)
