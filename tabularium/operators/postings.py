@@ -34,6 +34,8 @@ COLUMNS = 32
 BLOCK = 64
 # Postings in a segment, about.
 SEGMENT_POSTINGS = 1 << 19
+# Bytes of a row group: segments are large rows, and a reader holds a whole group of them.
+ROW_GROUP_BYTES = 8 << 20
 
 _COLUMN = "struct<terms:array<string>,starts:array<int>,docs:array<int>,tfs:array<int>,top_tf:array<int>,least_length:array<int>>"
 _SLACK = 10.0**-SCORE_DIGITS
@@ -84,19 +86,28 @@ def _segment(batches: list[pa.RecordBatch], schema: pa.Schema) -> pa.RecordBatch
     starts = np.concatenate(([0], np.cumsum(n)))
     names = coded.dictionary.take(pa.array(by_column))
     edges = np.searchsorted(column[by_column], np.arange(COLUMNS + 1))
-    row = {"ids": one_array(table["id"]).take(pa.array(order)).to_pylist(), "lengths": lengths.tolist()}
+    row = {"ids": one_array(table["id"]).take(pa.array(order)), "lengths": pa.array(lengths)}
     for c in range(COLUMNS):
         a, b = edges[c], edges[c + 1]
         if a == b:
-            row[_name(c)] = None
             continue
         docs, tfs = doc[starts[a] : starts[b]], tf[starts[a] : starts[b]]
         firsts, _ = _cut(n[a:b])
         row[_name(c)] = {
-            "terms": names.slice(a, b - a).to_pylist(), "starts": (starts[a : b + 1] - starts[a]).tolist(), "docs": docs.tolist(), "tfs": tfs.tolist(),
-            "top_tf": np.maximum.reduceat(tfs, firsts).tolist(), "least_length": np.minimum.reduceat(lengths[docs], firsts).tolist(),
+            "terms": names.slice(a, b - a), "starts": starts[a : b + 1] - starts[a], "docs": docs, "tfs": tfs,
+            "top_tf": np.maximum.reduceat(tfs, firsts), "least_length": np.minimum.reduceat(lengths[docs], firsts),
         }
-    return pa.RecordBatch.from_pylist([row], schema)
+    return pa.RecordBatch.from_arrays([_cell(row.get(field.name), field.type) for field in schema], schema=schema)
+
+
+def _cell(value: pa.Array | np.ndarray | dict | None, kind: pa.DataType) -> pa.Array:
+    """A column of one row, which holds all of ``value``."""
+    if value is None:
+        return pa.nulls(1, kind)
+    if isinstance(value, dict):
+        return pa.StructArray.from_arrays([_cell(value[field.name], field.type) for field in kind], fields=list(kind))
+    values = value if isinstance(value, pa.Array) else pa.array(value)
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind.value_type)).cast(kind)
 
 
 def _segments(size: int, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -127,7 +138,9 @@ def write_postings(corpus: DataFrame, path: str, tokenizer: Tokenizer = tokens,
     columns = ", ".join(f"{_name(c)} {_COLUMN}" for c in range(COLUMNS))
     shape = f"ids array<{vectors.schema['id'].dataType.simpleString()}>, lengths array<int>, {columns}"
     empty = vectors.sparkSession.createDataFrame([], shape).toArrow().schema
-    vectors.mapInArrow(_segments(segment_postings, empty), shape).write.mode("overwrite").parquet(path)
+    # Sizes are looked at after every row, as one may fill a group.
+    groups = {"parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 16}
+    vectors.mapInArrow(_segments(segment_postings, empty), shape).write.options(**groups).mode("overwrite").parquet(path)
 
 
 def max_score(lists: list[tuple], floor: float) -> tuple[np.ndarray, np.ndarray]:

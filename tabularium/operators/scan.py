@@ -31,6 +31,8 @@ from tabularium.session import shared_path, shared_root
 
 SCORE_DIGITS = 6
 _SHRINK_AT = 400_000
+# Offers held before they become one: a small one takes far more room than its rows.
+_OFFERS_HELD = 512
 TILE_CELLS = 4_000_000
 # Corpus bytes that a task holds while several query blocks pass over them.
 TILE_BYTES = 64 << 20
@@ -62,7 +64,7 @@ class RunningBest:
             pa.table({"q": query[keep].astype(np.int64), "score": score[keep], "id": ids.take(pa.array(row[keep]))})
         )
         self._rows += int(keep.sum())
-        if self._rows > _SHRINK_AT:
+        if self._rows > _SHRINK_AT or len(self._tables) > _OFFERS_HELD:
             self._shrink()
 
     def _shrink(self) -> pa.Table:

@@ -35,6 +35,8 @@ from tabularium.operators.scan import (
 
 # Query terms in one broadcast block: about 64 MB of terms and weights.
 TERMS_PER_BLOCK = 1_000_000
+# Tokens that a task counts at once, about: what counting holds beside its batch.
+TOKENS_AT_ONCE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -107,6 +109,25 @@ def is_stored(corpus: DataFrame) -> bool:
     return set(STORED) <= set(corpus.columns)
 
 
+def _counted(bags: pa.Array) -> pa.StructArray:
+    """Distinct terms, their counts and the length of each bag."""
+    lengths = pc.list_value_length(bags).to_numpy(zero_copy_only=False)
+    coded = pc.dictionary_encode(pc.list_flatten(bags))
+    vocabulary = max(1, len(coded.dictionary))
+    key = np.repeat(np.arange(len(bags)), lengths) * vocabulary + coded.indices.to_numpy(zero_copy_only=False)
+    pairs, counts = np.unique(key, return_counts=True)
+    offsets = pa.array(np.searchsorted(pairs // vocabulary, np.arange(len(bags) + 1)), pa.int32())
+    terms = coded.dictionary.take(pa.array(pairs % vocabulary)).cast(pa.string())
+    return pa.StructArray.from_arrays(
+        [
+            pa.ListArray.from_arrays(offsets, terms),
+            pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int32())),
+            pa.array(lengths, pa.int32()),
+        ],
+        names=["terms", "tfs", "length"],
+    )
+
+
 def sparse_vectors(
     corpus: DataFrame, id_col: str = "id", text_col: str = "text", tokenizer: Tokenizer = tokens
 ) -> DataFrame:
@@ -118,21 +139,14 @@ def sparse_vectors(
 
     @F.arrow_udf("struct<terms:array<string>,tfs:array<int>,length:int>")
     def encode(bags: pa.Array) -> pa.Array:
-        lengths = pc.list_value_length(bags).to_numpy(zero_copy_only=False)
-        coded = pc.dictionary_encode(pc.list_flatten(bags))
-        vocabulary = max(1, len(coded.dictionary))
-        key = np.repeat(np.arange(len(bags)), lengths) * vocabulary + coded.indices.to_numpy(zero_copy_only=False)
-        pairs, counts = np.unique(key, return_counts=True)
-        offsets = pa.array(np.searchsorted(pairs // vocabulary, np.arange(len(bags) + 1)), pa.int32())
-        terms = coded.dictionary.take(pa.array(pairs % vocabulary)).cast(pa.string())
-        return pa.StructArray.from_arrays(
-            [
-                pa.ListArray.from_arrays(offsets, terms),
-                pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int32())),
-                pa.array(lengths, pa.int32()),
-            ],
-            names=["terms", "tfs", "length"],
-        )
+        ends = np.cumsum(pc.list_value_length(bags).to_numpy(zero_copy_only=False))
+        parts, done = [], 0
+        while not parts or done < len(bags):
+            before = ends[done - 1] if done else 0
+            take = max(1, int(np.searchsorted(ends, before + TOKENS_AT_ONCE, side="right")) - done)
+            parts.append(_counted(bags.slice(done, take)))
+            done += take
+        return pa.concat_arrays(parts)
 
     encoded = corpus.select(F.col(id_col).alias("id"), encode(tokenizer(F.col(text_col))).alias("_sparse"))
     return encoded.select("id", "_sparse.terms", "_sparse.tfs", "_sparse.length")

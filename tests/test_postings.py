@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import glob
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tabularium.operators import postings as stored
+from tabularium.operators import sparse
 from tabularium.operators.dense import dense_top_k
 from tabularium.operators.postings import BLOCK, max_score, postings_top_k, write_postings
-from tabularium.operators.sparse import Bm25, corpus_stats, sparse_top_k
+from tabularium.operators.scan import RunningBest
+from tabularium.operators.sparse import Bm25, corpus_stats, sparse_top_k, sparse_vectors
 from tabularium.session import shared_path
 
 
@@ -122,3 +127,32 @@ def test_segments_hold_every_posting_once(spark):
     n = segments.select(sum((F.coalesce(F.size(c["docs"]), F.lit(0)) for c in columns), F.lit(0)).alias("n")).agg(F.sum("n")).first()[0]
     expected = corpus.select(F.size(F.array_distinct(F.filter(F.split("text", " "), lambda w: w != ""))).alias("n")).filter("n > 0").agg(F.sum("n")).first()[0]
     assert n == expected
+
+
+def test_segments_are_spread_over_row_groups_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(stored, "ROW_GROUP_BYTES", 1 << 10, raising=False)
+    corpus, path = texts(spark).coalesce(1), shared_path(spark, "postings")
+    write_postings(corpus, path, segment_postings=300)
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{path.removeprefix('file://').removeprefix('file:')}/*.parquet")]
+    assert sum(one.num_rows for one in files) > 10
+    assert all(one.row_group(i).num_rows <= 2 for one in files for i in range(one.num_row_groups))
+
+
+def test_small_offers_do_not_pile_up():
+    best = RunningBest(3, 2)
+    for i in range(5000):
+        best.offer(np.array([i % 3]), np.array([float(i)]), pa.array([f"d{i}"]), np.array([0]))
+        assert len(best._tables) < 1000
+    found = best.result(pa.array([10, 11, 12])).to_pydict()
+    assert sorted(zip(found["query_id"], found["id"], strict=True)) == [(10, "d4995"), (10, "d4998"), (11, "d4996"), (11, "d4999"), (12, "d4994"), (12, "d4997")]
+
+
+def test_vectors_are_counted_in_pieces_of_a_batch(spark, monkeypatch):
+    def vectors():
+        return sorted((r["id"], sorted(zip(r["terms"], r["tfs"], strict=True)), r["length"]) for r in sparse_vectors(texts(spark).coalesce(1)).collect())
+
+    whole = vectors()
+    # Some texts have more tokens than a piece, some none.
+    monkeypatch.setattr(sparse, "TOKENS_AT_ONCE", 10)
+    assert vectors() == whole
+    assert sum(n for _, _, n in whole) > 1000
