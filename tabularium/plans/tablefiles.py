@@ -15,15 +15,16 @@ from tabularium.sources.tablestore import FILES, TableStore
 
 @contract("csv_splits", "SELECT doc_id, md5(text) AS text_md5, n_chars, true AS in_splits FROM documents")
 def csv_splits(spark: SparkSession, sf: str) -> DataFrame:
-    """One CSV file whose cells hold line breaks and quotes, read in splits far smaller than a long cell."""
+    """CSV files whose cells hold line breaks and quotes, read in splits far smaller than a long cell, many of them by one task."""
     path = shared_path(spark, "csv")
     documents = read(spark, sf, "documents").select("doc_id", "text", "n_chars")
-    documents.coalesce(1).write.options(
+    documents.write.options(
         header="true", escape='"', quoteAll="true", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false"
     ).csv(path)
     session = spark.newSession()
     session.conf.set("spark.sql.files.maxPartitionBytes", "16k")
     session.conf.set("spark.sql.files.openCostInBytes", "1k")
+    session.conf.set("spark.sql.files.maxPartitionNum", str(4 * spark.sparkContext.defaultParallelism))
     n_splits = read_records(session, path).select("split").distinct().count()
     cells = read_delimited(session, path)
     return cells.select(

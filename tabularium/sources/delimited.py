@@ -71,41 +71,88 @@ def cells_of(record: str, delimiter: str) -> list[str | None]:
     return cells
 
 
-def _splits(lines: DataFrame) -> dict[tuple[str, int], bool]:
-    """By file and start of split, whether the split begins inside a quoted cell: one entry per split, as in the driver's list of tasks.
+def _quoting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines ``odd, file, split`` to one row per split: whether its quotes are odd, and whether a line in it ends a cell that was open before the split."""
+    place, parity, closes = None, 0, False
+    for batch in batches:
+        odd = batch.column(0).to_numpy(zero_copy_only=False)
+        for at, a, b in _runs(batch.column(1), batch.column(2)):
+            if at != place:
+                if place:
+                    yield _quoting_batch(place, parity, closes)
+                place, parity, closes = at, 0, False
+            ends = np.cumsum(odd[a:b]) + parity & 1
+            parity, closes = int(ends[-1]), closes or bool(ends.any())
+    if place:
+        yield _quoting_batch(place, parity, closes)
+
+
+def _quoting_batch(place: tuple[str, int], parity: int, closes: bool) -> pa.RecordBatch:
+    columns = [pa.array([place[0]]), pa.array([place[1]], pa.int64()), pa.array([parity], pa.int32()), pa.array([closes])]
+    return pa.RecordBatch.from_arrays(columns, ["file", "split", "odd", "closes"])
+
+
+def _runs(files: pa.Array, splits: pa.Array) -> list[tuple[tuple[str, int], int, int]]:
+    """File and split of neighbouring lines that share them, with the first line and the one after the last."""
+    starts, codes = splits.to_numpy(), files.dictionary_encode().indices.to_numpy()
+    if not len(starts):
+        return []
+    runs = np.flatnonzero(np.concatenate(([True], (np.diff(starts) != 0) | (np.diff(codes) != 0)))).tolist()
+    return [((files[a].as_py(), int(starts[a])), a, b) for a, b in zip(runs, [*runs[1:], len(starts)], strict=True)]
+
+
+# Of a file's splits, rising: where each starts, whether it begins inside a quoted cell, and the split in which that cell's record begins.
+Splits = dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _splits(lines: DataFrame) -> Splits:
+    """What the splits of each file begin with: three numbers per split, as the driver's list of tasks has some.
 
     Quotes come in pairs in whole cells, so the parity of all quotes before tells.
     """
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    odd = lines.groupBy("file", "split").agg((F.sum(quotes) % 2).alias("odd"))
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2
+    quoting = lines.select(odd.alias("odd"), "file", "split").mapInArrow(_quoting, "file string, split long, odd int, closes boolean")
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    told = odd.select("file", "split", (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2 == 1).alias("inside"))
-    return {(row["file"], row["split"]): row["inside"] for row in told.toLocalIterator()}
+    told = quoting.withColumn("inside", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2 == 1)
+    # A record that goes on into the next split begins here, unless it has been open all the way.
+    opens = (F.col("inside") != (F.col("odd") == 1)) & (~F.col("inside") | F.col("closes"))
+    told = told.withColumn("opener", F.last(F.when(opens, F.col("split")), ignorenulls=True).over(before))
+    place = F.struct("split", "inside", F.coalesce("opener", F.lit(-1)).alias("opener"))
+    files = told.groupBy("file").agg(F.array_sort(F.collect_list(place)).alias("places")).toArrow()
+    found = {}
+    for file, places in zip(files["file"].to_pylist(), files["places"], strict=True):
+        found[file] = tuple(places.values.field(name).to_numpy(zero_copy_only=False) for name in ("split", "inside", "opener"))
+    return found
 
 
-_RECORD = "file string, split long, number long, cells array<string>"
+_RECORDS = pa.schema([("file", pa.string()), ("split", pa.int64()), ("number", pa.int64()), ("cells", pa.list_(pa.string()))])
+_PARTS = pa.schema([("file", pa.string()), ("record", pa.int64()), ("split", pa.int64()), ("opens", pa.bool_()), ("number", pa.int64()), ("part", pa.string())])
 
 
-def _cutter(inside: Broadcast, delimiter: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Lines to records, and to parts of those that reach over the ends of their split."""
+def _cutter(told: Broadcast, delimiter: str, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lines to the ``whole`` records of their splits, or to the parts of those that reach over the ends of a split."""
+    schema = _RECORDS if whole else _PARTS
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, pending, number, is_open, tail = None, [], 0, False, False
+        place, pending, number, is_open, tail, opener = None, [], 0, False, False, -1
+        rows: list[tuple] = []
+
+        def close() -> None:
+            if pending and not whole:
+                rows.append((place[0], opener if tail else place[1], place[1], not tail, number, "\n".join(pending)))
+
         for batch in batches:
-            rows: list[tuple] = []
-            values, files, splits = batch.column(0), batch.column(1), batch.column(2).to_numpy()
+            values = batch.column(0)
             odd = pc.count_substring(values, '"').to_numpy(zero_copy_only=False) & 1
-            codes = files.dictionary_encode().indices.to_numpy()
-            runs = np.flatnonzero(np.concatenate(([True], (np.diff(splits) != 0) | (np.diff(codes) != 0))))
-            for a, b in zip(runs.tolist(), [*runs[1:].tolist(), batch.num_rows], strict=True):
-                at = (files[a].as_py(), int(splits[a]))
+            for at, a, b in _runs(batch.column(1), batch.column(2)):
                 lines = values.slice(a, b - a).to_pylist()
                 if at != place:
-                    if pending:
-                        rows.append((*place, number, None, "\n".join(pending), not tail))
-                    if at not in inside.value:
+                    close()
+                    starts, inside, openers = told.value.get(at[0], (np.zeros(0),) * 3)
+                    i = int(np.searchsorted(starts, at[1]))
+                    if i == len(starts) or starts[i] != at[1]:
                         raise RuntimeError("the splits of the files have changed between two passes; read them again")
-                    place, pending, number, is_open = at, [], 0, inside.value[at]
+                    place, pending, number, is_open, opener = at, [], 0, bool(inside[i]), int(openers[i])
                     tail = is_open
                     if at[1] == 0:
                         lines[0] = lines[0].removeprefix("\ufeff")
@@ -116,32 +163,33 @@ def _cutter(inside: Broadcast, delimiter: str) -> Callable[[Iterator[pa.RecordBa
                     record = "\n".join([*pending, *lines[done:end]])
                     pending, done = [], end
                     if tail:
-                        rows.append((*place, number, None, record, False))
+                        if not whole:
+                            rows.append((place[0], opener, place[1], False, number, record))
                         tail = False
+                    elif not whole:
+                        number += bool(record.removesuffix("\r"))
                     elif cells := cells_of(record, delimiter):
-                        rows.append((*place, number, cells, None, None))
+                        rows.append((*place, number, cells))
                         number += 1
                 pending += lines[done:]
                 is_open = bool(parity[-1])
             if rows:
-                yield _records_batch(rows)
-        if pending:
-            yield _records_batch([(*place, number, None, "\n".join(pending), not tail)])
+                yield _batch_of(rows, schema)
+                rows.clear()
+        close()
+        if rows:
+            yield _batch_of(rows, schema)
 
     return cut
 
 
-def _records_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.bool_())
-    columns = [pa.array(values, kind) for values, kind in zip(zip(*rows, strict=True), types, strict=True)]
-    return pa.RecordBatch.from_arrays(columns, ["file", "split", "number", "cells", "part", "opens"])
+def _batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
 def _joined(parts: DataFrame, delimiter: str) -> DataFrame:
     """Records put together from their parts in following splits; the parts of one record are one value."""
-    order = Window.partitionBy("file").orderBy("split", "opens")
-    numbered = parts.withColumn("record", F.sum(F.col("opens").cast("int")).over(order))
-    whole = numbered.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("split", "opens", "number", "part"))).alias("parts"))
+    whole = parts.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("split", "opens", "number", "part"))).alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: p["part"]), "\n")
 
     @F.arrow_udf("array<string>")
@@ -161,11 +209,12 @@ def read_records(spark: SparkSession, paths: str | list[str], delimiter: str = "
     doubled, and cells with quotes quoted.
     """
     lines = spark.read.option("lineSep", "\n").text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
-    inside = _splits(lines)
-    rows = lines.mapInArrow(_cutter(spark.sparkContext.broadcast(inside), delimiter), f"{_RECORD}, part string, opens boolean")
-    records = rows.filter("cells is not null").select("file", "split", "number", "cells")
-    if any(inside.values()):
-        records = records.unionByName(_joined(rows.filter("part is not null"), delimiter))
+    splits = _splits(lines)
+    told = spark.sparkContext.broadcast(splits)
+    records = lines.mapInArrow(_cutter(told, delimiter, True), "file string, split long, number long, cells array<string>")
+    if any(inside.any() for _, inside, _ in splits.values()):
+        shape = "file string, record long, split long, opens boolean, number long, part string"
+        records = records.unionByName(_joined(lines.mapInArrow(_cutter(told, delimiter, False), shape), delimiter))
     return records
 
 

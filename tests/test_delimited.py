@@ -71,6 +71,21 @@ def test_one_cell_over_many_splits(spark, tmp_path):
     assert records(session, path) == [["k", "v"], ["1", long], ["2", "short"], ["3", long]]
 
 
+def test_parts_meet_by_record_and_splits_share_tasks(spark, tmp_path):
+    rows = [["k", "v"], *([str(i), "\n".join(f'line {j} "of" {i}' for j in range(i * 7 % 90))] for i in range(60)), ["", "a\n"]]
+    text = io.StringIO()
+    csv.writer(text, lineterminator="\n").writerows(rows)
+    for name in ("a.csv", "b.csv"):
+        (tmp_path / name).write_text(text.getvalue())
+    session = in_splits(spark, 256)
+    session.conf.set("spark.sql.files.maxPartitionNum", "3")
+    found = read_records(session, str(tmp_path))
+    # No task sorts the texts of a whole file.
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.select("split").distinct().count() > 20
+    assert records(session, tmp_path) == 2 * [[cell or None for cell in row] for row in rows]
+
+
 @pytest.mark.parametrize("record", ["a,b", "", "\r", '"a,b",c', '"",""', 'a"b,c"d', '"a""', ",,", '"x"y,z'])
 def test_cells_keep_their_delimiters(record):
     cells = cells_of(record, ",")
