@@ -148,7 +148,9 @@ def sparse_vectors(
             done += take
         return pa.concat_arrays(parts)
 
-    encoded = corpus.select(F.col(id_col).alias("id"), encode(tokenizer(F.col(text_col))).alias("_sparse"))
+    # Otherwise a filter on the result, pushed below it, would have every text counted twice, by twice the workers.
+    once = encode.asNondeterministic()
+    encoded = corpus.select(F.col(id_col).alias("id"), once(tokenizer(F.col(text_col))).alias("_sparse"))
     return encoded.select("id", "_sparse.terms", "_sparse.tfs", "_sparse.length")
 
 

@@ -17,6 +17,7 @@ from tabularium.operators.dense import dense_top_k
 from tabularium.operators.postings import BLOCK, max_score, postings_top_k, write_postings
 from tabularium.operators.scan import RunningBest
 from tabularium.operators.sparse import Bm25, corpus_stats, sparse_top_k, sparse_vectors
+from tabularium.plans.retrieval import sparse_encode
 from tabularium.session import shared_path
 
 
@@ -156,3 +157,8 @@ def test_vectors_are_counted_in_pieces_of_a_batch(spark, monkeypatch):
     monkeypatch.setattr(sparse, "TOKENS_AT_ONCE", 10)
     assert vectors() == whole
     assert sum(n for _, _, n in whole) > 1000
+
+
+def test_a_filter_on_vectors_counts_no_text_twice(spark, small):
+    plan = sparse_encode(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
