@@ -58,6 +58,10 @@ PRIOR = 0.5
 GROUP = 64
 BLOCK = 64
 COMMON = 256
+# Rows scored and handed on at once; what a task holds beside the batch it was given.
+HANDED_ON = 1024
+# A posting: the example's place and the term's weight in it, which are always read together.
+HELD = np.dtype([("place", np.int32), ("weight", np.float32)])
 # Blocks read first, for a first k-th cosine, and groups of examples that are alike.
 FIRST = 4
 KINDS = 64
@@ -106,8 +110,7 @@ class Index:
     gains: np.ndarray
     unseen: float
     starts: np.ndarray
-    postings: np.ndarray
-    weights: np.ndarray
+    held: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
     base: float
@@ -123,6 +126,14 @@ class Index:
         """``state`` as all tasks read it; sent once."""
         return SparkSession.active().sparkContext.broadcast(self.state())
 
+    @property
+    def postings(self) -> np.ndarray:
+        return self.held["place"]
+
+    @property
+    def weights(self) -> np.ndarray:
+        return self.held["weight"]
+
     @cached_property
     def places(self) -> dict[bytes, int]:
         return {term: i for i, term in enumerate(self.terms.split(b"\n"))} if self.terms else {}
@@ -131,23 +142,27 @@ class Index:
     def blocks(self) -> Blocks:
         return Blocks(self)
 
+    @cached_property
+    def stems(self) -> dict[bytes, int]:
+        return {term: place for term, place in self.places.items() if term[:1] != b" "}
+
     @cached_property
     def begun(self) -> set[bytes]:
-        return {term[: STEMS[0]] for term in self.places if term[:1] != b" "}
+        return {term[: STEMS[0]] for term in self.stems}
 
     def counts(self, text: bytes) -> tuple[dict[int, int], float]:
         """Counts of the terms of a text, and the squared weight of its words that no example has."""
         found: dict[int, int] = {}
-        other = 0.0
+        other, places, stems, begun = 0.0, self.places, self.stems, self.begun
         for word, n in Counter(plain(text).split()).items():
-            place = self.places.get(b" " + word)
+            place = places.get(b" " + word)
             if place is None:
                 other += ((1 + log(n)) * self.unseen) ** 2
             else:
                 found[place] = n
-            if word[: STEMS[0]] in self.begun:
+            if word[: STEMS[0]] in begun:
                 for size in STEMS:
-                    if len(word) >= size and (place := self.places.get(word[:size])) is not None:
+                    if len(word) >= size and (place := stems.get(word[:size])) is not None:
                         found[place] = found.get(place, 0) + n
         return found, other
 
@@ -196,6 +211,8 @@ class Blocks:
 
     def __init__(self, index: Index):
         self.index, total = index, len(index.ids)
+        # A posting as one number: lists are copied whole.
+        self.held = index.held.view(np.int64)
         widest = np.argsort(-np.diff(index.starts), kind="stable")[:COMMON]
         self.column = np.full(len(index.gains), -1, np.int32)
         self.column[widest] = np.arange(len(widest))
@@ -229,13 +246,11 @@ class Blocks:
     def _short_lists(self, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Sums over all postings of the terms that are not read by blocks, by place."""
         index = self.index
-        spans = list(map(slice, index.starts[at].tolist(), index.starts[at + 1].tolist()))
-        if not spans:
+        if not len(at):
             return np.zeros(len(index.ids))
-        places = np.concatenate([index.postings[span] for span in spans])
-        sizes = index.starts[at + 1] - index.starts[at]
-        parts = np.concatenate([index.weights[span] for span in spans]) * np.repeat(weights, sizes)
-        return np.bincount(places, parts, minlength=len(index.ids))
+        starts, ends = index.starts[at], index.starts[at + 1]
+        held = np.concatenate([self.held[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]).view(HELD)
+        return np.bincount(held["place"], held["weight"] * np.repeat(weights, ends - starts), minlength=len(index.ids))
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
         n, total = len(vectors), len(self.order)
@@ -328,7 +343,7 @@ def build_index(examples: DataFrame, k: int = NEIGHBOURS) -> Index:
     total, bad = len(marked), sum(label for _, label in marked)
     good = total - bad
     base = (bad + 0.5) / (total + 1)
-    empty = Index(b"", np.zeros(0), 1.0, np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), base)
+    empty = Index(b"", np.zeros(0), 1.0, np.zeros(1, np.int64), np.zeros(0, HELD), np.zeros(0, np.int64), np.zeros(0), base)
     if not bad or not good:
         return empty
     numbers = spark.createDataFrame([(i, number, label) for number, (i, label) in enumerate(marked)], "id long, number int, toxic int")
@@ -372,12 +387,15 @@ def build_index(examples: DataFrame, k: int = NEIGHBOURS) -> Index:
     del table, part, cells, number, n, weight
     pa.default_memory_pool().release_unused()
     norms = np.sqrt(squares).astype(np.float32)
-    for number, weight in zip(postings, weights, strict=True):
-        weight /= norms[number]
-    postings, weights = np.concatenate(postings), np.concatenate(weights)
     starts = np.concatenate(([0], np.cumsum(df)))
+    held, done = np.empty(starts[-1], HELD), 0
+    for number, weight in zip(postings, weights, strict=True):
+        own = held[done : done + len(number)]
+        own["place"], own["weight"] = number, weight / norms[number]
+        done += len(number)
+    del postings, weights
     ids, labels = np.array([i for i, _ in marked]), np.array([label for _, label in marked], float)
-    index = Index(terms, gains, log(total + 1) + 1, starts, postings, weights, ids, labels, base)
+    index = Index(terms, gains, log(total + 1) + 1, starts, held, ids, labels, base)
     # Leave one out: each example is judged by the others.
     told = examples.select("id", "text").mapInArrow(_voter(index, k), "id long, vote double").collect()
     by_id = {row["id"]: row["vote"] for row in told}
@@ -408,27 +426,29 @@ def _voter(index: Index, k: int):
     return run
 
 
-def _scorer(index: Index, k: int, evidence: int):
-    listed = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+def _judged(index: Index, k: int, evidence: int):
+    """A function from texts to ``score, evidence``; equal texts are judged once."""
+    seen: dict[bytes, tuple[float, list]] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, tuple[float, list]] = {}
-        for batch in batches:
-            texts = [buffer.to_pybytes() if (buffer := value.as_buffer()) is not None else b"" for value in batch.column("text")]
-            marks = [sha256(text).digest() for text in texts]
-            if len(seen) > 50_000:
-                seen.clear()
-            new = {mark: text for mark, text in zip(marks, texts, strict=True) if mark not in seen}
-            for mark, (score, found, cosines) in zip(new, index.scores(list(new.values()), k), strict=True):
-                told = [{"id": int(index.ids[f]), "cosine": float(c), "toxic": int(index.labels[f])} for f, c in zip(found[:evidence], cosines[:evidence], strict=True)]
-                seen[mark] = (score, told)
-            scores, told = [seen[mark][0] for mark in marks], [seen[mark][1] for mark in marks]
-            others = [name for name in batch.schema.names if name != "text"]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(name) for name in others), pa.array(scores, pa.float64()), pa.array(told, listed)], names=[*others, "score", "evidence"]
-            )
+    def judge(texts: pa.Array) -> list[tuple[float, list]]:
+        texts = [buffer.to_pybytes() if (buffer := value.as_buffer()) is not None else b"" for value in texts]
+        marks = [sha256(text).digest() for text in texts]
+        if len(seen) > 50_000:
+            seen.clear()
+        new = {mark: text for mark, text in zip(marks, texts, strict=True) if mark not in seen}
+        for mark, (score, found, cosines) in zip(new, index.scores(list(new.values()), k), strict=True):
+            told = [{"id": int(index.ids[f]), "cosine": float(c), "toxic": int(index.labels[f])} for f, c in zip(found[:evidence], cosines[:evidence], strict=True)]
+            seen[mark] = (score, told)
+        return [seen[mark] for mark in marks]
+
+    return judge
 
-    return run
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of ``HANDED_ON`` rows."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, HANDED_ON):
+            yield batch.slice(first, HANDED_ON)
 
 
 def held_out(id_column: Column) -> Column:
@@ -455,18 +475,6 @@ def _with_fit(index: Index, slope: float, shift: float) -> Index:
     return index
 
 
-def _scored(rows: DataFrame, index: Index, k: int, evidence: int) -> DataFrame:
-    """``score`` and ``evidence`` beside the one other column of rows with ``text``."""
-    shared, slope, shift = index.shared, index.slope, index.shift
-    near = StructType([StructField("id", LongType()), StructField("cosine", DoubleType()), StructField("toxic", IntegerType())])
-    kept = [field for field in rows.schema.fields if field.name != "text"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _scorer(_with_fit(_opened(shared), slope, shift), k, evidence)(batches)
-
-    return rows.mapInArrow(run, StructType([*kept, StructField("score", DoubleType()), StructField("evidence", ArrayType(near))]))
-
-
 def score_toxicity(documents: DataFrame, index: Index, id_column: str = "doc_id", text_column: str = "text", k: int = NEIGHBOURS, evidence: int = 3) -> DataFrame:
     """``id, score, evidence``: every document's probability of label 1 and its nearest examples.
 
@@ -475,13 +483,33 @@ def score_toxicity(documents: DataFrame, index: Index, id_column: str = "doc_id"
     equal scores; repeated rows are scored each.
     """
     rows = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    return _scored(rows, index, k, evidence).withColumnRenamed("id", id_column)
+    shared, slope, shift = index.shared, index.slope, index.shift
+    near = StructType([StructField("id", LongType()), StructField("cosine", DoubleType()), StructField("toxic", IntegerType())])
+    listed = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _judged(_with_fit(_opened(shared), slope, shift), k, evidence)
+        for part in _parts(batches):
+            scores, told = zip(*judge(part.column("text")), strict=True)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(scores, pa.float64()), pa.array(told, listed)], names=["id", "score", "evidence"])
+
+    scored = rows.mapInArrow(run, StructType([rows.schema["id"], StructField("score", DoubleType()), StructField("evidence", ArrayType(near))]))
+    return scored.withColumnRenamed("id", id_column)
 
 
 def without_toxic(documents: DataFrame, index: Index, text_column: str = "text", threshold: float = 0.5, k: int = NEIGHBOURS) -> DataFrame:
     """The documents, all columns as they are, that score below ``threshold``."""
-    rows = documents.select(F.struct("*").alias("row"), F.col(text_column).alias("text"))
-    return _scored(rows, index, k, 0).filter(F.col("score") < threshold).select("row.*")
+    # Whole rows go through the task, each text once, and only those that stay come back.
+    rows = documents.select(F.struct("*").alias("row"))
+    place = [name.lower() for name in documents.columns].index(text_column.lower())
+    shared, slope, shift = index.shared, index.slope, index.shift
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _judged(_with_fit(_opened(shared), slope, shift), k, 0)
+        for part in _parts(batches):
+            yield part.filter(pa.array([score < threshold for score, _ in judge(part.column("row").field(place))], pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema).select("row.*")
 
 
 def fitted(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> Index:

@@ -337,3 +337,19 @@ def test_clean_texts_with_the_beginning_of_a_toxic_word(spark):
     # The norm is over the whole text, also over words that no example has.
     alone, beside = (index.neighbours(*index.weigh(*index.counts(text)), 1)[1][0] for text in (b"pathetic", b"pathetic unseen words"))
     assert beside < 0.95 * alone
+
+
+def test_toxic_filter_sends_each_text_once_and_hands_on_parts(spark, monkeypatch):
+    texts = [f"word{i % 7} plain{i}" + (" vile nasty" if i % 3 == 0 else "") for i in range(60)]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, Text string").coalesce(1)
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    index = toxicity.fitted(spark, documents.withColumnRenamed("Text", "text"), marks)
+    # A posting's place and weight lie side by side.
+    assert index.held.dtype.itemsize == 8 and len(index.held) == index.starts[-1]
+    kept = toxicity.without_toxic(documents, index)
+    sent = kept._jdf.queryExecution().analyzed().toString().split("MapInArrow")[1]
+    assert "struct(doc_id" in sent and " AS text" not in sent
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(documents, index).collect()}
+    monkeypatch.setattr(toxicity, "HANDED_ON", 7)
+    assert kept.columns == ["doc_id", "Text"]
+    assert {(r["doc_id"], r["Text"]) for r in toxicity.without_toxic(documents, index).collect()} == {(i, t) for i, t in enumerate(texts) if scores[i] < 0.5}
