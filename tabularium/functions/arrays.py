@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,16 @@ def explode_once(df: DataFrame, array: Column, value: str, position: str | None
     return kept if position else kept.drop(place)
 
 
+def split_texts(texts: pa.Array) -> pa.Array:
+    """Bags of the tokens of ``token_text``; an empty text has none."""
+    parts = pc.split_pattern(texts, " ")
+    values = parts.flatten()
+    sizes = pc.if_else(pc.equal(texts, ""), 0, pc.list_value_length(parts))
+    ends = pc.cumulative_sum(sizes.cast(pa.int32()))
+    offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+    return pa.ListArray.from_arrays(offsets, values.filter(pc.not_equal(values, "")))
+
+
 # Elements gathered before they move on as one.
 _RUN = 256
 

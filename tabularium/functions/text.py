@@ -27,6 +27,11 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _NOT_TOKEN), "")
 
 
+def token_text(text: Column) -> Column:
+    """The same tokens with one blank between them: one string goes to a Python worker faster than its parts."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _NOT_TOKEN, " "))
+
+
 def words(text: Column) -> Column:
     """White-space separated words, case kept."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

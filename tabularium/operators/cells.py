@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,10 +53,10 @@ def train_centres(points: DataFrame, cells: int, dimension: int, fraction: float
     """Centres by distributed k-means on unit vectors. A fraction is enough for
     a big collection: centres decide the layout, not the result."""
     vectors = points if fraction >= 1.0 else points.sample(fraction, seed)
-    length = F.sqrt(F.aggregate("dense", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
-    unit = vectors.withColumn("_length", length).filter(F.col("_length") > 0).select(
-        array_to_vector(F.transform("dense", lambda x: x.cast("double") / F.col("_length"))).alias("features")
-    )
+    # A length worked out inside a lambda would be worked out again for every component.
+    nonzero = vectors.filter(F.forall("dense", F.isnotnull) & F.exists("dense", lambda x: x != 0))
+    nonzero = nonzero.select(array_to_vector(F.col("dense").cast("array<double>")).alias("raw"))
+    unit = Normalizer(inputCol="raw", outputCol="features").transform(nonzero).select("features")
     model = KMeans(k=cells, seed=seed, maxIter=8).fit(unit)
     centres = np.asarray(model.clusterCenters()).reshape(-1, dimension)
     norms = np.sqrt((centres * centres).sum(axis=1, keepdims=True))

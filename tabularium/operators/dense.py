@@ -11,7 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.functions.text import tokens
+from tabularium.functions.arrays import split_texts
+from tabularium.functions.text import token_text
 from tabularium.operators.scan import (
     SCORE_DIGITS,
     RunningBest,
@@ -40,21 +41,24 @@ def hashing_embedder(dimension: int = 64) -> Embedder:
     """
 
     @F.arrow_udf("array<float>")
-    def embed(bags: pa.Array) -> pa.Array:
+    def embed(texts: pa.Array) -> pa.Array:
+        bags = split_texts(texts)
         coded = pc.dictionary_encode(pc.list_flatten(bags))
-        digests = [hashlib.md5(t.encode()).hexdigest() for t in coded.dictionary.to_pylist()]
-        bucket = np.array([int(d[:6], 16) % dimension for d in digests], dtype=np.int64)
-        sign = np.array([1.0 if int(d[6], 16) < 8 else -1.0 for d in digests])
+        # The first seven hex digits are three bytes and half of the fourth.
+        digests = b"".join([hashlib.md5(t.encode()).digest()[:4] for t in coded.dictionary.to_pylist()])
+        first = np.frombuffer(digests, ">u4").astype(np.int64)
+        bucket, sign = (first >> 8) % dimension, np.where(first & 0x80, -1.0, 1.0)
         code = coded.indices.to_numpy(zero_copy_only=False)
         row = np.repeat(np.arange(len(bags)), pc.list_value_length(bags).to_numpy(zero_copy_only=False))
         cells = np.bincount(row * dimension + bucket[code], sign[code], len(bags) * dimension)
-        matrix = cells.reshape(len(bags), dimension)
+        # Without a single token the cells are whole numbers.
+        matrix = cells.astype(np.float64).reshape(len(bags), dimension)
         length = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
         matrix = np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
         offsets = np.arange(len(bags) + 1, dtype=np.int32) * dimension
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel().astype(np.float32)))
 
-    return lambda text: embed(tokens(text))
+    return lambda text: embed(token_text(text))
 
 
 def model_embedder(load: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = EMBED_BATCH) -> Embedder:

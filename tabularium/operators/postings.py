@@ -47,7 +47,7 @@ def _name(column: int) -> str:
 
 def _columns_of(terms: pa.Array) -> np.ndarray:
     """The column of each term."""
-    return np.fromiter((zlib.crc32(t.encode()) % COLUMNS for t in terms.to_pylist()), np.int64, len(terms))
+    return np.fromiter(map(zlib.crc32, terms.cast(pa.binary()).to_pylist()), np.int64, len(terms)) % COLUMNS
 
 
 def _cut(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

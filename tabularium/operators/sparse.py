@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.functions.arrays import explode_once
-from tabularium.functions.text import tokens
+from tabularium.functions.arrays import explode_once, split_texts
+from tabularium.functions.text import token_text, tokens
 from tabularium.operators.scan import (
     SCORE_DIGITS,
     TILE_CELLS,
@@ -139,6 +139,7 @@ def sparse_vectors(
 
     @F.arrow_udf("struct<terms:array<string>,tfs:array<int>,length:int>")
     def encode(bags: pa.Array) -> pa.Array:
+        bags = bags if pa.types.is_list(bags.type) else split_texts(bags)
         ends = np.cumsum(pc.list_value_length(bags).to_numpy(zero_copy_only=False))
         parts, done = [], 0
         while not parts or done < len(bags):
@@ -150,7 +151,9 @@ def sparse_vectors(
 
     # Otherwise a filter on the result, pushed below it, would have every text counted twice, by twice the workers.
     once = encode.asNondeterministic()
-    encoded = corpus.select(F.col(id_col).alias("id"), once(tokenizer(F.col(text_col))).alias("_sparse"))
+    # The tokens of a plug-in may hold blanks.
+    bag = (token_text if tokenizer is tokens else tokenizer)(F.col(text_col))
+    encoded = corpus.select(F.col(id_col).alias("id"), once(bag).alias("_sparse"))
     return encoded.select("id", "_sparse.terms", "_sparse.tfs", "_sparse.length")
 
 

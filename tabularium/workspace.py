@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.functions.payload import point_id
+from tabularium.functions.payload import payload, point_id
 from tabularium.operators.cells import (
     assign_cells,
     cell_top_k,
@@ -23,6 +23,7 @@ from tabularium.operators.chunking import TOKEN_BUDGET, chunk, export_documents
 from tabularium.operators.dense import Embedder, hashing_embedder
 from tabularium.operators.lifecycle import CHAT_DAYS, found_files, hash_order, ingest_stats, reconcile_reply
 from tabularium.operators.postings import postings_top_k, write_postings
+from tabularium.operators.ranking import latest
 from tabularium.operators.rerank import Scorer, overlap_scorer
 from tabularium.operators.search import DOCUMENT_SEARCH, TABLE_SEARCH, SearchOptions, hybrid_search
 from tabularium.operators.sparse import stored_stats
@@ -95,14 +96,13 @@ class Workspace:
     def upsert(self, documents: DataFrame, name: str = DEFAULT_COLLECTION) -> DataFrame:
         """Upsert ``documents(id, text, metadata)``; returns the counts of rows
         handed in and of distinct ids."""
-        points = checked(build_points(documents, self._embedder), self.dimension)
-        self.collection(name).upsert(points, order=[F.asc(F.xxhash64("payload")), F.asc("payload")])
-        identified = documents.select(
-            point_id(
-                F.col("id").cast("string"), F.try_element_at("metadata", F.lit("source")), F.col("text")
-            ).alias("id")
-        )
-        return upsert_counts(identified, ["id"])
+        given = point_id(F.col("id").cast("string"), F.try_element_at("metadata", F.lit("source")), F.col("text"))
+        identified = documents.select(given.alias("id"), "text", "metadata")
+        # One row of an id is chosen before it is encoded: a point is several times as large as its text.
+        told = identified.withColumn("_told", F.xxhash64(payload(F.col("text"), F.col("metadata"))))
+        chosen = latest(told, ["id"], [F.asc("_told"), F.asc("text"), F.asc(F.to_json("metadata"))]).drop("_told")
+        self.collection(name).upsert(checked(build_points(chosen, self._embedder), self.dimension))
+        return upsert_counts(identified.select("id"), ["id"])
 
     def search(
         self, queries: DataFrame, options: SearchOptions = DOCUMENT_SEARCH, name: str = DEFAULT_COLLECTION

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 
@@ -14,7 +15,7 @@ from tabularium.operators.cells import assign_cells, cell_top_k, measure_cells
 from tabularium.operators.dense import dense_top_k, embed, hashing_embedder, model_embedder
 from tabularium.operators.fusion import fuse
 from tabularium.operators.search import SearchOptions, hybrid_search, sparse_input
-from tabularium.operators.sparse import corpus_stats, sparse_top_k
+from tabularium.operators.sparse import corpus_stats, sparse_top_k, sparse_vectors
 from tabularium.session import shared_path
 from tabularium.sources.collection import build_points, checked, collection
 
@@ -207,3 +208,36 @@ def test_wrong_dimension_stops_the_upsert(spark, corpus):
     points = checked(build_points(corpus, hashing_embedder(8)), 16)
     with pytest.raises(Exception, match="16 dimensions"):
         points.collect()
+
+
+def test_lengths_of_training_vectors_are_not_worked_out_per_component(spark, monkeypatch):
+    from tabularium.operators import cells
+
+    seen = []
+
+    class Watched(cells.KMeans):
+        def fit(self, frame):
+            seen.append(frame._jdf.queryExecution().optimizedPlan().toString())
+            return super().fit(frame)
+
+    monkeypatch.setattr(cells, "KMeans", Watched)
+    points = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [None, 1.0]), (5, [6.0, 8.0]), (6, [-1.0, 0.0])], "id long, dense array<float>")
+    centres = cells.train_centres(points, 2, 2)
+    assert np.allclose(sorted(centres.tolist()), [[-1, 0], [0.6, 0.8]]) and "aggregate(" not in seen[0]
+
+
+def test_hashed_tokens_and_odd_texts(spark):
+    texts = [None, "", " - ", "Äpfel, äpfel & 7", "a b c"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    expected = []
+    for bag in ([], [], [], ["äpfel", "äpfel", "7"], ["a", "b", "c"]):
+        vector = np.zeros(16)
+        for token in bag:
+            digest = hashlib.md5(token.encode()).hexdigest()
+            vector[int(digest[:6], 16) % 16] += 1.0 if int(digest[6], 16) < 8 else -1.0
+        expected.append(vector / (np.sqrt((vector**2).sum()) or 1.0))
+    found = embed(rows, hashing_embedder(16)).orderBy("id").collect()
+    assert np.allclose([r["dense"] for r in found], expected)
+    counted = sparse_vectors(rows).orderBy("id").collect()
+    assert [dict(zip(r["terms"], r["tfs"], strict=True)) for r in counted] == [{}, {}, {}, {"äpfel": 2, "7": 1}, {"a": 1, "b": 1, "c": 1}]
+    assert [r["length"] for r in counted] == [0, 0, 0, 3, 3]

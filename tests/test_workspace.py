@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import pathlib
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tabularium.functions.payload import payload
 from tabularium.operators.search import SearchOptions
 from tabularium.session import shared_path
 from tabularium.workspace import Workspace
@@ -87,3 +89,18 @@ def test_prepared_table_search_gives_the_same_hits(spark, tmp_path):
     assert sorted(space.search_tables(asked, options).drop("metadata").collect()) == plain and plain
     space.compact()
     assert len([p for p in pathlib.Path(space.root, "collections/documents").iterdir() if p.name.startswith("base-")]) == 2
+
+
+def test_rows_of_one_id_are_chosen_before_they_are_encoded(spark, tmp_path):
+    rows = [("a", f"text {i}", {"source": f"s{i}"}) for i in range(5)]
+    documents = spark.createDataFrame(rows, "id string, text string, metadata map<string,string>")
+    kept = documents.orderBy(F.xxhash64(payload(F.col("text"), F.col("metadata")))).first()["text"]
+
+    @F.arrow_udf("array<float>")
+    def only_kept(texts):
+        assert texts.to_pylist() == [kept] * len(texts), "a row that is not kept was encoded"
+        return pa.array([[1.0, 0.0]] * len(texts), pa.list_(pa.float32()))
+
+    space = Workspace(spark, str(tmp_path / "space"), 2, only_kept)
+    counts = space.upsert(documents)
+    assert [r["text"] for r in space.collection().read().collect()] == [kept] and sorted(counts.first()) == [1, 5]
