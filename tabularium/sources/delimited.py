@@ -208,6 +208,11 @@ def read_records(spark: SparkSession, paths: str | list[str], delimiter: str = "
     the end of a split are put together from their parts. Quotes inside cells must be
     doubled, and cells with quotes quoted.
     """
+    return records_and_files(spark, paths, delimiter)[0]
+
+
+def records_and_files(spark: SparkSession, paths: str | list[str], delimiter: str = ",") -> tuple[DataFrame, list[str]]:
+    """``read_records``, and the files that have any line, which the first pass has told the driver."""
     lines = spark.read.option("lineSep", "\n").text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
     splits = _splits(lines)
     told = spark.sparkContext.broadcast(splits)
@@ -215,7 +220,7 @@ def read_records(spark: SparkSession, paths: str | list[str], delimiter: str = "
     if any(inside.any() for _, inside, _ in splits.values()):
         shape = "file string, record long, split long, opens boolean, number long, part string"
         records = records.unionByName(_joined(lines.mapInArrow(_cutter(told, delimiter, False), shape), delimiter))
-    return records
+    return records, sorted(splits)
 
 
 def is_header() -> Column:

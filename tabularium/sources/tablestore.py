@@ -34,7 +34,7 @@ from tabularium.operators.tables import (
 )
 from tabularium.session import shared_path
 from tabularium.sources.collection import build_points, checked, collection
-from tabularium.sources.delimited import DELIMITERS, header_names, is_header, read_records
+from tabularium.sources.delimited import DELIMITERS, header_names, is_header, records_and_files
 from tabularium.sources.files import delete, plain_uri, qualified
 from tabularium.sources.keyed import KeyedTable
 
@@ -110,7 +110,7 @@ class TableStore:
         for extension, delimiter in DELIMITERS.items():
             own = [(r["path"], qualified(self.spark, r["path"]), _table_id(r["source_path"], None)) for r in good if r["extension"] == extension]
             if own:
-                part = _with_table(read_records(self.spark, sorted({path for path, _, _ in own}), delimiter), [(uri, table) for _, uri, table in own])
+                part = _with_table(*records_and_files(self.spark, sorted({path for path, _, _ in own}), delimiter), [(uri, table) for _, uri, table in own])
                 records = part if records is None else records.unionByName(part)
         loaded = self.load(records.withColumn("is_header", is_header()), sources, describer, embedder)
         return loaded.withColumn("error", F.lit(None).cast("string")).unionByName(failed, allowMissingColumns=True)
@@ -252,13 +252,15 @@ def _state(file_hash: str | None) -> str:
     return hashlib.md5((file_hash or "").encode()).hexdigest()
 
 
-def _with_table(records: DataFrame, tables: list[tuple[str, str]]) -> DataFrame:
-    """Records with the id of their table: that of their file or of the folder it is a part of."""
-    known = records.sparkSession.createDataFrame(tables, "root string, table_id string")
+def _with_table(records: DataFrame, names: list[str], tables: list[tuple[str, str]]) -> DataFrame:
+    """Records of the files ``names`` with the id of their table: that of their file or of the folder it is a part of."""
+    spark = records.sparkSession
+    known = spark.createDataFrame(tables, "root string, table_id string")
     plain = plain_uri(F.col("file"))
     roots = F.explode(F.array(plain, F.regexp_replace(plain, r"/[^/]*\z", "")))
-    # As many rows as there are files. A file that is named itself belongs to no folder.
-    found = records.select("file").distinct().select("file", roots.alias("root")).join(known, "root")
+    # A file that is named itself belongs to no folder.
+    found = spark.createDataFrame([(name,) for name in names], "file string").select("file", roots.alias("root")).join(known, "root")
     longest = F.max(F.length("root")).over(Window.partitionBy("file"))
     files = found.withColumn("longest", longest).filter(F.length("root") == F.col("longest")).select("file", "table_id")
-    return records.join(files, "file")
+    # As many rows as there are files, from the driver's list: records stay where they are read.
+    return records.join(F.broadcast(files), "file")

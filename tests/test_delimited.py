@@ -168,3 +168,20 @@ def test_a_hot_name_stays_free(spark):
     registry = spark.createDataFrame([("other", "a_bbbbbbbb")], "table_id string, table_name string")
     named = {r["table_id"]: r["table_name"] for r in name_tables(incoming, registry).collect()}
     assert named == {ids[0]: "a", ids[1]: "a_aaaaaaaa", ids[2]: f"a_{ids[2]}", ids[3]: f"a_{ids[3]}"}
+
+
+def test_records_get_their_table_without_a_shuffle_by_file(spark, tmp_path):
+    from tabularium.sources import tablestore
+    from tabularium.sources.delimited import records_and_files
+
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    for n in range(3):
+        (folder / f"p{n} ü.csv").write_text(f'a,b\n{n},"x\ny"\n')
+    single = tmp_path / "one.csv"
+    single.write_text("a\n7\n")
+    records, names = records_and_files(spark, [str(folder), str(single)])
+    assert len(names) == 4
+    placed = tablestore._with_table(records, names, [(f"file:{folder}", "many"), (f"file:{single}", "one")])
+    assert "SortMergeJoin" not in placed._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["table_id"], r["cells"][0]) for r in placed.collect()) == [("many", "0"), ("many", "1"), ("many", "2"), ("many", "a"), ("many", "a"), ("many", "a"), ("one", "7"), ("one", "a")]
