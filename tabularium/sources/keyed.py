@@ -25,6 +25,8 @@ from tabularium.operators.ranking import latest
 from tabularium.sources.files import delete, is_committed, list_names
 
 _BATCH = "_batch"
+# Rows are written by an upsert and again by each compaction, and points hold their text twice.
+_CODEC = "zstd"
 
 
 class KeyedTable:
@@ -66,7 +68,7 @@ class KeyedTable:
 
     def _write_base(self, rows: DataFrame, number: int) -> None:
         stamped = rows.select(*self.schema.names, F.lit(0).alias(_BATCH))
-        stamped.write.mode("overwrite").parquet(f"{self.root}/base-{number}")
+        stamped.write.mode("overwrite").parquet(f"{self.root}/base-{number}", compression=_CODEC)
 
     def read(self) -> DataFrame:
         """The live rows, in one scan over base and batches."""
@@ -114,7 +116,7 @@ class KeyedTable:
         number = max(self._batches(base), default=0) + 1
         after = f"{self.root}/after-{base}"
         rows.select(*self.schema.names, F.lit(number).alias(_BATCH)).write.mode("overwrite").parquet(
-            f"{after}/rows/batch-{number}"
+            f"{after}/rows/batch-{number}", compression=_CODEC
         )
         # Keys come from the written rows: the batch is computed once.
         gone = self.batch(number).select(F.col(key).cast("string").alias("value"))

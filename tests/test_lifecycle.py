@@ -255,3 +255,13 @@ def test_failed_file_is_recorded_and_retried(spark, tmp_path):
     again = {r["file_path"]: r["status"] for r in ingest_files(files(b"better"), target, parser=parser).collect()}
     assert again == {"a.txt": "unchanged", "b.odd": "modified"}
     assert state() == ({"a.txt": (1, None), "b.odd": (1, None)}, ["better", "plain"])
+
+
+def test_keyed_rows_are_compressed_alike_in_batches_and_bases(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "keyed"), "id string, text string", ["id"]).create()
+    table.upsert(spark.createDataFrame([("a", "x"), ("b", "y")], "id string, text string"))
+    table.compact()
+    for folder in ("after-1/rows/batch-1", "base-2"):
+        names = [p.name for p in (tmp_path / "keyed" / folder).glob("*.parquet")]
+        assert names and all(name.endswith(".zstd.parquet") for name in names)
+    assert sorted(r["text"] for r in table.read().collect()) == ["x", "y"]
