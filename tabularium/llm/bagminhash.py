@@ -21,9 +21,11 @@ the centre's class need no pair.
 
 Links missed by the stars lie between texts of a bucket that holds several
 classes still. Those texts are searched by exact prefix filtering for pairs across
-classes, which are verified too. So every pair that shares a band is verified, in
-one class already, or proved to be apart, and texts that share no more than a
-common passage make no pairs.
+classes, which are verified too. Texts that were compared with one and the same much
+linked text, their home, are searched by what tells them apart from it, not by what
+all of them have of it. So every pair that shares a band is verified, in
+one class already or by the search, or proved to be apart, and texts that share no
+more than a common passage make no pairs.
 
 The chance to miss a pair of similarity s is (1 - s^ROWS)^BANDS: below 1e-6 at 0.8.
 """
@@ -51,6 +53,8 @@ ROWS = 4
 REGISTERS = BANDS * ROWS
 # Rounds of stars before the exact search; they decide the work, not the result.
 STARS = 3
+# Texts that a text has to be the home of before they are compared by their differences from it; decides the work, not the result.
+FAMILY = 16
 
 # Odd multipliers that tell level, point and purpose apart.
 _LEVEL, _POINT, _REGISTER, _HEIGHT, _BAND = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
@@ -233,54 +237,110 @@ def _merged(spark: SparkSession, classes: DataFrame, links: DataFrame) -> DataFr
     return _kept(spark, classes.join(renamed, "class", "left").select("content", F.coalesce("joined", "class").alias("class")), "classes")
 
 
-def _element_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``content, class, size, element``: a multiset as a set, the k-th copy of a shingle an element of its own."""
+def _homes(opened: DataFrame, verified: DataFrame) -> DataFrame:
+    """``content, class, home``: of the texts it was found half alike to, the one with most links, if that is the home of ``FAMILY`` texts; else null."""
+    both = verified.select("a", "b", "similarity").unionByName(verified.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    both = both.filter("similarity >= 0.5")
+    drawn = both.groupBy("b").agg(F.struct(F.count_if(F.col("similarity") >= SIMILARITY).alias("links"), F.count("*").alias("met"), "b").alias("rank"))
+    seen = both.select("a", "b").unionByName(drawn.select(F.col("b").alias("a"), "b"))
+    best = seen.join(drawn, "b").groupBy(F.col("a").alias("content")).agg(F.max("rank").alias("rank")).select("content", F.col("rank.b").alias("home"))
+    named = opened.join(best, "content", "left")
+    homes = named.groupBy("home").agg(F.count("*").alias("n")).filter(F.col("n") >= FAMILY).select("home", F.lit(True).alias("many"))
+    return named.join(homes, "home", "left").select("content", "class", F.when(F.col("many"), F.col("home")).alias("home"))
+
+
+def _elements(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and element of multisets as sets: the k-th copy of a shingle is an element of its own."""
+    owner, hashed, weight = shingle_counts(texts)
+    which = np.repeat(np.arange(len(owner)), weight)
+    copy = np.arange(len(which)) - np.repeat(np.cumsum(weight) - weight, weight)
+    return owner[which], mixed(hashed[which] + copy.astype(np.uint64) * _LEVEL)
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``content, class, home, size, base, missing, elements, apart`` of rows ``content, class, home, text, home_text``.
+
+    ``base`` is how many elements the home has, ``missing`` how many of them the text
+    lacks, ``apart`` what only one of both has, hashed with the home.
+    """
+    kept: dict[int, np.ndarray] = {}
     for batch in batches:
-        classes = dict(zip(batch.column("content").to_pylist(), batch.column("class").to_pylist(), strict=True))
+        at = 0
         for keys, texts in texts_of(iter([batch]), "content"):
-            owner, hashed, weight = shingle_counts(texts)
-            which = np.repeat(np.arange(len(owner)), weight)
-            copy = np.arange(len(which)) - np.repeat(np.cumsum(weight) - weight, weight)
-            element = mixed(hashed[which] + copy.astype(np.uint64) * _LEVEL).view(np.int64)
-            content = np.asarray(keys, np.int64)[owner[which]]
-            own = np.fromiter((classes[key] for key in keys), np.int64, len(keys))[owner[which]]
-            size = np.bincount(owner, weight, len(keys)).astype(np.int64)[owner[which]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (content, own, size, element)], names=["content", "class", "size", "element"])
-
-
-def _across_classes(spark: SparkSession, opened: DataFrame, texts: DataFrame) -> DataFrame:
-    """``a, b`` (a > b): all pairs of ``content, class`` of different classes that can be similar; exact prefix filtering.
-
-    Elements are ordered by how few of the texts have them. If two texts are as
-    similar as asked, the first element in this order that both have is among the
-    first ``size - least common + 1`` of each, where the larger one has to grant
-    for a smaller partner and the smaller for one of its own size at least. What
-    many texts share comes last, so it brings no pairs, unless it is nearly all
-    of a text, and then such texts are similar indeed.
+            part = batch.slice(at, len(keys))
+            at += len(keys)
+            owner, element = _elements(texts)
+            elements = np.split(element, np.searchsorted(owner, np.arange(1, len(keys))))
+            base, apart = np.zeros(len(keys), np.int64), [element[:0]] * len(keys)
+            for i, home in enumerate(part.column("home").to_pylist()):
+                if home is None:
+                    continue
+                if home not in kept:
+                    if len(kept) > 64:
+                        kept.clear()
+                    kept[home] = _elements([part.column("home_text")[i].as_buffer().to_pybytes()])[1]
+                base[i] = len(kept[home])
+                apart[i] = mixed(np.setxor1d(elements[i], kept[home], assume_unique=True) ^ mixed(np.array([home]).view(np.uint64)))
+            size, differ = (np.array([len(x) for x in lists]) for lists in (elements, apart))
+            lists = [pa.array([x.view(np.int64) for x in lists], pa.list_(pa.int64())) for lists in (elements, apart)]
+            columns = [part.column("content"), part.column("class"), part.column("home"), pa.array(size), pa.array(base), pa.array((differ + base - size) // 2), *lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["content", "class", "home", "size", "base", "missing", "elements", "apart"])
+
+
+def _across_classes(spark: SparkSession, opened: DataFrame, texts: DataFrame, verified: DataFrame) -> DataFrame:
+    """``a, b`` (a > b): the pairs of ``content, class`` of different classes that can be similar and are needed; exact prefix filtering.
+
+    Texts of different homes are compared by their elements, texts of one home by
+    what tells them apart from it. Two texts of sizes m and n are similar if they have
+    r (m + n) elements in common, r = t / (1 + t). With a home of c elements, of which
+    they lack d and e, they have c - d - e of these and as many more as their differences
+    from the home have in common, so the differences need r (m + n) - c + d + e in common.
+    With u = r (m - c) + d of each text that is the sum of both u less (1 - 2 r) c.
+    A text is similar to its home if its u is at most (1 - 2 r) c. Two such texts
+    are of one class by the home, all others need something in common. Without a home
+    c = d = 0, and a text is apart from nothing by its own elements.
+
+    Elements are ordered by how few of the texts have them. After the first element
+    in this order that two texts have in common neither has more than its remaining
+    elements in common with the other, so these have to be as many as both need.
+    What many texts share comes last, so it brings no pairs, and what many copies have
+    of one text is in no difference from it.
     """
-    rows = opened.join(texts, "content").select("content", "class", "text").mapInArrow(_element_rows, "content long, class long, size long, element long")
-    rows = _kept(spark, rows, "elements")
-    # The class that most texts with an element are of: they need no look at each other.
-    frequent = rows.groupBy("element", "class").agg(F.count("*").alias("n")).groupBy("element").agg(
-        F.sum("n").alias("df"), F.count("*").alias("classes"), F.max_by("class", F.struct("n", "class")).alias("most")
-    )
-    order = Window.partitionBy("content").orderBy("df", "element")
     t = SIMILARITY
-    ranked = rows.join(frequent, "element").withColumn("place", F.row_number().over(order))
-    ranked = ranked.filter((F.col("place") <= F.col("size") - F.ceil(t * F.col("size") - 1e-9) + 1) & (F.col("classes") > 1))
-    ranked = ranked.withColumn("early", F.col("place") <= F.col("size") - F.ceil(2 * t / (1 + t) * F.col("size") - 1e-9) + 1)
-    ranked = _kept(spark, ranked.select("content", "class", "size", "element", "most", "place", "early"), "prefixes")
-    left = ranked.filter(F.col("class") != F.col("most")).select("element", *[F.col(c).alias(f"{c}_a") for c in ("content", "class", "size", "place", "early")])
-    right = ranked.select("element", *[F.col(c).alias(f"{c}_b") for c in ("content", "class", "size", "place", "early")])
-    smaller, larger = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-    common = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) + F.least("place_a", "place_b")
-    able = (
-        (F.col("class_a") != F.col("class_b")) & (smaller >= t * larger - 1e-9)
-        & F.when(F.col("size_a") < F.col("size_b"), F.col("early_a")).when(F.col("size_b") < F.col("size_a"), F.col("early_b")).otherwise(F.col("early_a") & F.col("early_b"))
-        & (common >= t / (1 + t) * (F.col("size_a") + F.col("size_b")) - 1e-9)
+    r = t / (1 + t)
+    homes = _kept(spark, _homes(opened, verified), "homes")
+    named = homes.select("home").distinct().join(texts.select(F.col("content").alias("home"), F.col("text").alias("home_text")), "home")
+    whole = homes.join(texts, "content").join(named, "home", "left").select("content", "class", "home", "text", "home_text")
+    schema = "content long, class long, home long, size long, base long, missing long, elements array<long>, apart array<long>"
+    bags = _kept(spark, whole.mapInArrow(_bags, schema), "bags")
+    # One set per text for other homes, and one for its own.
+    far = bags.select("content", "class", "home", F.lit(False).alias("near"), "size", F.lit(0).alias("base"), F.lit(0).alias("missing"), F.col("size").alias("all"), "elements")
+    near = bags.filter("base > 0").withColumn("all", 2 * F.col("missing") + F.col("size") - F.col("base"))
+    near = near.select("content", "class", "home", F.lit(True).alias("near"), "size", "base", "missing", "all", F.col("apart").alias("elements"))
+    grant = (1 - 2 * r) * F.col("base")
+    sets = far.unionByName(near).withColumn("u", r * (F.col("size") - F.col("base")) + F.col("missing")).withColumn("linked", F.col("near") & (F.col("u") <= grant + 1e-9))
+    # A partner is of t times the size at least, and not similar to the home if the text is.
+    least = F.col("u") - grant + F.greatest(r * (t * F.col("size") - F.col("base")), F.when(F.col("linked"), grant).otherwise(0.0))
+    sets = sets.withColumn("half", F.col("u") - grant / 2).withColumn("keep", F.col("all") - F.ceil(least - 1e-9) + 1)
+    # Sets of one side need no look at each other: texts of one home by their elements, of one class or similar to the home by what is apart.
+    sets = sets.withColumn("side", F.when(F.col("linked"), F.col("home")).when(F.col("near") | F.col("home").isNull(), F.col("class")).otherwise(F.xxhash64("home")))
+    rows = explode_once(sets.select("content", "near", "side", "keep", "elements"), F.col("elements"), "element").drop("elements")
+    rows = _kept(spark, rows, "elements")
+    # The side that most texts with an element are of.
+    frequent = rows.groupBy("element", "side").agg(F.count("*").alias("n")).groupBy("element").agg(
+        F.sum("n").alias("df"), F.count("*").alias("sides"), F.max_by("side", F.struct("n", "side")).alias("most")
     )
-    met = left.join(right, (left["element"] == right["element"]) & able)
-    return met.select(F.greatest("content_a", "content_b").alias("a"), F.least("content_a", "content_b").alias("b")).distinct()
+    order = Window.partitionBy("content", "near").orderBy("df", "element")
+    ranked = rows.drop("side").join(frequent, "element").withColumn("place", F.row_number().over(order))
+    ranked = ranked.filter((F.col("place") <= F.col("keep")) & (F.col("sides") > 1)).select("content", "near", "element", "most", "place")
+    ranked = ranked.join(sets.select("content", "near", "class", "side", "half", "all"), ["content", "near"])
+    ranked = _kept(spark, ranked.select("content", "class", "side", "half", "element", "most", (F.col("all") - F.col("place") + 1).alias("rest")), "prefixes")
+    left = ranked.filter(F.col("side") != F.col("most")).select("element", *[F.col(c).alias(f"{c}_a") for c in ("content", "class", "side", "half", "rest")])
+    right = ranked.select("element", *[F.col(c).alias(f"{c}_b") for c in ("content", "class", "side", "half", "rest")])
+    able = (F.col("class_a") != F.col("class_b")) & (F.col("side_a") != F.col("side_b")) & (F.least("rest_a", "rest_b") >= F.col("half_a") + F.col("half_b") - 1e-9)
+    met = left.join(right, (left["element"] == right["element"]) & able).select(F.col("content_a").alias("a"), F.col("content_b").alias("b"))
+    met = met.unionByName(sets.filter("linked and content != home").select(F.col("content").alias("a"), F.col("home").alias("b")))
+    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def near_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -322,7 +382,7 @@ def near_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     told = rows.join(classes, "content")
     several = told.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("band")
     opened = _kept(spark, told.join(several, "band").select("content", "class").distinct(), "open")
-    pairs = _across_classes(spark, opened, found).join(verified.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = _across_classes(spark, opened, found, verified).join(verified.select("a", "b"), ["a", "b"], "left_anti")
     fresh = _verified(spark, pairs, found)
     return members, _merged(spark, classes, fresh.filter(F.col("similarity") >= SIMILARITY))
 
