@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -20,6 +23,23 @@ def explode_once(df: DataFrame, array: Column, value: str, position: str | None
     return kept if position else kept.drop(place)
 
 
+# Bytes of text that a kernel takes at once: its arrays beside a batch are several times as large.
+TEXT_AT_ONCE = 1 << 21
+
+
+def by_pieces(values: pa.Array, kernel: Callable[[pa.Array], pa.Array], most: int = TEXT_AT_ONCE) -> pa.Array:
+    """A kernel that works row by row, on some rows at a time: about ``most`` bytes of texts or elements of lists."""
+    sizes = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+    ends = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    parts, done = [], 0
+    while not parts or done < len(values):
+        before = ends[done - 1] if done else 0
+        take = max(1, int(np.searchsorted(ends, before + most, side="right")) - done)
+        parts.append(kernel(values.slice(done, take)))
+        done += take
+    return pa.concat_arrays(parts)
+
+
 def split_texts(texts: pa.Array) -> pa.Array:
     """Bags of the tokens of ``token_text``; an empty text has none."""
     parts = pc.split_pattern(texts, " ")

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.functions.arrays import split_texts
+from tabularium.functions.arrays import by_pieces, split_texts
 from tabularium.functions.text import token_text
 from tabularium.operators.scan import (
     SCORE_DIGITS,
@@ -40,8 +40,7 @@ def hashing_embedder(dimension: int = 64) -> Embedder:
     with the sign given by the seventh.
     """
 
-    @F.arrow_udf("array<float>")
-    def embed(texts: pa.Array) -> pa.Array:
+    def vectors(texts: pa.Array) -> pa.Array:
         bags = split_texts(texts)
         coded = pc.dictionary_encode(pc.list_flatten(bags))
         # The first seven hex digits are three bytes and half of the fourth.
@@ -58,6 +57,10 @@ def hashing_embedder(dimension: int = 64) -> Embedder:
         offsets = np.arange(len(bags) + 1, dtype=np.int32) * dimension
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel().astype(np.float32)))
 
+    @F.arrow_udf("array<float>")
+    def embed(texts: pa.Array) -> pa.Array:
+        return by_pieces(texts, vectors)
+
     return lambda text: embed(token_text(text))
 
 

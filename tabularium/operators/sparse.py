@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.functions.arrays import explode_once, split_texts
+from tabularium.functions.arrays import by_pieces, explode_once, split_texts
 from tabularium.functions.text import token_text, tokens
 from tabularium.operators.scan import (
     SCORE_DIGITS,
@@ -37,6 +37,8 @@ from tabularium.operators.scan import (
 TERMS_PER_BLOCK = 1_000_000
 # Tokens that a task counts at once, about: what counting holds beside its batch.
 TOKENS_AT_ONCE = 1 << 18
+# Bytes of a token and its blank, about.
+_TOKEN_BYTES = 8
 
 
 @dataclass(frozen=True)
@@ -128,32 +130,29 @@ def _counted(bags: pa.Array) -> pa.StructArray:
     )
 
 
-def sparse_vectors(
-    corpus: DataFrame, id_col: str = "id", text_col: str = "text", tokenizer: Tokenizer = tokens
-) -> DataFrame:
-    """Stored form of the sparse leg: ``id, terms, tfs, length`` per row.
-
-    Counting stays inside the row (an Arrow kernel), so encoding a corpus
-    shuffles nothing.
-    """
+def sparse_encoder(tokenizer: Tokenizer = tokens) -> Callable[[Column], Column]:
+    """Text to its stored form ``struct<terms, tfs, length>``, by an Arrow kernel."""
 
     @F.arrow_udf("struct<terms:array<string>,tfs:array<int>,length:int>")
     def encode(bags: pa.Array) -> pa.Array:
-        bags = bags if pa.types.is_list(bags.type) else split_texts(bags)
-        ends = np.cumsum(pc.list_value_length(bags).to_numpy(zero_copy_only=False))
-        parts, done = [], 0
-        while not parts or done < len(bags):
-            before = ends[done - 1] if done else 0
-            take = max(1, int(np.searchsorted(ends, before + TOKENS_AT_ONCE, side="right")) - done)
-            parts.append(_counted(bags.slice(done, take)))
-            done += take
-        return pa.concat_arrays(parts)
+        if pa.types.is_list(bags.type):
+            return by_pieces(bags, _counted, TOKENS_AT_ONCE)
+        return by_pieces(bags, lambda texts: _counted(split_texts(texts)), TOKENS_AT_ONCE * _TOKEN_BYTES)
 
     # Otherwise a filter on the result, pushed below it, would have every text counted twice, by twice the workers.
     once = encode.asNondeterministic()
     # The tokens of a plug-in may hold blanks.
-    bag = (token_text if tokenizer is tokens else tokenizer)(F.col(text_col))
-    encoded = corpus.select(F.col(id_col).alias("id"), once(bag).alias("_sparse"))
+    return lambda text: once((token_text if tokenizer is tokens else tokenizer)(text))
+
+
+def sparse_vectors(
+    corpus: DataFrame, id_col: str = "id", text_col: str = "text", tokenizer: Tokenizer = tokens
+) -> DataFrame:
+    """Stored form of the sparse leg: ``id, terms, tfs, length`` per row.
+
+    Counting stays inside the row, so encoding a corpus shuffles nothing.
+    """
+    encoded = corpus.select(F.col(id_col).alias("id"), sparse_encoder(tokenizer)(F.col(text_col)).alias("_sparse"))
     return encoded.select("id", "_sparse.terms", "_sparse.tfs", "_sparse.length")
 
 

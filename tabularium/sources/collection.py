@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabularium.functions.payload import payload, point_id, without_text
 from tabularium.functions.vectors import has_dimension
 from tabularium.operators.dense import Embedder
-from tabularium.operators.sparse import sparse_vectors
+from tabularium.operators.sparse import sparse_encoder
 from tabularium.sources.keyed import KeyedTable
 
 # Payload keys kept as columns of their own, so that filters on them reach the scan.
@@ -37,17 +37,18 @@ def build_points(documents: DataFrame, embedder: Embedder) -> DataFrame:
         "text",
         metadata.alias("metadata"),
     )
-    encoded = sparse_vectors(identified.withColumn("_point", F.struct("*")), id_col="_point")
-    meta = F.col("id.metadata")
+    text = F.col("text")
+    # Both vectors in one step: with the built-in embedder one Python worker of a task gets the tokens once, not two workers once each.
+    encoded = identified.select("id", "text", "metadata", sparse_encoder()(text).alias("_sparse"), embedder(text).alias("dense"))
     return encoded.select(
-        F.col("id.id").alias("id"),
-        F.col("id.text").alias("text"),
-        embedder(F.col("id.text")).alias("dense"),
-        "terms",
-        "tfs",
-        "length",
-        *[F.try_element_at(meta, F.lit(key)).alias(key) for key in INDEXED],
-        payload(F.col("id.text"), meta).alias("payload"),
+        "id",
+        "text",
+        "dense",
+        "_sparse.terms",
+        "_sparse.tfs",
+        "_sparse.length",
+        *[F.try_element_at("metadata", F.lit(key)).alias(key) for key in INDEXED],
+        payload(text, F.col("metadata")).alias("payload"),
     )
 
 

@@ -2,8 +2,8 @@
 
 A table is a full base plus the batches that came after it. An upsert writes
 only its own rows and the keys they replace, so its cost follows the batch and
-not the table. Reading drops replaced rows with one anti join on those keys,
-which is a broadcast as long as they are few; ``compact`` folds the batches
+not the table. Reading drops replaced rows with an anti join on each kind of key
+that was used, which is a broadcast as long as they are few; ``compact`` folds the batches
 into a new base, after which reading is a plain scan.
 
 A batch counts once its list of replaced keys is committed, a base once its own
@@ -27,6 +27,13 @@ from tabularium.sources.files import delete, is_committed, list_names
 _BATCH = "_batch"
 # Rows are written by an upsert and again by each compaction, and points hold their text twice.
 _CODEC = "zstd"
+# Bytes of a row group as written: a task that writes or reads holds a whole one, compressed and in part unpacked.
+_ROW_GROUP = 16 << 20
+
+
+def write_rows(rows: DataFrame, root: str) -> None:
+    """Write a folder of Parquet, or write it again where a job died."""
+    rows.write.mode("overwrite").option("parquet.block.size", _ROW_GROUP).parquet(root, compression=_CODEC)
 
 
 class KeyedTable:
@@ -68,10 +75,10 @@ class KeyedTable:
 
     def _write_base(self, rows: DataFrame, number: int) -> None:
         stamped = rows.select(*self.schema.names, F.lit(0).alias(_BATCH))
-        stamped.write.mode("overwrite").parquet(f"{self.root}/base-{number}", compression=_CODEC)
+        write_rows(stamped, f"{self.root}/base-{number}")
 
     def read(self) -> DataFrame:
-        """The live rows, in one scan over base and batches."""
+        """The live rows. Nothing can have replaced those of the newest batch, so they are only scanned."""
         bases = self._bases()
         if not bases:
             raise FileNotFoundError(f"no table below {self.root}")
@@ -79,14 +86,16 @@ class KeyedTable:
         batches = self._batches(base)
         after = f"{self.root}/after-{base}"
         stored = T.StructType([*self.schema.fields, T.StructField(_BATCH, T.IntegerType())])
-        rows = self.spark.read.schema(stored).parquet(
-            f"{self.root}/base-{base}", *[f"{after}/rows/batch-{n}" for n in batches]
-        )
+
+        def scan(*folders: str) -> DataFrame:
+            return self.spark.read.schema(stored).parquet(*folders)
+
+        rows = scan(f"{self.root}/base-{base}", *[f"{after}/rows/batch-{n}" for n in batches[:-1]])
         if batches:
             replaced = self.spark.read.schema(f"key string, value string, {_BATCH} int").parquet(
                 *[f"{after}/replaced/batch-{n}" for n in batches]
             )
-            for key in self.keys:
+            for key in self._used(replaced):
                 last = (
                     replaced.filter(F.col("key") == key)
                     .groupBy(F.col("value").alias("_value"))
@@ -94,8 +103,16 @@ class KeyedTable:
                 )
                 dead = (F.col(key).cast("string") == F.col("_value")) & (F.col(_BATCH) < F.col("_last"))
                 rows = rows.join(last, dead, "left_anti")
+            rows = rows.unionByName(scan(f"{after}/rows/batch-{batches[-1]}"))
         return rows.select(*self.schema.names)
 
+    def _used(self, replaced: DataFrame) -> list[str]:
+        """The keys by which rows were replaced: an anti join on another would deal out the whole table for nothing."""
+        if len(self.keys) == 1:
+            return list(self.keys)
+        found = {row["key"] for row in replaced.select("key").distinct().collect()}
+        return [key for key in self.keys if key in found]
+
     def upsert(
         self,
         rows: DataFrame,
@@ -115,9 +132,7 @@ class KeyedTable:
         base = self._bases()[-1]
         number = max(self._batches(base), default=0) + 1
         after = f"{self.root}/after-{base}"
-        rows.select(*self.schema.names, F.lit(number).alias(_BATCH)).write.mode("overwrite").parquet(
-            f"{after}/rows/batch-{number}", compression=_CODEC
-        )
+        write_rows(rows.select(*self.schema.names, F.lit(number).alias(_BATCH)), f"{after}/rows/batch-{number}")
         # Keys come from the written rows: the batch is computed once.
         gone = self.batch(number).select(F.col(key).cast("string").alias("value"))
         if replaced is not None:

@@ -24,7 +24,8 @@ from tabularium.operators.lifecycle import MANIFEST, detect_changes
 from tabularium.session import shared_path
 from tabularium.sources.collection import build_points, collection
 from tabularium.sources.documents import ERROR_TYPE, Parser, parse_documents
-from tabularium.sources.keyed import KeyedTable
+from tabularium.sources.files import delete
+from tabularium.sources.keyed import KeyedTable, write_rows
 
 FILES = "path string, text string"
 
@@ -60,57 +61,72 @@ def chunk_points(parsed: DataFrame, embedder: Embedder, budget: int) -> DataFram
     return build_points(items, embedder)
 
 
-# Error of paths whose newest version cannot be told.
+# Error of paths whose newest version cannot be told, and of those that gave another content when they were read again.
 TORN = "two versions are equally new"
+MOVED = "changed while it was read"
 
 
 def _newest(files: DataFrame) -> DataFrame:
-    """One version of each path, the newest, kept for as long as the batch takes; ``torn`` tells where there are several.
+    """``path, file_hash, torn``: one version of each path, the newest; ``torn`` tells where there are several.
 
     A version without a time may be newer or older than any other, so it stands
-    beside the newest. Versions with equal content are one.
+    beside the newest. Versions with equal content are one. No content is shuffled here.
     """
-    if "modified_at" not in files.columns:
-        files = files.withColumn("modified_at", F.lit(None).cast("timestamp"))
+    at = F.col("modified_at") if "modified_at" in files.columns else F.lit(None).cast("timestamp").alias("modified_at")
+    files = files.select("path", "file_hash", at)
     newest = F.max("modified_at").over(Window.partitionBy("path"))
     at_top = F.col("modified_at").isNull() | (F.col("modified_at") == F.col("newest"))
-    latest = files.withColumn("newest", newest).filter(at_top).drop("newest").dropDuplicates(["path", "file_hash"])
+    latest = files.withColumn("newest", newest).filter(at_top).select("path", "file_hash").dropDuplicates()
     order = Window.partitionBy("path")
     latest = latest.withColumn("torn", F.count("*").over(order) > 1).withColumn("_first", F.min("file_hash").over(order))
-    # Of a torn path one row is left to carry the error. Every step below uses the batch, so it is kept; it is as small as what arrived.
-    return latest.filter(F.col("file_hash") == F.col("_first")).drop("_first").persist(StorageLevel.MEMORY_AND_DISK)
+    # Of a torn path one row is left to carry the error.
+    return latest.filter(F.col("file_hash") == F.col("_first")).drop("_first")
+
+
+def _stored(frame: DataFrame, root: str) -> DataFrame:
+    """What several steps use, on shared storage: kept by executors it would fill their memory, more of it with every file."""
+    write_rows(frame, root)
+    return frame.sparkSession.read.schema(frame.schema).parquet(root)
 
 
 def _bring(files: DataFrame, parse: Callable[[DataFrame], DataFrame], target: IngestTarget, embedder: Embedder | None) -> DataFrame:
-    """Ingest ``files(path, file_hash, ...)``; ``parse`` turns those that changed into ``path, file_hash, file_size, blocks, errors``."""
+    """Ingest ``files(path, file_hash, ...)``; ``parse`` turns those that changed into ``path, file_hash, file_size, blocks, errors``.
+
+    Files are read twice: for what changed, by paths and hashes alone, and for the content of that.
+    """
     spark = files.sparkSession
     embedder = embedder or hashing_embedder(target.dimension)
     points = collection(spark, target.collection)
     manifest = manifest_table(spark, target.manifest)
-    hashed = _newest(files)
-    listing = hashed.select(F.col("path").alias("file_path"), "file_hash")
+    scratch = shared_path(spark, "ingest")
+    listing = _stored(_newest(files).withColumnRenamed("path", "file_path"), f"{scratch}/listing")
     # Only the manifest rows of this batch take part, so the manifest is not shuffled.
     known = manifest.read().join(listing.select("file_path"), "file_path", "left_semi")
-    torn = hashed.filter("torn").select("path", "file_hash")
-    changes = detect_changes(listing, known).join(torn.select(F.col("path").alias("file_path"), F.lit(True).alias("torn")), "file_path", "left")
-    changes = changes.withColumn("status", F.when(F.col("torn"), "failed").otherwise(F.col("status"))).drop("torn").persist(StorageLevel.MEMORY_AND_DISK)
-    todo = changes.filter(F.col("status") != "unchanged").select(F.col("file_path").alias("path"))
-    parsed = parse(hashed.filter(~F.col("torn")).drop("torn").join(todo, "path", "left_semi")).select("path", "file_hash", "file_size", "blocks", "errors")
+    old = known.select("file_path", F.col("file_hash").alias("old_hash"), F.col("chunk_count").alias("old_chunks"))
+    torn = listing.filter("torn").select(F.col("file_path").alias("_path"), "torn")
+    changes = detect_changes(listing, known).join(torn, F.col("file_path").eqNullSafe(F.col("_path")), "left").drop("_path").join(old, "file_path", "left")
     # Undecided paths are failures like any other: what they had stays, the error is recorded, and the batch goes on.
-    undecided = torn.select("path", "file_hash", F.array(F.lit(TORN)).alias("_error"))
-    failures = F.transform("_error", lambda text: F.struct(F.lit(None).cast("string").alias("component_type"), F.lit(None).cast("string").alias("module_name"), text.alias("error_message")))
-    undecided = undecided.select("path", "file_hash", failures.cast(parsed.schema["errors"].dataType).alias("errors"))
-    parsed = parsed.unionByName(undecided, allowMissingColumns=True).persist(StorageLevel.MEMORY_AND_DISK)
+    changes = _stored(changes.withColumn("status", F.when(F.col("torn"), "failed").otherwise(F.col("status"))), f"{scratch}/changes")
+    todo = changes.filter(F.col("status") != "unchanged")
+    wanted = todo.filter(F.col("torn").isNull()).select(F.col("file_path").alias("path"), "file_hash")
+    # The join sorts by path and hash, so equal versions lie side by side.
+    arrived = files.join(wanted, ["path", "file_hash"], "left_semi").dropDuplicates(["path", "file_hash"])
+    parsed = _stored(parse(arrived).select("path", "file_hash", "file_size", "blocks", "errors"), f"{scratch}/parsed")
     good = parsed.filter(F.size("errors") == 0)
     number = points.upsert(chunk_points(good, embedder, target.token_budget), key="source", replaced=good.select("path"))
     # Counts come from the written batch: chunks are not computed a second time.
     counts = points.batch(number).groupBy(F.col("source").alias("file_path")).agg(F.count("*").alias("chunks"))
-    old = known.select("file_path", F.col("file_hash").alias("old_hash"), F.col("chunk_count").alias("old_chunks"))
-    failed = F.size("errors") > 0
+    outcomes = parsed.select(
+        F.col("path").alias("file_path"),
+        "file_size",
+        (F.size("errors") > 0).alias("_failed"),
+        F.get("errors", F.lit(0))["error_message"].alias("_error"),
+    )
+    failed = F.coalesce("_failed", F.lit(True))
     entries = (
-        parsed.withColumnRenamed("path", "file_path")
+        todo.filter(F.col("file_path").isNotNull() | F.col("torn"))
+        .join(outcomes, "file_path", "left")
         .join(counts, "file_path", "left")
-        .join(old, "file_path", "left")
         .select(
             "file_path",
             # A file that fails keeps the chunks of its last success, and so their hash.
@@ -119,21 +135,19 @@ def _bring(files: DataFrame, parse: Callable[[DataFrame], DataFrame], target: In
             F.coalesce(F.when(failed, F.col("old_chunks")).otherwise(F.col("chunks")), F.lit(0).cast("long")).alias("chunk_count"),
             F.col("file_size").cast("string").alias("file_size"),
             F.lit("text").alias("content_type"),
-            F.get("errors", F.lit(0))["error_message"].alias("last_error"),
+            F.when(F.col("torn"), TORN).when(F.col("_failed").isNull(), MOVED).otherwise(F.col("_error")).alias("last_error"),
         )
     )
     manifest.upsert(entries)
+    # The reply outlives the batch, what it was worked out from does not.
+    for name in ("listing", "parsed"):
+        delete(spark, f"{scratch}/{name}")
     if target.compact_every and number >= target.compact_every:
         for table in (points, manifest):
             table.compact()
             # Readers that began before the compaction may still be in the last base.
             table.forget(target.keep_bases)
-    # The reply outlives the batch, so it is written before the batch is released.
-    reply = shared_path(spark, "changes")
-    changes.write.parquet(reply)
-    for frame in (parsed, changes, hashed):
-        frame.unpersist()
-    return spark.read.parquet(reply)
+    return changes.select("file_path", "file_hash", "status")
 
 
 def ingest_batch(files: DataFrame, target: IngestTarget, embedder: Embedder | None = None) -> DataFrame:

@@ -1,11 +1,14 @@
 from __future__ import annotations
 
 import datetime
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from tabularium.functions import arrays
 from tabularium.operators.activity import sessions
+from tabularium.operators.dense import hashing_embedder
 from tabularium.operators.images import data_uri, extract_images, image_text, resolve_markers
 from tabularium.operators.lifecycle import (
     MANIFEST,
@@ -22,10 +25,11 @@ from tabularium.operators.lifecycle import (
 from tabularium.operators.ranking import latest, top_k
 from tabularium.operators.routing import route
 from tabularium.operators.upsert import keyed_merge, keyed_upsert, upsert_counts
-from tabularium.session import shared_path
-from tabularium.sources.collection import collection
+from tabularium.session import shared_path, shared_root
+from tabularium.sources.collection import build_points, checked, collection
+from tabularium.sources.files import list_names
 from tabularium.sources.keyed import KeyedTable
-from tabularium.streaming.ingest import TORN, IngestTarget, ingest_batch, ingest_files, manifest_table, remove_missing
+from tabularium.streaming.ingest import MOVED, TORN, IngestTarget, ingest_batch, ingest_files, manifest_table, remove_missing
 
 
 
@@ -265,3 +269,64 @@ def test_keyed_rows_are_compressed_alike_in_batches_and_bases(spark, tmp_path):
         names = [p.name for p in (tmp_path / "keyed" / folder).glob("*.parquet")]
         assert names and all(name.endswith(".zstd.parquet") for name in names)
     assert sorted(r["text"] for r in table.read().collect()) == ["x", "y"]
+
+
+def test_a_batch_is_not_kept_in_memory(spark, monkeypatch):
+    target = IngestTarget(shared_path(spark, "c"), shared_path(spark, "m"), dimension=8)
+    files = spark.createDataFrame([("a", "one two"), ("b", "x"), ("c", "y"), ("c", "z")], "path string, text string")
+    kept = []
+    for name in ("persist", "cache"):
+        monkeypatch.setattr(type(files), name, lambda frame, *_: kept.append(frame) or frame)
+    before = set(list_names(spark, shared_root(spark)))
+    reply = ingest_batch(files, target)
+    assert not kept
+    # Of what was written on the way the reply is left.
+    left = [n for n in set(list_names(spark, shared_root(spark))) - before if n.startswith("ingest-")]
+    assert [list_names(spark, f"{shared_root(spark)}/{n}") for n in left] == [["changes"]]
+    assert sorted(tuple(r) for r in reply.select("file_path", "status").collect()) == [("a", "new"), ("b", "new"), ("c", "failed")]
+
+
+def test_a_file_that_changes_while_it_is_read_is_recorded_and_retried(spark):
+    target = IngestTarget(shared_path(spark, "c"), shared_path(spark, "m"), dimension=8)
+    another = F.udf(lambda: os.urandom(16).hex()).asNondeterministic()
+    rows = spark.createDataFrame([("a.txt", bytearray(b"one")), ("b.txt", bytearray(b"two"))], "path string, content binary")
+    rows = rows.withColumn("file_size", F.length("content"))
+    ingest_files(rows.withColumn("file_hash", F.when(F.col("path") == "a.txt", another()).otherwise(F.md5("content"))), target)
+
+    def state():
+        manifest = {r["file_path"]: (r["chunk_count"], r["last_error"]) for r in manifest_table(spark, target.manifest).read().collect()}
+        return manifest, sorted(r["text"] for r in collection(spark, target.collection).read().collect())
+
+    assert state() == ({"a.txt": (0, MOVED), "b.txt": (1, None)}, ["two"])
+    ingest_files(rows.withColumn("file_hash", F.md5("content")), target)
+    assert state() == ({"a.txt": (1, None), "b.txt": (1, None)}, ["one", "two"])
+
+
+def test_rows_that_nothing_replaced_are_only_scanned(spark):
+    schema = "id string, source string, v int"
+    table = KeyedTable(spark, shared_path(spark, "keyed"), schema, ["id", "source"]).create()
+    for n in range(3):
+        table.upsert(spark.createDataFrame([(f"i{n}", "s", n), (f"j{n}", f"t{n}", n)], schema), key="source")
+    plan = table.read()._jdf.queryExecution().optimizedPlan().toString()
+    # One kind of key was used, and the newest batch stands beside that join.
+    assert plan.count("Join LeftAnti") == 1 and plan.startswith("Union")
+    assert sorted(tuple(r) for r in table.read().collect()) == [("i2", "s", 2), ("j0", "t0", 0), ("j1", "t1", 1), ("j2", "t2", 2)]
+    table.delete("id", spark.createDataFrame([("j0",)], "id string"))
+    table.upsert(spark.createDataFrame([("k", "t1", 9)], schema), key="source")
+    rows = [("i2", "s", 2), ("j2", "t2", 2), ("k", "t1", 9)]
+    assert sorted(tuple(r) for r in table.read().collect()) == rows
+    table.compact()
+    assert sorted(tuple(r) for r in table.read().collect()) == rows
+
+
+def test_both_vectors_are_made_by_one_worker_in_pieces(spark, monkeypatch):
+    texts = spark.createDataFrame([("a", "one two two " * 50), ("b", ""), ("c", "three, one"), ("d", None)], "id string, text string")
+
+    def points():
+        return checked(build_points(texts.coalesce(1).withColumn("metadata", F.lit(None).cast("map<string,string>")), hashing_embedder(8)), 8)
+
+    whole = sorted((r["id"], r["dense"], sorted(zip(r["terms"], r["tfs"], strict=True)), r["length"]) for r in points().collect())
+    assert points()._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    monkeypatch.setattr(arrays.by_pieces, "__defaults__", (10,))
+    assert sorted((r["id"], r["dense"], sorted(zip(r["terms"], r["tfs"], strict=True)), r["length"]) for r in points().collect()) == whole
+    assert whole[0][2:] == ([("one", 50), ("two", 100)], 150) and whole[1][1] == [0.0] * 8
