@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabularium.operators.ranking import latest
+from tabularium.session import shared_path
 from tabularium.sources.files import delete, is_committed, list_names
 
 _BATCH = "_batch"
@@ -79,6 +80,10 @@ class KeyedTable:
 
     def read(self) -> DataFrame:
         """The live rows. Nothing can have replaced those of the newest batch, so they are only scanned."""
+        return self._live()
+
+    def _live(self, scratch: str | None = None) -> DataFrame:
+        """The live rows; with a folder for it, keys that meet no row are sorted out first."""
         bases = self._bases()
         if not bases:
             raise FileNotFoundError(f"no table below {self.root}")
@@ -102,6 +107,10 @@ class KeyedTable:
                     .agg(F.max(_BATCH).alias("_last"))
                 )
                 dead = (F.col(key).cast("string") == F.col("_value")) & (F.col(_BATCH) < F.col("_last"))
+                if scratch:
+                    met = rows.select(key, _BATCH).join(last, dead).select("_value", "_last").distinct()
+                    write_rows(met, f"{scratch}/{key}")
+                    last = self.spark.read.schema("_value string, _last int").parquet(f"{scratch}/{key}")
                 rows = rows.join(last, dead, "left_anti")
             rows = rows.unionByName(scan(f"{after}/rows/batch-{batches[-1]}"))
         return rows.select(*self.schema.names)
@@ -155,9 +164,15 @@ class KeyedTable:
         return self.upsert(self.spark.createDataFrame([], self.schema), key=key, replaced=values)
 
     def compact(self) -> int:
-        """Write the live rows as a new base; returns its number."""
+        """Write the live rows as a new base; returns its number.
+
+        Which keys were replaced at all is found out from the keys alone. Mostly they
+        are few, however many were brought, and then no row is shuffled.
+        """
         number = self._bases()[-1] + 1
-        self._write_base(self.read(), number)
+        scratch = shared_path(self.spark, "replaced")
+        self._write_base(self._live(scratch), number)
+        delete(self.spark, scratch)
         return number
 
     def is_compact(self) -> bool:

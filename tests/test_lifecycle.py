@@ -330,3 +330,24 @@ def test_both_vectors_are_made_by_one_worker_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(arrays.by_pieces, "__defaults__", (10,))
     assert sorted((r["id"], r["dense"], sorted(zip(r["terms"], r["tfs"], strict=True)), r["length"]) for r in points().collect()) == whole
     assert whole[0][2:] == ([("one", 50), ("two", 100)], 150) and whole[1][1] == [0.0] * 8
+
+
+def test_compaction_deals_out_no_rows_for_keys_it_does_not_hold(spark, monkeypatch):
+    schema = "id string, source string"
+    table = KeyedTable(spark, shared_path(spark, "keyed"), schema, ["id", "source"]).create()
+    named = [F.concat(F.lit(part), "id").alias(name) for part, name in (("i", "id"), ("s", "source"))]
+    table.upsert(spark.range(0, 3000).select(*named), key="source")
+    table.compact()
+    table.upsert(spark.range(2999, 6000).select(F.concat(F.lit("new"), "id").alias("id"), named[1]), key="source")
+    plans, write = [], KeyedTable._write_base
+    monkeypatch.setattr(KeyedTable, "_write_base", lambda self, rows, n: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or write(self, rows, n))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4k")
+    try:
+        assert "SortMergeJoin" in table.read()._jdf.queryExecution().executedPlan().toString()
+        table.compact()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plans[0]
+    rows = {r["source"]: r["id"] for r in table.read().collect()}
+    assert len(rows) == table.read().count() == 6000 and rows["s2998"] == "i2998" and rows["s2999"] == "new2999"
