@@ -37,7 +37,11 @@ def by_pieces(values: pa.Array, kernel: Callable[[pa.Array], pa.Array], most: in
         take = max(1, int(np.searchsorted(ends, before + most, side="right")) - done)
         parts.append(kernel(values.slice(done, take)))
         done += take
-    return pa.concat_arrays(parts)
+    whole = pa.concat_arrays(parts)
+    del parts
+    # A worker waits for the next task with what its pool keeps.
+    pa.default_memory_pool().release_unused()
+    return whole
 
 
 def split_texts(texts: pa.Array) -> pa.Array:

@@ -28,13 +28,16 @@ from tabularium.sources.files import delete, is_committed, list_names
 _BATCH = "_batch"
 # Rows are written by an upsert and again by each compaction, and points hold their text twice.
 _CODEC = "zstd"
+# Each page is compressed by itself, in native memory that grows with the level.
+_LEVEL = 1
 # Bytes of a row group as written: a task that writes or reads holds a whole one, compressed and in part unpacked.
 _ROW_GROUP = 16 << 20
 
 
 def write_rows(rows: DataFrame, root: str) -> None:
     """Write a folder of Parquet, or write it again where a job died."""
-    rows.write.mode("overwrite").option("parquet.block.size", _ROW_GROUP).parquet(root, compression=_CODEC)
+    sized = rows.write.mode("overwrite").option("parquet.block.size", _ROW_GROUP).option("parquet.compression.codec.zstd.level", _LEVEL)
+    sized.parquet(root, compression=_CODEC)
 
 
 class KeyedTable:
